@@ -33,11 +33,11 @@ def _stacked(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, righ
 
 
 def asof_join(
-    left: DataFrame, right: DataFrame, by: Sequence[str], on: str, tolerance: int, right_tie: Sequence[str], chunk: Column | None = None
+    left: DataFrame, right: DataFrame, by: Sequence[str], on: str, tolerance: int, right_tie: Sequence[str], huge: bool | None = None
 ) -> DataFrame:
     """Latest right row at or before each left row, if not older than ``tolerance``."""
     both, payload = _stacked(left, right, by, on, right_tie)
-    scanned = ordered_scan(both, by, [on, "_tag", "_id"], media_chunks(on) if chunk is None else chunk, _found=last_value(F.col("_hit")))
+    scanned = ordered_scan(both, by, [on, "_tag", "_id"], media_chunks(on), huge, _found=last_value(F.col("_hit")))
     fits = F.col("_row")[on] - F.col("_found._time") <= tolerance
     return scanned.where(F.col("_tag") == 1).select(
         "_row.*", *[F.when(fits, F.col("_found")[c]).alias(f"right_{c}") for c in payload], F.when(fits, F.col("_found._time")).alias(f"right_{on}")
@@ -45,12 +45,12 @@ def asof_join(
 
 
 def nearest_join(
-    left: DataFrame, right: DataFrame, by: Sequence[str], on: str, right_tie: Sequence[str], tolerance: int = 180, chunk: Column | None = None
+    left: DataFrame, right: DataFrame, by: Sequence[str], on: str, right_tie: Sequence[str], tolerance: int = 180, huge: bool | None = None
 ) -> DataFrame:
     """Right row nearest in time within ``tolerance``; the earlier one wins a tie."""
     both, payload = _stacked(left, right, by, on, right_tie)
     scanned = ordered_scan(
-        both, by, [on, "_tag", "_id"], media_chunks(on) if chunk is None else chunk, _back=last_value(F.col("_hit")), _ahead=next_value(F.col("_hit"))
+        both, by, [on, "_tag", "_id"], media_chunks(on), huge, _back=last_value(F.col("_hit")), _ahead=next_value(F.col("_hit"))
     )
     time = F.col("_row")[on]
     back, ahead = time - F.col("_back._time"), F.col("_ahead._time") - time
@@ -63,9 +63,9 @@ def nearest_join(
     )
 
 
-def overlapping_intervals(df: DataFrame, by: Sequence[str], start: str, end: str, tie: str, chunk: Column | None = None) -> DataFrame:
+def overlapping_intervals(df: DataFrame, by: Sequence[str], start: str, end: str, tie: str, huge: bool | None = None) -> DataFrame:
     """Intervals that overlap an earlier one of the same group; touching is fine."""
-    scanned = ordered_scan(df, by, [start, tie], media_chunks(start) if chunk is None else chunk, _reach=max_before(F.col(end)))
+    scanned = ordered_scan(df, by, [start, tie], media_chunks(start), huge, _reach=max_before(F.col(end)))
     return scanned.where(F.col("_reach") > F.col(start)).drop("_reach")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import rules
@@ -14,6 +14,7 @@ from fieldspark.operators.ordered import (
     ordered_scan,
     previous,
     row_index,
+    whole_sum,
 )
 
 # Default uncertainty reasons.
@@ -76,18 +77,18 @@ def select_missions(counts: DataFrame, selection: Sequence[str] | None = None) -
     return counts.orderBy(F.col("confirmed").desc(), "mission_id").limit(2)
 
 
-def frame_split(df: DataFrame, by: Sequence[str] = ("video_id",), order: str = "frame_index", fold: int = 5, chunk: Column | None = None) -> DataFrame:
+def frame_split(df: DataFrame, by: Sequence[str] = ("video_id",), order: str = "frame_index", fold: int = 5, huge: bool | None = None) -> DataFrame:
     """Every fifth labelled frame of a video is validation; short videos give their last frame, single frames none.
 
     If that leaves no validation at all, the last training frame moves over.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ordered_scan(df, by, [order], chunk if chunk is not None else frame_chunks(order), _i=row_index())
+    ranked = ordered_scan(df, by, [order], frame_chunks(order), huge, _i=row_index(), _n=whole_sum(F.lit(1)))
     part = (
         F.when(F.col("_n") < fold, (F.col("_n") > 1) & (F.col("_i") == F.col("_n") - 1))
         .otherwise(F.col("_i") % fold == fold - 1)
     )
-    tagged = ranked.join(sizes, list(by)).withColumn("_val", part)
+    tagged = ranked.withColumn("_val", part)
     # Without any validation frame every video has one frame: the last of them validates.
     fallback = sizes.agg(F.max("_n").alias("_most"), F.count(F.lit(1)).alias("_videos"), F.max(F.struct(*by)).alias("_last"))
     moved = (F.col("_most") == 1) & (F.col("_videos") > 1) & (F.struct(*by) == F.col("_last"))
@@ -191,14 +192,14 @@ def status_counts(df: DataFrame, column: str, domain: Sequence[str], by: Sequenc
     return sums.select(*by, F.inline(pairs))
 
 
-def label_tracks(polygons: DataFrame, labelled_frames: DataFrame, video: str = "video_id") -> DataFrame:
+def label_tracks(polygons: DataFrame, labelled_frames: DataFrame, video: str = "video_id", huge: bool | None = None) -> DataFrame:
     """Sightings of labelled objects with class change and the frame in which the object is gone.
 
     ``polygons(video, tracking_id, frame_index, class_id, …)`` holds one row per sighting,
     ``labelled_frames(video, frame_index)`` every frame with any label.
     """
     seen = ordered_scan(
-        polygons.where(F.col("tracking_id").isNotNull()), [video, "tracking_id"], ["frame_index"], frame_chunks(), _before=previous(F.col("class_id"))
+        polygons.where(F.col("tracking_id").isNotNull()), [video, "tracking_id"], ["frame_index"], frame_chunks(), huge, _before=previous(F.col("class_id"))
     )
     seen = seen.withColumn("class_change", F.when(F.col("_before") != F.col("class_id"), F.concat_ws(">", "_before", "class_id"))).drop("_before")
     ends = seen.groupBy(video, "tracking_id").agg(F.max("frame_index").alias("last_frame"))
@@ -209,7 +210,7 @@ def label_tracks(polygons: DataFrame, labelled_frames: DataFrame, video: str = "
     asked = ends.select(video, F.col("last_frame").alias("_at"), F.lit(2).alias("_kind"), F.col("tracking_id").cast("string").alias("tracking_id"))
     both = marks.unionByName(asked)
     ahead = ordered_scan(
-        both, [video], ["_at", "_kind", "tracking_id"], frame_chunks("_at"), ended_at=next_value(F.when(F.col("_kind") == 1, F.col("_at")))
+        both, [video], ["_at", "_kind", "tracking_id"], frame_chunks("_at"), huge, ended_at=next_value(F.when(F.col("_kind") == 1, F.col("_at")))
     )
     gone = ahead.where(F.col("_kind") == 2).select(video, F.col("tracking_id").alias("_id"), "ended_at")
     return seen.join(gone, (seen[video] == gone[video]) & (seen["tracking_id"].cast("string") == gone["_id"]), "left").drop(gone[video]).drop("_id")

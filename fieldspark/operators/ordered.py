@@ -1,10 +1,14 @@
 """Ordered computations whose groups may be arbitrarily large.
 
-A plain window partitioned by video puts a whole video into one task. Here every
-group is cut along its order column into chunks, the window runs per (group,
-chunk), and one small row per chunk carries the state of everything before it.
-The two results meet in a join on (group, chunk), for which the big side is
-already partitioned. ``chunk`` must not decrease along the order.
+A plain window partitioned by video puts a whole video into one task. That is right
+while groups are small and one shuffle does it. When the largest group exceeds
+``HUGE_GROUP`` rows, every group is cut along its order column into chunks, the
+window runs per (group, chunk), and one small row per chunk carries the state of
+everything before it. The two results meet in a join on (group, chunk), for which
+the big side is already partitioned. ``chunk`` must not decrease along the order.
+
+The size is measured by one map-side combined count, or passed in as ``huge`` by
+jobs that run several ordered steps over the same groups.
 """
 
 from __future__ import annotations
@@ -15,7 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.session import cut_lineage
+
 FRAMES_PER_CHUNK = 65_536
+HUGE_GROUP = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -27,6 +34,7 @@ class Carry:
     across: Callable
     combine: Callable
     backward: bool = False
+    alone: Callable = lambda local: local  # noqa: E731 - the value when one window holds the group
 
 
 def _position(order: Sequence[str]) -> Column:
@@ -100,6 +108,7 @@ def previous(value: Column) -> Carry:
         summary=lambda order: F.max_by(boxed, _position(order)),
         across=lambda w, s: F.lag(s).over(w),
         combine=lambda a, b: F.coalesce(a, b)["v"],
+        alone=lambda local: local["v"],
     )
 
 
@@ -112,9 +121,41 @@ def following(value: Column) -> Carry:
         across=lambda w, s: F.lag(s).over(w),
         combine=lambda a, b: F.coalesce(a, b)["v"],
         backward=True,
+        alone=lambda local: local["v"],
+    )
+
+
+def whole_sum(value: Column) -> Carry:
+    """Sum over the entire group."""
+    return _whole(F.sum, value)
+
+
+def whole_max(value: Column) -> Carry:
+    """Maximum over the entire group; a struct led by the order column gives its last row."""
+    return _whole(F.max, value)
+
+
+def whole_min(value: Column) -> Carry:
+    """Minimum over the entire group."""
+    return _whole(F.min, value)
+
+
+def _whole(fn: Callable, value: Column) -> Carry:
+    everything = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return Carry(
+        local=lambda w, order: fn(value).over(everything(w)),
+        summary=lambda order: fn(value),
+        across=lambda w, s: fn(s).over(everything(w)),
+        combine=lambda a, b: b,
     )
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Row count of the biggest group; only the key columns are read."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def frame_chunks(column: str = "frame_index", rows: int = FRAMES_PER_CHUNK) -> Column:
     """Chunks of a dense per-video index: at most ``rows`` index values each."""
     return F.floor(F.col(column) / F.lit(rows)).cast("long")
@@ -125,7 +166,7 @@ def balanced_chunks(df: DataFrame, column: str, rows: int = 4_000_000, pieces: i
 
     Whatever the skew, a chunk holds about ``1/pieces`` of the table over *all*
     groups, so no (group, chunk) can be larger. Only the cut points (at most
-    ``pieces`` numbers) reach the driver. Tables up to ``rows`` rows stay whole.
+    ``pieces`` numbers) reach the driver.
     """
     steps = [i / pieces for i in range(1, pieces)]
     n, cuts = df.agg(
@@ -141,14 +182,32 @@ def balanced_chunks(df: DataFrame, column: str, rows: int = 4_000_000, pieces: i
 
 
 def ordered_scan(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Column, **outputs: Carry
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    chunk: Column | Callable[[DataFrame], Column],
+    huge: bool | None = None,
+    **outputs: Carry,
 ) -> DataFrame:
-    """Add ordered columns to ``df``; ``by`` and ``order`` must not be null and order must be unique per group."""
+    """Add ordered columns to ``df``; ``by`` and ``order`` must not be null and order must be unique per group.
+
+    ``chunk`` is only used for huge groups. The chunked table is then written once to
+    the shared folder, hashed by (group, chunk), because both sides of the join read it.
+    """
     by, order = list(by), list(order)
+    if huge is None:
+        huge = largest_group(df, by) > HUGE_GROUP
+    kept = [name for name in df.columns if name not in outputs]
+    descending = [F.col(name).desc() for name in order]
+    if not huge:
+        ahead, behind = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by).orderBy(*descending)
+        boxed = df.select("*", *[c.local(behind if c.backward else ahead, order).alias(f"_local_{n}") for n, c in outputs.items()])
+        return boxed.select(*kept, *[c.alone(F.col(f"_local_{n}")).alias(n) for n, c in outputs.items()])
     keys = [*by, "_chunk"]
-    chunked = df.withColumn("_chunk", chunk)
+    column = chunk(df) if callable(chunk) else chunk
+    chunked = cut_lineage(df.withColumn("_chunk", column).repartition(*keys))
     ahead = Window.partitionBy(*keys).orderBy(*order)
-    behind = Window.partitionBy(*keys).orderBy(*[F.col(name).desc() for name in order])
+    behind = Window.partitionBy(*keys).orderBy(*descending)
     local = chunked.select(
         "*",
         *[c.local(behind if c.backward else ahead, order).alias(f"_local_{n}") for n, c in outputs.items()],
@@ -163,30 +222,34 @@ def ordered_scan(
             for n, c in outputs.items()
         ],
     )
-    kept = [name for name in df.columns if name not in outputs]
     return local.join(carried, keys, "left").select(
         *kept, *[c.combine(F.col(f"_local_{n}"), F.col(f"_carry_{n}")).alias(n) for n, c in outputs.items()]
     )
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float], chunk: Column | None = None
+    df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float], huge: bool | None = None
 ) -> DataFrame:
-    """Linear-interpolated quantiles per group without buffering a group.
+    """Linear-interpolated quantiles per group, as rows (by…, probability, value).
 
-    Equal values are counted map-side first, the counts are ranked with
-    :func:`ordered_scan`, and each probability picks its two neighbouring ranks.
+    Ordinary groups use the exact aggregate. Huge ones are never buffered: equal values
+    are counted map-side, the counts are ranked with :func:`ordered_scan`, and each
+    probability picks its two neighbouring ranks.
     """
     by = list(by)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    if chunk is None:
-        chunk = balanced_chunks(counted, value)
-    ranked = ordered_scan(counted, by, [value], chunk, _end=running_sum(F.col("_n")))
-    totals = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
+    known = df.where(F.col(value).isNotNull())
+    if huge is None:
+        huge = largest_group(known, by) > HUGE_GROUP
+    levels = F.array(*[F.lit(float(p)) for p in probabilities])
+    if not huge:
+        found = known.groupBy(*by).agg(F.percentile(value, levels).alias("_q"))
+        return found.select(*by, F.inline(F.arrays_zip(levels.alias("probability"), F.col("_q").alias(value))))
+    counted = cut_lineage(known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
+    ranked = ordered_scan(
+        counted, by, [value], lambda t: balanced_chunks(t, value), True, _end=running_sum(F.col("_n")), _total=whole_sum(F.col("_n"))
+    )
     picks = (
-        (ranked.join(totals, by) if by else ranked.crossJoin(F.broadcast(totals)))
-        .withColumn("probability", wanted)
+        ranked.withColumn("probability", F.explode(levels))
         .withColumn("_at", F.col("probability") * (F.col("_total") - 1))
         .withColumn("_lo", F.floor("_at"))
         .withColumn("_hi", F.ceil("_at"))

@@ -17,6 +17,9 @@ from fieldspark.operators.ordered import (
     ordered_scan,
     previous,
     running_sum,
+    whole_max,
+    whole_min,
+    whole_sum,
 )
 
 # Earth radius, metres per degree, motion gates, walks per mission.
@@ -33,20 +36,23 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(h))
 
 
-def route_legs(route: DataFrame, by: Sequence[str], order: str = "idx") -> DataFrame:
-    """One row per leg with its length and the distance walked before and after it."""
+def route_legs(route: DataFrame, by: Sequence[str], order: str = "idx", huge: bool | None = None) -> DataFrame:
+    """One row per leg: its ends, length, distance at its end, and length and point count of the whole route."""
     here = F.struct("lat", "lng")
-    legs = ordered_scan(route, by, [order], frame_chunks(order), _p=previous(here)).where(F.col("_p").isNotNull())
+    legs = ordered_scan(route, by, [order], frame_chunks(order), huge, _p=previous(here)).where(F.col("_p").isNotNull())
     legs = legs.withColumn("length", haversine(F.col("_p.lat"), F.col("_p.lng"), F.col("lat"), F.col("lng")))
-    walked = ordered_scan(legs, by, [order], frame_chunks(order), _end=running_sum(F.col("length")))
+    walked = ordered_scan(
+        legs, by, [order], frame_chunks(order), huge, end=running_sum(F.col("length")), total=whole_sum(F.col("length")), points=whole_sum(F.lit(1))
+    )
     return walked.select(
-        *by, order, F.col("_p.lat").alias("lat0"), F.col("_p.lng").alias("lng0"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), "length", F.col("_end").alias("end")
+        *by, order, F.col("_p.lat").alias("lat0"), F.col("_p.lng").alias("lng0"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"),
+        "length", "end", "total", (F.col("points") + 1).alias("points"),
     )
 
 
-def route_length(route: DataFrame, by: Sequence[str], order: str = "idx") -> DataFrame:
+def route_length(route: DataFrame, by: Sequence[str], order: str = "idx", huge: bool | None = None) -> DataFrame:
     here = F.struct("lat", "lng")
-    legs = ordered_scan(route, by, [order], frame_chunks(order), _p=previous(here))
+    legs = ordered_scan(route, by, [order], frame_chunks(order), huge, _p=previous(here))
     length = F.when(F.col("_p").isNotNull(), haversine(F.col("_p.lat"), F.col("_p.lng"), F.col("lat"), F.col("lng"))).otherwise(0.0)
     return legs.groupBy(*by).agg(F.sum(length).alias("length_m"), F.count(F.lit(1)).alias("points"))
 
@@ -61,66 +67,62 @@ def playback_index(progress: Column, points: Column, direction: Column) -> Colum
     return F.least(points - 1, F.floor(share * (points - 1) + 0.5))
 
 
-def locate_on_route(df: DataFrame, route: DataFrame, by: Sequence[str], fraction: str, row_id: str, order: str = "idx", chunk_m: float = 10_000) -> DataFrame:
+def locate_on_route(
+    df: DataFrame, route: DataFrame, by: Sequence[str], fraction: str, row_id: str, order: str = "idx", huge: bool | None = None
+) -> DataFrame:
     """Position of each row at its fraction of the route length, plus the segment number.
 
-    Legs and rows meet in one ordered pass over walked distance, not in a range join.
+    Legs, placed at the fraction where they end, and rows meet in one ordered pass.
+    A fraction beyond the last leg gives the last point.
     """
-    legs = route_legs(route, by, order)
-    sizes = route.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.max_by(F.struct("lat", "lng"), order).alias("_last"), F.min_by(F.struct("lat", "lng"), order).alias("_first")
-    )
-    total = legs.groupBy(*by).agg(F.sum("length").alias("_total"))
-    asked = (
-        df.join(sizes, list(by))
-        .join(total, list(by), "left")
-        .withColumn("_at", F.coalesce("_total", F.lit(0.0)) * F.col(fraction))
-    )
-    leg = F.struct("lat0", "lng0", "lat1", "lng1", "length", "end")
-    rows = asked.select(*by, "_at", F.lit(0).alias("_tag"), F.col(row_id).cast("long").alias("_id"), F.struct(*asked.columns).alias("_row"))
+    legs = route_legs(route, by, order, huge)
+    leg = F.struct("lat0", "lng0", "lat1", "lng1", "length", "end", "total", "points")
+    ends = F.when(F.col("total") > 0, F.col("end") / F.col("total")).otherwise(1.0)
+    rows = df.select(*by, F.col(fraction).alias("_at"), F.lit(0).alias("_tag"), F.col(row_id).cast("long").alias("_id"), F.struct(*df.columns).alias("_row"))
     empty = F.lit(None).cast(rows.schema["_row"].dataType)
-    stack = legs.select(*by, F.col("end").alias("_at"), F.lit(1).alias("_tag"), F.col(order).cast("long").alias("_id"), empty.alias("_row"), leg.alias("_leg"))
+    stack = legs.select(*by, ends.alias("_at"), F.lit(1).alias("_tag"), F.col(order).cast("long").alias("_id"), empty.alias("_row"), leg.alias("_leg"))
     rows = rows.withColumn("_leg", F.lit(None).cast(stack.schema["_leg"].dataType))
-    chunk = F.floor(F.col("_at") / chunk_m).cast("long")
-    met = ordered_scan(stack.unionByName(rows), by, ["_at", "_tag", "_id"], chunk, _hit=next_value(F.col("_leg"))).where(F.col("_tag") == 0)
-    part = F.when(F.col("_hit.length") > 0, (F.col("_at") - (F.col("_hit.end") - F.col("_hit.length"))) / F.col("_hit.length")).otherwise(0.0)
-    on = lambda c: F.coalesce(F.col(f"_hit.{c}0") + (F.col(f"_hit.{c}1") - F.col(f"_hit.{c}0")) * part, F.col(f"_row._last.{c}"))
+    chunk = F.floor(F.col("_at") * 4096).cast("long")
+    met = ordered_scan(
+        stack.unionByName(rows), by, ["_at", "_tag", "_id"], chunk, huge, _next=next_value(F.col("_leg")), _last=last_value(F.col("_leg"))
+    ).where(F.col("_tag") == 0)
+    at = F.col(f"_row.{fraction}") * F.col("_next.total")
+    part = F.when(F.col("_next.length") > 0, (at - (F.col("_next.end") - F.col("_next.length"))) / F.col("_next.length")).otherwise(0.0)
+    on = lambda c: F.coalesce(F.col(f"_next.{c}0") + (F.col(f"_next.{c}1") - F.col(f"_next.{c}0")) * part, F.col(f"_last.{c}1"))
     return met.select(
         *[F.col(f"_row.{c}").alias(c) for c in df.columns],
         on("lat").alias("lat"),
         on("lng").alias("lng"),
-        segment_index(F.col(f"_row.{fraction}"), F.col("_row._n")).alias("segment_index"),
+        segment_index(F.col(f"_row.{fraction}"), F.coalesce("_next.points", "_last.points")).alias("segment_index"),
     )
 
 
-def integrate_motion(pairs: DataFrame, directions: DataFrame, by: Sequence[str] = ("video_id",)) -> DataFrame:
+def integrate_motion(pairs: DataFrame, directions: DataFrame, by: Sequence[str] = ("video_id",), huge: bool | None = None) -> DataFrame:
     """Dead reckoning from pairwise motion: turn, then one step ahead. B→A walks are reversed.
 
     ``pairs(by…, step ≥ 1, yaw_delta, flow, matches, inliers)``; the result starts with point 0.
     """
     seen = (F.col("matches") >= MIN_MATCHES) & (F.col("flow") >= MIN_FLOW) & (F.col("inliers") >= MIN_INLIERS)
     turn = F.when(seen, F.greatest(F.lit(-MAX_YAW_STEP), F.least(F.lit(MAX_YAW_STEP), F.col("yaw_delta")))).otherwise(0.0)
-    turned = ordered_scan(pairs.withColumn("_seen", seen), by, ["step"], frame_chunks("step"), _yaw=running_sum(turn))
+    turned = ordered_scan(
+        pairs.select(*by, F.col("step").cast("long").alias("step"), seen.alias("_seen"), turn.alias("_turn")),
+        by, ["step"], frame_chunks("step"), huge, _yaw=running_sum(F.col("_turn")), _n=whole_max(F.col("step")), _1=whole_min(F.col("step")),
+    )
     walked = ordered_scan(
-        turned,
-        by,
-        ["step"],
-        frame_chunks("step"),
+        turned, by, ["step"], frame_chunks("step"), huge,
         x=running_sum(F.when(F.col("_seen"), F.sin("_yaw")).otherwise(0.0)),
         y=running_sum(F.when(F.col("_seen"), F.cos("_yaw")).otherwise(0.0)),
     )
-    steps = pairs.groupBy(*by).agg(F.max("step").alias("_n"))
-    start = steps.select(*by, F.lit(0).cast("long").alias("step"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    points = walked.select(*by, F.col("step").cast("long").alias("step"), "x", "y").unionByName(start)
+    here = F.struct("step", "x", "y")
+    origin = F.struct(F.lit(0).cast("long").alias("step"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    points = walked.select(*by, "_n", F.inline(F.when(F.col("step") == F.col("_1"), F.array(origin, here)).otherwise(F.array(here))))
     backwards = F.col("direction") == "B_TO_A"
-    return (
-        points.join(steps, list(by))
-        .join(directions.select(*by, "direction"), list(by))
-        .select(*by, F.when(backwards, F.col("_n") - F.col("step")).otherwise(F.col("step")).alias("idx"), "x", "y")
+    return points.join(directions.select(*by, "direction"), list(by)).select(
+        *by, F.when(backwards, F.col("_n") - F.col("step")).otherwise(F.col("step")).alias("idx"), "x", "y"
     )
 
 
-def traversal_quality(pairs: DataFrame, by: Sequence[str] = ("video_id",)) -> DataFrame:
+def traversal_quality(pairs: DataFrame, by: Sequence[str] = ("video_id",), huge: bool | None = None) -> DataFrame:
     """Per walk: tracked share, median matches and inliers, mean pair quality."""
     seen = (F.col("matches") >= MIN_MATCHES) & (F.col("flow") >= MIN_FLOW) & (F.col("inliers") >= MIN_INLIERS)
     quality = F.when(F.col("matches") >= MIN_MATCHES, F.least(F.lit(1.0), F.col("inliers") / 45) * F.least(F.lit(1.0), F.col("matches") / 80)).otherwise(0.0)
@@ -128,7 +130,7 @@ def traversal_quality(pairs: DataFrame, by: Sequence[str] = ("video_id",)) -> Da
         (F.sum(seen.cast("long")) / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("tracked_fraction"), F.avg(quality).alias("mean_pair_quality")
     )
     for name in ("matches", "inliers"):
-        middle = exact_quantiles(pairs.select(*by, F.col(name).cast("double").alias(f"median_{name}")), by, f"median_{name}", [0.5])
+        middle = exact_quantiles(pairs.select(*by, F.col(name).cast("double").alias(f"median_{name}")), by, f"median_{name}", [0.5], huge)
         base = base.join(middle.drop("probability"), list(by))
     return base
 
@@ -144,23 +146,22 @@ def mission_quality(per_video: DataFrame, mission: str = "mission_id") -> DataFr
     )
 
 
-def anchor(points: DataFrame, lengths: DataFrame, by: Sequence[str] = ("video_id",), idx: str = "idx") -> DataFrame:
+def anchor(points: DataFrame, lengths: DataFrame, by: Sequence[str] = ("video_id",), idx: str = "idx", huge: bool | None = None) -> DataFrame:
     """Move the start to the origin, turn the end onto the forward axis, scale to the known length.
 
     ``lengths(by…, target_length)``. A walk whose end hardly moved gets its steps spread forward first.
     """
-    ends = points.groupBy(*by).agg(
-        F.min_by(F.struct("x", "y"), idx).alias("_a"), F.max_by(F.struct("x", "y"), idx).alias("_b"), F.count(F.lit(1)).alias("_n")
-    )
+    here = F.struct(F.col(idx).alias("i"), "x", "y")
+    ends = ordered_scan(points, by, [idx], frame_chunks(idx), huge, _a=whole_min(here), _b=whole_max(here), _n=whole_sum(F.lit(1)))
     dx, dy = F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y")
     weak = F.hypot(dx, dy) < F.greatest(F.lit(2.0), F.col("_n") * 0.03)
     vy = F.when(weak, dy + F.col("_n") - 1).otherwise(dy)
     angle = F.atan2(dx, vy)
-    ends = ends.withColumn("_weak", weak).withColumn("_c", F.cos(angle)).withColumn("_s", F.sin(angle)).withColumn("_forward", dx * F.sin(angle) + vy * F.cos(angle))
+    turned = ends.withColumn("_weak", weak).withColumn("_c", F.cos(angle)).withColumn("_s", F.sin(angle)).withColumn("_forward", dx * F.sin(angle) + vy * F.cos(angle))
     px = F.col("x") - F.col("_a.x")
     py = F.col("y") - F.col("_a.y") + F.when(F.col("_weak"), F.col(idx)).otherwise(0)
     scale = F.col("target_length") / F.greatest(F.lit(1e-6), F.col("_forward"))
-    return points.join(ends.join(lengths, list(by)), list(by)).select(
+    return turned.join(lengths, list(by)).select(
         *by, idx, ((px * F.col("_c") - py * F.col("_s")) * scale).alias("x"), ((px * F.col("_s") + py * F.col("_c")) * scale).alias("y")
     )
 
@@ -184,44 +185,50 @@ def to_geo(points: DataFrame, missions: DataFrame, by: Sequence[str] = ("mission
     )
 
 
-def resample(points: DataFrame, by: Sequence[str], n: int = 64, idx: str = "idx", chunk_units: float = 10_000) -> DataFrame:
-    """``n`` points at equal arc length; a line without length becomes a unit straight."""
-    moved = ordered_scan(points, by, [idx], frame_chunks(idx), _p=previous(F.struct("x", "y")))
+def resample(points: DataFrame, by: Sequence[str], n: int = 64, idx: str = "idx", huge: bool | None = None) -> DataFrame:
+    """``n`` points at equal arc length; a line without length becomes a unit straight.
+
+    Every leg emits the targets that fall on it. Target ranges of neighbouring legs share
+    their boundary number, so none is lost or doubled, and no join is needed.
+    """
+    here = F.struct("x", "y")
+    moved = ordered_scan(points, by, [idx], frame_chunks(idx), huge, _p=previous(here), _last=whole_max(F.col(idx)))
     step = F.when(F.col("_p").isNotNull(), F.hypot(F.col("x") - F.col("_p.x"), F.col("y") - F.col("_p.y"))).otherwise(0.0)
-    along = ordered_scan(moved.withColumn("_d", step), by, [idx], frame_chunks(idx), _at=running_sum(F.col("_d")))
-    totals = along.groupBy(*by).agg(F.max("_at").alias("_total"))
-    targets = totals.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).select(
-        *by, (F.col("_total") * F.col("_i") / (n - 1)).alias("_at"), F.lit(1).alias("_tag"), F.col("_i").alias("_id"), F.col("_total")
+    along = ordered_scan(
+        moved.withColumn("_d", step), by, [idx], frame_chunks(idx), huge, _at=running_sum(F.col("_d")), _total=whole_sum(F.col("_d"))
     )
-    known = along.select(*by, "_at", F.lit(0).alias("_tag"), F.col(idx).cast("long").alias("_id"), F.lit(None).cast("double").alias("_total"), F.struct("_at", "x", "y").alias("_point"))
-    stacked = known.unionByName(targets.withColumn("_point", F.lit(None).cast(known.schema["_point"].dataType)))
-    chunk = F.floor(F.col("_at") / chunk_units).cast("long")
-    met = ordered_scan(
-        stacked, by, ["_at", "_tag", "_id"], chunk, _l=last_value(F.col("_point")), _r=next_value(F.col("_point"))
-    ).where(F.col("_tag") == 1)
-    gap = F.col("_r._at") - F.col("_l._at")
-    share = F.when(gap > 0, (F.col("_at") - F.col("_l._at")) / gap).otherwise(0.0)
+    # The leg's start is the very number stored at its predecessor, not a difference of sums.
+    along = ordered_scan(along, by, [idx], frame_chunks(idx), huge, _start=previous(F.col("_at")))
     flat = F.col("_total") < 1e-6
-    at = lambda c: F.col(f"_l.{c}") + F.coalesce((F.col(f"_r.{c}") - F.col(f"_l.{c}")) * share, F.lit(0.0))
-    return met.select(
-        *by, F.col("_id").alias("idx"), F.when(flat, F.col("_id") / (n - 1)).otherwise(at("x")).alias("x"), F.when(flat, 0.0).otherwise(at("y")).alias("y")
+    last = F.col(idx) == F.col("_last")
+    number = lambda at: F.when(at >= F.col("_total"), n - 1).otherwise(F.ceil(at * (n - 1) / F.col("_total")))
+    start = F.coalesce("_start", F.lit(0.0))
+    first = F.when(flat, 0).otherwise(number(start)).cast("long")
+    stop = F.when(last, n - 1).when(flat, -1).otherwise(number(F.col("_at")) - 1).cast("long")
+    legs = along.withColumn("_from", first).withColumn("_to", stop).where((F.col("_from") <= F.col("_to")) & (last | F.col("_p").isNotNull()))
+    placed = legs.withColumn("_i", F.explode(F.sequence("_from", "_to")))
+    target = F.col("_i") * F.col("_total") / (n - 1)
+    share = F.when(F.col("_d") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (target - start) / F.col("_d")))).otherwise(1.0)
+    at = lambda c: F.coalesce(F.col(f"_p.{c}"), F.col(c)) + (F.col(c) - F.coalesce(F.col(f"_p.{c}"), F.col(c))) * share
+    return placed.select(
+        *by, F.col("_i").alias("idx"), F.when(flat, F.col("_i") / (n - 1)).otherwise(at("x")).alias("x"), F.when(flat, 0.0).otherwise(at("y")).alias("y")
     )
 
 
-def abrupt_turns(points: DataFrame, by: Sequence[str], degrees: float = 50, idx: str = "idx") -> DataFrame:
+def abrupt_turns(points: DataFrame, by: Sequence[str], degrees: float = 50, idx: str = "idx", huge: bool | None = None) -> DataFrame:
     """Number of heading changes above ``degrees``; the change is taken the short way round."""
-    moved = ordered_scan(points, by, [idx], frame_chunks(idx), _p=previous(F.struct("x", "y"))).where(F.col("_p").isNotNull())
+    moved = ordered_scan(points, by, [idx], frame_chunks(idx), huge, _p=previous(F.struct("x", "y"))).where(F.col("_p").isNotNull())
     headed = moved.withColumn("_h", F.atan2(F.col("x") - F.col("_p.x"), F.col("y") - F.col("_p.y")))
-    turned = ordered_scan(headed.select(*by, idx, "_h"), by, [idx], frame_chunks(idx), _before=previous(F.col("_h")))
+    turned = ordered_scan(headed.select(*by, idx, "_h"), by, [idx], frame_chunks(idx), huge, _before=previous(F.col("_h")))
     change = F.col("_h") - F.col("_before")
     short = change - 2 * math.pi * F.floor((change + math.pi) / (2 * math.pi))
     return turned.groupBy(*by).agg(F.coalesce(F.sum((F.abs(short) > math.radians(degrees)).cast("long")), F.lit(0)).alias("abrupt_turns"))
 
 
-def monotonic_evidence(keyframes: DataFrame, videos: DataFrame, chunk: Column | None = None) -> DataFrame:
+def monotonic_evidence(keyframes: DataFrame, videos: DataFrame, huge: bool | None = None) -> DataFrame:
     """Does the route fraction never go back along any walk of the mission?"""
     ordered = ordered_scan(
-        keyframes, ["video_id"], ["timestamp_ms", "keyframe_id"], F.floor(F.col("timestamp_ms") / 600_000).cast("long") if chunk is None else chunk,
+        keyframes, ["video_id"], ["timestamp_ms", "keyframe_id"], F.floor(F.col("timestamp_ms") / 600_000).cast("long"), huge,
         _before=previous(F.col("route_fraction")),
     )
     joined = ordered.join(videos.select("video_id", "mission_id", "direction"), "video_id")
@@ -296,7 +303,7 @@ def segment_confidence(fused: DataFrame, quality: DataFrame, lengths: DataFrame,
     )
 
 
-def nearest_evidence(segments: DataFrame, keyframes: DataFrame, mission: str = "mission_id", k: int = 2) -> DataFrame:
+def nearest_evidence(segments: DataFrame, keyframes: DataFrame, mission: str = "mission_id", k: int = 2, huge: bool | None = None) -> DataFrame:
     """The two keyframes nearest to each segment's route fraction.
 
     Equal fractions keep their first two keyframes; then the two distinct fractions
@@ -312,12 +319,12 @@ def nearest_evidence(segments: DataFrame, keyframes: DataFrame, mission: str = "
         .agg(F.sort_array(F.collect_list(F.struct("seq", "keyframe_id", "route_fraction"))).alias("_k"))
     )
     chunk = F.floor(F.col("route_fraction") * 1024).cast("long")
-    linked = ordered_scan(pairs, [mission], ["route_fraction"], chunk, _b=previous(F.col("_k")), _a=following(F.col("_k")))
+    linked = ordered_scan(pairs, [mission], ["route_fraction"], chunk, huge, _b=previous(F.col("_k")), _a=following(F.col("_k")))
     known = linked.select(mission, "route_fraction", F.lit(0).alias("_tag"), F.lit(-1).cast("long").alias("_id"), F.struct("_k", "_b", "_a").alias("_hit"))
     asked = segments.select(mission, F.col("fraction").alias("route_fraction"), F.lit(1).alias("_tag"), F.col("segment").cast("long").alias("_id"))
     stacked = known.unionByName(asked.withColumn("_hit", F.lit(None).cast(known.schema["_hit"].dataType)))
     met = ordered_scan(
-        stacked, [mission], ["route_fraction", "_tag", "_id"], chunk, _l=last_value(F.col("_hit")), _r=next_value(F.col("_hit"))
+        stacked, [mission], ["route_fraction", "_tag", "_id"], chunk, huge, _l=last_value(F.col("_hit")), _r=next_value(F.col("_hit"))
     ).where(F.col("_tag") == 1)
     none = F.array().cast(known.schema["_hit"].dataType["_k"].dataType)
     all_ = F.concat(*[F.coalesce(F.col(c), none) for c in ("_l._k", "_l._b", "_r._k", "_r._a")])

@@ -6,13 +6,14 @@ in ``VIEWS`` for the comparison engine.
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.operators import runs as R
-from fieldspark.operators.ordered import balanced_chunks, ordered_scan, row_index
+from fieldspark.operators.ordered import HUGE_GROUP, balanced_chunks, largest_group, ordered_scan, row_index, whole_min
 
 RASTER = ("video_id", "frame_index")
 WIDTH, HEIGHT = 64, 16
@@ -62,9 +63,10 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").withColumn(
         "ms", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     )
-    begin = events.groupBy("user_id").agg(F.min("ms").alias("_begin"))
-    numbered = ordered_scan(events, ["user_id"], ["ms", "event_id"], balanced_chunks(events, "ms"), frame_index=row_index())
-    return numbered.join(begin, "user_id").select(
+    numbered = ordered_scan(
+        events, ["user_id"], ["ms", "event_id"], lambda t: balanced_chunks(t, "ms"), huge_videos(spark, sf), frame_index=row_index(), _begin=whole_min(F.col("ms"))
+    )
+    return numbered.select(
         F.col("user_id").alias("video_id"),
         "frame_index",
         (F.col("ms") - F.col("_begin")).alias("timestamp_ms"),
@@ -74,6 +76,12 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@functools.lru_cache(maxsize=32)
+def huge_videos(spark: SparkSession, sf: str) -> bool:
+    """Does any video have more rows than one task should order? Measured once per table."""
+    return largest_group(table(spark, sf, "events"), ["user_id"]) > HUGE_GROUP
+
+
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
     """One label record per document; the label table gives its status."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
@@ -123,6 +131,12 @@ def videos(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def walks(spark: SparkSession, sf: str) -> DataFrame:
+    """The walk of each user and its direction."""
+    users = table(spark, sf, "events").select(F.col("user_id").alias("video_id")).distinct()
+    return users.withColumn("direction", F.when(F.col("video_id") % 2 == 0, "A_TO_B").otherwise("B_TO_A"))
+
+
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
     """Error events as off-path intervals."""
     return (
@@ -288,3 +302,13 @@ def sql(body: str, *names: str, **extra: str) -> str:
     parts = [f"{name} AS ({VIEWS[name].strip()})" for name in ordered]
     parts += [f"{name} AS ({text.strip()})" for name, text in extra.items()]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+
+
+def rgb(spark: SparkSession, sf: str) -> DataFrame:
+    """Three 8-bit channels derived from the score image."""
+    channel = lambda f: F.abs(F.floor(F.col("s") * f)) % 256
+    return pix(spark, sf).select(*RASTER, "y", "x", channel(1000).alias("b"), channel(1700).alias("g"), channel(2900).alias("r"))
+
+
+VIEWS["rgb"] = """SELECT video_id, frame_index, y, x, CAST(abs(floor(s * 1000)) % 256 AS DOUBLE) AS b, CAST(abs(floor(s * 1700)) % 256 AS DOUBLE) AS g, CAST(abs(floor(s * 2900)) % 256 AS DOUBLE) AS r FROM pix"""
+NEEDS["rgb"] = ["pix"]

@@ -29,7 +29,7 @@ LEGS = """SELECT video_id, idx, lat0, lng0, lat AS lat1, lng AS lng1, length, su
 
 @query("w1_route_length", sql("SELECT video_id, round_even(sum(length), 3) AS length_m, count(*) + 1 AS points FROM legs GROUP BY video_id", "frames", route=ROUTE, legs=LEGS))
 def w1(spark, sf):
-    return W.route_length(route(spark, sf), ["video_id"]).withColumn("length_m", F.bround("length_m", 3))
+    return W.route_length(route(spark, sf), ["video_id"], huge=B.huge_videos(spark, sf)).withColumn("length_m", F.bround("length_m", 3))
 
 
 @query(
@@ -46,7 +46,7 @@ def w1(spark, sf):
 )
 def w1_locate(spark, sf):
     asked = B.frames(spark, sf).select("video_id", "event_id", (F.col("value") / 500).alias("fraction"))
-    found = W.locate_on_route(asked, route(spark, sf), ["video_id"], "fraction", "event_id")
+    found = W.locate_on_route(asked, route(spark, sf), ["video_id"], "fraction", "event_id", huge=B.huge_videos(spark, sf))
     return found.select("video_id", "event_id", F.bround("lat", 6).alias("lat"), F.bround("lng", 6).alias("lng"), "segment_index")
 
 
@@ -85,8 +85,8 @@ WALK = {
 
 
 def walk(spark, sf):
-    directions = B.videos(spark, sf).select("video_id", "direction")
-    return W.integrate_motion(pairs(spark, sf), directions).withColumn("mission_id", F.expr("video_id div 4"))
+    directions = B.walks(spark, sf)
+    return W.integrate_motion(pairs(spark, sf), directions, huge=B.huge_videos(spark, sf)).withColumn("mission_id", F.expr("video_id div 4"))
 
 
 @query("w12_integrate_motion", sql("SELECT video_id, idx, round_even(x, 6) + 0.0 AS x, round_even(y, 6) + 0.0 AS y FROM walk", "frames", **WALK))
@@ -100,7 +100,7 @@ QUALITY = """SELECT video_id, mission_id, count(*) FILTER (matches >= 12 AND flo
 
 @query("a33_traversal_quality", sql("SELECT video_id, round_even(tracked_fraction, 6) AS tracked_fraction, round_even(mean_pair_quality, 6) AS mean_pair_quality, median_matches, median_inliers FROM q", "frames", pairs=PAIRS, q=QUALITY))
 def a33(spark, sf):
-    q = W.traversal_quality(pairs(spark, sf))
+    q = W.traversal_quality(pairs(spark, sf), huge=B.huge_videos(spark, sf))
     return q.select("video_id", F.bround("tracked_fraction", 6).alias("tracked_fraction"), F.bround("mean_pair_quality", 6).alias("mean_pair_quality"), "median_matches", "median_inliers")
 
 
@@ -115,7 +115,7 @@ def a33(spark, sf):
     ),
 )
 def a33_mission(spark, sf):
-    q = W.traversal_quality(pairs(spark, sf)).withColumn("mission_id", F.expr("video_id div 4"))
+    q = W.traversal_quality(pairs(spark, sf), huge=B.huge_videos(spark, sf)).withColumn("mission_id", F.expr("video_id div 4"))
     return W.mission_quality(q).withColumn("mean_pair_quality", F.bround("mean_pair_quality", 6))
 
 
@@ -129,8 +129,8 @@ ANCHOR = WALK | {
 
 
 def anchored(spark, sf):
-    lengths = B.videos(spark, sf).select("video_id", (100.0 + F.expr("video_id div 4")).alias("target_length"))
-    return W.anchor(walk(spark, sf).drop("mission_id"), lengths).withColumn("mission_id", F.expr("video_id div 4"))
+    lengths = B.walks(spark, sf).select("video_id", (100.0 + F.expr("video_id div 4")).alias("target_length"))
+    return W.anchor(walk(spark, sf).drop("mission_id"), lengths, huge=B.huge_videos(spark, sf)).withColumn("mission_id", F.expr("video_id div 4"))
 
 
 GEO = """lat AS lat, lng AS lng FROM (SELECT *, 48 + m / 1000.0 AS slat, 8.0 AS slng, 48.01 + m / 1000.0 AS elat, 8.02 AS elng FROM src)"""
@@ -138,7 +138,7 @@ GEO = """lat AS lat, lng AS lng FROM (SELECT *, 48 + m / 1000.0 AS slat, 8.0 AS
 
 def missions(spark, sf):
     m = F.expr("video_id div 4")
-    return B.videos(spark, sf).select(m.alias("mission_id")).distinct().select(
+    return B.walks(spark, sf).select(m.alias("mission_id")).distinct().select(
         "mission_id", (48.0 + F.col("mission_id") / F.lit(1000.0)).alias("start_lat"), F.lit(8.0).alias("start_lng"),
         (48.01 + F.col("mission_id") / F.lit(1000.0)).alias("end_lat"), F.lit(8.02).alias("end_lng"),
     )
@@ -161,16 +161,16 @@ def m17(spark, sf):
 
 
 RESAMPLED = ANCHOR | {
-    "along": """SELECT *, sum(d) OVER (PARTITION BY video_id ORDER BY idx) AS at FROM (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM anchored WINDOW w AS (PARTITION BY video_id ORDER BY idx))""",
-    "targets": "SELECT video_id, mission_id, unnest(range(64)) AS i, total * unnest(range(64)) / 63 AS at FROM (SELECT video_id, mission_id, max(at) AS total FROM along GROUP BY ALL)",
-    "knots": "SELECT *, lead(at) OVER w AS at2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM along WINDOW w AS (PARTITION BY video_id ORDER BY idx)",
-    "lines": """SELECT t.video_id, t.mission_id, t.i AS idx, k.x + coalesce((k.x2 - k.x) * CASE WHEN k.at2 > k.at THEN (t.at - k.at) / (k.at2 - k.at) ELSE 0 END, 0) AS x,
-        k.y + coalesce((k.y2 - k.y) * CASE WHEN k.at2 > k.at THEN (t.at - k.at) / (k.at2 - k.at) ELSE 0 END, 0) AS y FROM targets t ASOF JOIN (SELECT * FROM knots WHERE at2 > at OR at2 IS NULL) k ON t.video_id = k.video_id AND t.at >= k.at""",
+    "along": """SELECT *, sum(d) OVER (PARTITION BY video_id ORDER BY idx) AS pos FROM (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM anchored WINDOW w AS (PARTITION BY video_id ORDER BY idx))""",
+    "targets": "SELECT video_id, mission_id, unnest(range(64)) AS i, total * unnest(range(64)) / 63 AS pos FROM (SELECT video_id, mission_id, max(pos) AS total FROM along GROUP BY ALL)",
+    "knots": "SELECT *, lead(pos) OVER w AS at2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM along WINDOW w AS (PARTITION BY video_id ORDER BY idx)",
+    "lines": """SELECT t.video_id, t.mission_id, t.i AS idx, k.x + coalesce((k.x2 - k.x) * CASE WHEN k.at2 > k.pos THEN (t.pos - k.pos) / (k.at2 - k.pos) ELSE 0 END, 0) AS x,
+        k.y + coalesce((k.y2 - k.y) * CASE WHEN k.at2 > k.pos THEN (t.pos - k.pos) / (k.at2 - k.pos) ELSE 0 END, 0) AS y FROM targets t ASOF JOIN (SELECT * FROM knots WHERE at2 > pos OR at2 IS NULL) k ON t.video_id = k.video_id AND t.pos >= k.pos""",
 }
 
 
 def lines(spark, sf):
-    return W.resample(anchored(spark, sf), ["video_id"]).withColumn("mission_id", F.expr("video_id div 4"))
+    return W.resample(anchored(spark, sf), ["video_id"], huge=B.huge_videos(spark, sf)).withColumn("mission_id", F.expr("video_id div 4"))
 
 
 @query("w13_resample", sql("SELECT video_id, idx, round_even(x, 4) + 0.0 AS x, round_even(y, 4) + 0.0 AS y FROM lines", "frames", **RESAMPLED))
@@ -205,7 +205,7 @@ def a25(spark, sf):
 )
 def w14(spark, sf):
     points = route(spark, sf).select("video_id", "idx", F.col("lat").alias("x"), F.col("lng").alias("y"))
-    return W.abrupt_turns(points, ["video_id"])
+    return W.abrupt_turns(points, ["video_id"], huge=B.huge_videos(spark, sf))
 
 
 @query(
@@ -222,7 +222,7 @@ def w15(spark, sf):
     fraction = F.when(v % 2 == 0, i).when(F.expr("video_id div 4") % 3 == 0, 1000 - i).otherwise(i) / F.lit(1000.0)
     keyframes = B.frames(spark, sf).select("video_id", "timestamp_ms", F.col("event_id").alias("keyframe_id"), fraction.alias("route_fraction"))
     videos = B.videos(spark, sf).withColumn("mission_id", F.expr("video_id div 4"))
-    return W.monotonic_evidence(keyframes, videos)
+    return W.monotonic_evidence(keyframes, videos, huge=B.huge_videos(spark, sf))
 
 
 @query(
@@ -259,7 +259,7 @@ def a34(spark, sf):
     ),
 )
 def m16(spark, sf):
-    quality = W.traversal_quality(pairs(spark, sf)).withColumn("mission_id", F.expr("video_id div 4"))
+    quality = W.traversal_quality(pairs(spark, sf), huge=B.huge_videos(spark, sf)).withColumn("mission_id", F.expr("video_id div 4"))
     lengths = missions(spark, sf).select("mission_id", (100.0 + F.col("mission_id")).alias("target_length"))
     return W.segment_confidence(fused(spark, sf), W.mission_quality(quality), lengths)
 
@@ -278,12 +278,12 @@ def j13(spark, sf):
         F.expr("video_id div 4").alias("mission_id"), F.col("event_id").alias("keyframe_id"), F.col("event_id").alias("seq"), F.bround(F.col("value") / 500, 2).alias("route_fraction")
     )
     segments = missions(spark, sf).select("mission_id", F.explode(F.expr("sequence(0L, 62L)")).alias("segment")).withColumn("fraction", (F.col("segment") + 0.5) / 63)
-    return W.nearest_evidence(segments, keyframes)
+    return W.nearest_evidence(segments, keyframes, huge=B.huge_videos(spark, sf))
 
 
 CORRIDOR_ROWS = {
     "lanes": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b}, {c!r}::DOUBLE, {need})" for n, a, b, c, need in C.strips(WIDTH, HEIGHT, 1.2, 0.1, 4.0)) + ") t(corridor, a, b, clip, need)",
-    "rows_": """SELECT g.video_id, g.frame_index, l.corridor, g.y, l.clip, l.need, max(CASE WHEN least(f.x1, l.b) > greatest(f.x0, l.a) THEN {'len': least(f.x1, l.b) - greatest(f.x0, l.a), 'neg': -greatest(f.x0, l.a)} END) AS f
+    "rows_": """SELECT g.video_id, g.frame_index, l.corridor, g.y, l.clip, l.need, max(CASE WHEN f.x0 IS NOT NULL AND least(f.x1, l.b) > greatest(f.x0, l.a) THEN {'len': least(f.x1, l.b) - greatest(f.x0, l.a), 'neg': -greatest(f.x0, l.a)} END) AS f
         FROM (SELECT DISTINCT video_id, frame_index, y FROM grid WHERE y >= 7) g CROSS JOIN lanes l LEFT JOIN free f ON f.video_id = g.video_id AND f.frame_index = g.frame_index AND f.y = g.y GROUP BY ALL""",
     "states": """SELECT *, CASE WHEN clip > 0.2 THEN 'uncertain' WHEN f.len >= need THEN 'free' ELSE 'blocked' END AS st FROM rows_""",
     "corr": """SELECT video_id, frame_index, corridor, count(*) AS evaluated, count(*) FILTER (st = 'free') AS free, count(*) FILTER (st = 'uncertain') AS uncertain, count(*) FILTER (st = 'blocked') AS blocked, 0 AS undecided,
