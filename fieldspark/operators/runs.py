@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldspark.session import cut_lineage
+
 KEY = ("mission_id", "video_id", "frame_index")
 
 
@@ -582,7 +584,8 @@ def components(runs: DataFrame, connectivity: int = 8, key: Sequence[str] = KEY)
 
 def seed_component(runs: DataFrame, seed: DataFrame, width: int, key: Sequence[str] = KEY) -> DataFrame:
     """Of the components touching the seed the one with the best area + 24·overlap − centre penalty."""
-    labelled = components(runs, 8, key)
+    # Read three times below (shape, overlap, result): written once to the shared folder.
+    labelled = cut_lineage(components(runs, 8, key).repartition(*key))
     length = (F.col("x1") - F.col("x0")).cast("long")
     shape = labelled.groupBy(*key, "component").agg(
         F.sum(length).alias("area"), F.sum(length * (F.col("x0") + F.col("x1") - 1) / 2.0).alias("_mx")
@@ -641,7 +644,7 @@ def refine_region(clicks: DataFrame, comparison: DataFrame, width: int, height:
     cell = lambda c, n: _int(F.least(F.lit(n - 1), F.greatest(F.lit(0), F.rint(F.col(c) * (n - 1)))))
     placed = clicks.withColumn("y", cell("py", height)).withColumn("_x", cell("px", width)).withColumn("value", wanted)
     errors = comparison.where(F.col("value").isin(2, 3))
-    labelled = components(errors, 8, [*key, "value"])
+    labelled = cut_lineage(components(errors, 8, [*key, "value"]))
     hits = (
         placed.join(labelled, [*key, "value", "y"])
         .where((F.col("x0") <= F.col("_x")) & (F.col("_x") < F.col("x1")))

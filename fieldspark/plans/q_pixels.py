@@ -11,6 +11,7 @@ from fieldspark.operators import terrain as T
 from fieldspark.plans import bindings as B
 from fieldspark.plans.bindings import HEIGHT, RASTER, WIDTH, sql
 from fieldspark.plans.catalog import query
+from fieldspark.session import cut_lineage
 from fieldspark.plans.q_masks import COMPONENTS, clean_sql, runs_sql, window_sql
 
 L8, A8, B8 = colour.lab()
@@ -202,7 +203,7 @@ GROUND = PROTO | {
 
 
 def grounded(spark, sf):
-    px = flagged(spark, sf)
+    px = cut_lineage(flagged(spark, sf))
     return T.ground_score(px, X.prototype_colours(px, HEIGHT, 30, RASTER), X.gradient_percentiles(px, key=RASTER), RASTER)
 
 
@@ -360,7 +361,7 @@ FACTOR = """SELECT *, value / 100 AS mr, (event_id % 40) / 100.0::DOUBLE AS ob,
 @query(
     "a31_frame_factors",
     sql(
-        """SELECT event_id, free_width_score, obstacle_clearance_score, connectivity_score, overall_class, round_even(least(1, greatest(0, (gc + vi + connectivity_score + obstacle_clearance_score) / 4)), 3) AS overall_confidence, temporal_stability_score FROM (
+        """SELECT event_id, free_width_score, obstacle_clearance_score, connectivity_score, overall_class, CAST(round_even(CAST(CAST(least(1, greatest(0, (gc + vi + connectivity_score + obstacle_clearance_score) / 4)) AS VARCHAR) AS DECIMAL(30, 20)), 3) AS DOUBLE) AS overall_confidence, temporal_stability_score FROM (
         SELECT *, round_even(least(1, mr / 1.15), 3) AS free_width_score, round_even(greatest(0, 1 - ob * 3.0), 3) AS obstacle_clearance_score, round_even(CASE WHEN event_id % 5 > 0 THEN co ELSE 0 END, 3) AS connectivity_score,
           round_even(least(1, greatest(0, 1 - (event_id % 7) / 5.12::DOUBLE)), 3) AS temporal_stability_score,
           CASE WHEN st = 'available' THEN 'likely_traversable' WHEN st = 'uncertain' OR li >= 0.035 THEN 'limited' WHEN ob >= 0.08 THEN 'not_traversable' ELSE 'unknown' END AS overall_class FROM x)""",
