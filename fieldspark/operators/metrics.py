@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.operators import runs as R
 from fieldspark.operators.ordered import exact_quantiles
@@ -149,36 +152,54 @@ def threshold_candidates(
     return found.distinct()
 
 
-def threshold_table(
-    scores: DataFrame,
-    truth: DataFrame,
-    candidates: DataFrame,
-    width: int,
-    height: int,
-    clean: bool = True,
-    key: Sequence[str] = R.KEY,
+def cleaned_counts(
+    labelled: DataFrame, thresholds: Sequence[float], width: int, height: int, clean: bool = True, key: Sequence[str] = R.KEY
 ) -> DataFrame:
-    """Metrics of every candidate threshold.
+    """Confusion counts per frame and threshold of the cleaned masks.
 
-    The candidate list (at most 33 numbers) is attached to each pixel as an array,
-    so one pass encodes all masks; the candidate joins the raster key.
+    ``labelled(key…, y, x, score, label)``. The scores of a frame are shuffled once; all
+    thresholds are tried on its raster inside the task, instead of multiplying pixels by
+    candidates before the shuffle.
     """
-    listed = candidates.agg(F.sort_array(F.collect_set("t")).alias("_ts"))
-    wide = [*key, "t"]
-    hits = F.filter("_ts", lambda t: F.col("score") >= t)
-    marked = scores.crossJoin(F.broadcast(listed)).select(*key, "y", "x", F.explode(hits).alias("t")).withColumn("value", F.lit(1))
-    masks = R.encode_runs(marked, "value", wide)
-    if clean:
-        masks = R.clean_mask(masks, width, height, wide)
-    sized = (
-        scores.select(*key)
-        .distinct()
-        .crossJoin(F.broadcast(candidates))
-        .withColumn("width", F.lit(width))
-        .withColumn("height", F.lit(height))
+    names, cuts = list(key), [float(t) for t in thresholds]
+    slim = labelled.select(*key, "y", "x", "score", F.col("label").cast("int").alias("label"))
+    counts = ("tp", "tn", "fp", "fn")
+    schema = T.StructType(
+        [*[f for f in slim.schema.fields if f.name in key], T.StructField("t", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in counts]]
     )
-    repeated = truth.crossJoin(F.broadcast(candidates))
-    return symmetric_metrics(confusion_counts(repeated, masks, sized, wide, ["t"]))
+
+    def run(frame: pa.Table) -> pa.Table:
+        y, x = frame.column("y").to_numpy(), frame.column("x").to_numpy()
+        scores = np.full((height, width), -np.inf)
+        truth = np.zeros((height, width), bool)
+        scores[y, x] = frame.column("score").to_numpy()
+        truth[y, x] = frame.column("label").to_numpy() == 1
+        rows = []
+        for t in cuts:
+            mask = scores >= t
+            mask = R.dense_clean(mask) if clean else mask
+            tp, fp = int((truth & mask).sum()), int((~truth & mask).sum())
+            fn = int(truth.sum()) - tp
+            rows.append((tp, truth.size - tp - fp - fn, fp, fn))
+        head = [pa.array([frame.column(n)[0].as_py()] * len(cuts), frame.schema.field(n).type) for n in names]
+        return pa.Table.from_arrays([*head, pa.array(cuts), *[pa.array(list(c), pa.int64()) for c in zip(*rows)]], names=[*names, "t", *counts])
+
+    return slim.groupBy(*key).applyInArrow(run, schema)
+
+
+def threshold_table(
+    scores: DataFrame, truth: DataFrame | None, candidates: DataFrame, width: int, height: int, clean: bool = True, key: Sequence[str] = R.KEY
+) -> DataFrame:
+    """Total metrics of every candidate threshold (at most 33 numbers, held by the driver).
+
+    ``truth`` may be None when the scores already carry ``label``.
+    """
+    from fieldspark.operators.pixels import flag_pixels
+
+    cuts = sorted(r["t"] for r in candidates.collect())
+    labelled = scores if truth is None else flag_pixels(scores, truth, "label", key)
+    totals = cleaned_counts(labelled, cuts, width, height, clean, key).groupBy("t").agg(*[F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")])
+    return symmetric_metrics(totals)
 
 
 def choose_threshold(table: DataFrame) -> DataFrame:

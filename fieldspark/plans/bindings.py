@@ -292,6 +292,11 @@ NEEDS = {
 }
 
 
+def even(value: str, digits: int) -> str:
+    """Half-even rounding of the printed decimal, which is what Spark's bround rounds."""
+    return f"CAST(round_even(CAST(CAST({value} AS VARCHAR) AS DECIMAL(30, 20)), {digits}) AS DOUBLE)"
+
+
 def sql(body: str, *names: str, **extra: str) -> str:
     """A complete statement: the named views (and what they need), extra views, then the body."""
     ordered: list[str] = []

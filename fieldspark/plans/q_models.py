@@ -94,7 +94,7 @@ def a22(spark, sf):
 
 def threshold_rows(spark, sf):
     scores = B.pix(spark, sf).withColumnRenamed("s", "score")
-    candidates = cut_lineage(M.threshold_candidates(scores))
+    candidates = M.threshold_candidates(scores)
     return M.threshold_table(scores, B.mask_t(spark, sf), candidates, WIDTH, HEIGHT, key=RASTER)
 
 
@@ -228,24 +228,23 @@ def a15(spark, sf):
 def path_inputs(spark, sf):
     """Features with labels, truth runs and split, materialised once for several fits."""
     features = X.pixel_features(B.rgb(spark, sf), WIDTH, HEIGHT, key=RASTER)
-    truth = cut_lineage(B.mask_t(spark, sf))
-    labelled = T.label_features(features, truth, RASTER).withColumn("mission_id", F.col("video_id") % 2)
+    labelled = T.label_features(features, B.mask_t(spark, sf), RASTER).withColumn("mission_id", F.col("video_id") % 2)
     labelled = cut_lineage(labelled.repartition(*RASTER))
     parts = cut_lineage(L.frame_split(labelled.select(*RASTER, "mission_id").distinct(), ["video_id"], huge=False))
-    return labelled, truth, parts
+    return labelled, parts
 
 
 @query("m3_fit_rff_ridge")
 def m3(spark, sf):
-    labelled, _, _ = path_inputs(spark, sf)
+    labelled, _ = path_inputs(spark, sf)
     model = N.fit_rff_ridge(N.balanced_sample(labelled, "label", key=RASTER), "label", 22, 64)
     return spark.createDataFrame([(n, i, j, round(v, 6)) for n, i, j, v in model.rows() if n in ("mean", "scale", "weights")], "name string, i int, j int, value double")
 
 
 @query("m6_train_path_model")
 def m6(spark, sf):
-    labelled, truth, parts = path_inputs(spark, sf)
-    run = T.train_path_model(labelled.drop("mission_id"), truth, parts, WIDTH, HEIGHT, scope="global", key=RASTER)
+    labelled, parts = path_inputs(spark, sf)
+    run = T.train_path_model(labelled.drop("mission_id"), parts, WIDTH, HEIGHT, scope="global", key=RASTER)
     columns = ("tp", "tn", "fp", "fn", "symmetric_score", "iou", "precision", "recall")
     rows = [(part, *[m[c] for c in columns]) for part, m in (("validation", run.validation_metrics), ("train", run.train_metrics))]
     return spark.createDataFrame(rows, "part string, tp long, tn long, fp long, fn long, symmetric_score double, iou double, precision double, recall double")
@@ -253,16 +252,16 @@ def m6(spark, sf):
 
 @query("m7_cross_mission_matrix")
 def m7(spark, sf):
-    labelled, truth, _ = path_inputs(spark, sf)
-    rows = T.cross_mission_matrix(labelled, truth, 0, 1, WIDTH, HEIGHT, key=RASTER)
+    labelled, _ = path_inputs(spark, sf)
+    rows = T.cross_mission_matrix(labelled, 0, 1, WIDTH, HEIGHT, key=RASTER)
     return spark.createDataFrame([tuple(r[c] for c in ("key", "train_mission", "eval_mission", "feature_count", "eval_frames", "iou", "precision", "recall")) for r in rows],
                                  "key string, train_mission string, eval_mission string, feature_count int, eval_frames long, iou double, precision double, recall double")
 
 
 @query("m8_sweep")
 def m8(spark, sf):
-    labelled, truth, parts = path_inputs(spark, sf)
-    one = (labelled.drop("mission_id"), truth, parts, WIDTH, HEIGHT)
+    labelled, parts = path_inputs(spark, sf)
+    one = (labelled.drop("mission_id"), parts, WIDTH, HEIGHT)
     rows, best = T.sweep({w: one for w in T.SWEEP["width"]}, T.sweep_configurations(3), key=RASTER)
     return spark.createDataFrame([(r["candidate"], r["random_features"], r["seed"], r["symmetric_score"], r["candidate"] == best["candidate"]) for r in rows],
                                  "candidate int, random_features int, seed int, symmetric_score double, best boolean")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldspark.operators import survey as S
 from fieldspark.operators import tracking as K
 from fieldspark.plans import bindings as B
-from fieldspark.plans.bindings import RASTER, sql, table
+from fieldspark.plans.bindings import RASTER, even, sql
 from fieldspark.plans.catalog import query
 
 IOU = """greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / greatest(1e-9, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
@@ -53,7 +53,7 @@ TRACKED = """SELECT *, video_id || '-' || class_id || '-' || (detection_id % 5)
 SUMMARY = """SELECT video_id, track_id, class_id, min(timestamp_ms) AS first_timestamp_ms, max(timestamp_ms) AS last_timestamp_ms, count(*) AS observation_count, round_even(max(confidence), 3) AS max_confidence,
     max({'c': confidence, 't': timestamp_ms, 'd': detection_id}).d AS representative_detection_id,
     CASE WHEN class_id IN ('tree', 'shrub') THEN CASE WHEN count(*) >= 3 THEN 'confirmed' ELSE 'tentative' END WHEN class_id = 'vegetation_cluster' THEN 'cluster' ELSE 'uncertain' END AS instance_status,
-    class_id IN ('tree', 'shrub') AND count(*) >= 3 AS countable FROM td GROUP BY ALL"""
+    class_id IN ('tree', 'shrub') AND count(*) >= 3 AS countable FROM td GROUP BY video_id, track_id, class_id"""
 
 
 def grouped(spark, sf):
@@ -172,9 +172,9 @@ def m14(spark, sf):
 
 
 RATED = """SELECT video_id, video_id // 4 AS mission_id, keyframe_id, seq, b.event_id % 12 AS segment_index, (b.event_id % 97) / 200.0::DOUBLE AS vr, (b.event_id % 89) / 300.0::DOUBLE AS gr, (b.event_id % 83) / 250.0::DOUBLE AS er, b.sharpness AS sharpness FROM kf"""
-OBS = """SELECT mission_id, video_id, keyframe_id, seq, segment_index, 'vegetation' AS category, round_even(least(0.88, 0.42 + vr), 2) AS confidence FROM rated WHERE vr >= 0.12
+OBS = f"""SELECT mission_id, video_id, keyframe_id, seq, segment_index, 'vegetation' AS category, {even('least(0.88, 0.42::DOUBLE + vr)', 2)} AS confidence FROM rated WHERE vr >= 0.12
     UNION ALL SELECT mission_id, video_id, keyframe_id, seq, segment_index, 'tree_species', 0.1 FROM rated WHERE vr >= 0.12
-    UNION ALL SELECT mission_id, video_id, keyframe_id, seq, segment_index, 'ground', round_even(least(0.76, 0.35 + gr), 2) FROM rated WHERE gr >= 0.12
+    UNION ALL SELECT mission_id, video_id, keyframe_id, seq, segment_index, 'ground', {even('least(0.76, 0.35::DOUBLE + gr)', 2)} FROM rated WHERE gr >= 0.12
     UNION ALL SELECT mission_id, video_id, keyframe_id, seq, segment_index, 'obstacle_candidate', 0.3 FROM rated WHERE er >= 0.16"""
 MERGED = """SELECT mission_id, category, segment_index, max(confidence) AS confidence, count(*) AS raw_detection_count, min({'c': -confidence, 'v': video_id, 's': seq, 'k': keyframe_id}).k AS representative,
     (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT unnest(list(o.video_id)) AS v)) AS source_videos, array_to_string(list(keyframe_id ORDER BY video_id, seq)[1:4], ',') AS evidence FROM obs o GROUP BY mission_id, category, segment_index"""
@@ -209,7 +209,7 @@ def a9(spark, sf):
     sql(
         """SELECT mission_id, t.topic, CASE t.topic WHEN 'vegetation' THEN CASE WHEN bool_or(category = 'vegetation') THEN 'observed' ELSE 'not_observed' END WHEN 'ground' THEN CASE WHEN bool_or(category = 'ground') THEN 'candidate_observed' ELSE 'not_observed' END
           WHEN 'obstacles' THEN CASE WHEN bool_or(category = 'obstacle_candidate') THEN 'manual_review_candidates' ELSE 'none_detected' END WHEN 'tree_species' THEN 'unclear' WHEN 'drivability' THEN 'manual_review_required' ELSE 'not_reliably_assessed' END AS status
-        FROM merged, (VALUES ('vegetation'), ('tree_species'), ('shrub_groups'), ('regeneration'), ('ground'), ('obstacles'), ('drivability')) t(topic) GROUP BY ALL""",
+        FROM merged, (VALUES ('vegetation'), ('tree_species'), ('shrub_groups'), ('regeneration'), ('ground'), ('obstacles'), ('drivability')) t(topic) GROUP BY mission_id, t.topic""",
         "frames",
         **SURVEY2,
     ),
@@ -237,7 +237,7 @@ def a11(spark, sf):
 
 
 CONFIGS = " UNION ALL ".join(
-    f"SELECT mission_id, {i} AS position, '{name}' AS name, count(*) AS keyframes, round_even(avg(value), 2) AS mean_sharpness FROM (SELECT video_id // 4 AS mission_id, value FROM frames WHERE frame_index % {4 - i} = 0) GROUP BY ALL"
+    f"SELECT mission_id, {i} AS position, '{name}' AS name, count(*) AS keyframes, {even('avg(value)', 2)} AS mean_sharpness FROM (SELECT video_id // 4 AS mission_id, value FROM frames WHERE frame_index % {4 - i} = 0) GROUP BY ALL"
     for i, (name, *_rest) in enumerate(S.CONFIGURATIONS)
 )
 
