@@ -34,4 +34,4 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
     return QUERIES, SQL
 
 
-MODULES = ["q_masks", "q_rules", "q_labels", "q_routes", "q_pixels", "q_models", "q_tracks"]
+MODULES = ["q_masks", "q_rules", "q_labels", "q_routes", "q_pixels", "q_models", "q_tracks", "q_files"]

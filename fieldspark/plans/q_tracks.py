@@ -237,7 +237,7 @@ def a11(spark, sf):
 
 
 CONFIGS = " UNION ALL ".join(
-    f"SELECT mission_id, {i} AS position, '{name}' AS name, count(*) AS keyframes, {even('avg(value)', 2)} AS mean_sharpness FROM (SELECT video_id // 4 AS mission_id, value FROM frames WHERE frame_index % {4 - i} = 0) GROUP BY ALL"
+    f"SELECT mission_id, {i} AS position, '{name}' AS name, count(*) AS keyframes, {even('sum(CAST(round(value * 100) AS BIGINT)) / 100 / count(*)', 2)} AS mean_sharpness FROM (SELECT video_id // 4 AS mission_id, value FROM frames WHERE frame_index % {4 - i} = 0) GROUP BY ALL"
     for i, (name, *_rest) in enumerate(S.CONFIGURATIONS)
 )
 
@@ -257,7 +257,7 @@ def m15(spark, sf):
     f = B.frames(spark, sf).withColumn("mission_id", F.expr("video_id div 4"))
     runs = None
     for i, (name, *_rest) in enumerate(S.CONFIGURATIONS):
-        part = f.where(F.col("frame_index") % (4 - i) == 0).groupBy("mission_id").agg(F.count(F.lit(1)).alias("keyframes"), F.bround(F.avg("value"), 2).alias("mean_sharpness"))
+        part = f.where(F.col("frame_index") % (4 - i) == 0).groupBy("mission_id").agg(F.count(F.lit(1)).alias("keyframes"), F.bround(F.sum(F.rint(F.col("value") * 100).cast("long")) / 100 / F.count(F.lit(1)), 2).alias("mean_sharpness"))
         part = part.select("mission_id", F.lit(i).alias("position"), F.lit(name).alias("name"), "keyframes", "mean_sharpness")
         runs = part if runs is None else runs.unionByName(part)
     return S.compare_configs(runs, ["mission_id"])
