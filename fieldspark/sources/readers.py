@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldspark import schemas
 
@@ -17,14 +16,16 @@ SUGGESTED_TOP, SUGGESTED_BOTTOM = 0.2, 0.1
 CORRUPT = "_corrupt_record"
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType, lines: bool) -> DataFrame:
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+def _json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    full = f"{schema}, {CORRUPT} string"
     return spark.read.schema(full).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
-def _split(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    bad = raw.where(F.col(CORRUPT).isNotNull()).select(F.input_file_name().alias("path"), *raw.columns)
-    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT), bad.select("path", CORRUPT)
+def _split(raw: DataFrame, required: str) -> tuple[DataFrame, DataFrame]:
+    """Parsed documents and the rest. Testing the required field as well keeps both tests in every pruned read."""
+    unreadable = F.col(CORRUPT).isNotNull() | F.col(required).isNull()
+    bad = raw.where(unreadable).select(F.input_file_name().alias("path"), CORRUPT)
+    return raw.where(~unreadable).drop(CORRUPT), bad
 
 
 def points(column: Column) -> Column:
@@ -50,7 +51,7 @@ def _polygons(column: str) -> Column:
 
 def read_missions(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Missions, newest first, and unreadable documents."""
-    good, bad = _split(_json(spark, path if lines else f"{path}/*/mission.json", schemas.MISSION, lines))
+    good, bad = _split(_json(spark, path if lines else f"{path}/*/mission.json", schemas.MISSION, lines), "id")
     filled = good.withColumn("notes", F.coalesce("notes", F.lit(""))).withColumn("pauses", F.coalesce("pauses", F.array()))
     return filled.orderBy(F.col("created_at").desc(), "id"), bad
 
@@ -65,7 +66,7 @@ def mission_videos(missions: DataFrame) -> DataFrame:
 def read_annotations(spark: SparkSession, path: str, video_id: str | None = None, geometry: bool = False, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Frame labels by video and frame. Geometry columns are only parsed when asked for."""
     source = path if lines else f"{path}/{video_id or '*'}/*.json"
-    good, bad = _split(_json(spark, source, schemas.ANNOTATION, lines))
+    good, bad = _split(_json(spark, source, schemas.ANNOTATION, lines), "video_id")
     if video_id is not None:
         good = good.where(F.col("video_id") == video_id)
     required = good.where(F.col("video_id").isNotNull() & F.col("frame_index").isNotNull() & F.col("status").isNotNull())
@@ -78,7 +79,7 @@ def read_annotations(spark: SparkSession, path: str, video_id: str | None = None
 
 def read_refinements(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Corrections, one row each, in their stored order (``pos``)."""
-    good, _ = _split(_json(spark, path if lines else f"{path}/*/*.json", schemas.REFINEMENT, lines))
+    good, _ = _split(_json(spark, path if lines else f"{path}/*/*.json", schemas.REFINEMENT, lines), "video_id")
     return good.select("mission_id", "video_id", "frame_index", F.posexplode("items").alias("pos", "item")).select(
         "mission_id", "video_id", "frame_index", "pos", "item.id", "item.kind", "item.action", "item.correct_value", "item.pixel_count",
         F.col("item.region_mask.width").alias("width"), F.col("item.region_mask.height").alias("height"), F.col("item.region_mask.rle").alias("rle"),
@@ -86,7 +87,7 @@ def read_refinements(spark: SparkSession, path: str, lines: bool = False) -> Dat
 
 
 def read_critical_flags(spark: SparkSession, path: str, video_id: str | None = None, lines: bool = False) -> DataFrame:
-    good, _ = _split(_json(spark, path if lines else f"{path}/{video_id or '*'}/*.json", schemas.CRITICAL_FLAG, lines))
+    good, _ = _split(_json(spark, path if lines else f"{path}/{video_id or '*'}/*.json", schemas.CRITICAL_FLAG, lines), "video_id")
     if video_id is not None:
         good = good.where(F.col("video_id") == video_id)
     return good.withColumn("note", F.coalesce("note", F.lit("")))
@@ -94,13 +95,13 @@ def read_critical_flags(spark: SparkSession, path: str, video_id: str | None = N
 
 def read_off_path_intervals(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Interval lists: every element of a top-level array is a row."""
-    good, _ = _split(_json(spark, path if lines else f"{path}/*.json", schemas.OFF_PATH_INTERVAL, lines))
+    good, _ = _split(_json(spark, path if lines else f"{path}/*.json", schemas.OFF_PATH_INTERVAL, lines), "video_id")
     return good
 
 
 def read_trajectories(spark: SparkSession, path: str, video_id: str | None = None, lines: bool = False) -> DataFrame:
     """Planned lines; a file is a list or, in the old form, one object without id."""
-    good, _ = _split(_json(spark, path if lines else f"{path}/{video_id or '*'}/*.json", schemas.TRAJECTORY, lines))
+    good, _ = _split(_json(spark, path if lines else f"{path}/{video_id or '*'}/*.json", schemas.TRAJECTORY, lines), "video_id")
     if video_id is not None:
         good = good.where(F.col("video_id") == video_id)
     return good.withColumn("id", F.coalesce("id", F.lit("legacy"))).withColumn("points", points(F.col("points")))
@@ -108,7 +109,7 @@ def read_trajectories(spark: SparkSession, path: str, video_id: str | None = Non
 
 def read_roi_profiles(spark: SparkSession, path: str, videos: DataFrame, lines: bool = False) -> DataFrame:
     """One row per video: the saved profile, or the suggestion where none exists."""
-    good, _ = _split(_json(spark, path if lines else f"{path}/*.json", schemas.ROI_PROFILE, lines))
+    good, _ = _split(_json(spark, path if lines else f"{path}/*.json", schemas.ROI_PROFILE, lines), "video_id")
     profiles = good.select("video_id", "top_ignore_fraction", "bottom_ignore_fraction", F.col("note"), F.col("revision"), F.lit(True).alias("_saved"))
     saved = F.coalesce("_saved", F.lit(False))
     return videos.select("video_id").join(profiles, "video_id", "left").select(
@@ -121,7 +122,7 @@ def read_model_runs(spark: SparkSession, path: str, pointers: DataFrame, lines:
     """Run documents, newest first, the active one flagged."""
     from fieldspark.sources.writers import active_run
 
-    good, _ = _split(_json(spark, path if lines else f"{path}/*/result.json", schemas.MODEL_RUN, lines))
+    good, _ = _split(_json(spark, path if lines else f"{path}/*/result.json", schemas.MODEL_RUN, lines), "run_id")
     current = active_run(pointers).select("run_id", F.lit(True).alias("active"))
     return good.join(F.broadcast(current), "run_id", "left").withColumn("active", F.coalesce("active", F.lit(False))).orderBy(F.col("created_at").desc(), "run_id")
 
@@ -146,7 +147,7 @@ def read_video_inventory(spark: SparkSession, path: str, pattern: str = r"([^/]+
 
 def read_frame_results(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Stored per-frame results as rows, and the frame manifest (time, hash, mask size)."""
-    good, _ = _split(_json(spark, path, schemas.FRAME_RESULT, lines))
+    good, _ = _split(_json(spark, path, schemas.FRAME_RESULT, lines), "video_id")
     rows = good.select("schema_version", "run_id", "mission_id", "video_id", F.inline("frames"))
     return rows, rows.select("mission_id", "video_id", "frame_index", "timestamp_ms", "source_frame_hash", F.col("mask.width").alias("mask_width"), F.col("mask.height").alias("mask_height"))
 
