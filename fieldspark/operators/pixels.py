@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.functions import colour
 from fieldspark.operators import runs as R
@@ -98,10 +101,72 @@ def sharpness(pixels: DataFrame, column: str = "gray", key: Sequence[str] = R.KE
     return laplacian(pixels, column, key).groupBy(*key).agg(F.var_pop("laplacian").alias("sharpness"))
 
 
+def _shifted(grid: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """The neighbour at (dy, dx), NaN beyond the edge."""
+    out = np.full_like(grid, np.nan)
+    h, w = grid.shape
+    out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = grid[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)]
+    return out
+
+
+def _pair(grid: np.ndarray, dy: int, dx: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both neighbours along one axis; a missing one mirrors the other."""
+    before, after = _shifted(grid, -dy, -dx), _shifted(grid, dy, dx)
+    return np.where(np.isnan(before), after, before), np.where(np.isnan(after), before, after)
+
+
+def dense_box(grid: np.ndarray, k: int) -> np.ndarray:
+    """k × k mean with mirrored image borders; missing pixels do not count."""
+    r = k // 2
+    for axis in (1, 0):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (r, r)
+        wide = np.pad(grid, pad, mode="reflect")
+        n = grid.shape[axis]
+        parts = np.stack([np.take(wide, range(i, i + n), axis=axis) for i in range(k)])
+        known = ~np.isnan(parts)
+        grid = np.where(known, parts, 0.0).sum(axis=0) / np.where(known.any(axis=0), known.sum(axis=0), np.nan)
+    return grid
+
+
+def dense_gradient(grid: np.ndarray) -> np.ndarray:
+    """Sobel magnitude, at most one."""
+    up, low = _pair(grid, 1, 0)
+    smooth, diff = up + 2 * grid + low, low - up
+    left, right = _pair(smooth, 0, 1)
+    d_left, d_right = _pair(diff, 0, 1)
+    return np.minimum(1.0, np.hypot(right - left, d_left + 2 * diff + d_right))
+
+
+def frame_filters(pixels: DataFrame, column: str, filters: dict, width: int, height: int, key: Sequence[str] = R.KEY) -> DataFrame:
+    """Several neighbourhood filters with one shuffle.
+
+    The window forms above sort a frame once per direction and filter. Here the frame, a
+    bounded group, is laid out once as a raster and ``filters`` (name → function of the
+    raster) add one column each.
+    """
+    schema = T.StructType([*pixels.schema.fields, *[T.StructField(n, T.DoubleType()) for n in filters]])
+
+    def run(frame: pa.Table) -> pa.Table:
+        y, x = frame.column("y").to_numpy(), frame.column("x").to_numpy()
+        grid = np.full((height, width), np.nan)
+        grid[y, x] = frame.column(column).to_numpy()
+        for name, fn in filters.items():
+            frame = frame.append_column(name, pa.array(fn(grid)[y, x]))
+        return frame
+
+    return pixels.groupBy(*key).applyInArrow(run, schema)
+
+
+def _texture(k: int) -> dict:
+    spread = lambda g: np.sqrt(np.maximum(0.0, dense_box(g * g, k) - dense_box(g, k) ** 2))
+    return {"gradient": dense_gradient, "local_mean": lambda g: dense_box(g, k), "local_std": spread}
+
+
 def feature_columns(pixels: DataFrame, width: int, height: int, key: Sequence[str] = R.KEY) -> DataFrame:
     """The 22 pixel features as named columns; the last eight depend on position."""
-    base = add_colour(pixels).withColumn("_gray", F.col("gray") / 255)
-    textured = local_std(gradient(base, "_gray", key), "_gray", 9, width, height, key)
+    raw = pixels.select(*key, "y", "x", "b", "g", "r").withColumn("_gray", F.expr(colour.GRAY) / 255)
+    textured = add_colour(frame_filters(raw, "_gray", _texture(9), width, height, key))
     angle = F.expr(colour.HUE_ANGLE)
     px, py = F.col("x") / F.lit(float(max(1, width - 1))), F.col("y") / F.lit(float(max(1, height - 1)))
     named = {
@@ -139,10 +204,10 @@ def pixel_features(pixels: DataFrame, width: int, height: int, positional: bool
 
 def cell_number(value: Column, n: int, parts: int = 3) -> Column:
     """Which of ``parts`` nearly equal slices an index falls into; earlier slices take the remainder."""
-    result, edge = F.lit(parts - 1), n
-    for i in range(parts - 1, 0, -1):
-        edge -= n // parts + (1 if i < n % parts else 0)
-        result = F.when(value < edge, i - 1).otherwise(result) if i == parts - 1 else F.when(value < edge, i - 1).otherwise(result)
+    ends = [sum(n // parts + (1 if j < n % parts else 0) for j in range(i + 1)) for i in range(parts)]
+    result = F.lit(parts - 1)
+    for i in reversed(range(parts - 1)):
+        result = F.when(value < ends[i], i).otherwise(result)
     return result
 
 
