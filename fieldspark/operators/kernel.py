@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspark.operators import runs as R
+from fieldspark.session import cut_lineage
 
 # Training defaults of the path and the terrain model.
 PATH = {"random_features": 64, "samples": 450, "ridge_lambda": 0.08, "seed": 42}
@@ -61,10 +62,23 @@ def feature_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def vector_moments(df: DataFrame, d: int, features: str = "features") -> tuple[np.ndarray, np.ndarray]:
-    """Moments of an array column; only 2·d numbers reach the driver."""
-    names = [f"f{i}" for i in range(d)]
-    rows = {r["feature"]: r for r in feature_moments(df.select(*[F.col(features)[i].alias(n) for i, n in enumerate(names)]), names).collect()}
-    return np.array([rows[n]["mean"] for n in names]), np.array([rows[n]["scale"] for n in names])
+    """Moments of an array column: tasks add up, Spark merges, 3·d numbers reach the driver."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, square = 0, np.zeros(d), np.zeros(d)
+        for batch in batches:
+            if batch.num_rows:
+                values = _vectors(batch, features)
+                n, total, square = n + len(values), total + values.sum(axis=0), square + (values * values).sum(axis=0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(np.full(d, float(n))), pa.array(total), pa.array(square)], names=["i", "n", "s", "q"])
+
+    summed = df.select(features).mapInArrow(partial, "i int, n double, s double, q double").groupBy("i").agg(*[F.sum(c).alias(c) for c in "nsq"])
+    rows = sorted(summed.collect())
+    n, total, square = (np.array([r[c] for r in rows]) for c in "nsq")
+    mean = total / n
+    scale = np.sqrt(np.maximum(0.0, square / n - mean * mean))
+    return mean, np.where(scale < MIN_SCALE, 1.0, scale)
 
 
 def balanced_sample(
@@ -177,6 +191,7 @@ def fit_ridges(
     samples: DataFrame, label: str, d: int, random_features: int, lambdas: Sequence[float], seed: int, features: str = "features"
 ) -> list[Model]:
     """One model per ridge value from a single pass: the Gram sums do not depend on it."""
+    samples = cut_lineage(samples.select(features, label))  # read twice: moments, then Gram sums
     mean, scale = vector_moments(samples, d, features)
     projection, phase = draw_projection(d, random_features, seed)
     model = Model(mean, scale, projection, phase, np.zeros(random_features + 1))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from fieldspark.operators import runs as R
 from fieldspark.operators.ordered import exact_quantiles
+from fieldspark.session import cut_lineage
 
 # Threshold quantiles and softmax scales.
 THRESHOLD_LOW, THRESHOLD_HIGH, THRESHOLD_COUNT = 0.12, 0.88, 33
@@ -269,20 +270,21 @@ def pick_evidence(metrics: DataFrame, mode: str, key: Sequence[str], worst: int
 
 
 def _at_rank(metrics: DataFrame, order: str, key: Sequence[str]) -> DataFrame:
-    """The row at rank n // 2: counts per metric value locate the value, then ties are ranked alone."""
-    per_value = metrics.groupBy(order).agg(F.count(F.lit(1)).alias("_n"))
-    total = metrics.agg(F.count(F.lit(1)).alias("_total"))
-    below = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    located = (
-        per_value.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0)))
-        .crossJoin(F.broadcast(total))
-        .withColumn("_rank", F.floor(F.col("_total") / 2))
-        .where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
-        .select(order, (F.col("_rank") - F.col("_before") + 1).alias("_want"))
-    )
-    tied = metrics.join(F.broadcast(located), order)
-    position = F.row_number().over(Window.partitionBy(order).orderBy(*key))
-    return tied.withColumn("_at", position).where(F.col("_at") == F.col("_want")).select(*metrics.columns)
+    """The row at rank n // 2, found column by column from counts per value.
+
+    Each step sorts distinct values only and hands one row to the driver, so many frames
+    with the same penalty never meet in one task.
+    """
+    left = cut_lineage(metrics)
+    rank = left.count() // 2
+    for column in (order, *key):
+        steps = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = left.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(steps))
+        hit = counted.where(F.col("_upto") > rank).orderBy("_upto").first()
+        if hit is None:
+            break
+        left, rank = left.where(F.col(column) == hit[column]), rank - (hit["_upto"] - hit["_n"])
+    return left.limit(1)
 
 
 def evaluation_report(metrics: DataFrame, baseline: DataFrame, missions: DataFrame) -> DataFrame:

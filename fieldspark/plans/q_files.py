@@ -197,11 +197,11 @@ def k4(spark, sf):
     return reusable.select(*RASTER, F.lit("reuse").alias("verdict")).unionByName(todo.select(*RASTER, F.lit("todo").alias("verdict")))
 
 
-@query("k5_write_geojson_lines", sql("SELECT count(*) AS features FROM (SELECT DISTINCT video_id FROM frames)", "frames"))
+@query("k5_write_geojson_lines", sql("SELECT count(*) AS features FROM (SELECT DISTINCT video_id, frame_index // 64 FROM frames)", "frames"))
 def k5_write(spark, sf):
     path = run_dir(spark, "geojson")
-    points = B.frames(spark, sf).select("video_id", F.col("frame_index").alias("idx"), F.col("value").alias("lng"), (F.col("value") / 2).alias("lat"))
-    W.write_geojson_lines(points, path, ["video_id"])
+    points = B.frames(spark, sf).select("video_id", F.expr("frame_index div 64").alias("part"), F.col("frame_index").alias("idx"), F.col("value").alias("lng"), (F.col("value") / 2).alias("lat"))
+    W.write_geojson_lines(points, path, ["video_id", "part"])
     parsed = spark.read.schema("type string, geometry struct<type:string,coordinates:array<array<double>>>").json(path)
     return parsed.where("type = 'Feature' AND geometry.type = 'LineString'").agg(F.count(F.lit(1)).alias("features"))
 

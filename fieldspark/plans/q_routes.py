@@ -348,23 +348,25 @@ def t6(spark, sf):
 @query(
     "w19_thin_points",
     sql(
-        """SELECT video_id, frame_index FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM frames) WHERE n <= 9 OR list_contains([CAST(floor(k * (n - 1) / 8 + 0.5) AS BIGINT) FOR k IN range(9)], frame_index)""",
+        """SELECT video_id, frame_index FROM (SELECT *, count(*) OVER (PARTITION BY video_id, frame_index // 400) AS n FROM frames) WHERE n <= 9 OR list_contains([CAST(floor(k * (n - 1) / 8 + 0.5) AS BIGINT) FOR k IN range(9)], frame_index % 400)""",
         "frames",
     ),
 )
 def w19(spark, sf):
-    return C.thin_points(B.frames(spark, sf).select(*RASTER), ["video_id"], "frame_index", 9)
+    # A planned line has at most 400 points: every 400 frames of a video form one.
+    lines_ = B.frames(spark, sf).select(*RASTER, F.expr("frame_index div 400").alias("line"))
+    return C.thin_points(lines_, ["video_id", "line"], "frame_index", 9).drop("line")
 
 
 @query(
     "k5_geojson_lines",
     sql(
-        """SELECT video_id, '{"type":"Feature","properties":{"video_id":' || video_id || '},"geometry":{"type":"LineString","coordinates":[' || string_agg('[' || x || ',' || y || ']', ',' ORDER BY idx) || ']}}' AS feature FROM (
-        SELECT video_id, frame_index AS idx, event_id * 37 % 1000 AS x, event_id * 91 % 1000 AS y FROM frames) GROUP BY video_id""",
+        """SELECT video_id, part, '{"type":"Feature","properties":{"video_id":' || video_id || ',"part":' || part || '},"geometry":{"type":"LineString","coordinates":[' || string_agg('[' || x || ',' || y || ']', ',' ORDER BY idx) || ']}}' AS feature FROM (
+        SELECT video_id, frame_index // 64 AS part, frame_index AS idx, event_id * 37 % 1000 AS x, event_id * 91 % 1000 AS y FROM frames) GROUP BY video_id, part""",
         "frames",
     ),
 )
 def k5(spark, sf):
     e = F.col("event_id")
-    points = B.frames(spark, sf).select("video_id", F.col("frame_index").alias("idx"), (e * 37 % 1000).alias("lng"), (e * 91 % 1000).alias("lat"))
-    return W.geojson_lines(points, ["video_id"])
+    points = B.frames(spark, sf).select("video_id", F.expr("frame_index div 64").alias("part"), F.col("frame_index").alias("idx"), (e * 37 % 1000).alias("lng"), (e * 91 % 1000).alias("lat"))
+    return W.geojson_lines(points, ["video_id", "part"])
