@@ -49,6 +49,8 @@ EDITS = ("new", "carried_unchanged", "carried_adjusted", "corrected")
 STATUSES = ("draft", "confirmed", "skipped")
 PATH_POSITIVE = ("traversable",)
 MIN_INTERVAL_MS = 200
+# Wording of the band notes.
+BAND_SIDES, BAND_NOTE = {"top": "Oberer", "bottom": "Unterer"}, ("Bildrand, ", " % ignoriert")
 
 ALL_CLASSES = tuple(name for names in LAYER_CLASSES.values() for name in names)
 
@@ -239,8 +241,8 @@ def roi_band(kind: str, fraction: Column) -> Column:
     """Polygon of the ignored band at the top or bottom image edge."""
     top, bottom = (F.lit(0.0), fraction) if kind == "top" else (1.0 - fraction, F.lit(1.0))
     point = lambda x, y: F.struct(F.lit(float(x)).alias("x"), y.alias("y"))
-    side = "Oberer" if kind == "top" else "Unterer"
-    note = F.concat(F.lit(f"{side} Bildrand, "), F.rint(fraction * 100).cast("int").cast("string"), F.lit(" % ignoriert"))
+    percent = F.rint(fraction * 100).cast("int").cast("string")
+    note = F.concat(F.lit(f"{BAND_SIDES[kind]} {BAND_NOTE[0]}"), percent, F.lit(BAND_NOTE[1]))
     return F.struct(
         F.lit(f"roi-{kind}").alias("id"),
         F.lit("roi_ignore").alias("class_id"),

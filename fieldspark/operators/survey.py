@@ -13,6 +13,13 @@ from fieldspark.operators.joins import top_k
 CONFIGURATIONS = (("Baseline", 10.0, 1, False), ("Iteration 1", 6.0, 3, False), ("Iteration 2", 6.0, 3, True))
 VEGETATION_MIN, GROUND_MIN, EDGE_MIN = 0.12, 0.12, 0.16
 MAX_EVIDENCE = 4
+# Observation labels.
+LABELS = {
+    "vegetation": "deutliche Vegetationspräsenz",
+    "tree_species": "Baumart unklar",
+    "ground": "möglicher unbefestigter Untergrund",
+    "obstacle_candidate": "visuell komplexes Wegsegment – manuell prüfen",
+}
 
 
 def targets(videos: DataFrame, interval: float, endpoints: bool, by: Sequence[str] = ("video_id",)) -> DataFrame:
@@ -61,16 +68,16 @@ def keyframes(videos: DataFrame, frames: DataFrame, interval: float = 6.0, sampl
 def observations(keyframes: DataFrame) -> DataFrame:
     """Up to four observations per keyframe from colour and edge shares."""
     c = F.col
-    row = lambda cat, label, conf, status: F.struct(
-        F.lit(cat).alias("category"), F.lit(label).alias("label"), conf.alias("confidence"), F.lit(status).alias("value_status")
+    row = lambda cat, conf, status: F.struct(
+        F.lit(cat).alias("category"), F.lit(LABELS[cat]).alias("label"), conf.alias("confidence"), F.lit(status).alias("value_status")
     )
     green, bare, busy = c("vegetation_ratio") >= VEGETATION_MIN, c("ground_ratio_lower") >= GROUND_MIN, c("edge_ratio_lower") >= EDGE_MIN
     rows = F.array_compact(
         F.array(
-            F.when(green, row("vegetation", "deutliche Vegetationspräsenz", F.bround(F.least(F.lit(0.88), 0.42 + c("vegetation_ratio")), 2), "calculated")),
-            F.when(green, row("tree_species", "Baumart unklar", F.lit(0.1), "estimated")),
-            F.when(bare, row("ground", "möglicher unbefestigter Untergrund", F.bround(F.least(F.lit(0.76), 0.35 + c("ground_ratio_lower")), 2), "estimated")),
-            F.when(busy, row("obstacle_candidate", "visuell komplexes Wegsegment – manuell prüfen", F.lit(0.3), "estimated")),
+            F.when(green, row("vegetation", F.bround(F.least(F.lit(0.88), 0.42 + c("vegetation_ratio")), 2), "calculated")),
+            F.when(green, row("tree_species", F.lit(0.1), "estimated")),
+            F.when(bare, row("ground", F.bround(F.least(F.lit(0.76), 0.35 + c("ground_ratio_lower")), 2), "estimated")),
+            F.when(busy, row("obstacle_candidate", F.lit(0.3), "estimated")),
         )
     )
     return keyframes.select("*", F.inline(rows))

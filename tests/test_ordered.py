@@ -33,6 +33,13 @@ def test_quantiles_of_huge_groups(spark):
             assert abs(got[(k, p)] - np.quantile(values, p)) < 1e-9
 
 
+def test_quantiles_of_one_huge_table(spark):
+    df = _rows(spark)
+    values = [r["w"] for r in df.collect()]
+    for r in O.exact_quantiles(df, [], "w", [0.12, 0.5, 0.88], True).collect():
+        assert abs(r["w"] - np.quantile(values, r["probability"])) < 1e-9
+
+
 def test_balanced_chunks_split_a_hot_range(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.col("id") % 50).alias("t"))
     sizes = df.groupBy(O.balanced_chunks(df, "t", rows=500, pieces=64).alias("c")).count().collect()
