@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "fieldspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,3 +57,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Ship the package to the Python workers once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), f"fieldspark-{context.applicationId}")
+    context.addPyFile(shutil.make_archive(base, "zip", root, "fieldspark"))  # Spark serves it to the executors
+    _SHIPPED.add(context.applicationId)
