@@ -9,37 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldspark.llm import op02_bbit_minhash, op03_divergence, op04_sparse_suffixes, op09_grouping_genetic, op10_spaced_seeds
 from fieldspark.llm.queries import tokenizer_path
-from fieldspark.llm.store import keep, table
-from fieldspark.session import ship_package
+from fieldspark.llm.store import keep, prepare, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    ship_package(spark)
+    prepare(spark)
     return op03_divergence.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near duplicates."""
-    ship_package(spark)
+    prepare(spark)
     return op02_bbit_minhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every passage of 50 words or more that stands at an earlier place cut out."""
-    ship_package(spark)
+    prepare(spark)
     return op04_sparse_suffixes.cut_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    ship_package(spark)
+    prepare(spark)
     return op10_spaced_seeds.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, placed in sequences."""
-    ship_package(spark)
+    prepare(spark)
     return op09_grouping_genetic.pack(docs, tokenizer_path())
 
 

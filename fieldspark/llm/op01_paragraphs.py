@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm import links, text
+from fieldspark.llm import bloom, links, text
 from fieldspark.llm.neighbours import shared
 from fieldspark.llm.store import keep
 
@@ -122,7 +122,9 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``id, shingles`` of the ``wanted`` classes (``id, row``), from the documents that hold their first place."""
-    rows = docs.join(wanted.groupBy("row").agg(F.collect_set("id").alias("ids")), "row").select("text", "ids")
+    wanted = keep(wanted.groupBy("row").agg(F.collect_set("id").alias("ids")), "wanted")
+    some = bloom.maybe(docs.select("row", "text"), "row", bloom.build(wanted.select("row"))).where("_maybe")
+    rows = some.join(wanted, "row").select("text", "ids")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,15 +149,17 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = keep(classes(rows), "classes")
     banded = known.select("id", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("key"))
     members = keep(links.bucket_members(shared(banded, "key", "id")), "members")
-    sigs = known.select("id", "sig")
 
     def likely(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
         return (sig == others).mean(axis=1) >= LIKELY
 
+    def full(ids: DataFrame) -> DataFrame:
+        return shingles_of(rows, known.select("id", "place.row").join(ids, "id"))
+
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = keep(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = keep(shingles_of(rows, known.select("id", "place.row").join(ids, "id")), "sets")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = keep(full(ids), "sets")
         one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +173,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return pairs.join(two, "b").join(one, "a").select("a", "b", "s_a", "s_b").mapInArrow(check, links.PAIRS)
 
-    packed = sigs.select("id", F.unhex(F.lpad(F.hex("sig"), 16, "0")).alias("sig"))
-    linked = links.all_links(members, packed, likely, verify)
+    packed = known.select("id", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands"), F.unhex(F.lpad(F.hex("sig"), 16, "0")).alias("sig"))
+    linked = links.all_links(members, packed, likely, verify, full, THRESHOLD)
     joined = known.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = joined.groupBy("component").agg(F.min("place").alias("first"), F.max("last").alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
     found = keep(joined.join(groups, "component").select("id", "component", "first"), "repeated")

@@ -6,7 +6,7 @@ number of equal signature values, corrected for values that agree by chance, and
 confirmed on the full sets of the whole texts.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**6)**42 = 3e-6, and its estimate falls below the
-pruning limit (0.15 under the threshold, six standard deviations) even less often.
+pruning limit (0.13 under the threshold, five standard deviations) even less often.
 
 Documents with equal shingle sets collapse to their smallest id before any bucket is formed, so groups of copies of any
 size are one item; groups of near copies are linked as in ``links``.
@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm import links, text
+from fieldspark.llm import bloom, links, text
+from fieldspark.llm.neighbours import shared
 from fieldspark.llm.store import keep
 
 BANDS, ROWS, BITS, MINIMA = 42, 6, 4, 256
-MARGIN = 0.15
+MARGIN = 0.13
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 32, (MINIMA, 1), np.uint32, endpoint=False)
 _MULTIPLY = _RNG.integers(0, 1 << 32, (MINIMA, 1), np.uint32, endpoint=False) | np.uint32(1)
@@ -88,10 +89,29 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     return rows.mapInArrow(sign, "id long, n long, set long, bands array<long>, sig binary")
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return bloom.semi(rows, "id", ids)
+
+
+def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int, ids: DataFrame) -> DataFrame:
+    """``id, shingles`` (the sorted distinct hashes) of the whole texts of the given ids."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text.slices(batch.column(1)):
+                w = text.words(part)
+                sets = [text.shingles(w.hash[a:b], size) for a, b in zip(w.first, w.first[1:], strict=False)]
+                some = pa.array([bool(len(s)) for s in sets], pa.bool_())
+                yield pa.record_batch({"id": batch.column(0)[part.rows], "shingles": pa.array([s.tobytes() for s in sets], pa.binary())}).filter(some)
+
+    return _texts(docs, id_col, text_col, ids).mapInArrow(read, "id long, shingles binary")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets have 100 * intersection >= percent * union."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = keep(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(needed, "id", "left_semi"), "texts")
+    """The pairs ``a, b`` (a written table) whose full shingle sets have 100 * intersection >= percent * union."""
+    needed = keep(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("id")), "ids")
+    texts = keep(_texts(docs, id_col, text_col, needed), "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
@@ -131,8 +151,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = rows.where("n > 0 and id is not null")
     classes = known.groupBy("set").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = keep(classes, "classes")
-    members = keep(links.bucket_members(classes.select(F.explode("bands").alias("key"), "id")), "members")
-    sigs = classes.select("id", "sig")
+    members = keep(links.bucket_members(shared(classes.select(F.explode("bands").alias("key"), "id"), "key", "id")), "members")
+    sigs = classes.select("id", "bands", "sig")
     limit = threshold - MARGIN
 
     def likely(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -152,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_set = classes.select("set", F.col("id").alias("node"))
     repeated = known.groupBy("id").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi").select("id")
     same_id = known.join(repeated, "id").join(of_set, "set").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    linked = links.all_links(members, sigs, likely, verify, same_id)
+    linked = links.all_links(members, sigs, likely, verify, lambda ids: full_sets(docs, id_col, text_col, size, ids), percent, same_id)
     of_set = of_set.join(linked, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
     out = rows.join(of_set, "set", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -163,5 +183,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     Rows that repeat an id are one document and stay or go together. Rows without an id stay.
     """
-    gone = near_duplicates(docs, id_col, text_col, size, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, size, threshold).where("not kept").select("doc_id").distinct()
+    keyed = docs.withColumn("_key", F.col(id_col).cast("long"))
+    return bloom.anti(keyed, "_key", keep(gone, "gone")).drop("_key")

@@ -25,7 +25,7 @@ from fieldspark.llm.doc_stats import class_totals, stats
 from fieldspark.llm.store import keep
 
 COMMON, SHARE, LANGUAGE, MIN_WORDS = 32, 2.0**-10, 2.0**-8, 50
-CLASS_LIMIT, WORD_LIMIT, SHORT = 0.15, 0.35, 1.0
+CLASS_LIMIT, WORD_LIMIT, SHORT = 0.17, 0.35, 1.0
 METRICS = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
     "class_distance double, word_distance double"
@@ -149,7 +149,7 @@ def judge(batch: pa.RecordBatch, ref: Reference) -> dict[str, np.ndarray]:
     m = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
     slack = SHORT / np.sqrt(np.maximum(1, m["n_words"]))
     m["base_failed"] = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    far = (m["class_distance"] > CLASS_LIMIT + slack / 2) | (m["word_distance"] > WORD_LIMIT + slack)
+    far = (m["class_distance"] > CLASS_LIMIT + slack) | (m["word_distance"] > WORD_LIMIT + slack)
     m["kept"] = ~m["base_failed"] & ~(far & (m["n_words"] >= MIN_WORDS))
     return m
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm import text
+from fieldspark.llm import bloom, text
 from fieldspark.llm.neighbours import later, settle, shared
 from fieldspark.llm.store import keep
 
@@ -75,7 +75,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 yield pa.record_batch({"prefix": text.signed(g[at]), "row": row[part.rows][w.doc[at]], "position": (at - w.first[w.doc[at]]).astype(np.int32)})
 
     suffixes = keep(rows.select("row", "text").mapInArrow(retain, "prefix long, row long, position int"), "suffixes")
-    candidates = shared(suffixes, "prefix", "row", "position").groupBy("row").agg(F.collect_list("position").alias("positions"))
+    candidates = keep(shared(suffixes, "prefix", "row", "position").groupBy("row").agg(F.collect_list("position").alias("positions")), "candidates")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +97,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                     }
                 )
 
-    whole = rows.join(candidates, "row").dropDuplicates(["row"]).select("row", "doc_id", "text", "positions")
+    some = bloom.maybe(rows, "row", bloom.build(candidates.select("row"))).where("_maybe")
+    whole = some.join(candidates, "row").dropDuplicates(["row"]).select("row", "doc_id", "text", "positions")
     stretches = keep(whole.mapInArrow(extend, "stretch long, doc_id long, row long, start int"), "stretches")
     marked = keep(later(stretches, "stretch", "doc_id", "row", "start"), "marked")
     found = settle(marked, "stretch").groupBy("row", "doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
@@ -122,9 +123,10 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts without repeats, null texts and the other columns stay as they are; ``chars_col`` gets the new length of a cut text.
     A text that is one repeat becomes empty; its row stays.
     """
-    spans = repeats(docs, id_col, text_col, length).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    spans = keep(repeats(docs, id_col, text_col, length).select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "spans")
     keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.col(text_col).cast("string")))
-    joined = keyed.join(spans, "_row", "left").drop("_row")
+    flagged = bloom.maybe(keyed, "_row", bloom.build(spans.select("_row")))
+    joined = flagged.where("_maybe").join(spans, "_row", "left")
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,4 +150,5 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays = [pa.array(new[k], batch.column(k).type) if k in new else batch.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    return joined.select(*[f"`{c}`" for c in columns], "_spans").mapInArrow(cut, docs.schema)
+    same = [f"`{c}`" for c in columns]
+    return flagged.where("not _maybe").select(same).unionByName(joined.select(*same, "_spans").mapInArrow(cut, docs.schema))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.llm import op01_paragraphs, op02_bbit_minhash, op03_divergence, op04_sparse_suffixes, op05_fourier_quality
-from fieldspark.llm import op06_typed_parts, op07_suffix_tree, op08_token_counts, op09_grouping_genetic, op10_spaced_seeds
+from fieldspark.llm import op06_typed_parts, op07_suffix_tree, op08_token_counts, op09_grouping_genetic
+from fieldspark.llm import op10_spaced_seeds as op10
 from fieldspark.llm.store import table
 
 
@@ -57,7 +58,7 @@ def op9_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10_spaced_seeds.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("first_word")
+    return op10.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("first_word")
 
 
 QUERIES = {f.__name__: f for f in (op1_paragraphs, op2_bbit_minhash, op3_divergence, op4_sparse_suffixes, op5_fourier_quality, op6_typed_parts, op7_suffix_tree, op8_token_counts, op9_grouping_genetic, op10_spaced_seeds)}

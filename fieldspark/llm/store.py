@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.session import run_dir
+from fieldspark.session import run_dir, ship_package
+
+BATCH = 2000  # rows of one Arrow batch; texts are large, and a task holds a few batches at a time
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and keep Arrow batches small."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -16,6 +24,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
