@@ -7,6 +7,8 @@ Equal shingle sets (five words) are one class, formed before anything is compare
 is one item. Classes get eight minima in four bands of two: at similarity 0.8 a pair is missed with probability 0.02, at the 0.86
 of a changed word at the edge of a usual paragraph with 0.005. Classes that collide are verified by exact Jaccard similarity (0.8 or more), and
 components of verified pairs say which paragraphs repeat another: all but the first place of a component are removed.
+Single short lines that many documents share are not passages: a repeated paragraph counts where it and its repeated neighbours,
+at most ``GAP`` words apart, span ``STRETCH`` words or more.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.llm import bloom, links, text
@@ -23,6 +25,7 @@ from fieldspark.llm.neighbours import shared
 from fieldspark.llm.store import keep
 
 REACH, SHORTEST, SIZE, THRESHOLD = 8, 9, 5, 80
+GAP, STRETCH = 16, 20
 BANDS, ROWS = 4, 2
 LIKELY = 3 / 8  # of the minima; a pair of similarity 0.8 has fewer with probability 0.001
 _RNG = np.random.default_rng(1907)
@@ -138,8 +141,9 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(read, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, row, first_word, last_word, start, end, component, first_doc_id, removed``: a row for every paragraph that another place repeats, itself included.
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> DataFrame:
+    """``doc_id, row, first_word, last_word, start, end, component, first_doc_id, removed``: a row for every paragraph that another place repeats, itself included,
+    in a stretch of at least ``stretch`` words.
 
     ``start, end`` count code points. ``component``: its class's smallest id over verified links; ``first_doc_id``: where its first place
     is; ``removed``: false at that place only. Null and empty texts have no paragraphs. Rows that repeat id and text count once; rows that repeat only
@@ -200,6 +204,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 )
 
     places = rows.select("doc_id", "row", "text").mapInArrow(locate, "id long, doc_id long, row long, first_word int, last_word int, start long, end long")
-    out = places.join(found, "id")
+    out = places.join(found, "id").distinct()
+    in_order = Window.partitionBy("row").orderBy("first_word")
+    apart = F.col("first_word") > F.lag("last_word").over(in_order) + 1 + GAP
+    out = out.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(in_order))
+    whole = Window.partitionBy("row", "run")
+    out = out.withColumn("span", F.max("last_word").over(whole) - F.min("first_word").over(whole) + 1).where(F.col("span") >= stretch)
     removed = ~F.struct("doc_id", "row", "first_word").eqNullSafe(F.col("first"))
     return out.select("doc_id", "row", "first_word", "last_word", "start", "end", "component", F.col("first.doc_id").alias("first_doc_id"), removed.alias("removed"))

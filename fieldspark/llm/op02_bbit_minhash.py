@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = known.join(repeated, "id").join(of_set, "set").select(F.col("node").alias("a"), F.col("id").alias("b"))
     linked = links.all_links(members, sigs, likely, verify, lambda ids: full_sets(docs, id_col, text_col, size, ids), percent, same_id)
     of_set = of_set.join(linked, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(of_set, "set", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = rows.join(of_set, "set", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -100,15 +100,17 @@ def pretokens(part: Slice) -> PreTokens:
     while at >= 0:
         special[np.searchsorted(edges, at, "right") - 1] = True
         at = whole.find(SPECIAL, at + 1)
+    mine = ~np.repeat(special, np.diff(np.searchsorted(starts, edges)))
+    starts, stops = starts[mine], stops[mine]  # none of a document that the tokenizer itself gets
     return PreTokens(whole, code, starts, stops, span_hashes(code.astype(np.uint64) + np.uint64(1), starts, stops), np.searchsorted(starts, edges), edges, special)
 
 
 class Memo:
     """Ids of pre-tokens already seen in this task, by hash; bounded, and refilled when another pre-token took the slot."""
 
-    def __init__(self, encode, bits: int = 21, pool: int = 1 << 23):
+    def __init__(self, encode, bits: int = 20, pool: int = 1 << 22):
         self.encode, self.shift, self.limit = encode, np.uint64(64 - bits), pool
-        self.keys, self.at, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        self.keys, self.at, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def find(self, tokens: PreTokens, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +119,7 @@ class Memo:
             self.keys[:], self.used = 0, 0
         h = tokens.hash[which]
         slot = h >> self.shift
-        at, size = self.at[slot], self.size[slot]
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != h)
         if len(miss):
             _, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
