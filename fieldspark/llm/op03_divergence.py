@@ -3,8 +3,8 @@
 A document's histogram of character classes and its histogram of common words are compared with those of its language by
 the Jensen-Shannon distance. The references are learned from all documents: character classes by summing, common words as
 the ``COMMON`` most frequent words of a language among those with at least ``SHARE`` of its words. Such a word has that
-share in one batch at least, so the batches' heavy words are a complete list of candidates, and a second pass counts them
-exactly. Languages with less than ``LANGUAGE`` of all words have no reference of their own, so there are at most
+share in one stretch of words at least, so the heavy words of all stretches are a complete list of candidates, and a second pass
+counts them exactly. Languages with less than ``LANGUAGE`` of all words have no reference of their own, so there are at most
 ``1 / LANGUAGE`` references of fixed size; their documents are compared with the nearest one.
 
 The distance limits grow for short texts, whose histograms are noisy, and under ``MIN_WORDS`` nothing is judged.
@@ -25,6 +25,7 @@ from fieldspark.llm.doc_stats import class_totals, stats
 from fieldspark.llm.store import keep
 
 COMMON, SHARE, LANGUAGE, MIN_WORDS = 32, 2.0**-10, 2.0**-8, 50
+STRETCH = 1 << 18  # words of one language that a task sifts at once
 CLASS_LIMIT, WORD_LIMIT, SHORT = 0.17, 0.35, 1.0
 METRICS = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
@@ -55,19 +56,31 @@ def learn(docs: DataFrame, lang_col: str, text_col: str) -> Reference:
     rows = docs.select(F.lit(None).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes: dict[str, np.ndarray] = {}
+        totals: dict[str, int] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        heavy: dict[str, set[int]] = {}
+
+        def sift(lang: str) -> None:
+            h, n = np.unique(np.concatenate(held[lang]), return_counts=True)
+            heavy[lang].update(text.signed(h[n >= SHARE * n.sum()]).tolist())
+            held[lang] = []
+
         for batch in batches:
             for lang, texts in _by_language(batch):
-                classes, keys, counts, total = np.zeros(7, np.int64), [], [], 0
                 for part in text.slices(texts):
-                    w = text.words(part, lower=False)
-                    classes += class_totals(part)
-                    h, n = np.unique(w.hash, return_counts=True)
-                    # a word heavy in the batch is heavy in one of its slices
-                    heavy = n >= SHARE * len(w.hash)
-                    keys.append(h[heavy])
-                    total += len(w.hash)
-                heavy = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-                yield pa.record_batch({"lang": pa.array([lang] * (len(heavy) + 8)), "kind": np.r_[np.arange(7), 7, np.full(len(heavy), 8)].astype(np.int32), "key": np.r_[np.zeros(8, np.int64), text.signed(heavy)], "n": np.r_[classes, total, np.zeros(len(heavy), np.int64)]})
+                    h = text.words(part, lower=False).hash
+                    classes[lang] = classes.get(lang, 0) + class_totals(part)
+                    totals[lang] = totals.get(lang, 0) + len(h)
+                    heavy.setdefault(lang, set())
+                    # a full stretch is sifted when the next words come, so a short rest is sifted with it
+                    if sum(map(len, held.setdefault(lang, []))) >= STRETCH:
+                        sift(lang)
+                    held[lang].append(h)
+        for lang, total in totals.items():
+            sift(lang)
+            found = np.array(sorted(heavy[lang]), np.int64)
+            yield pa.record_batch({"lang": pa.array([lang] * (len(found) + 8)), "kind": np.r_[np.arange(8), np.full(len(found), 8)].astype(np.int32), "key": np.r_[np.zeros(8, np.int64), found], "n": np.r_[classes[lang], total, np.zeros(len(found), np.int64)]})
 
     first = rows.mapInArrow(scan, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     first = keep(first, "candidates")
@@ -88,17 +101,18 @@ def learn(docs: DataFrame, lang_col: str, text_col: str) -> Reference:
     sorted_keys = {lang: np.sort(np.array(k, np.int64).view(np.uint64)) for lang, k in candidates.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, texts in _by_language(batch):
                 keys = sorted_keys.get(lang)
                 if keys is None or not len(keys):
                     continue
-                n = np.zeros(len(keys), np.int64)
                 for part in text.slices(texts):
                     h = text.words(part, lower=False).hash
                     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    n += np.bincount(at[keys[at] == h], minlength=len(keys))
-                yield pa.record_batch({"lang": pa.array([lang] * len(keys)), "key": text.signed(keys), "n": n})
+                    sums[lang] = sums.get(lang, 0) + np.bincount(at[keys[at] == h], minlength=len(keys))
+        for lang, n in sums.items():
+            yield pa.record_batch({"lang": pa.array([lang] * len(n)), "key": text.signed(sorted_keys[lang]), "n": n})
 
     exact = rows.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).collect()
     words, shares = [], []
