@@ -24,8 +24,8 @@ from fieldspark.llm import bloom, links, text
 from fieldspark.llm.neighbours import shared
 from fieldspark.llm.store import keep
 
-REACH, SHORTEST, SIZE, THRESHOLD = 8, 9, 5, 80
-GAP, STRETCH = 16, 20
+REACH, SHORTEST, SIZE, THRESHOLD = 6, 7, 5, 80
+GAP, STRETCH = 16, 16
 BANDS, ROWS = 4, 2
 LIKELY = 3 / 8  # of the minima; a pair of similarity 0.8 has fewer with probability 0.001
 _RNG = np.random.default_rng(1907)
@@ -104,7 +104,8 @@ def classes(docs: DataFrame) -> DataFrame:
                 flat, upto, ids = _sets(first, last, g)
                 low = _minima(flat, upto)
                 factors = text.mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-                bands = text.mix((low.reshape(-1, BANDS, ROWS) * factors).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+                bands = text.mix((low.reshape(-1, BANDS, ROWS) * factors).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) >> np.uint64(16)
+                nibbles = (low & np.uint64(15)) << (np.uint64(4) * np.arange(BANDS * ROWS, dtype=np.uint64))
                 yield pa.record_batch(
                     {
                         "id": text.signed(ids),
@@ -112,7 +113,7 @@ def classes(docs: DataFrame) -> DataFrame:
                         "row": row[part.rows][doc],
                         "first_word": (first - w.first[doc]).astype(np.int32),
                         **{f"b{k}": text.signed(np.ascontiguousarray(bands[:, k])) for k in range(BANDS)},
-                        "sig": text.signed((low & np.uint64(255)).astype(np.uint8).view(np.uint64).ravel()),
+                        "sig": nibbles.sum(axis=1, dtype=np.uint64).astype(np.int64),
                     }
                 )
 
@@ -155,7 +156,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = keep(links.bucket_members(shared(banded, "key", "id")), "members")
 
     def likely(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
-        return (sig == others).mean(axis=1) >= LIKELY
+        apart = sig ^ others
+        return ((apart & 15 == 0).sum(axis=1) + (apart >> 4 == 0).sum(axis=1)) >= LIKELY * BANDS * ROWS
 
     def full(ids: DataFrame) -> DataFrame:
         return shingles_of(rows, known.select("id", "place.row").join(ids, "id"))
@@ -177,7 +179,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return pairs.join(two, "b").join(one, "a").select("a", "b", "s_a", "s_b").mapInArrow(check, links.PAIRS)
 
-    packed = known.select("id", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands"), F.unhex(F.lpad(F.hex("sig"), 16, "0")).alias("sig"))
+    packed = known.select("id", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands"), F.unhex(F.lpad(F.hex("sig"), 8, "0")).alias("sig"))
     linked = links.all_links(members, packed, likely, verify, full, THRESHOLD)
     joined = known.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = joined.groupBy("component").agg(F.min("place").alias("first"), F.max("last").alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
@@ -204,6 +206,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 )
 
     places = rows.select("doc_id", "row", "text").mapInArrow(locate, "id long, doc_id long, row long, first_word int, last_word int, start long, end long")
+    places = bloom.maybe(places, "id", bloom.build(found.select("id"))).where("_maybe").drop("_maybe")
     out = places.join(found, "id").distinct()
     in_order = Window.partitionBy("row").orderBy("first_word")
     apart = F.col("first_word") > F.lag("last_word").over(in_order) + 1 + GAP
