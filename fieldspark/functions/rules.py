@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The label ontology (layers, classes, mask values), certainty, origin and edit vocabularies.
@@ -270,6 +270,13 @@ def clock(ms: Column) -> Column:
 
 
 def slug(label: Column) -> Column:
-    """Key of a self-made reason."""
+    """Key of a self-made reason; labels that differ in spelling only may share it, see :func:`reason_keys`."""
     safe = F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}]", "_")
     return F.concat(F.lit("custom_"), F.substring(F.regexp_replace(safe, r"^_+|_+$", ""), 1, 48))
+
+
+def reason_keys(labels: DataFrame, label: str = "label") -> DataFrame:
+    """``label, key`` of every distinct label; labels with one slug are numbered from the second on, in label order."""
+    named = labels.select(label).where(F.col(label).isNotNull()).distinct().withColumn("_slug", slug(F.col(label)))
+    number = F.row_number().over(Window.partitionBy("_slug").orderBy(label))
+    return named.withColumn("_n", number).select(label, F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat_ws("_", "_slug", "_n")).alias("key"))

@@ -77,11 +77,12 @@ def select_missions(counts: DataFrame, selection: Sequence[str] | None = None) -
     return counts.orderBy(F.col("confirmed").desc(), "mission_id").limit(2)
 
 
-def frame_split(df: DataFrame, by: Sequence[str] = ("video_id",), order: str = "frame_index", fold: int = 5, huge: bool | None = None) -> DataFrame:
+def frame_split(df: DataFrame, by: Sequence[str] = ("video_id",), order: str = "frame_index", fold: int = 5, huge: bool | None = None, scope: Sequence[str] = ()) -> DataFrame:
     """Every fifth labelled frame of a video is validation; short videos give their last frame, single frames none.
 
-    If that leaves no validation at all, the last training frame moves over.
+    If that leaves no validation at all in a ``scope`` (the mission, or the whole table), its last training frame moves over.
     """
+    by = [*scope, *(b for b in by if b not in scope)]
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     ranked = ordered_scan(df, by, [order], frame_chunks(order), huge, _i=row_index(), _n=whole_sum(F.lit(1)))
     part = (
@@ -90,10 +91,11 @@ def frame_split(df: DataFrame, by: Sequence[str] = ("video_id",), order: str = "
     )
     tagged = ranked.withColumn("_val", part)
     # Without any validation frame every video has one frame: the last of them validates.
-    fallback = sizes.agg(F.max("_n").alias("_most"), F.count(F.lit(1)).alias("_videos"), F.max(F.struct(*by)).alias("_last"))
+    figures = F.max("_n").alias("_most"), F.count(F.lit(1)).alias("_videos"), F.max(F.struct(*by)).alias("_last")
+    fallback = sizes.groupBy(*scope).agg(*figures)
     moved = (F.col("_most") == 1) & (F.col("_videos") > 1) & (F.struct(*by) == F.col("_last"))
     return (
-        tagged.crossJoin(F.broadcast(fallback))
+        (tagged.join(fallback, list(scope)) if scope else tagged.crossJoin(F.broadcast(fallback)))
         .withColumn("part", F.when(F.col("_val") | moved, "validation").otherwise("train"))
         .select(*df.columns, "part")
     )

@@ -142,15 +142,10 @@ def threshold_candidates(
     low: float = THRESHOLD_LOW,
     high: float = THRESHOLD_HIGH,
     n: int = THRESHOLD_COUNT,
-    exact: bool = True,
 ) -> DataFrame:
-    """Distinct quantiles of all scores; ``exact=False`` uses a bounded sketch instead."""
+    """Distinct quantiles of all scores."""
     steps = [low + (high - low) * i / (n - 1) for i in range(n)]
-    if exact:
-        found = exact_quantiles(scores.select(score), [], score, steps).select(F.col(score).alias("t"))
-    else:
-        found = scores.agg(F.percentile_approx(score, steps, 100_000).alias("q")).select(F.explode("q").alias("t"))
-    return found.distinct()
+    return exact_quantiles(scores.select(score), [], score, steps).select(F.col(score).alias("t")).distinct()
 
 
 def cleaned_counts(

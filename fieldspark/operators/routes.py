@@ -131,7 +131,7 @@ def traversal_quality(pairs: DataFrame, by: Sequence[str] = ("video_id",), huge:
     )
     for name in ("matches", "inliers"):
         middle = exact_quantiles(pairs.select(*by, F.col(name).cast("double").alias(f"median_{name}")), by, f"median_{name}", [0.5], huge)
-        base = base.join(middle.drop("probability"), list(by))
+        base = base.join(middle.drop("probability"), list(by), "left")  # a walk without any value keeps its row
     return base
 
 

@@ -59,7 +59,7 @@ def keyframes(videos: DataFrame, frames: DataFrame, interval: float = 6.0, sampl
     found = sharpest_candidate(targets(videos, interval, endpoints, by), frames, step, by)
     progress = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("second") / F.col("duration_seconds")))
     share = F.when(F.col("direction") == "A_TO_B", progress).otherwise(1 - progress)
-    frame_id = F.concat(F.substring(F.col(by[-1]).cast("string"), 1, 8), F.lit("-"), F.when(F.col("seq") < 1000, F.lpad(F.col("seq").cast("string"), 3, "0")).otherwise(F.col("seq").cast("string")))
+    frame_id = F.concat(F.col(by[-1]).cast("string"), F.lit("-"), F.when(F.col("seq") < 1000, F.lpad(F.col("seq").cast("string"), 3, "0")).otherwise(F.col("seq").cast("string")))
     return found.join(videos.select(*by, "duration_seconds", "direction"), list(by)).select(
         *found.columns, frame_id.alias("keyframe_id"), F.bround("second", 3).alias("timestamp_seconds"), F.bround(share, 5).alias("route_fraction")
     )

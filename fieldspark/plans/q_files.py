@@ -250,7 +250,10 @@ def x2(spark, sf):
 def x3(spark, sf):
     drive = R.clean_mask(B.mask_blob(spark, sf), WIDTH, HEIGHT, RASTER)
     still = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.5, 0.0, 1.0, 0.0)])
-    rows = drive.groupBy(*RASTER).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("runs")).withColumns(
+    found = drive.groupBy(*RASTER).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("runs"))
+    none = F.array().cast("array<struct<y:int,x0:int,x1:int>>")
+    every = B.raster_frames(spark, sf).select(*RASTER).join(found, list(RASTER), "left").withColumn("runs", F.coalesce(F.col("runs").cast("array<struct<y:int,x0:int,x1:int>>"), none))
+    rows = every.withColumns(
         {"m": still, "inliers": F.lit(40), "visibility": F.lit(0.9), "ground_confidence": F.lit(0.8)}
     )
     out = run_dir(spark, "corridors")

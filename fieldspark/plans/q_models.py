@@ -230,7 +230,7 @@ def path_inputs(spark, sf):
     features = X.pixel_features(B.rgb(spark, sf), WIDTH, HEIGHT, key=RASTER)
     labelled = T.label_features(features, B.mask_t(spark, sf), RASTER).withColumn("mission_id", F.col("video_id") % 2)
     labelled = cut_lineage(labelled.repartition(*RASTER))
-    parts = cut_lineage(L.frame_split(labelled.select(*RASTER, "mission_id").distinct(), ["video_id"], huge=False))
+    parts = cut_lineage(L.frame_split(labelled.select(*RASTER, "mission_id").distinct(), ["video_id"], huge=False, scope=["mission_id"]))
     return labelled, parts
 
 

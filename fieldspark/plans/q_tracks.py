@@ -120,7 +120,7 @@ def a12_mission(spark, sf):
 
 KEY_VIDEOS = """SELECT video_id, CASE WHEN video_id % 2 = 0 THEN 'A_TO_B' ELSE 'B_TO_A' END AS direction, 20.0::DOUBLE + n * 1.5::DOUBLE AS dur FROM (SELECT video_id, count(*) AS n FROM frames GROUP BY video_id)"""
 SPANS = """SELECT video_id, frame_index * 1.5::DOUBLE AS s0, frame_index * 1.5::DOUBLE + 1.5::DOUBLE AS s1, value AS sharpness, event_id FROM frames"""
-KEYFRAMES = """SELECT *, substr(CAST(video_id AS VARCHAR), 1, 8) || '-' || CASE WHEN seq < 1000 THEN lpad(CAST(seq AS VARCHAR), 3, '0') ELSE CAST(seq AS VARCHAR) END AS keyframe_id FROM (
+KEYFRAMES = """SELECT *, CAST(video_id AS VARCHAR) || '-' || CASE WHEN seq < 1000 THEN lpad(CAST(seq AS VARCHAR), 3, '0') ELSE CAST(seq AS VARCHAR) END AS keyframe_id FROM (
     SELECT c.video_id, c.seq, c.target, arg_max({'second': c.second, 'event_id': s.event_id, 'sharpness': s.sharpness}, {'a': s.sharpness, 'b': -c.k}) AS b FROM (
       SELECT video_id, seq, target, k, greatest(0, target + o) AS second FROM tg, (VALUES (0, -0.6::DOUBLE), (1, 0.0), (2, 0.6)) t(k, o)) c
     JOIN spans s ON s.video_id = c.video_id AND c.second >= s.s0 AND c.second < s.s1 GROUP BY ALL)"""

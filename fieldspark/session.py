@@ -33,11 +33,14 @@ def build_session(app: str = "fieldspark", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder is created and remembered on the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local, as in tests, a temporary folder is created and remembered on the session.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get("spark.fieldspark.scratch", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors of {master} share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.fieldspark.scratch", configured)
     return configured

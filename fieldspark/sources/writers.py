@@ -50,18 +50,30 @@ def resume_write(
 ) -> int:
     """Score only frames without a stored result of this run and schema; append them. Returns rows left before.
 
-    Interrupted appends leave nothing visible (the job commits as a whole), so a restart
-    continues after the last good append.
+    Results lie in a folder per run and schema version. Interrupted appends leave nothing visible (the job commits as a
+    whole), so a restart continues after the last good append. Rows of other schema versions of the run go once the new ones are there.
     """
     spark = frames.sparkSession
     known = _existing(spark, path)
     todo = frames if known is None else reuse_results(frames, known, run_id, schema_version, key)[1]
     left = todo.count()
+    layout = f"layout=v{schema_version}"
     if left:
-        score(todo).withColumn("run_id", F.lit(run_id)).withColumn("schema_version", F.lit(schema_version)).write.mode("append").parquet(path)
+        rows = score(todo).withColumn("run_id", F.lit(run_id)).withColumn("schema_version", F.lit(schema_version))
+        rows.write.mode("append").parquet(f"{path}/result_of={run_id}/{layout}")
+    _drop_others(spark, f"{path}/result_of={run_id}", layout)
     return left
 
 
+def _drop_others(spark: SparkSession, folder: str, stays: str) -> None:
+    """Remove all sub-folders but one, in whatever file system the folder is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in files.listStatus(place) if files.exists(place) else []:
+        if entry.isDirectory() and entry.getPath().getName() != stays:
+            files.delete(entry.getPath(), True)
+
+
 def write_geojson_lines(points: DataFrame, path: str, group: Sequence[str], order: str = "idx", lng: str = "lng", lat: str = "lat") -> None:
     """One LineString feature per text line."""
     geojson_lines(points, group, order, lng, lat).select("feature").write.mode("overwrite").text(path)

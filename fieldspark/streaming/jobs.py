@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fieldspark.operators.terrain import CENTRELINE_SCHEMA, MIN_MOTION_INLIERS, NEAR_FIELD_WIDTH_M, REQUIRED_WIDTH_M, trace_centreline
+from fieldspark.operators.terrain import CENTRELINE_SCHEMA, MIN_MOTION_INLIERS, NEAR_FIELD_WIDTH_M, NO_LINE, REQUIRED_WIDTH_M, trace_centreline
 from fieldspark.operators.tracking import advance
 
 LATENESS = "10 minutes"
@@ -87,7 +87,7 @@ def stream_corridor_state(
     """Centre lines with memory of the previous frame: its line, moved by the camera motion, and the stable count.
 
     Input rows are frames ``(video, frame_index, runs array<struct<y,x0,x1>>, m, inliers, visibility, ground_confidence)``.
-    A lost line resets the memory.
+    A lost line resets the memory. Frames at or before the last one come out as 'late' for a side table.
     """
     key_type = stream.schema[video].dataType
     output = T.StructType([T.StructField(video, key_type), T.StructField("frame_index", T.LongType()), *T.StructType.fromDDL(CENTRELINE_SCHEMA).fields])
@@ -101,6 +101,7 @@ def stream_corridor_state(
         rows = []
         for row in _ordered(batches).itertuples(index=False):
             if row.frame_index <= last:
+                rows.append({video: key[0], "frame_index": row.frame_index, **NO_LINE, "status": "late"})
                 continue
             free, clearance = np.zeros((height, width), bool), np.zeros((height, width), np.float32)
             for run in row.runs:
