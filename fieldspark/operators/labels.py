@@ -60,8 +60,8 @@ def flag_conflicts(flags: DataFrame, annotations: DataFrame, key: Sequence[str])
 
 
 def describe_classes(df: DataFrame, ontology: DataFrame, column: str = "class_id") -> DataFrame:
-    """Add layer, label, colour and mask value; the ontology has a fixed 23 rows."""
-    return df.join(F.broadcast(ontology.withColumnRenamed("class_id", column)), column, "left")
+    """Add layer, label, colour and mask value; Spark broadcasts the ontology while it is as small as its 23 rows."""
+    return df.join(ontology.withColumnRenamed("class_id", column), column, "left")
 
 
 def inherit_video_label(frames: DataFrame, videos: DataFrame, by: Sequence[str], label: str = "terrain_category") -> DataFrame:

@@ -36,18 +36,15 @@ def m2(spark, sf):
     return drawn.groupBy(*RASTER, "label").agg(F.count(F.lit(1)).alias("drawn"))
 
 
-PARTS_I = ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(6))
-
-
 @query(
     "a18_gram",
-    "WITH e AS (SELECT " + PARTS_I + ", label::DOUBLE AS y, 1.0 + vec_id % 3 AS w FROM embeddings) "
-    + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round_even(sum(w * e{i} * e{j}), 6) + 0.0 AS value FROM e" for i in range(6) for j in range(i, 6))
-    + " UNION ALL " + " UNION ALL ".join(f"SELECT {i}, -1, round_even(sum(w * e{i} * y), 6) + 0.0 FROM e" for i in range(6)),
+    """WITH e AS (SELECT vec_id, label::DOUBLE AS y, 1.0 + vec_id % 3 AS w, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+    SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round_even(sum(a.w * a.v * b.v), 6) + 0.0 AS value FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL
+    UNION ALL SELECT CAST(i AS INTEGER), -1, round_even(sum(w * v * y), 6) + 0.0 FROM e GROUP BY ALL""",
 )
 def a18(spark, sf):
     rows = table(spark, sf, "embeddings").select(
-        F.transform(F.slice("embedding", 1, 6), lambda v: v.cast("double")).alias("x"), F.array(F.col("label").cast("double")).alias("y"), (1.0 + F.col("vec_id") % 3).alias("w")
+        F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.array(F.col("label").cast("double")).alias("y"), (1.0 + F.col("vec_id") % 3).alias("w")
     )
     upper, moment = N.gram(rows, "x", "y", "w")
     both = upper.unionByName(moment.select("i", F.lit(-1).alias("j"), "value"))
@@ -56,7 +53,7 @@ def a18(spark, sf):
 
 def _toy() -> N.Model:
     """A small model with parameters from a rule, so that SQL can hold them as numbers."""
-    d, k = 6, 4
+    d, k = 64, 4
     grid = np.fromfunction(lambda i, j: np.sin(i * 7 + j * 3 + 1), (d, k))
     return N.Model(np.arange(d) / 50, 0.1 + np.arange(d) / 20, grid, np.arange(k) / 3, np.array([0.5, -1.0, 0.75, 0.25, 0.1]))
 
@@ -66,14 +63,14 @@ def _toy_text() -> str:
     num = lambda v: f"{float(v)!r}::DOUBLE"
     terms = []
     for j in range(4):
-        dot = " + ".join(f"((embedding[{i + 1}]::DOUBLE - {num(m.mean[i])}) / {num(m.scale[i])}) * {num(m.projection[i, j])}" for i in range(6))
+        dot = " + ".join(f"((embedding[{i + 1}]::DOUBLE - {num(m.mean[i])}) / {num(m.scale[i])}) * {num(m.projection[i, j])}" for i in range(len(m.mean)))
         terms.append(f"{num(m.weights[j])} * {num(math.sqrt(0.5))} * cos({dot} + {num(m.phase[j])})")
     return f"SELECT vec_id, round_even({' + '.join(terms)} + {num(m.weights[4])}, 6) + 0.0 AS score FROM embeddings"
 
 
 @query("m4_score", _toy_text())
 def m4(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 6), lambda v: v.cast("double")).alias("features"))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("features"))
     return N.score(rows, _toy()).withColumn("score", F.bround("score", 6))
 
 
@@ -272,7 +269,7 @@ def m9(spark, sf):
     e = table(spark, sf, "embeddings")
     descriptors = e.select((F.col("label") % 3).alias("mission_id"), (F.col("vec_id") % 40).alias("video_id"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
     videos = descriptors.select("mission_id", "video_id").distinct().withColumn("terrain_category", F.concat(F.lit("kind-"), F.col("mission_id").cast("string")))
-    return T.train_terrain_model(descriptors, videos, 64, random_features=64)["overall"]
+    return T.train_terrain_model(descriptors, videos, 64)["overall"]
 
 
 @query("k6_evaluation_report", sql(

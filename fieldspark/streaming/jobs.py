@@ -34,10 +34,16 @@ def stream_score(stream: DataFrame, score: Callable[[DataFrame], DataFrame], pat
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_interval_alerts(stream: DataFrame, intervals: DataFrame, by: Sequence[str] = ("video_id",)) -> DataFrame:
-    """Frames inside an off-path interval: stream-static join on the video with a range test."""
-    spans = intervals.select(*by, F.col("id").alias("interval_id"), "start_ms", "end_ms")
-    return stream.join(spans, list(by)).where((F.col("timestamp_ms") >= F.col("start_ms")) & (F.col("timestamp_ms") < F.col("end_ms")))
+def stream_interval_alerts(stream: DataFrame, intervals: DataFrame, by: Sequence[str] = ("video_id",), bucket_ms: int = 600_000) -> DataFrame:
+    """Frames inside an off-path interval: stream-static join on video and time bucket, then the exact range test.
+
+    An interval has a row for every bucket it touches, so a frame meets only the intervals around it.
+    """
+    bucket = lambda ms: F.floor(ms / bucket_ms).cast("long")
+    touched = F.explode(F.sequence(bucket(F.col("start_ms")), bucket(F.col("end_ms") - 1))).alias("_bucket")
+    spans = intervals.where("start_ms < end_ms").select(*by, F.col("id").alias("interval_id"), "start_ms", "end_ms", touched)
+    near = stream.withColumn("_bucket", bucket(F.col("timestamp_ms"))).join(spans, [*by, "_bucket"]).drop("_bucket")
+    return near.where((F.col("timestamp_ms") >= F.col("start_ms")) & (F.col("timestamp_ms") < F.col("end_ms")))
 
 
 def with_lateness(stream: DataFrame, column: str = "event_time", delay: str = LATENESS) -> DataFrame:
