@@ -30,7 +30,21 @@ def j15(spark, sf):
     return K.candidate_matches(d, d).withColumn("score", F.bround("score", 6))
 
 
-@query("d1_suppress_duplicates")
+KEPT_IOU = IOU.replace("a.", "d.").replace("b.", "k.")
+
+
+@query(
+    "d1_suppress_duplicates",
+    sql(
+        """SELECT video_id, frame_index, unnest(kept).id AS detection_id FROM walk JOIN (SELECT video_id, frame_index, max(r) AS r FROM ranked GROUP BY ALL) USING (video_id, frame_index, r)""",
+        "dets",
+        ranked="""SELECT video_id, frame_index // 8 AS frame_index, detection_id, x1, y1, x2, y2, row_number() OVER (PARTITION BY video_id, frame_index // 8 ORDER BY confidence DESC, detection_id) AS r FROM dets""",
+        walk=f"""SELECT DISTINCT video_id, frame_index, 0::BIGINT AS r, []::STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] AS kept FROM ranked
+        UNION ALL SELECT w.video_id, w.frame_index, d.r, CASE WHEN len(list_filter(w.kept, lambda k: abs((d.x1 + d.x2) / 2 - (k.x1 + k.x2) / 2) < 0.2 AND {KEPT_IOU} > 0.04)) > 0 THEN w.kept
+          ELSE list_append(w.kept, {{'id': d.detection_id, 'x1': d.x1, 'y1': d.y1, 'x2': d.x2, 'y2': d.y2}}) END
+        FROM walk w JOIN ranked d ON d.video_id = w.video_id AND d.frame_index = w.frame_index AND d.r = w.r + 1""",
+    ),
+)
 def d1(spark, sf):
     # Whole seconds of a video are crowded frames here, so that duplicates occur.
     d = B.detections(spark, sf).withColumn("frame_index", F.expr("frame_index div 8"))
