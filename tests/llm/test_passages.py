@@ -97,6 +97,9 @@ def overlap(doc, item):
     span = min(16, len(item))
     if len(item) < 8:
         return None
+    known, need = set(doc), span - span * 3 // 16
+    if all(sum(w in known for w in item[q : q + span]) < need for q in range(len(item) - span + 1)):
+        return None  # too few of its words are in the document at all
     best = -1
     for q, p in itertools.product(range(len(item) - span + 1), range(len(doc) - span + 1)):
         best = max(best, sum(a == b for a, b in zip(doc[p : p + span], item[q : q + span])))
