@@ -40,6 +40,12 @@ def build(ids: DataFrame) -> Broadcast:
     return ids.sparkSession.sparkContext.broadcast(table)
 
 
+def hits(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """False where an id is certainly not in the filter."""
+    one, two = _places(ids)
+    return ((table[one >> 6] >> (one & 63)) & (table[two >> 6] >> (two & 63)) & 1).astype(bool)
+
+
 def maybe(rows: DataFrame, column: str, filter_: Broadcast) -> DataFrame:
     """``rows`` with the flag ``_maybe``: false where the long in ``column`` is certainly not among the ids, or null."""
     at = rows.columns.index(column)
@@ -47,9 +53,7 @@ def maybe(rows: DataFrame, column: str, filter_: Broadcast) -> DataFrame:
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = filter_.value
         for batch in batches:
-            one, two = _places(batch.column(at).fill_null(0).to_numpy())
-            hit = (table[one >> 6] >> (one & 63)) & (table[two >> 6] >> (two & 63)) & 1
-            hit = hit.astype(bool) & batch.column(at).is_valid().to_numpy(zero_copy_only=False)
+            hit = hits(table, batch.column(at).fill_null(0).to_numpy()) & batch.column(at).is_valid().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], [*batch.schema.names, "_maybe"])
 
     return rows.mapInArrow(flag, StructType([*rows.schema.fields, StructField("_maybe", BooleanType())]))

@@ -145,6 +145,83 @@ def test_held_out_text_beats_shuffled_letters(spark):
     assert all(got[i - 10**6] > got[i] for i, _ in mixed)
 
 
+def brute_force_score(rows, depth=2, seen=2):
+    """Per row: log10 of the product over tokens of p(token | longest kept suffix) / p(token), from plain n-gram counts."""
+    out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    run = lambda t: (None, *words(t), None)
+    single = Counter(w for i, t in rows if not out(i) for w in run(t)[1:])
+    n = sum(single.values())
+    grams = [Counter(run(t)[k : k + d + 1] for i, t in rows if not out(i) for k in range(len(run(t)) - d)) for d in range(depth + 1)]
+    grams[0] = Counter({(w,): c for w, c in single.items()})
+    follow = [{} for _ in grams]
+    for d in range(depth + 1):
+        for g, c in grams[d].items():
+            follow[d].setdefault(g[:-1], {})[g[-1]] = c
+    follow[1:] = [{h: f for h, f in x.items() if sum(f.values()) >= seen} for x in follow[1:]]
+    kept = [set() for _ in grams]
+    for d in range(depth, 0, -1):
+        for h, f in follow[d].items():
+            up, total = follow[d - 1][h[1:]], sum(f.values())
+            gain = sum(c * math.log(c * sum(up.values()) / (total * up[w])) for w, c in f.items())
+            if 2 * gain > len(f) + 4 * math.sqrt(len(f)):
+                kept[d].add(h)
+        if d < depth:
+            kept[d] |= {h[1:] for h in kept[d + 1]}
+    some = [Counter(min(c, 3) for h, f in follow[d].items() for c in f.values()) for d in range(depth + 1)]
+    for d in range(1, depth + 1):  # the discount is learned from all transitions of contexts that were looked at
+        deep = [c for g, c in grams[d].items() if d == 1 or grams[d - 1][g[:-1]] >= seen]
+        some[d] = Counter(min(c, 3) for c in deep)
+    discount = [min(0.95, max(0.1, s[1] / (s[1] + 2 * s[2]))) if s[1] else 0.5 for s in some]
+    return run, single, n, follow, kept, discount
+
+
+@pytest.mark.parametrize("hot", [op7.HOT, 0.02])
+def test_word_contexts_equal_brute_force(spark, monkeypatch, hot):
+    rows = [(i, t) for i, t in corpus() if i is not None]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    run, single, n, follow, kept, discount = brute_force_score(rows)
+    monkeypatch.setattr(op7, "WORD_DEPTH", 0)
+    monkeypatch.setattr(op7, "grow_words", lambda docs, words: (words.selectExpr("key", "n", "0.0D as value"), []))
+    monkeypatch.setattr(op7, "_sequences", lambda w, most, whole=op7._sequences: whole(w, 2))
+    # held-out documents of one word give each word's own probability, spelling included
+    spare = (i for i in range(10**6, 10**7) if zlib.crc32(str(i).encode()) % 5 == 1)
+    alone = {next(spare): w for w in ["", *sorted({w for _, t in rows for w in words(t)})]}
+    single_logp = {alone[r["doc_id"]]: r["score"] for r in op7.scores(table(spark, [*rows, *alone.items()])).collect() if r["doc_id"] in alone}
+    logp = {w or None: x - (single_logp[""] if w else 0) for w, x in single_logp.items()}
+    monkeypatch.undo()
+    monkeypatch.setattr(op7, "HOT", hot)
+    got = {r["doc_id"]: r["score"] for r in op7.scores(table(spark, rows)).collect()}
+
+    def p(w, h, base):
+        if not h:
+            return base
+        if h not in kept[len(h)]:
+            return p(w, h[1:], base)
+        f = follow[len(h)][h]
+        total = sum(f.values())
+        return max(f.get(w, 0) - discount[len(h)], 0) / total + discount[len(h)] * len(f) / total * p(w, h[1:], base)
+
+    for i, t in rows:
+        tokens = run(t)
+        want = sum(math.log10(p(tokens[k], tokens[max(0, k - 2) : k], 10 ** logp[tokens[k]])) for k in range(1, len(tokens)))
+        assert abs(got[i] - want) < 1e-5 * (1 + abs(want)), (i, got[i], want)
+    assert kept[1] and kept[2]
+
+
+def test_word_order_counts(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300).select("doc_id", "text").toPandas()
+    learned = [(i, t) for i, t in zip(docs.doc_id, docs.text) if t and zlib.crc32(str(i).encode()) % 5 != 1]
+    out = [i for i in range(10**6, 10**6 + 400) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows, pairs = [(int(i), t) for i, t in learned], []
+    for k, (_, t) in enumerate(learned[: len(out) // 2]):
+        one, two = out[2 * k], out[2 * k + 1]
+        rows += [(one, t), (two, " ".join(rng.permutation(words(t))))]
+        pairs.append((one, two))
+    got = {r["doc_id"]: r["score"] for r in op7.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 20 and all(got[a] > got[b] + 1 for a, b in pairs if len(words(dict(rows)[a])) > 5)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOC)
     assert op3.quality(none).collect() == [] and op3.keep_good(none).collect() == [] and op7.scores(none).collect() == []
