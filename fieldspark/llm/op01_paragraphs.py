@@ -7,8 +7,9 @@ Equal shingle sets (five words) are one class, formed before anything is compare
 is one item. Classes get eight minima in four bands of two: at similarity 0.8 a pair is missed with probability 0.02, at the 0.86
 of a changed word at the edge of a usual paragraph with 0.005. Classes that collide are verified by exact Jaccard similarity (0.8 or more), and
 components of verified pairs say which paragraphs repeat another: all but the first place of a component are removed.
-Single short lines that many documents share are not passages: a repeated paragraph counts where it and its repeated neighbours,
-at most ``GAP`` words apart, span ``STRETCH`` words or more.
+
+A passage inside a longer line need not hold a whole paragraph. So every stretch of 50 words that stands at two places is found as
+well (``op04``'s stretches at minimisers, which miss none), and its touching stretches are joined: such passages come out whole.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.llm import bloom, links, text
+from fieldspark.llm.graph import components
 from fieldspark.llm.neighbours import shared
+from fieldspark.llm.op04_sparse_suffixes import LENGTH, candidate_stretches
 from fieldspark.llm.store import keep
 
 REACH, SHORTEST, SIZE, THRESHOLD = 6, 7, 5, 80
-GAP, STRETCH = 16, 16
 BANDS, ROWS = 4, 2
 LIKELY = 3 / 8  # of the minima; a pair of similarity 0.8 has fewer with probability 0.001
 _RNG = np.random.default_rng(1907)
@@ -142,12 +144,13 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(read, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, row, first_word, last_word, start, end, component, first_doc_id, removed``: a row for every paragraph that another place repeats, itself included,
-    in a stretch of at least ``stretch`` words.
+    and for every repeated passage of ``LENGTH`` words or more.
 
     ``start, end`` count code points. ``component``: its class's smallest id over verified links; ``first_doc_id``: where its first place
-    is; ``removed``: false at that place only. Null and empty texts have no paragraphs. Rows that repeat id and text count once; rows that repeat only
+    is; ``removed``: false at that place only. Passages have components of their own: those that share stretches, directly or over others;
+    ``removed`` is false for the passages made of the first places of stretches. Null and empty texts have no paragraphs. Rows that repeat id and text count once; rows that repeat only
     the id are different documents; a null id comes first. Other columns are ignored; no rows give no rows.
     """
     rows = _documents(docs, id_col, text_col)
@@ -208,10 +211,41 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     places = rows.select("doc_id", "row", "text").mapInArrow(locate, "id long, doc_id long, row long, first_word int, last_word int, start long, end long")
     places = bloom.maybe(places, "id", bloom.build(found.select("id"))).where("_maybe").drop("_maybe")
     out = places.join(found, "id").distinct()
-    in_order = Window.partitionBy("row").orderBy("first_word")
-    apart = F.col("first_word") > F.lag("last_word").over(in_order) + 1 + GAP
-    out = out.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(in_order))
-    whole = Window.partitionBy("row", "run")
-    out = out.withColumn("span", F.max("last_word").over(whole) - F.min("first_word").over(whole) + 1).where(F.col("span") >= stretch)
     removed = ~F.struct("doc_id", "row", "first_word").eqNullSafe(F.col("first"))
-    return out.select("doc_id", "row", "first_word", "last_word", "start", "end", "component", F.col("first.doc_id").alias("first_doc_id"), removed.alias("removed"))
+    out = out.select("doc_id", "row", "first_word", "last_word", "start", "end", "component", F.col("first.doc_id").alias("first_doc_id"), removed.alias("removed"))
+    return out.unionByName(passages(rows))
+
+
+def passages(rows: DataFrame) -> DataFrame:
+    """The repeated passages of ``doc_id, text, row``, in the columns of ``repeated_paragraphs``."""
+    place = F.struct("doc_id", "row", "start")
+    stretches = candidate_stretches(rows)
+    groups = stretches.groupBy("stretch").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    places = stretches.join(groups, "stretch").withColumn("removed", ~place.eqNullSafe(F.col("first")))
+    in_order = Window.partitionBy("row", "removed").orderBy("start")
+    apart = F.col("start") > F.lag("start").over(in_order) + LENGTH
+    places = places.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(in_order))
+    whole = Window.partitionBy("row", "removed", "run")
+    places = places.withColumns({"first_word": F.min("start").over(whole), "last_word": F.max("start").over(whole) + LENGTH - 1})
+    places = keep(places.withColumn("node", F.xxhash64("row", "removed", "first_word")).select("stretch", "doc_id", "row", "removed", "first_word", "last_word", "node"), "passages")
+    firsts = places.where("not removed").select("stretch", F.col("node").alias("b"))
+    linked = components(places.where("removed").select("stretch", F.col("node").alias("a")).join(firsts, "stretch").select("a", "b").distinct())
+    found = keep(places.drop("stretch").distinct().join(linked, "node"), "components")
+    groups = found.where("not removed").groupBy("component").agg(F.min(F.struct("doc_id", "row", "first_word")).alias("first"))
+    spans = found.join(groups, "component").select("row", F.struct("first_word", "last_word", "component", F.col("first.doc_id").alias("first_doc_id"), "removed").alias("span"))
+    spans = keep(spans.groupBy("row").agg(F.collect_list("span").alias("spans")), "spans")
+    texts = bloom.maybe(rows.select("row", "doc_id", "text"), "row", bloom.build(spans.select("row"))).where("_maybe")
+    texts = texts.join(spans, "row").dropDuplicates(["row"]).select("doc_id", "row", "text", "spans")
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text.slices(batch.column(2)):
+                w, chars, some = text.words(part), text.char_counts(part), batch.column(3)[part.rows]
+                doc = np.repeat(np.arange(len(some)), some.value_lengths().to_numpy())
+                first_word, last_word, component, first_doc_id, removed = some.flatten().flatten()
+                base = chars[part.offsets[doc]]
+                columns = {"doc_id": batch.column(0)[part.rows].take(pa.array(doc)), "row": batch.column(1)[part.rows].take(pa.array(doc)), "first_word": first_word, "last_word": last_word}
+                columns |= {"start": chars[w.start[w.first[doc] + first_word.to_numpy()]] - base, "end": chars[w.end[w.first[doc] + last_word.to_numpy()]] - base}
+                yield pa.record_batch(columns | {"component": component, "first_doc_id": first_doc_id, "removed": removed})
+
+    return texts.mapInArrow(locate, "doc_id long, row long, first_word int, last_word int, start long, end long, component long, first_doc_id long, removed boolean")

@@ -56,14 +56,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.col("text").isNotNull()).withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, prefix: int = PREFIX) -> DataFrame:
-    """``doc_id, row, spans``: for each document with repeats its maximal passages ``start, end`` in words.
-
-    A stretch of ``length`` words (A-Z lower-cased) is a repeat if it also stands at an earlier place, by doc_id (null first), then
-    a hash of id and text, then position; a passage is a maximal union of overlapping or touching repeats. Null, empty and shorter texts have none.
-    Rows that repeat id and text count once; rows that repeat only the id are different documents. No rows give no rows.
-    """
-    rows = _rows(docs, id_col, text_col).where(F.length("text") >= 2 * length - 1)
+def candidate_stretches(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX) -> DataFrame:
+    """``stretch, doc_id, row, start`` (written) of ``doc_id, text, row``: every stretch of ``length`` words that another place may hold too, none missed."""
+    rows = rows.where(F.length("text") >= 2 * length - 1)
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +94,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     some = bloom.maybe(rows, "row", bloom.build(candidates.select("row"))).where("_maybe")
     whole = some.join(candidates, "row").dropDuplicates(["row"]).select("row", "doc_id", "text", "positions")
-    stretches = keep(whole.mapInArrow(extend, "stretch long, doc_id long, row long, start int"), "stretches")
+    return keep(whole.mapInArrow(extend, "stretch long, doc_id long, row long, start int"), "stretches")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, prefix: int = PREFIX) -> DataFrame:
+    """``doc_id, row, spans``: for each document with repeats its maximal passages ``start, end`` in words.
+
+    A stretch of ``length`` words (A-Z lower-cased) is a repeat if it also stands at an earlier place, by doc_id (null first), then
+    a hash of id and text, then position; a passage is a maximal union of overlapping or touching repeats. Null, empty and shorter texts have none.
+    Rows that repeat id and text count once; rows that repeat only the id are different documents. No rows give no rows.
+    """
+    stretches = candidate_stretches(_rows(docs, id_col, text_col), length, prefix)
     marked = keep(later(stretches, "stretch", "doc_id", "row", "start"), "marked")
     found = settle(marked, "stretch").groupBy("row", "doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 

@@ -92,6 +92,28 @@ def test_near_paragraphs_are_verified(spark):
     assert {r["doc_id"] for r in got} == {0, 1}
 
 
+def test_passages_inside_lines_come_out_whole(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k in range(60):
+        passage = sentence(rng, 51 + k % 5, 10**6)
+        for copy in range(2):
+            before = sentence(rng, 3 + rng.randrange(30), 10**6)
+            rows.append((2 * k + copy, f"{before} {passage} {sentence(rng, 3 + rng.randrange(30), 10**6)}"))
+            want[2 * k + copy] = (len(words(before)), len(words(before)) + len(words(passage)) - 1, bool(copy), 2 * k, passage)
+    got = op01_paragraphs.repeated_paragraphs(table(spark, rows)).collect()
+    found = {(r["doc_id"], r["first_word"], r["last_word"], r["removed"], r["first_doc_id"], dict(rows)[r["doc_id"]][r["start"] : r["end"]]) for r in got}
+    assert all((i, *x) in found for i, x in want.items())
+
+
+def test_repeated_paragraphs_that_stand_alone_stay(spark):
+    rng = random.Random(13)
+    short = sentence(rng, 9, 10**6)
+    rows = [(k, f"{sentence(rng, 40, 10**6)}\n{short}\n{sentence(rng, 40, 10**6)}") for k in range(8)]
+    got = op01_paragraphs.repeated_paragraphs(table(spark, rows)).collect()
+    assert {r["doc_id"] for r in got if (r["first_word"], r["last_word"]) == (40, 48)} == set(range(8)) and sum(not r["removed"] for r in got) >= 1
+
+
 def overlap(doc, item):
     """The most equal words in a span, or None."""
     span = min(16, len(item))
