@@ -1,11 +1,11 @@
 """Repeated paragraphs by MinHash banding.
 
 Texts are cut into paragraphs: at line feeds, and longer lines at words whose hash is the lowest within ``REACH`` words on both
-sides, so a passage is cut alike wherever it stands. Paragraphs of fewer than ``SHORTEST`` words are not looked at.
+sides, so a passage is cut alike wherever it stands; such pieces of fewer than ``SHORTEST`` words are not looked at. Whole lines of
+``SIZE`` words or more are paragraphs too, beside their pieces, and are compared with other lines only.
 
 Equal shingle sets (five words) are one class, formed before anything is compared, so a paragraph in a third of all documents
-is one item. Classes get eight minima in four bands of two: at similarity 0.8 a pair is missed with probability 0.02, at the 0.86
-of a changed word at the edge of a usual paragraph with 0.005. Classes that collide are verified by exact Jaccard similarity (0.8 or more), and
+is one item. Classes get 24 minima in twelve bands of two: at similarity 0.8 a pair is missed with probability 0.000005. Classes that collide are verified by exact Jaccard similarity (0.8 or more), and
 components of verified pairs say which paragraphs repeat another: all but the first place of a component are removed.
 
 A passage inside a longer line need not hold a whole paragraph. So every stretch of 50 words that stands at two places is found as
@@ -15,6 +15,7 @@ well (``op04``'s stretches at minimisers, which miss none), and its touching str
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,17 @@ from fieldspark.llm.op04_sparse_suffixes import LENGTH, candidate_stretches
 from fieldspark.llm.store import keep
 
 REACH, SHORTEST, SIZE, THRESHOLD = 6, 7, 5, 80
-BANDS, ROWS = 4, 2
-LIKELY = 3 / 8  # of the minima; a pair of similarity 0.8 has fewer with probability 0.001
+BANDS, ROWS = 12, 2
+SIGNED = 16  # minima of which four bits are kept
+LIKELY = 3 / 8  # of those; a pair of similarity 0.8 has fewer with probability 0.00002
+_LINE = np.uint64(0xD1B54A32D192ED03)
 _RNG = np.random.default_rng(1907)
 _XOR, _MULTIPLY = (_RNG.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) for _ in range(2))
 _MULTIPLY |= np.uint64(1)
 
 
-def cut(part: text.Slice, w: text.Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word of every paragraph of a slice, and the words' own count as last entry; documents begin new ones."""
+def cut(part: text.Slice, w: text.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of every piece and of every line of a slice, and the words' own count as last entry of both; documents begin new ones."""
     n = len(w.hash)
     start = np.zeros(n + 1, bool)
     start[w.first[:-1][np.diff(w.first) > 0]] = True
@@ -44,7 +47,7 @@ def cut(part: text.Slice, w: text.Words) -> tuple[np.ndarray, np.ndarray]:
     breaks = np.flatnonzero(part.data == 0x0A)
     start[np.searchsorted(w.start, breaks)] = True
     span = 2 * REACH + 1
-    line = np.cumsum(start[:n])
+    line, lines = np.cumsum(start[:n]), np.flatnonzero(start)
     if n >= span:  # a window over a line's edge has no lowest word, so whole lines are cut alike everywhere
         low, size = w.hash, 1
         while 2 * size <= span:
@@ -53,25 +56,36 @@ def cut(part: text.Slice, w: text.Words) -> tuple[np.ndarray, np.ndarray]:
         low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
         centre = np.arange(REACH, REACH + len(low))
         start[centre[(w.hash[centre] == low) & (line[centre - REACH] == line[centre + REACH])]] = True
-    return np.flatnonzero(start), w.doc
+    return np.flatnonzero(start), lines, w.doc
 
 
-def paragraphs(part: text.Slice) -> tuple[text.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words; document, first word and end of each paragraph that is long enough; shingle hash at every word."""
+@dataclass
+class Paragraphs:
+    """Pieces, then lines, that are long enough: document, first word and end of each, and whether it is a line; the words, and the shingle hash at every word."""
+
+    words: text.Words
+    doc: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    line: np.ndarray
+    g: np.ndarray
+
+
+def paragraphs(part: text.Slice) -> Paragraphs:
     w = text.words(part)
-    starts, doc = cut(part, w)
-    first, last = starts[:-1], starts[1:]
-    good = last - first >= SHORTEST
-    first, last = first[good], last[good]
-    g = text.grams(w.hash, SIZE)
-    return w, doc[first] if len(first) else first, first, last, g
+    pieces, lines, doc = cut(part, w)
+    first, last = np.concatenate([pieces[:-1], lines[:-1]]), np.concatenate([pieces[1:], lines[1:]])
+    line = np.arange(len(first)) >= len(pieces) - 1
+    good = last - first >= np.where(line, SIZE, SHORTEST)
+    first, last, line = first[good], last[good], line[good]
+    return Paragraphs(w, doc[first] if len(first) else first, first, last, line, text.grams(w.hash, SIZE))
 
 
-def _sets(first: np.ndarray, last: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of all paragraphs, one after another and sorted; where each begins (one more entry); hash of each set."""
-    n = last - first - SIZE + 1
+def _sets(p: Paragraphs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of all paragraphs, one after another and sorted; where each begins (one more entry); hash of each set. Lines have other shingles than pieces."""
+    n = p.last - p.first - SIZE + 1
     owner = np.repeat(np.arange(len(n)), n)
-    flat = g[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[owner]]
+    flat = p.g[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + p.first[owner]] ^ np.where(p.line, _LINE, np.uint64(0))[owner]
     order = np.lexsort((flat, owner))
     flat, owner = flat[order], owner[order]
     new = np.ones(len(flat), bool)
@@ -92,7 +106,7 @@ def _minima(flat: np.ndarray, upto: np.ndarray) -> np.ndarray:
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows that repeat both id and text are one document: ``row`` is a hash of the two."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.where(F.length("text") >= 2 * SHORTEST - 1).withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
+    return rows.where(F.length("text") >= 2 * SIZE - 1).withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -102,12 +116,13 @@ def classes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             row = batch.column(1).to_numpy()
             for part in text.slices(batch.column(2)):
-                w, doc, first, last, g = paragraphs(part)
-                flat, upto, ids = _sets(first, last, g)
+                p = paragraphs(part)
+                w, doc, first = p.words, p.doc, p.first
+                flat, upto, ids = _sets(p)
                 low = _minima(flat, upto)
                 factors = text.mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
                 bands = text.mix((low.reshape(-1, BANDS, ROWS) * factors).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) >> np.uint64(16)
-                nibbles = (low & np.uint64(15)) << (np.uint64(4) * np.arange(BANDS * ROWS, dtype=np.uint64))
+                nibbles = (low[:, :SIGNED] & np.uint64(15)) << (np.uint64(4) * np.arange(SIGNED, dtype=np.uint64))
                 yield pa.record_batch(
                     {
                         "id": text.signed(ids),
@@ -115,11 +130,11 @@ def classes(docs: DataFrame) -> DataFrame:
                         "row": row[part.rows][doc],
                         "first_word": (first - w.first[doc]).astype(np.int32),
                         **{f"b{k}": text.signed(np.ascontiguousarray(bands[:, k])) for k in range(BANDS)},
-                        "sig": nibbles.sum(axis=1, dtype=np.uint64).astype(np.int64),
+                        "sig": text.signed(nibbles.sum(axis=1, dtype=np.uint64)),
                     }
                 )
 
-    kinds = "id long, doc_id long, row long, first_word int, b0 long, b1 long, b2 long, b3 long, sig long"
+    kinds = f"id long, doc_id long, row long, first_word int, {', '.join(f'b{k} long' for k in range(BANDS))}, sig long"
     rows = docs.select("doc_id", "row", "text").mapInArrow(sign, kinds)
     # bands and signature follow from the set, so any aggregate gives them
     place = F.struct("doc_id", "row", "first_word")
@@ -135,8 +150,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text.slices(batch.column(0)):
-                w, doc, first, last, g = paragraphs(part)
-                flat, upto, ids = _sets(first, last, g)
+                flat, upto, ids = _sets(paragraphs(part))
                 ids = text.signed(ids)
                 take = np.flatnonzero(np.isin(ids, batch.column(1)[part.rows].flatten().to_numpy()))
                 yield pa.record_batch({"id": ids[take], "shingles": pa.array([flat[upto[k] : upto[k + 1]].tobytes() for k in take], pa.binary())})
@@ -160,7 +174,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def likely(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
         apart = sig ^ others
-        return ((apart & 15 == 0).sum(axis=1) + (apart >> 4 == 0).sum(axis=1)) >= LIKELY * BANDS * ROWS
+        return ((apart & 15 == 0).sum(axis=1) + (apart >> 4 == 0).sum(axis=1)) >= LIKELY * SIGNED
 
     def full(ids: DataFrame) -> DataFrame:
         return shingles_of(rows, known.select("id", "place.row").join(ids, "id"))
@@ -182,7 +196,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return pairs.join(two, "b").join(one, "a").select("a", "b", "s_a", "s_b").mapInArrow(check, links.PAIRS)
 
-    packed = known.select("id", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands"), F.unhex(F.lpad(F.hex("sig"), 8, "0")).alias("sig"))
+    packed = known.select("id", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands"), F.unhex(F.lpad(F.hex("sig"), SIGNED, "0")).alias("sig"))
     linked = links.all_links(members, packed, likely, verify, full, THRESHOLD)
     joined = known.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = joined.groupBy("component").agg(F.min("place").alias("first"), F.max("last").alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
@@ -192,8 +206,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             row = batch.column(1).to_numpy()
             for part in text.slices(batch.column(2)):
-                w, doc, first, last, g = paragraphs(part)
-                _, _, ids = _sets(first, last, g)
+                p = paragraphs(part)
+                w, doc, first, last = p.words, p.doc, p.first, p.last
+                _, _, ids = _sets(p)
                 chars = text.char_counts(part)
                 base = chars[part.offsets[doc]]
                 yield pa.record_batch(

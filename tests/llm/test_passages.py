@@ -106,6 +106,24 @@ def test_passages_inside_lines_come_out_whole(spark):
     assert all((i, *x) in found for i, x in want.items())
 
 
+def test_lines_with_a_changed_word_are_near(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(40):
+        line = sentence(rng, 60, 10**6).split()
+        edited = list(line)
+        edited[20 + k % 20] = "edited"
+        rows += [(2 * k, f"{sentence(rng, 20, 10**6)}\n{' '.join(line)}"), (2 * k + 1, f"{sentence(rng, 20, 10**6)}\n{' '.join(edited)}")]
+    got = op01_paragraphs.repeated_paragraphs(table(spark, rows)).collect()
+    whole = {(r["doc_id"], r["removed"], r["first_doc_id"]) for r in got if (r["first_word"], r["last_word"]) == (20, 79)}
+    assert whole == {(k, bool(k % 2), k // 2 * 2) for k in range(80)}
+
+
+def test_bands_miss_few_pairs():
+    at = 0.8
+    assert (1 - at**op01_paragraphs.ROWS) ** op01_paragraphs.BANDS < 1e-5
+
+
 def test_repeated_paragraphs_that_stand_alone_stay(spark):
     rng = random.Random(13)
     short = sentence(rng, 9, 10**6)
