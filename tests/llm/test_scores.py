@@ -47,6 +47,20 @@ def test_verdicts_agree_with_labels(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+@pytest.mark.parametrize("sent", [op3.SENT, 0])
+def test_rare_languages_have_their_own_reference(spark, monkeypatch, sent):
+    monkeypatch.setattr(op3, "SENT", sent)
+    rng = np.random.default_rng(5)
+    text = lambda names, n: " ".join(names[k] for k in np.minimum(rng.geometric(0.05, n), len(names)) - 1)
+    common, rare = [f"w{k}" for k in range(60)], ["".join(chr(0x3B1 + (7 * k + j * j) % 24) for j in range(2 + k % 5)) for k in range(60)]
+    rows = [(k, text(common, 2000), "en", "x") for k in range(300)] + [(1000 + k, text(rare, 300), "el", "x") for k in range(4)] + [(2000, text(rare, 300), None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, ref string")
+    got = {r["doc_id"]: r for r in op3.quality(docs).collect()}
+    judged = [k for k, r in got.items() if not r["base_failed"]]
+    assert len(got) == len(rows) and {1000, 1001, 1002, 1003, 2000} <= set(judged) and all(got[k]["kept"] for k in judged)
+    assert sorted(r["doc_id"] for r in op3.keep_good(docs).collect()) == sorted(judged)
+
+
 def test_distance_is_jensen_shannon():
     p, q = np.array([[0.5, 0.5, 0.0], [1.0, 0.0, 0.0], [0.2, 0.3, 0.5]]), np.array([0.0, 0.0, 1.0])
     assert np.allclose(op3.distance(p, q)[:2], 1.0) and op3.distance(p, p[2])[2] == 0
