@@ -1,12 +1,12 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by winnowing and window fingerprints, in place of a sparse suffix array.
 
-Suffixes of documents are retained only at minimiser positions: of every ``LENGTH`` words the position whose ``PREFIX`` words
-hash lowest. Equal stretches of that length retain the same position, so no repeat is missed, and one suffix in sixteen is.
+Positions of documents are retained only at minimisers: of every ``LENGTH`` words the position whose ``PREFIX`` words
+hash lowest. Equal stretches of that length retain the same position, so no repeat is missed, and one position in sixteen is.
 
-1. The retained suffixes are sorted by their prefix over the whole corpus; one whose prefix no neighbour shares cannot be
+1. The retained positions are sorted by the hash of their prefix over the whole corpus; one whose prefix no neighbour shares cannot be
    part of a repeat and goes.
-2. The others are extended left and right to all stretches of ``LENGTH`` words whose minimiser they are, and these are sorted
-   by content, then place, and compared with their neighbour: all but the first place of a stretch are repeats.
+2. All stretches of ``LENGTH`` words whose minimiser the others are get a 64-bit hash, and these are sorted
+   by hash, then place, and compared with their neighbour: all but the first place of a stretch are repeats.
 3. A document's repeats are joined into maximal passages.
 
 Both sorts are range partitioned on content and place, so a passage that a third of all documents holds is spread out.
