@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and their SQL twins."""
+"""The registered queries of the operators and their SQL twins."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldspark.llm import op01_paragraphs, op02_bbit_minhash, op03_divergence, op04_sparse_suffixes, op05_fourier_quality
 from fieldspark.llm import op06_typed_parts, op07_suffix_tree, op08_token_counts, op09_grouping_genetic
 from fieldspark.llm import op10_spaced_seeds as op10
+from fieldspark.llm import op11_equal_average as op11
 from fieldspark.llm.store import table
 
 
@@ -61,7 +62,15 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("first_word")
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraphs, op2_bbit_minhash, op3_divergence, op4_sparse_suffixes, op5_fourier_quality, op6_typed_parts, op7_suffix_tree, op8_token_counts, op9_grouping_genetic, op10_spaced_seeds)}
+def op11_equal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.compress(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = [
+    op1_paragraphs, op2_bbit_minhash, op3_divergence, op4_sparse_suffixes, op5_fourier_quality, op6_typed_parts, op7_suffix_tree,
+    op8_token_counts, op9_grouping_genetic, op10_spaced_seeds, op11_equal_average,
+]
+QUERIES = {f.__name__: f for f in _ALL}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -122,4 +131,5 @@ SQL = {
     "op2_bbit_minhash": f"WITH RECURSIVE {near_sql(4)} SELECT doc_id, n_shingles, component_id, kept FROM near",
     "op4_sparse_suffixes": f"WITH {repeats_sql()} SELECT doc_id, first_word, last_word FROM repeated",
     "op10_spaced_seeds": f"WITH {overlap_sql()} SELECT doc_id, item_id, matches FROM overlapping",
+    "op11_equal_average": op11.sql(),
 }
