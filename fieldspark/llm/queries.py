@@ -9,14 +9,15 @@ from fieldspark.llm import op01_paragraphs, op02_bbit_minhash, op03_divergence,
 from fieldspark.llm import op06_typed_parts, op07_suffix_tree, op08_token_counts, op09_grouping_genetic
 from fieldspark.llm import op10_spaced_seeds as op10
 from fieldspark.llm import op11_equal_average as op11
+from fieldspark.llm import op12_two_tier_bpe as op12
 from fieldspark.llm.store import table
 
 
-def tokenizer_path() -> str:
-    """Where the tokenizer file lies; the same place on every machine."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a tokenizer file lies; the same place on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +67,14 @@ def op11_equal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    return op12.digests(op12.decode(op12.encode(table(spark, sf_dir, "documents"), path), path))
+
+
 _ALL = [
     op1_paragraphs, op2_bbit_minhash, op3_divergence, op4_sparse_suffixes, op5_fourier_quality, op6_typed_parts, op7_suffix_tree,
-    op8_token_counts, op9_grouping_genetic, op10_spaced_seeds, op11_equal_average,
+    op8_token_counts, op9_grouping_genetic, op10_spaced_seeds, op11_equal_average, op12_two_tier_bpe,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 
