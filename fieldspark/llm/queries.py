@@ -10,6 +10,7 @@ from fieldspark.llm import op06_typed_parts, op07_suffix_tree, op08_token_counts
 from fieldspark.llm import op10_spaced_seeds as op10
 from fieldspark.llm import op11_equal_average as op11
 from fieldspark.llm import op12_two_tier_bpe as op12
+from fieldspark.llm import op13_phrases as op13
 from fieldspark.llm.store import table
 
 
@@ -72,9 +73,13 @@ def op12_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12.digests(op12.decode(op12.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.phrases(table(spark, sf_dir, "documents"))
+
+
 _ALL = [
     op1_paragraphs, op2_bbit_minhash, op3_divergence, op4_sparse_suffixes, op5_fourier_quality, op6_typed_parts, op7_suffix_tree,
-    op8_token_counts, op9_grouping_genetic, op10_spaced_seeds, op11_equal_average, op12_two_tier_bpe,
+    op8_token_counts, op9_grouping_genetic, op10_spaced_seeds, op11_equal_average, op12_two_tier_bpe, op13_phrases,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -138,4 +143,5 @@ SQL = {
     "op4_sparse_suffixes": f"WITH {repeats_sql()} SELECT doc_id, first_word, last_word FROM repeated",
     "op10_spaced_seeds": f"WITH {overlap_sql()} SELECT doc_id, item_id, matches FROM overlapping",
     "op11_equal_average": op11.sql(),
+    "op13_phrases": op13.sql(),
 }
