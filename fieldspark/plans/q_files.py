@@ -206,11 +206,20 @@ def k5_write(spark, sf):
     return parsed.where("type = 'Feature' AND geometry.type = 'LineString'").agg(F.count(F.lit(1)).alias("features"))
 
 
-def as_stream(df: DataFrame, name: str) -> DataFrame:
-    """The table as a file stream."""
-    path = run_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+def as_stream(df: DataFrame, name: str, order: str | None = None, batches: int = 1) -> DataFrame:
+    """The table as a file stream; with ``order``, of as many micro-batches as ``batches``, each with the next equal part of the range of that column."""
+    spark, path = df.sparkSession, run_dir(df.sparkSession, name)
+    if order is None:
+        df.write.parquet(path)
+        return spark.readStream.schema(df.schema).parquet(path)
+    whole = run_dir(spark, f"{name}-whole")
+    df.write.parquet(whole)
+    table_ = spark.read.schema(df.schema).parquet(whole)
+    low, high = table_.agg(F.min(order), F.max(order)).first()
+    for k in range(batches):
+        part = F.least(F.floor((F.col(order) - (low or 0)) * batches / ((high or 0) - (low or 0) + 1)), F.lit(batches - 1))
+        table_.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def finish(query_) -> None:
@@ -236,14 +245,15 @@ def tracked_frames(spark, sf):
     d = B.detections(spark, sf)
     still = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.01, 0.0, 1.0, 0.0)])
     one = F.struct(text("detection_id").alias("detection_id"), "class_id", F.array("x1", "y1", "x2", "y2").alias("box"))
-    return d.groupBy(*RASTER).agg(F.sort_array(F.collect_list(one)).alias("dets")).withColumn("m", still)
+    return d.groupBy(*RASTER).agg(F.sort_array(F.collect_list(one)).alias("dets")).withColumns({"m": still, "event_time": F.timestamp_millis(F.col("frame_index") * 40)})
 
 
 @query("x2_stream_tracks")
 def x2(spark, sf):
-    out = run_dir(spark, "tracks")
-    finish(X.write_stream(X.stream_tracks(as_stream(tracked_frames(spark, sf), "tracked")), out, run_dir(spark, "checkpoint"), True))
-    return spark.read.parquet(out)
+    out, side = run_dir(spark, "tracks"), run_dir(spark, "late-tracks")
+    stream = X.stream_tracks(as_stream(tracked_frames(spark, sf), "tracked", "frame_index", 3))
+    finish(X.write_split(stream, F.col("tracking_status") == "late", out, side, run_dir(spark, "checkpoint"), True))
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
 
 
 @query("x3_stream_corridor_state")
@@ -254,11 +264,12 @@ def x3(spark, sf):
     none = F.array().cast("array<struct<y:int,x0:int,x1:int>>")
     every = B.raster_frames(spark, sf).select(*RASTER).join(found, list(RASTER), "left").withColumn("runs", F.coalesce(F.col("runs").cast("array<struct<y:int,x0:int,x1:int>>"), none))
     rows = every.withColumns(
-        {"m": still, "inliers": F.lit(40), "visibility": F.lit(0.9), "ground_confidence": F.lit(0.8)}
+        {"m": still, "inliers": F.lit(40), "visibility": F.lit(0.9), "ground_confidence": F.lit(0.8), "event_time": F.timestamp_millis(F.col("frame_index") * 40)}
     )
-    out = run_dir(spark, "corridors")
-    finish(X.write_stream(X.stream_corridor_state(as_stream(rows, "drive"), WIDTH, HEIGHT), out, run_dir(spark, "checkpoint"), True))
-    return spark.read.parquet(out).select(*RASTER, "status", "stable_frames", "stability_px", "confidence")
+    out, side = run_dir(spark, "corridors"), run_dir(spark, "late-corridors")
+    stream = X.stream_corridor_state(as_stream(rows, "drive", "frame_index", 3), WIDTH, HEIGHT)
+    finish(X.write_split(stream, F.col("status") == "late", out, side, run_dir(spark, "checkpoint"), True))
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch=*").select(*RASTER, "status", "stable_frames", "stability_px", "confidence")
 
 
 @query(

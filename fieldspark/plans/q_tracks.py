@@ -55,7 +55,7 @@ def tracked(spark, sf):
     d = B.detections(spark, sf)
     still = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.01, 0.0, 1.0, 0.0)])
     motions = d.select(*RASTER).distinct().withColumn("m", still)
-    return K.track_detections(d, motions, huge=B.huge_videos(spark, sf))
+    return K.track_detections(d, motions)
 
 
 @query("d2_track_detections")

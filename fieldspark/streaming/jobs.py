@@ -8,16 +8,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from fieldspark.operators.terrain import CENTRELINE_SCHEMA, MIN_MOTION_INLIERS, NEAR_FIELD_WIDTH_M, NO_LINE, REQUIRED_WIDTH_M, trace_centreline
 from fieldspark.operators.tracking import advance
 
 LATENESS = "10 minutes"
+IDLE_MS = 3_600_000  # event time after which a quiet video is over
 
 
 def stream_score(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -47,81 +48,146 @@ def stream_interval_alerts(stream: DataFrame, intervals: DataFrame, by: Sequence
 
 
 def with_lateness(stream: DataFrame, column: str = "event_time", delay: str = LATENESS) -> DataFrame:
-    """Watermark for windowed aggregates over media arriving late."""
+    """Watermark for media arriving late."""
     return stream.withWatermark(column, delay)
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """All rows of one key in this micro-batch, by frame; a micro-batch is bounded by its trigger."""
-    return pd.concat(list(batches)).sort_values("frame_index", kind="stable")
+class EndingState(StatefulProcessor):
+    """State per video that ends once the watermark is ``idle_ms`` past the video's latest row.
 
+    ``fold(state, row)`` takes the rows in frame order and gives the new state and output rows; ``late(row)`` gives the output of
+    a row that comes too late: at or before the last frame, or before the watermark for a video without state.
+    """
 
-def stream_tracks(stream: DataFrame, size: tuple[float, float] = (1.0, 1.0), video: str = "video_id") -> DataFrame:
+    def __init__(self, columns: list[str], start: dict, fold: Callable, late: Callable, idle_ms: int):
+        self.columns, self.start, self.fold, self.late, self.idle_ms = columns, start, fold, late, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "last long, expires long, state string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        payload = [part[part["clock_at"].isna()] for part in rows]
+        group = pd.concat(payload).sort_values("frame_index", kind="stable")  # bounded by the trigger
+        watermark, out = timerValues.getCurrentWatermarkInMs(), []
+        known = self.kept.exists()
+        last, expires, state = self.kept.get() if known else (None, None, None)
+        state, latest = json.loads(state) if known else self.start, expires
+        for row in group.itertuples(index=False):
+            if (last is not None and row.frame_index <= last) or (not known and row.time_ms < watermark):
+                out += self.late(row)
+                continue
+            state, made = self.fold(state, row)
+            out += made
+            last, known = int(row.frame_index), True
+            latest = max(latest or 0, int(row.time_ms) + self.idle_ms)
+        if last is not None:
+            if latest != expires:
+                if expires is not None:
+                    self.handle.deleteTimer(expires)
+                self.handle.registerTimer(latest)
+            self.kept.update((last, latest, json.dumps(state)))
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=self.columns)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.kept.clear()
+        yield pd.DataFrame([], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _with_ending_state(stream: DataFrame, output: T.StructType, start: dict, fold: Callable, late: Callable, video: str, delay: str, idle_ms: int) -> DataFrame:
+    """Run :class:`EndingState` over ``stream`` with its column ``event_time``.
+
+    Spark drops rows behind the watermark before a stateful operator. So that they can be reported, a row goes in twice: as a
+    payload without event time, and as a clock that moves the watermark and may be dropped.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    columns = [c for c in stream.columns if c != "event_time"]
+    large = [c for c in columns if isinstance(stream.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
+    time = F.unix_millis("event_time").alias("time_ms")
+    payload = F.struct(F.lit(None).cast("timestamp").alias("clock_at"), time, *columns)
+    clock = F.struct(F.col("event_time").alias("clock_at"), time, *[F.lit(None).cast(stream.schema[c].dataType).alias(c) if c in large else c for c in columns])
+    both = with_lateness(stream.select(F.inline(F.array(payload, clock))), "clock_at", delay)
+    processor = EndingState([f.name for f in output.fields], start, fold, late, idle_ms)
+    return both.groupBy(video).transformWithStateInPandas(processor, output, "Append", "EventTime")
+
+
+def stream_tracks(stream: DataFrame, size: tuple[float, float] = (1.0, 1.0), video: str = "video_id", delay: str = LATENESS, idle_ms: int = IDLE_MS) -> DataFrame:
     """Tracker with state per video: the open tracks, at most two frames old.
 
-    Input rows are frames ``(video, frame_index, m, dets array<struct<detection_id,class_id,box>>)``.
-    Frames at or before the last processed one come out as 'late' for a side table.
+    Input rows are frames ``(video, frame_index, event_time, m, dets array<struct<detection_id,class_id,box>>)``. A frame at or
+    before the last processed one, or behind the watermark of a video whose state has ended, comes out as 'late' for a side table.
+    The state of a video ends ``idle_ms`` after its latest event time, by the watermark; a later frame begins new tracks.
     """
     key_type = stream.schema[video].dataType
     output = T.StructType(
         [T.StructField(video, key_type), T.StructField("frame_index", T.LongType()), T.StructField("detection_id", T.StringType()),
          T.StructField("root", T.StringType()), T.StructField("tracking_status", T.StringType())]
     )
-    names = [f.name for f in output.fields]
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, kept = state.get if state.exists else (-1, "{}")
-        open_tracks = json.loads(kept)
-        rows = []
-        for frame, motion, dets in _ordered(batches)[["frame_index", "m", "dets"]].itertuples(index=False):
-            found = list(dets) if dets is not None else []
-            if frame <= last:
-                rows += [(key[0], frame, d["detection_id"], None, "late") for d in found]
-                continue
-            rows += [(key[0], frame, d["detection_id"], root, status) for d, root, status in advance(open_tracks, int(frame), motion, found, size)]
-            last = int(frame)
-        plain = {n: {"class_id": t["class_id"], "box": [float(v) for v in t["box"]], "last": int(t["last"])} for n, t in open_tracks.items()}
-        state.update((last, json.dumps(plain)))
-        yield pd.DataFrame(rows, columns=names)
 
-    return stream.groupBy(video).applyInPandasWithState(update, output, "last long, tracks string", "append", GroupStateTimeout.NoTimeout)
+    def found(row) -> list:
+        return list(row.dets) if row.dets is not None else []
+
+    def fold(state: dict, row) -> tuple[dict, list[tuple]]:
+        open_tracks = dict(state)
+        made = [(row.frame_index, d["detection_id"], root, status) for d, root, status in advance(open_tracks, int(row.frame_index), row.m, found(row), size)]
+        return {n: {"class_id": t["class_id"], "box": [float(v) for v in t["box"]], "last": int(t["last"])} for n, t in open_tracks.items()}, made
+
+    def late(row) -> list[tuple]:
+        return [(row.frame_index, d["detection_id"], None, "late") for d in found(row)]
+
+    return _with_ending_state(stream, output, {}, fold, late, video, delay, idle_ms)
 
 
 def stream_corridor_state(
-    stream: DataFrame, width: int, height: int, vehicle: float = REQUIRED_WIDTH_M, near_field: float = NEAR_FIELD_WIDTH_M, video: str = "video_id"
+    stream: DataFrame, width: int, height: int, vehicle: float = REQUIRED_WIDTH_M, near_field: float = NEAR_FIELD_WIDTH_M, video: str = "video_id", delay: str = LATENESS, idle_ms: int = IDLE_MS
 ) -> DataFrame:
     """Centre lines with memory of the previous frame: its line, moved by the camera motion, and the stable count.
 
-    Input rows are frames ``(video, frame_index, runs array<struct<y,x0,x1>>, m, inliers, visibility, ground_confidence)``.
-    A lost line resets the memory. Frames at or before the last one come out as 'late' for a side table.
+    Input rows are frames ``(video, frame_index, event_time, runs array<struct<y,x0,x1>>, m, inliers, visibility,
+    ground_confidence)``. A lost line resets the memory. Late rows and the end of a video's memory are as in :func:`stream_tracks`.
     """
     key_type = stream.schema[video].dataType
-    output = T.StructType([T.StructField(video, key_type), T.StructField("frame_index", T.LongType()), *T.StructType.fromDDL(CENTRELINE_SCHEMA).fields])
+    line_fields = T.StructType.fromDDL(CENTRELINE_SCHEMA).fields
+    output = T.StructType([T.StructField(video, key_type), T.StructField("frame_index", T.LongType()), *line_fields])
 
     def moved(line: list, m: Sequence[float]) -> list:
         clip = lambda v, n: float(min(n - 1, max(0, v)))
         return [(clip(m[0] * x + m[1] * y + m[2], width), clip(m[3] * x + m[4] * y + m[5], height)) for x, y in line]
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, line, stable = (state.get[0], json.loads(state.get[1]), state.get[2]) if state.exists else (-1, [], 0)
-        rows = []
-        for row in _ordered(batches).itertuples(index=False):
-            if row.frame_index <= last:
-                rows.append({video: key[0], "frame_index": row.frame_index, **NO_LINE, "status": "late"})
-                continue
-            free, clearance = np.zeros((height, width), bool), np.zeros((height, width), np.float32)
-            for run in row.runs:
-                span = np.arange(run["x0"], run["x1"])
-                free[run["y"], span] = True
-                clearance[run["y"], span] = np.minimum(span - run["x0"] + 1, run["x1"] - span)
-            before = moved(line, row.m) if line and row.inliers >= MIN_MOTION_INLIERS else None
-            result, line, stable = trace_centreline(free, clearance, before, stable, row.visibility, row.ground_confidence, vehicle, near_field)
-            rows.append({video: key[0], "frame_index": row.frame_index, **result})
-            last = int(row.frame_index)
-        state.update((last, json.dumps([[float(x), float(y)] for x, y in line]), int(stable)))
-        yield pd.DataFrame(rows, columns=[f.name for f in output.fields])
-
-    return stream.groupBy(video).applyInPandasWithState(update, output, "last long, line string, stable int", "append", GroupStateTimeout.NoTimeout)
+    def row_of(frame: int, result: dict) -> list[tuple]:
+        return [(frame, *(result[f.name] for f in line_fields))]
+
+    def fold(state: dict, row) -> tuple[dict, list[tuple]]:
+        free, clearance = np.zeros((height, width), bool), np.zeros((height, width), np.float32)
+        for run in row.runs:
+            span = np.arange(run["x0"], run["x1"])
+            free[run["y"], span] = True
+            clearance[run["y"], span] = np.minimum(span - run["x0"] + 1, run["x1"] - span)
+        line = state["line"]
+        before = moved(line, row.m) if line and row.inliers >= MIN_MOTION_INLIERS else None
+        result, line, stable = trace_centreline(free, clearance, before, state["stable"], row.visibility, row.ground_confidence, vehicle, near_field)
+        return {"line": [[float(x), float(y)] for x, y in line], "stable": int(stable)}, row_of(row.frame_index, result)
+
+    def late(row) -> list[tuple]:
+        return row_of(row.frame_index, {**NO_LINE, "status": "late"})
+
+    return _with_ending_state(stream, output, {"line": [], "stable": 0}, fold, late, video, delay, idle_ms)
+
+
+def write_split(df: DataFrame, late: Column, path: str, side: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Rows to ``path`` and late ones to the side table ``side``, each micro-batch in a folder of its own that a repeated batch overwrites."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for rows, where in ((batch.where(~late), path), (batch.where(late), side)):
+            rows.write.mode("overwrite").parquet(os.path.join(where, f"batch={number}"))
+        batch.unpersist()
+
+    writer = df.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:

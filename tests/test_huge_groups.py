@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from fieldspark.operators import labels as L
 from fieldspark.operators import routes as W
 from fieldspark.operators import terrain as T
-from fieldspark.operators import tracking as K
 
 
 @pytest.fixture(scope="module")
@@ -47,13 +46,3 @@ def test_walks(spark, frames):
     points = frames.select("video_id", F.col("frame_index").alias("idx"), (e * 13 % 29 + 0.0).alias("x"), (e * 5 % 31 + 0.0).alias("y"))
     same(lambda huge: W.resample(points, ["video_id"], 33, huge=huge))
     same(lambda huge: W.abrupt_turns(points, ["video_id"], huge=huge))
-
-
-def test_tracks(frames):
-    e = F.col("event_id")
-    near = frames.withColumn("frame_index", F.floor(F.col("frame_index") / 20_000))
-    d = near.select("video_id", "frame_index", e.alias("detection_id"), F.lit("tree").alias("class_id"), F.lit(0.5).alias("confidence"),
-                    (e % 50 / F.lit(100.0)).alias("x1"), F.lit(0.2).alias("y1"), (e % 50 / F.lit(100.0) + 0.2).alias("x2"), F.lit(0.9).alias("y2"), e.alias("timestamp_ms"))
-    d = d.where(F.col("frame_index") % 9 < 5)
-    motions = near.select("video_id", "frame_index").distinct().withColumn("m", F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)]))
-    same(lambda huge: K.track_detections(d, motions, huge=huge))

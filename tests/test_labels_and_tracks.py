@@ -116,28 +116,11 @@ def test_track_is_reacquired_after_a_gap(spark):
 
 def test_long_gap_starts_a_new_track(spark):
     rows = [("video", 0, "a", "tree", 0.7, 0.2, 0.2, 0.3, 0.8, 0), ("video", 3, "b", "tree", 0.7, 0.2, 0.2, 0.3, 0.8, 750)]
-    for huge in (False, True):
-        tracked = K.track_detections(boxes(spark, rows), moves(spark, 4), huge=huge)
+    for chunk in (2048, 2):
+        tracked = K.track_detections(boxes(spark, rows), moves(spark, 4), chunk=chunk)
         assert sorted(r["track_id"] for r in tracked.collect()) == ["video-T-001", "video-T-002"]
 
 
-def test_stream_tracks_resume_and_late_rows(spark):
-    schema = "video_id string, frame_index long, m array<double>, dets array<struct<detection_id:string,class_id:string,box:array<double>>>"
-    frame = lambda i, d, x: ("video", i, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], [(d, "tree", [x, 0.2, x + 0.1, 0.8])])
-    source, out, mark = run_dir(spark, "in"), run_dir(spark, "out"), run_dir(spark, "mark")
-
-    def run(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        stream = X.stream_tracks(spark.readStream.schema(schema).parquet(source))
-        X.write_stream(stream, out, mark, True).awaitTermination()
-
-    run([frame(1, "b", 0.21), frame(0, "a", 0.2)])
-    run([frame(2, "c", 0.22), frame(0, "old", 0.2)])
-    got = {r["detection_id"]: r for r in spark.read.parquet(out).collect()}
-    assert {got[d]["root"] for d in "abc"} == {"a"} and got["old"]["tracking_status"] == "late"
-    assert got["c"]["tracking_status"] == "continued"
-
-
 def test_iou(spark):
     df = spark.range(1)
     box = lambda *v: [F.lit(float(c)) for c in v]

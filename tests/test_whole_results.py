@@ -1,5 +1,7 @@
 """Rows that must not get lost or mixed up: nulls, missing partners, long ids, small missions, older schemas."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -91,8 +93,8 @@ def test_shared_folder_is_required_on_a_cluster():
 
 
 def test_late_corridor_frames_are_reported(spark, tmp_path):
-    schema = "video_id long, frame_index long, runs array<struct<y:int,x0:int,x1:int>>, m array<double>, inliers int, visibility double, ground_confidence double"
-    one = lambda f: (1, f, [(y, 4, 60) for y in range(40)], STILL, 40, 0.9, 0.9)
+    schema = "video_id long, frame_index long, event_time timestamp, runs array<struct<y:int,x0:int,x1:int>>, m array<double>, inliers int, visibility double, ground_confidence double"
+    one = lambda f: (1, f, datetime.datetime(2024, 1, 1, 0, 0, f), [(y, 4, 60) for y in range(40)], STILL, 40, 0.9, 0.9)
     source = str(tmp_path / "in")
     spark.createDataFrame([one(0), one(3)], schema).coalesce(1).write.parquet(source)
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
