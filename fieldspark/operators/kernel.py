@@ -48,6 +48,15 @@ class Model:
         return out
 
 
+def model_from_rows(rows: Sequence[tuple[str, int, int, float]]) -> Model:
+    """A binary model from its long form; other names are left aside."""
+    parts: dict[str, dict] = {}
+    for name, i, j, value in rows:
+        parts.setdefault(name, {})[i, j] = value
+    full = {n: np.array([[cells[i, j] for j in range(1 + max(k[1] for k in cells))] for i in range(1 + max(k[0] for k in cells))]) for n, cells in parts.items()}
+    return Model(full["mean"][0], full["scale"][0], full["projection"], full["phase"][0], full["weights"][0])
+
+
 def draw_projection(d: int, features: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return rng.normal(0, 1 / math.sqrt(d), (d, features)), rng.uniform(0, 2 * math.pi, features)

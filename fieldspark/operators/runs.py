@@ -247,6 +247,17 @@ def dense_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return y, x0, np.nonzero(edges == -1)[1]
 
 
+def dense_value_runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(y, x0, x1, value) of the stretches of equal non-zero values in raster order."""
+    edge = np.ones((values.shape[0], values.shape[1] + 1), bool)
+    edge[:, 1:-1] = values[:, 1:] != values[:, :-1]
+    y, x = np.nonzero(edge)
+    last = np.append(y[1:] != y[:-1], True)
+    y0, x0, x1 = y[~last], x[~last], x[1:][~last[:-1]]
+    value = values[y0, x0]
+    return y0[value != 0], x0[value != 0], x1[value != 0], value[value != 0]
+
+
 def morph_chain(runs: DataFrame, steps: Sequence[tuple[str, int, int]], width: int, height: int, key: Sequence[str] = KEY) -> DataFrame:
     """Several morphology steps with one shuffle.
 
@@ -600,29 +611,30 @@ def rasterize(polygons: DataFrame, width: int, height: int, classes: Sequence[st
 def label_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.ndarray:
     """Component number per run of one frame, 1-based in order of first appearance.
 
-    ``reach`` 1 joins diagonal neighbours, 0 only direct ones. Runs come sorted by (y, x0).
+    ``reach`` 1 joins diagonal neighbours, 0 only direct ones. Runs come sorted by (y, x0). Neighbours in the row above are a
+    stretch of the sorted runs; roots are settled by hooking every root under a smaller neighbour and pointer jumping.
     """
-    parent = list(range(len(y)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    rows = {row: (np.searchsorted(y, row, "left"), np.searchsorted(y, row, "right")) for row in np.unique(y)}
-    for row, (low, high) in rows.items():
-        above, stop = rows.get(row - 1, (0, 0))
-        for i in range(low, high):
-            while above < stop and x1[above] + reach <= x0[i]:
-                above += 1
-            j = above
-            while j < stop and x0[j] < x1[i] + reach:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-                j += 1
-    numbers: dict[int, int] = {}
-    return np.array([numbers.setdefault(root(i), len(numbers) + 1) for i in range(len(y))], np.int32)
+    n = len(y)
+    if not n:
+        return np.zeros(0, np.int32)
+    y, x0, x1 = (v.astype(np.int64) for v in (y, x0, x1))
+    span = int(x1.max()) + 2
+    begins, ends, above = y * span + x0, y * span + x1, (y - 1) * span
+    low = np.searchsorted(ends, above + np.maximum(x0 - reach, 0), "right")
+    high = np.searchsorted(begins, above + np.minimum(x1 + reach, span - 1), "left")
+    size = np.maximum(high - low, 0)
+    one = np.repeat(np.arange(n), size)
+    two = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+    root = np.arange(n)
+    while True:
+        a, b = root[one], root[two]
+        apart = a != b
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    return (np.unique(root, return_inverse=True)[1] + 1).astype(np.int32)
 
 
 def components(runs: DataFrame, connectivity: int = 8, key: Sequence[str] = KEY) -> DataFrame:

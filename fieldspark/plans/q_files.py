@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import os
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.operators import kernel as N
 from fieldspark.operators import runs as R
+from fieldspark.plans import analysis as A
 from fieldspark.plans import bindings as B
 from fieldspark.plans.bindings import HEIGHT, RASTER, WIDTH, sql, table
 from fieldspark.plans.catalog import query
+from fieldspark.plans.q_masks import METRICS, clean_sql
+from fieldspark.plans.q_pixels import GRADE
 from fieldspark.session import run_dir
 from fieldspark.sources import readers as S
 from fieldspark.sources import writers as W
@@ -226,19 +232,54 @@ def finish(query_) -> None:
     query_.awaitTermination()
 
 
-@query("x1_stream_score", sql("SELECT video_id, frame_index, CAST(sum(v) AS BIGINT) AS path_pixels FROM mp GROUP BY ALL", "mp"))
-def x1(spark, sf):
-    rows = B.lines(spark, sf).groupBy(*RASTER).agg(F.sort_array(F.collect_list(F.struct("y", "s"))).alias("lines"))
-    out = run_dir(spark, "scores")
+def _pixel_model() -> N.Model:
+    """A small model of the score image with parameters from a rule, so that SQL can hold them as numbers."""
+    k = 4
+    return N.Model(np.array([0.02]), np.array([0.15]), np.array([[0.9 + 0.3 * j for j in range(k)]]), np.arange(k) / 5 - 1.2, np.array([0.9, 0.5, -0.4, 0.3, -0.2]))
+
+
+PIXEL_THRESHOLD = 0.25
+
+
+def _pixel_score() -> str:
+    m = _pixel_model()
+    num = lambda v: f"{float(v)!r}::DOUBLE"
+    terms = [f"{num(m.weights[j])} * {num(math.sqrt(0.5))} * cos((s - {num(m.mean[0])}) / {num(m.scale[0])} * {num(m.projection[0, j])} + {num(m.phase[j])})" for j in range(4)]
+    return " + ".join(terms) + f" + {num(m.weights[4])}"
 
-    def score(batch: DataFrame) -> DataFrame:
-        lines = batch.select(*RASTER, F.inline("lines"))
-        runs = R.encode_lines(lines, F.transform("s", lambda v: (v > 0).cast("int")), RASTER)
-        area = runs.groupBy(*RASTER).agg(F.sum((F.col("x1") - F.col("x0")).cast("long")).alias("path_pixels"))
-        return batch.select(*RASTER).join(area, list(RASTER), "left").withColumn("path_pixels", F.coalesce("path_pixels", F.lit(0)))
 
-    finish(X.stream_score(as_stream(rows, "frames"), score, out, run_dir(spark, "checkpoint"), True))
-    return spark.read.parquet(out).select(*RASTER, "path_pixels")
+def pixel_lines(batch: DataFrame) -> DataFrame:
+    return batch.select(*RASTER, F.inline("lines")).select(*RASTER, "y", F.posexplode("s").alias("x", "v")).select(*RASTER, "y", "x", F.array("v").alias("features"))
+
+
+@query(
+    "x1_stream_score",
+    sql(
+        f"""SELECT f.video_id, f.frame_index, round_even(f.area / 1024, 5) AS path_fraction, g.safe, g.good, g.poor, g.risky, g.problem, c.iou, c.symmetric_score FROM (SELECT video_id, frame_index, sum(v) AS area FROM cleaned GROUP BY ALL) f
+        JOIN (SELECT video_id, frame_index, count(*) FILTER (v = 1) AS safe, count(*) FILTER (v = 2) AS good, count(*) FILTER (v = 3) AS poor, count(*) FILTER (v = 4) AS risky, count(*) FILTER (v = 5) AS problem FROM graded GROUP BY ALL) g USING (video_id, frame_index)
+        JOIN (SELECT video_id, frame_index, {METRICS} FROM cc) c USING (video_id, frame_index)""",
+        "mt",
+        sc=f"SELECT video_id, frame_index, y, x, {_pixel_score()} AS s FROM pix",
+        ms=f"SELECT g.video_id, g.frame_index, g.y, g.x, CASE WHEN p.s >= {PIXEL_THRESHOLD} THEN 1 ELSE 0 END AS v FROM grid g LEFT JOIN sc p USING (video_id, frame_index, y, x)",
+        **clean_sql("ms"),
+        marg=f"SELECT video_id, frame_index, y, x, (s - {PIXEL_THRESHOLD}) / {1 - PIXEL_THRESHOLD} AS m FROM sc",
+        **GRADE,
+        cc="""SELECT t.video_id, t.frame_index, CAST(sum(t.v * p.v) AS BIGINT) AS tp, CAST(sum((1 - t.v) * (1 - p.v)) AS BIGINT) AS tn, CAST(sum((1 - t.v) * p.v) AS BIGINT) AS fp, CAST(sum(t.v * (1 - p.v)) AS BIGINT) AS fn
+        FROM mt t JOIN cleaned p USING (video_id, frame_index, y, x) GROUP BY ALL""",
+    ),
+)
+def x1(spark, sf):
+    """A model stored as a run scores a stream of frames in several micro-batches."""
+    models, out, mark = run_dir(spark, "path-models"), run_dir(spark, "analysis"), run_dir(spark, "checkpoint")
+    A.store_model(spark, _pixel_model(), PIXEL_THRESHOLD, models, "path-1")
+    rows = B.lines(spark, sf).groupBy(*RASTER).agg(F.sort_array(F.collect_list(F.struct("y", "s"))).alias("lines"))
+    stream, truth = as_stream(rows, "frames", "frame_index", 3), B.mask_t(spark, sf)
+    finish(A.stream_analysis(stream, models, "path-1", pixel_lines, truth, B.raster_frames(spark, sf), WIDTH, HEIGHT, out, mark, RASTER, True))
+    length = (F.col("x1") - F.col("x0")).cast("long")
+    names = ("safe", "good", "poor", "risky", "problem")
+    graded = spark.read.parquet(f"{out}/grades/batch=*").groupBy(*RASTER).agg(*[F.sum(F.when(F.col("value") == k, length).otherwise(0)).alias(n) for k, n in enumerate(names, 1)])
+    frames = spark.read.parquet(f"{out}/frames/batch=*")
+    return frames.join(graded, list(RASTER), "left").select(*RASTER, "path_fraction", *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in names], "iou", "symmetric_score")
 
 
 def tracked_frames(spark, sf):

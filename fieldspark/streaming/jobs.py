@@ -35,6 +35,19 @@ def stream_score(stream: DataFrame, score: Callable[[DataFrame], DataFrame], pat
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def stream_tables(stream: DataFrame, make: Callable[[DataFrame], dict[str, DataFrame]], path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Store several tables of each micro-batch under its number, as :func:`stream_score` does for one. The batch is kept while they are made."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for name, rows in make(batch).items():
+            rows.write.mode("overwrite").parquet(os.path.join(path, name, f"batch={number}"))
+        batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def stream_interval_alerts(stream: DataFrame, intervals: DataFrame, by: Sequence[str] = ("video_id",), bucket_ms: int = 600_000) -> DataFrame:
     """Frames inside an off-path interval: stream-static join on video and time bucket, then the exact range test.
 
