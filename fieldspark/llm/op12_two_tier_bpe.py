@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import sys
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -28,7 +29,7 @@ from fieldspark.llm.pieces import equal, gather
 from fieldspark.llm.text import Slice, mix, span_hashes
 
 OTHER, LETTER, DIGIT, SPACE = range(4)
-REMEMBER = 1 << 17  # merged pre-tokens that a task remembers
+REMEMBER = 1 << 18  # merged pre-tokens that a task remembers
 LONG = 1 << 12  # bytes; longer pre-tokens are not remembered
 # What may follow an apostrophe as a pre-token of its own. Fixed values.
 SUFFIXES = ["s", "t", "re", "ve", "m", "ll", "d"]
@@ -125,31 +126,29 @@ class Vocabulary:
 
 
 def merge(piece: bytes, entries: dict[bytes, int]) -> list[int]:
-    """Ranks of the tokens of one pre-token: a heap of pairs over linked bytes."""
-    n = len(piece)
+    """Ranks of the tokens of one pre-token: a heap of pairs over linked bytes.
+
+    A pair is one integer, its rank, begin and end from the highest bits on, so the smallest is the next to merge.
+    """
+    n, get = len(piece), entries.get
+    bits = n.bit_length()
+    mask = (1 << bits) - 1
     stop = list(range(1, n + 1))  # end of the token that begins here, 0 once it is merged away
     back = list(range(-1, n))  # begin of the token before the one that begins here
-    heap = []
-    for i in range(n - 1):
-        rank = entries.get(piece[i : i + 2])
-        if rank is not None:
-            heap.append((rank, i, i + 2))
+    heap = [(rank << bits | i) << bits | i + 2 for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
     heapify(heap)
     while heap:
-        _, i, end = heappop(heap)
+        pair = heappop(heap)
+        end, i = pair & mask, pair >> bits & mask
         middle = stop[i]
         if not middle or middle >= end or stop[middle] != end:  # one of the two has changed since
             continue
         stop[i], stop[middle], back[end] = end, 0, i
-        if end < n:
-            rank = entries.get(piece[i : stop[end]])
-            if rank is not None:
-                heappush(heap, (rank, i, stop[end]))
+        if end < n and (rank := get(piece[i : stop[end]])) is not None:
+            heappush(heap, (rank << bits | i) << bits | stop[end])
         before = back[i]
-        if before >= 0:
-            rank = entries.get(piece[before:end])
-            if rank is not None:
-                heappush(heap, (rank, before, end))
+        if before >= 0 and (rank := get(piece[before:end])) is not None:
+            heappush(heap, (rank << bits | before) << bits | end)
     out, i = [], 0
     while i < n:
         out.append(entries[piece[i : stop[i]]])
@@ -197,12 +196,13 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, kinds: np.ndarray):
         self.words, self.kinds, self.entries = vocabulary, kinds, vocabulary.entries()
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def merged(self, piece: bytes) -> np.ndarray:
+    def merged(self, piece: bytes) -> bytes:
+        """Ids of a pre-token as unsigned 32-bit integers."""
         ids = self.known.get(piece)
         if ids is None:
-            ids = np.array(merge(piece, self.entries), np.uint32)
+            ids = array("I", merge(piece, self.entries)).tobytes()
             if len(piece) <= LONG:
                 if len(self.known) >= REMEMBER:
                     self.known.clear()
@@ -232,8 +232,8 @@ class Encoder:
         merged = [self.merged(raw[at[k] : begins[k + 1]]) for k in np.concatenate([rest[one], rest[odd]]).tolist()]
 
         count = np.ones(n, np.int64)
-        pool = np.concatenate([v.rank[slot[hit]], *merged]) if merged else v.rank[slot[hit]]
-        sizes = np.array([len(m) for m in merged], np.int64)
+        pool = np.concatenate([v.rank[slot[hit]], np.frombuffer(b"".join(merged), np.uint32)])
+        sizes = np.array([len(m) for m in merged], np.int64) // 4
         place = np.zeros(n, np.int64)
         place[hit] = np.arange(len(hit))
         count[rest], place[rest] = sizes[which], (len(hit) + np.cumsum(sizes) - sizes)[which]
