@@ -13,11 +13,14 @@ jobs that run several ordered steps over the same groups.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.session import cut_lineage
 
@@ -227,42 +230,87 @@ def ordered_scan(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float], huge: bool | None = None
-) -> DataFrame:
-    """Linear-interpolated quantiles per group, as rows (by…, probability, value).
+_RADIX = 16  # bits settled by one pass
+
+
+def _ordered_bits(values: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the doubles; NaN is the largest, both zeros are one."""
+    bits = (values + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)
+
+
+def _with_bits(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    names = list(by)
+    schema = T.StructType([*[f for f in df.schema.fields if f.name in names], T.StructField("_bits", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.ascontiguousarray(batch.column(len(names)).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(_ordered_bits(values))], [*names, "_bits"])
+
+    return df.select(*names, F.col(value).cast("double").alias("_value")).mapInArrow(run, T.StructType([schema[n] for n in names] + [schema["_bits"]]))
+
+
+def _from_bits(rows: DataFrame) -> DataFrame:
+    """Replace the ordered bits in ``_bits`` by their double."""
+    names = [c for c in rows.columns if c != "_bits"]
 
-    Ordinary groups use the exact aggregate. Huge ones are never buffered: equal values
-    are counted map-side, the counts are ranked with :func:`ordered_scan`, and each
-    probability picks its two neighbouring ranks.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column(batch.schema.get_field_index("_bits")).to_numpy()
+            values = np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits).view(np.float64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(values)], [*names, "_value"])
+
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[n] for n in names], T.StructField("_value", T.DoubleType())]))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """Linear-interpolated quantiles per group, as rows (by…, probability, value); nulls do not count.
+
+    Ranks are found by radix selection, whatever the size of a group. A pass counts the rows of each group by the leading
+    16 bits of their value (in an order-preserving form); the running counts tell which bucket holds a wanted rank, and
+    the next pass counts only the rows of those buckets by the next 16 bits. Four passes settle a double. No values
+    are sorted or collected: a group has at most 65536 counts in a pass and two wanted ranks for each probability.
     """
     by = list(by)
-    known = df.where(F.col(value).isNotNull())
-    if huge is None:
-        huge = largest_group(known, by) > HUGE_GROUP
+    keyed = _with_bits(df.where(F.col(value).isNotNull()), by, value)
     levels = F.array(*[F.lit(float(p)) for p in probabilities])
-    if not huge:
-        found = known.groupBy(*by).agg(F.percentile(value, levels).alias("_q"))
-        return found.select(*by, F.inline(F.arrays_zip(levels.alias("probability"), F.col("_q").alias(value))))
-    counted = cut_lineage(known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")))
-    ranked = ordered_scan(
-        counted, by, [value], lambda t: balanced_chunks(t, value), True, _end=running_sum(F.col("_n")), _total=whole_sum(F.col("_n"))
-    )
-    picks = (
-        ranked.withColumn("probability", F.explode(levels))
-        .withColumn("_at", F.col("probability") * (F.col("_total") - 1))
-        .withColumn("_lo", F.floor("_at"))
-        .withColumn("_hi", F.ceil("_at"))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
-    inside = lambda rank: (F.col("_start") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
-    return (
-        picks.where(inside("_lo") | inside("_hi"))
-        .groupBy(*by, "probability")
-        .agg(
-            F.max(F.when(inside("_lo"), F.col(value))).alias("_low"),
-            F.max(F.when(inside("_hi"), F.col(value))).alias("_high"),
-            F.first(F.col("_at") - F.col("_lo")).alias("_share"),
-        )
-        .select(*by, "probability", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share")).alias(value))
-    )
+    wanted = None
+    for step in range(64 // _RADIX):
+        shift = 64 - _RADIX * (step + 1)
+        rows = keyed.withColumn("_part", F.shiftright("_bits", shift))
+        held = []
+        if wanted is not None:
+            held = ["_held"]
+            chosen = wanted.select(*by, F.col("_part").alias("_held")).distinct()
+            rows = rows.withColumn("_held", F.shiftright("_bits", shift + _RADIX)).join(chosen, [*by, "_held"], "left_semi")
+        counts = rows.groupBy(*by, *held, "_part").agg(F.count(F.lit(1)).alias("_n"))
+        inside = Window.partitionBy(*by, *held)
+        upto = F.sum("_n").over(inside.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        counts = counts.select("*", upto.alias("_upto"))
+        if wanted is None:
+            total = F.sum("_n").over(inside)
+            at = F.transform(levels, lambda p: p * (F.col("_total") - 1))
+            ends = F.flatten(F.transform(at, lambda a: F.array(F.floor(a), F.ceil(a))))
+            # a bucket takes the ranks that fall into it
+            taken = F.filter(F.transform(ends, lambda rank, k: F.struct(k.alias("k"), rank.alias("rank"))), lambda e: (e["rank"] >= F.col("_upto") - F.col("_n")) & (e["rank"] < F.col("_upto")))
+            ranked = counts.withColumn("_total", total)
+            wanted = ranked.select(*by, "_part", "_total", "_upto", "_n", F.explode(taken).alias("_e")).select(*by, "_part", "_total", F.col("_e.k").alias("_k"), (F.col("_e.rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"))
+        else:
+            before = wanted.select(*by, F.col("_part").alias("_held"), "_total", "_k", "_rank")
+            met = counts.join(before, [*by, "_held"]).where((F.col("_rank") >= F.col("_upto") - F.col("_n")) & (F.col("_rank") < F.col("_upto")))
+            wanted = met.select(*by, "_part", "_total", "_k", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"))
+    found = _from_bits(wanted.select(*by, "_total", "_k", F.col("_part").alias("_bits")))
+    low = F.max(F.when(F.col("_k") % 2 == 0, F.col("_value")))
+    high = F.max(F.when(F.col("_k") % 2 == 1, F.col("_value")))
+    paired = found.groupBy(*by, F.expr("_k div 2").alias("_p")).agg(low.alias("_low"), high.alias("_high"), F.max("_total").alias("_total"))
+    at = F.col("probability") * (F.col("_total") - 1)
+    named = paired.withColumn("probability", F.element_at(levels, (F.col("_p") + 1).cast("int")))
+    return named.select(*by, "probability", (F.col("_low") + (F.col("_high") - F.col("_low")) * (at - F.floor(at))).alias(value))
+
+
+def medians(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``median_<column>`` per group, all columns in the same passes; groups without any value have no row."""
+    named = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_middle")) for c in columns])
+    found = exact_quantiles(df.select(*by, F.inline(named)), [*by, "_column"], "_middle", [0.5])
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_column") == c, F.col("_middle"))).alias(f"median_{c}") for c in columns])

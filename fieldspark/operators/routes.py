@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.operators.ordered import (
-    exact_quantiles,
+    medians,
     following,
     frame_chunks,
     last_value,
@@ -122,17 +122,14 @@ def integrate_motion(pairs: DataFrame, directions: DataFrame, by: Sequence[str]
     )
 
 
-def traversal_quality(pairs: DataFrame, by: Sequence[str] = ("video_id",), huge: bool | None = None) -> DataFrame:
+def traversal_quality(pairs: DataFrame, by: Sequence[str] = ("video_id",)) -> DataFrame:
     """Per walk: tracked share, median matches and inliers, mean pair quality."""
     seen = (F.col("matches") >= MIN_MATCHES) & (F.col("flow") >= MIN_FLOW) & (F.col("inliers") >= MIN_INLIERS)
     quality = F.when(F.col("matches") >= MIN_MATCHES, F.least(F.lit(1.0), F.col("inliers") / 45) * F.least(F.lit(1.0), F.col("matches") / 80)).otherwise(0.0)
     base = pairs.groupBy(*by).agg(
         (F.sum(seen.cast("long")) / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("tracked_fraction"), F.avg(quality).alias("mean_pair_quality")
     )
-    for name in ("matches", "inliers"):
-        middle = exact_quantiles(pairs.select(*by, F.col(name).cast("double").alias(f"median_{name}")), by, f"median_{name}", [0.5], huge)
-        base = base.join(middle.drop("probability"), list(by), "left")  # a walk without any value keeps its row
-    return base
+    return base.join(medians(pairs, by, ("matches", "inliers")), list(by), "left")  # a walk without any value keeps its row
 
 
 def mission_quality(per_video: DataFrame, mission: str = "mission_id") -> DataFrame:

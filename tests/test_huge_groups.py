@@ -42,7 +42,6 @@ def test_walks(spark, frames):
     pairs = frames.select("video_id", (F.col("frame_index") + 1).alias("step"), ((e % 9 - 4) / F.lit(10.0)).alias("yaw_delta"), (e % 5 + 0.0).alias("flow"), (e % 40).alias("matches"), (e % 30).alias("inliers"))
     directions = spark.createDataFrame([(0, "A_TO_B"), (1, "B_TO_A"), (2, "A_TO_B")], "video_id long, direction string")
     same(lambda huge: W.integrate_motion(pairs, directions, huge=huge))
-    same(lambda huge: W.traversal_quality(pairs, huge=huge))
     points = frames.select("video_id", F.col("frame_index").alias("idx"), (e * 13 % 29 + 0.0).alias("x"), (e * 5 % 31 + 0.0).alias("y"))
     same(lambda huge: W.resample(points, ["video_id"], 33, huge=huge))
     same(lambda huge: W.abrupt_turns(points, ["video_id"], huge=huge))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -24,20 +25,42 @@ def test_chunked_equals_single_window(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
 
 
-def test_quantiles_of_huge_groups(spark):
-    df = _rows(spark)
-    got = {(r["k"], r["probability"]): r["w"] for r in O.exact_quantiles(df, ["k"], "w", [0.0, 0.12, 0.5, 0.88, 1.0], True).collect()}
-    for k in range(3):
-        values = [r["w"] for r in df.where(F.col("k") == k).collect()]
-        for p in (0.0, 0.12, 0.5, 0.88, 1.0):
-            assert abs(got[(k, p)] - np.quantile(values, p)) < 1e-9
-
-
-def test_quantiles_of_one_huge_table(spark):
-    df = _rows(spark)
-    values = [r["w"] for r in df.collect()]
-    for r in O.exact_quantiles(df, [], "w", [0.12, 0.5, 0.88], True).collect():
-        assert abs(r["w"] - np.quantile(values, r["probability"])) < 1e-9
+LEVELS = [0.0, 0.12, 0.3333, 0.5, 0.88, 1.0]
+
+
+def test_quantiles_by_radix_selection(spark):
+    rng = np.random.default_rng(2)
+    groups = {
+        0: rng.normal(0, 1, 3001), 1: rng.integers(-3, 4, 500) * 0.5, 2: np.array([7.25]), 3: np.array([-0.0, 0.0, -1e-310, 1e-310, 5e-324]),
+        4: np.concatenate([rng.normal(0, 1e300, 40), rng.normal(0, 1e-300, 40), [-1e308, 1e308]]), 5: 1.0 + np.arange(9) * 2.0**-52, 6: np.full(1000, -2.5),
+    }
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [(k, None) for k in (0, 2, 9)]
+    df = spark.createDataFrame(rows, "k int, w double").repartition(5)
+    got = {(r["k"], r["probability"]): r["w"] for r in O.exact_quantiles(df, ["k"], "w", LEVELS).collect()}
+    assert got.keys() == {(k, p) for k in groups for p in LEVELS}
+    for (k, p), v in got.items():
+        ordered = np.sort(groups[k])
+        at = p * (len(ordered) - 1)
+        low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+        assert v == low + (high - low) * (at - math.floor(at))
+    every = [v for _, v in rows if v is not None]
+    for r in O.exact_quantiles(df, [], "w", [0.12, 0.5, 0.88]).collect():
+        assert abs(r["w"] - np.quantile(every, r["probability"])) < 1e-9
+    assert O.exact_quantiles(df.where("false"), ["k"], "w", LEVELS).collect() == [] and O.exact_quantiles(df.where("w IS NULL"), [], "w", [0.5]).collect() == []
+
+
+def test_no_job_and_no_sort_of_values_for_quantiles(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), F.rand(1).alias("w"))
+    group = "quantile-plan"
+    spark.sparkContext.setJobGroup(group, "")
+    plan = O.exact_quantiles(df, ["k"], "w", [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group) and "percentile" not in plan
+    spark.sparkContext.setJobGroup("tests", "")
+
+
+def test_medians_of_several_columns(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 4, None), ("a", 2, 7.0), ("b", None, None), ("c", None, 3.0)], "v string, x int, y double")
+    assert {tuple(r) for r in O.medians(df, ["v"], ("x", "y")).collect()} == {("a", 2.0, 6.0), ("c", None, 3.0)}
 
 
 def test_balanced_chunks_split_a_hot_range(spark):
