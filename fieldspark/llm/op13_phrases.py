@@ -271,7 +271,8 @@ def count_phrases(docs: DataFrame, size: int, parts: DataFrame, cuts: list[Cut],
 
 
 def _by_target(rows: DataFrame, *keys: str, order: tuple[str, ...], parts: int) -> DataFrame:
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+    """Rows of a prefix range (the first key) in a partition of their own."""
+    return rows.repartitionById(parts, F.col(keys[0])).sortWithinPartitions(*keys, *order)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[dict]]]:
