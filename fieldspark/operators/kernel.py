@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,18 +96,88 @@ def balanced_sample(
 ) -> DataFrame:
     """Per frame min(n, positives, negatives) of each class; a frame without path gives up to n negatives.
 
-    Drawing is by hash order: reproducible, without a random generator. Each class
-    needs its first n per frame only, which Spark prunes before the shuffle.
+    Drawing is by hash order: reproducible, without a random generator.
     """
+    return balanced_samples(pixels, label, [n], seed, keep_all_negative, key).drop("sizes")
+
+
+def balanced_samples(
+    pixels: DataFrame, label: str, sizes: Sequence[int], seed: int = 42, keep_all_negative: bool = True, key: Sequence[str] = R.KEY
+) -> DataFrame:
+    """The rows of :func:`balanced_sample` for several ``sizes`` at once, with ``sizes``, those that a row belongs to.
+
+    A task keeps the first rows in hash order of every frame and class and how many it saw; only these are shuffled, once, and
+    put together by frame. A smaller sample is a part of a larger one, so one set of rows serves all.
+    """
+    most, names = max(sizes), list(key)
     draw = F.xxhash64(F.lit(seed), *key, "y", "x")
-    order = Window.partitionBy(*key, label).orderBy("_draw", "y", "x")
-    ranked = pixels.withColumn("_draw", draw).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
-    sizes = pixels.groupBy(*key).agg(
-        F.sum((F.col(label) == 1).cast("long")).alias("_pos"), F.sum((F.col(label) == 0).cast("long")).alias("_neg")
-    )
-    both = F.least(F.lit(n), F.col("_pos"), F.col("_neg"))
-    quota = F.when((F.col("_pos") == 0) & F.lit(keep_all_negative), F.least(F.lit(n), F.col("_neg"))).otherwise(both)
-    return ranked.join(sizes.withColumn("_quota", quota), list(key)).where(F.col("_r") <= F.col("_quota")).drop("_draw", "_r", "_pos", "_neg", "_quota")
+    drawn = pixels.where(F.col(label).isin(0, 1)).withColumn("_draw", draw)
+    partial = T.StructType([*drawn.schema.fields, T.StructField("_seen", T.LongType()), T.StructField("_task", T.IntegerType())])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def pruned() -> pa.Table:
+            """The first ``most`` rows of every frame and class, with the number of rows that stand behind them."""
+            table = pa.Table.from_batches(held)
+            group, order = _frame_order(table, [*names, label])
+            start = np.flatnonzero(np.diff(group[order], prepend=-1))
+            place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+            seen = table.column("_seen").to_numpy()
+            total = np.bincount(group, weights=seen)
+            keep = order[place < most]
+            # the count goes with the first row of a group, so it is neither lost nor taken twice
+            counts = np.where(place[place < most] == 0, total[group[keep]], 0).astype(np.int64)
+            out = table.take(pa.array(keep))
+            return out.set_column(out.schema.get_field_index("_seen"), "_seen", pa.array(counts))
+
+        for batch in batches:
+            held.append(pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ones(batch.num_rows, np.int64)), pa.array(np.full(batch.num_rows, task, np.int32))], partial.names))
+            rows += batch.num_rows
+            if rows > SAMPLER_ROWS:
+                held = pruned().combine_chunks().to_batches()
+                rows = 0
+        if held:
+            yield from pruned().to_batches()
+
+    out = T.StructType([*pixels.schema.fields, T.StructField("sizes", T.ArrayType(T.IntegerType()))])
+
+    def merge(frame: pa.Table) -> pa.Table:
+        values, draws = frame.column(label).to_numpy(), frame.column("_draw").to_numpy()
+        y, x, seen = (frame.column(c).to_numpy() for c in ("y", "x", "_seen"))
+        order = np.lexsort((x, y, draws, values))
+        negative, positive = (int(seen[values == v].sum()) for v in (0, 1))
+        place = np.empty(len(order), np.int64)
+        for v in (0, 1):
+            own = order[values[order] == v]
+            place[own] = np.arange(len(own))
+        taken = []
+        for n in sizes:
+            quota = min(n, negative) if positive == 0 and keep_all_negative else min(n, positive, negative)
+            taken.append(place < quota)
+        chosen = np.flatnonzero(np.any(taken, axis=0))
+        which = [[n for n, t in zip(sizes, taken) if t[k]] for k in chosen]
+        slim = frame.take(pa.array(chosen)).select(out.names[:-1])
+        return slim.append_column("sizes", pa.array(which, pa.list_(pa.int32())))
+
+    return drawn.mapInArrow(first, partial).groupBy(*key).applyInArrow(merge, out)
+
+
+SAMPLER_ROWS = 1 << 20  # rows that a task of the sampler takes in before it drops those that cannot be drawn
+
+
+def _frame_order(table: pa.Table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number per distinct value of the columns, and the order by it, then by the draw and the place."""
+    group = np.zeros(table.num_rows, np.int64)
+    for name in names:
+        codes = table.column(name).combine_chunks().dictionary_encode()
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        index = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+        group = np.unique(group * (len(codes.dictionary) + 1) + index, return_inverse=True)[1]
+    draws, y, x = (table.column(c).to_numpy() for c in ("_draw", "y", "x"))
+    return group, np.lexsort((x, y, draws, group))
 
 
 def _vectors(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -211,6 +282,93 @@ def fit_ridges(
     return [Model(mean, scale, projection, phase, np.linalg.solve(a + lam * eye, b[:, 0])) for lam in lambdas]
 
 
+def fit_grid(
+    samples: DataFrame, label: str, d: int, sizes: Sequence[int], feature_counts: Sequence[int], lambdas: Sequence[float], seed: int = 42, features: str = "features"
+) -> dict[tuple[int, int, float], Model]:
+    """Models for every (sample size, random features, ridge) from two passes over ``samples`` (of :func:`balanced_samples`).
+
+    One pass sums the moments of every size, one the Gram matrices of every (size, random features). All ridge values of
+    a pair come from one eigendecomposition.
+    """
+    slim = samples.select(features, F.col(label).cast("double").alias("_label"), "sizes")
+    index = {n: k for k, n in enumerate(sizes)}
+
+    def members(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists = batch.column(2)
+        inside = np.zeros((batch.num_rows, len(sizes)), bool)
+        inside[np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), [index[n] for n in lists.flatten().to_pylist()]] = True
+        return _vectors(batch, features), batch.column(1).to_numpy(), inside
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(sizes), 2 * d + 1))
+        for batch in batches:
+            if batch.num_rows:
+                x, _, inside = members(batch)
+                total += inside.T.astype(float) @ np.column_stack([np.ones(len(x)), x, x * x])
+        size, cell = np.indices(total.shape).reshape(2, -1).astype(np.int32)
+        yield pa.record_batch({"size": size, "cell": cell, "value": total.ravel()})
+
+    def summed(run, schema: str, *by: str) -> dict[tuple, float]:
+        return {tuple(r)[:-1]: r["value"] for r in slim.mapInArrow(run, schema).groupBy(*by).agg(F.sum("value").alias("value")).collect()}
+
+    cells = summed(moments, "size int, cell int, value double", "size", "cell")
+    scaled = {}
+    for n, k in index.items():
+        count = cells.get((k, 0), 0.0)
+        mean = np.array([cells[k, 1 + i] for i in range(d)]) / max(1.0, count)
+        scale = np.sqrt(np.maximum(0.0, np.array([cells[k, 1 + d + i] for i in range(d)]) / max(1.0, count) - mean * mean))
+        scaled[n] = mean, np.where(scale < MIN_SCALE, 1.0, scale)
+    drawn = {m: draw_projection(d, m, seed) for m in feature_counts}
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {(n, m): np.zeros((m + 1, m + 2)) for n in sizes for m in feature_counts}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, label_, inside = members(batch)
+            for n, k in index.items():
+                mean, scale = scaled[n]
+                own, target = (x[inside[:, k]] - mean) / scale, label_[inside[:, k]] * 2 - 1
+                for m, (projection, phase) in drawn.items():
+                    design = np.column_stack([math.sqrt(2.0 / m) * np.cos(own @ projection + phase), np.ones(len(own))])
+                    total[n, m] += design.T @ np.column_stack([design, target])
+        for (n, m), matrix in total.items():
+            i, j = np.indices(matrix.shape).reshape(2, -1).astype(np.int32)
+            yield pa.record_batch({"size": np.full(len(i), n, np.int32), "features": np.full(len(i), m, np.int32), "i": i, "j": j, "value": matrix.ravel()})
+
+    found = summed(grams, "size int, features int, i int, j int, value double", "size", "features", "i", "j")
+    models = {}
+    for n in sizes:
+        for m, (projection, phase) in drawn.items():
+            matrix = np.array([[found[n, m, i, j] for j in range(m + 2)] for i in range(m + 1)])
+            values, vectors = np.linalg.eigh((matrix[:, :-1] + matrix[:, :-1].T) / 2)
+            turned = vectors.T @ matrix[:, -1]
+            for lam in lambdas:
+                models[n, m, lam] = Model(*scaled[n], projection, phase, vectors @ (turned / (values + lam)))
+    return models
+
+
+def score_many(df: DataFrame, models: Sequence[Model], keep: Sequence[str], features: str = "features", out: str = "scores") -> DataFrame:
+    """The scores of several binary models as one array; models with the same projection and moments share its cosines."""
+    folded = [m.folded() for m in models]
+    kept = df.select(*keep, features)
+    schema = T.StructType([*[f for f in kept.schema.fields if f.name in keep], T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, result, last = _vectors(batch, features), np.empty((batch.num_rows, len(folded))), None
+            for k, (projection, offset, weights, bias) in enumerate(folded):
+                if last is None or last[0].shape != projection.shape or not (np.array_equal(last[0], projection) and np.array_equal(last[1], offset)):
+                    last = projection, offset, np.cos(x @ projection + offset)
+                result[:, k] = last[2] @ weights + bias
+            array = pa.ListArray.from_arrays(pa.array(np.arange(0, result.size + 1, len(folded), dtype=np.int32)), pa.array(result.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], array], names=[*keep, out])
+
+    return kept.mapInArrow(run, schema)
+
+
 def fit_multiclass(
     descriptors: DataFrame, label: str, classes: Sequence[str], d: int, random_features: int = 256, ridge_lambda: float = 1.0, seed: int = 4711, features: str = "features"
 ) -> Model:

@@ -144,8 +144,11 @@ def threshold_candidates(
     n: int = THRESHOLD_COUNT,
 ) -> DataFrame:
     """Distinct quantiles of all scores."""
-    steps = [low + (high - low) * i / (n - 1) for i in range(n)]
-    return exact_quantiles(scores.select(score), [], score, steps).select(F.col(score).alias("t")).distinct()
+    return exact_quantiles(scores.select(score), [], score, threshold_steps(low, high, n)).select(F.col(score).alias("t")).distinct()
+
+
+def threshold_steps(low: float = THRESHOLD_LOW, high: float = THRESHOLD_HIGH, n: int = THRESHOLD_COUNT) -> list[float]:
+    return [low + (high - low) * i / (n - 1) for i in range(n)]
 
 
 def cleaned_counts(
@@ -157,28 +160,38 @@ def cleaned_counts(
     thresholds are tried on its raster inside the task, instead of multiplying pixels by
     candidates before the shuffle.
     """
-    names, cuts = list(key), [float(t) for t in thresholds]
-    slim = labelled.select(*key, "y", "x", "score", F.col("label").cast("int").alias("label"))
+    return cleaned_counts_of(labelled.withColumn("scores", F.array("score")), [thresholds], width, height, clean, key).drop("model")
+
+
+def cleaned_counts_of(
+    labelled: DataFrame, thresholds: Sequence[Sequence[float]], width: int, height: int, clean: bool = True, key: Sequence[str] = R.KEY
+) -> DataFrame:
+    """:func:`cleaned_counts` for several models: ``scores`` has one score for each, ``thresholds`` the candidates of each, ``model`` its number."""
+    names, cuts = list(key), [(k, float(t)) for k, own in enumerate(thresholds) for t in own]
+    slim = labelled.select(*key, "y", "x", "scores", F.col("label").cast("int").alias("label"))
     counts = ("tp", "tn", "fp", "fn")
     schema = T.StructType(
-        [*[f for f in slim.schema.fields if f.name in key], T.StructField("t", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in counts]]
+        [*[f for f in slim.schema.fields if f.name in key], T.StructField("model", T.IntegerType()), T.StructField("t", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in counts]]
     )
 
     def run(frame: pa.Table) -> pa.Table:
         y, x = frame.column("y").to_numpy(), frame.column("x").to_numpy()
-        scores = np.full((height, width), -np.inf)
         truth = np.zeros((height, width), bool)
-        scores[y, x] = frame.column("score").to_numpy()
         truth[y, x] = frame.column("label").to_numpy() == 1
-        rows = []
-        for t in cuts:
-            mask = scores >= t
+        given = frame.column("scores").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+        rows, grid, of = [], None, None
+        for k, t in cuts:
+            if k != of:
+                grid, of = np.full((height, width), -np.inf), k
+                grid[y, x] = given[:, k]
+            mask = grid >= t
             mask = R.dense_clean(mask) if clean else mask
             tp, fp = int((truth & mask).sum()), int((~truth & mask).sum())
             fn = int(truth.sum()) - tp
             rows.append((tp, truth.size - tp - fp - fn, fp, fn))
-        head = [pa.array([frame.column(n)[0].as_py()] * len(cuts), frame.schema.field(n).type) for n in names]
-        return pa.Table.from_arrays([*head, pa.array(cuts), *[pa.array(list(c), pa.int64()) for c in zip(*rows)]], names=[*names, "t", *counts])
+        head = [pa.array(frame.column(n)[:1].to_pylist() * len(cuts), frame.schema.field(n).type) for n in names]
+        body = [pa.array([k for k, _ in cuts], pa.int32()), pa.array([t for _, t in cuts]), *[pa.array(list(c), pa.int64()) for c in zip(*rows)]]
+        return pa.Table.from_arrays([*head, *body], names=[*names, "model", "t", *counts])
 
     return slim.groupBy(*key).applyInArrow(run, schema)
 

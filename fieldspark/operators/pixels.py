@@ -138,6 +138,36 @@ def dense_gradient(grid: np.ndarray) -> np.ndarray:
     return np.minimum(1.0, np.hypot(right - left, d_left + 2 * diff + d_right))
 
 
+def area_weights(n: int, target: int) -> np.ndarray:
+    """target × n matrix: the share of each source cell in a target cell of an image line rescaled by area."""
+    edges = np.arange(target + 1) * (n / target)
+    cells = np.arange(n)
+    shared = np.minimum(edges[1:, None], cells + 1) - np.maximum(edges[:-1, None], cells)
+    shared = np.clip(shared, 0.0, None)
+    return shared / shared.sum(axis=1, keepdims=True)
+
+
+def resize_area(pixels: DataFrame, columns: Sequence[str], size: tuple[int, int], target: tuple[int, int], key: Sequence[str] = R.KEY) -> DataFrame:
+    """Complete 8-bit frames rescaled by area means, rounded half to even; a frame is a bounded group, shuffled once."""
+    (w, h), (tw, th) = size, target
+    across, down, names = area_weights(w, tw), area_weights(h, th), list(key)
+    slim = pixels.select(*key, "y", "x", *[F.col(c).cast("double").alias(c) for c in columns])
+    schema = T.StructType([*[f for f in slim.schema.fields if f.name in names], *[T.StructField(c, T.IntegerType()) for c in ("y", "x")], *[T.StructField(c, T.DoubleType()) for c in columns]])
+    y, x = (v.ravel().astype(np.int32) for v in np.indices((th, tw)))
+
+    def run(frame: pa.Table) -> pa.Table:
+        rows, cols = frame.column("y").to_numpy(), frame.column("x").to_numpy()
+        made = []
+        for c in columns:
+            grid = np.zeros((h, w))
+            grid[rows, cols] = frame.column(c).to_numpy()
+            made.append(pa.array(np.rint(down @ grid @ across.T).ravel()))
+        head = [pa.array(frame.column(n)[:1].to_pylist() * len(y), frame.schema.field(n).type) for n in names]
+        return pa.Table.from_arrays([*head, pa.array(y), pa.array(x), *made], names=[*names, "y", "x", *columns])
+
+    return slim.groupBy(*key).applyInArrow(run, schema)
+
+
 def frame_filters(pixels: DataFrame, column: str, filters: dict, width: int, height: int, key: Sequence[str] = R.KEY) -> DataFrame:
     """Several neighbourhood filters with one shuffle.
 

@@ -16,7 +16,7 @@ from fieldspark.plans import training as T
 from fieldspark.plans.bindings import HEIGHT, RASTER, WIDTH, sql, table
 from fieldspark.plans.catalog import query
 from fieldspark.plans.q_masks import METRICS, clean_sql, runs_sql, window_sql
-from fieldspark.session import cut_lineage
+from fieldspark.session import cut_lineage, run_dir
 
 CLASSES = [f"class-{i}" for i in range(10)]
 
@@ -238,13 +238,34 @@ def m3(spark, sf):
     return spark.createDataFrame([(n, i, j, round(v, 6)) for n, i, j, v in model.rows() if n in ("mean", "scale", "weights")], "name string, i int, j int, value double")
 
 
+def negative_frames(spark, sf):
+    """Hard negatives of the score images: a video without any path, and an off-path interval in another one."""
+    frames = B.raster_frames(spark, sf).withColumn("mission_id", F.col("video_id") % 2)
+    videos = frames.groupBy("mission_id", "video_id").agg((F.max("frame_index") + 1).alias("total_frames")).withColumns({"fps": F.lit(25.0), "fully_not_traversable": F.col("video_id") == 3})
+    intervals = videos.where("video_id = 2").select("mission_id", "video_id", F.lit("i").alias("id"), F.lit(40).cast("long").alias("start_ms"), (F.col("total_frames") * 10).cast("long").alias("end_ms"))
+    found = L.hard_negatives(intervals, videos, 2, 3)
+    return frames.join(found.select("mission_id", *RASTER).distinct(), ["mission_id", *RASTER], "left_semi")
+
+
+def training_inputs(spark, sf):
+    """Labelled features and split of confirmed frames and hard negatives, each written once."""
+    negatives = cut_lineage(negative_frames(spark, sf))
+    confirmed = B.raster_frames(spark, sf).where("video_id <> 3").withColumn("mission_id", F.col("video_id") % 2).join(negatives.select(*RASTER), list(RASTER), "left_anti")
+    parts = cut_lineage(T.split_with_negatives(confirmed, negatives, key=RASTER))
+    features = X.pixel_features(B.rgb(spark, sf), WIDTH, HEIGHT, key=RASTER)
+    return cut_lineage(T.with_negatives(features, B.mask_t(spark, sf), parts, RASTER).repartition(*RASTER)), parts
+
+
 @query("m6_train_path_model")
 def m6(spark, sf):
-    labelled, parts = path_inputs(spark, sf)
-    run = T.train_path_model(labelled.drop("mission_id"), parts, WIDTH, HEIGHT, scope="global", key=RASTER)
+    """Training with hard negatives; the figures are read back from the stored run."""
+    labelled, parts = training_inputs(spark, sf)
+    path = run_dir(spark, "path-runs")
+    T.train_and_store(labelled, parts, WIDTH, HEIGHT, path, "path-1", RASTER)
     columns = ("tp", "tn", "fp", "fn", "symmetric_score", "iou", "precision", "recall")
-    rows = [(part, *[m[c] for c in columns]) for part, m in (("validation", run.validation_metrics), ("train", run.train_metrics))]
-    return spark.createDataFrame(rows, "part string, tp long, tn long, fp long, fn long, symmetric_score double, iou double, precision double, recall double")
+    stored = spark.read.parquet(f"{path}/figures").where("run_id = 'path-1' AND part <> 'sizes'")
+    wide = stored.groupBy("part").pivot("name", list(columns)).agg(F.first("value"))
+    return wide.select("part", *[F.col(c).cast("long") if c in ("tp", "tn", "fp", "fn") else c for c in columns])
 
 
 @query("m7_cross_mission_matrix")
@@ -257,11 +278,16 @@ def m7(spark, sf):
 
 @query("m8_sweep")
 def m8(spark, sf):
-    labelled, parts = path_inputs(spark, sf)
-    one = (labelled.drop("mission_id"), parts, WIDTH, HEIGHT)
-    rows, best = T.sweep({w: one for w in T.SWEEP["width"]}, T.sweep_configurations(3), key=RASTER)
-    return spark.createDataFrame([(r["candidate"], r["random_features"], r["seed"], r["symmetric_score"], r["candidate"] == best["candidate"]) for r in rows],
-                                 "candidate int, random_features int, seed int, symmetric_score double, best boolean")
+    """All points of the grid, the frames resampled to each input width."""
+    parts, truth, inputs = None, B.mask_t(spark, sf), {}
+    frames = B.raster_frames(spark, sf).withColumn("mission_id", F.col("video_id") % 2)
+    parts = cut_lineage(L.frame_split(frames.select(*RASTER, "mission_id"), ["video_id"], huge=False, scope=["mission_id"]))
+    for width in T.SWEEP["width"]:
+        labelled, *size = T.resampled_input(B.rgb(spark, sf), truth, (WIDTH, HEIGHT), width, RASTER)
+        inputs[width] = (cut_lineage(labelled), parts, *size)
+    rows, best = T.sweep(inputs, key=RASTER)
+    return spark.createDataFrame([(r["candidate"], r["width"], r["random_features"], r["samples"], r["ridge_lambda"], r["symmetric_score"], r["iou"], r["candidate"] == best["candidate"]) for r in rows],
+                                 "candidate int, width int, random_features int, samples int, ridge_lambda double, symmetric_score double, iou double, best boolean")
 
 
 @query("m9_fit_terrain_model")
