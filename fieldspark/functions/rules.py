@@ -275,8 +275,23 @@ def slug(label: Column) -> Column:
     return F.concat(F.lit("custom_"), F.substring(F.regexp_replace(safe, r"^_+|_+$", ""), 1, 48))
 
 
-def reason_keys(labels: DataFrame, label: str = "label") -> DataFrame:
-    """``label, key`` of every distinct label; labels with one slug are numbered from the second on, in label order."""
+def reason_keys(labels: DataFrame, label: str = "label", given: DataFrame | None = None) -> DataFrame:
+    """``label, key`` of every distinct label; labels with one slug are told apart by a number, in label order.
+
+    The number follows a sign that no slug holds, so no key of one slug is another slug. Keys in ``given(label, key)`` stay as
+    they are, and further labels of their slugs are numbered after them.
+    """
     named = labels.select(label).where(F.col(label).isNotNull()).distinct().withColumn("_slug", slug(F.col(label)))
-    number = F.row_number().over(Window.partitionBy("_slug").orderBy(label))
-    return named.withColumn("_n", number).select(label, F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat_ws("_", "_slug", "_n")).alias("key"))
+    if given is None:
+        fresh, used = named.withColumn("_used", F.lit(0)), None
+    else:
+        used = given.select(label, "key").where(F.col(label).isNotNull())
+        ending = F.coalesce(F.regexp_extract("key", NUMBERED, 1).try_cast("int"), F.lit(1))
+        highest = used.groupBy(F.regexp_replace("key", NUMBERED, "").alias("_slug")).agg(F.max(ending).alias("_used"))
+        fresh = named.join(used, label, "left_anti").join(highest, "_slug", "left").withColumn("_used", F.coalesce("_used", F.lit(0)))
+    number = F.row_number().over(Window.partitionBy("_slug").orderBy(label)) + F.col("_used")
+    keyed = fresh.withColumn("_n", number).select(label, F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat_ws("-", "_slug", "_n")).alias("key"))
+    return keyed if used is None else used.join(named.select(label), label, "left_semi").unionByName(keyed)
+
+
+NUMBERED = "-([0-9]+)$"

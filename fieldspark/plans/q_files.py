@@ -163,6 +163,28 @@ def s11(spark, sf):
     return S.read_pixels(spark, path).groupBy(*RASTER).agg(*[F.sum(c).cast("long").alias(c) for c in "bgr"])
 
 
+@query("s11_read_motions", sql("SELECT video_id, frame_index, event_id % 5 / 100.0::DOUBLE AS dx FROM frames", "frames"))
+def s11_motions(spark, sf):
+    path, dx = run_dir(spark, "motions"), F.col("event_id") % 5 / F.lit(100.0)
+    one, zero = F.lit(1.0), F.lit(0.0)
+    B.frames(spark, sf).select("video_id", "frame_index", F.array(one, zero, dx, zero, one, zero).alias("m")).write.parquet(path)
+    return S.read_motions(spark, path).select("video_id", "frame_index", F.col("m")[2].alias("dx"))
+
+
+@query(
+    "s11_read_pair_motions",
+    sql("SELECT video_id, count(*) AS steps, CAST(sum(event_id % 40) AS BIGINT) AS matches, CAST(sum(event_id % 30) AS BIGINT) AS inliers, round_even(max(value / 10), 6) AS flow FROM frames WHERE frame_index > 0 GROUP BY video_id", "frames"),
+)
+def s11_pairs(spark, sf):
+    path, e = run_dir(spark, "pair-motions"), F.col("event_id")
+    pairs = B.frames(spark, sf).where("frame_index > 0").select(
+        "video_id", F.col("frame_index").alias("step"), (e % 9 - 4).cast("double").alias("yaw_delta"), (F.col("value") / 10).alias("flow"), (e % 40).cast("int").alias("matches"), (e % 30).cast("int").alias("inliers")
+    )
+    pairs.write.parquet(path)
+    total = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    return S.read_pair_motions(spark, path).groupBy("video_id").agg(F.count(F.lit(1)).alias("steps"), total("matches"), total("inliers"), F.bround(F.max("flow"), 6).alias("flow"))
+
+
 @query("s11_read_detections", sql("SELECT video_id, class_id, count(*) AS n FROM dets GROUP BY ALL", "dets"))
 def s11_dets(spark, sf):
     path = run_dir(spark, "detections")

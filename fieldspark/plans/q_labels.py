@@ -366,7 +366,7 @@ def a26(spark, sf):
     """WITH labels AS (SELECT DISTINCT event_type || ['', '!', ' ?'][event_id % 3 + 1] || CAST(user_id AS VARCHAR) AS label FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL),
     slugs AS (SELECT label, 'custom_' || substr(regexp_replace(regexp_replace(lower(label), '[^\\p{L}\\p{N}]', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48) AS slug FROM labels),
     ranked AS (SELECT label, slug, row_number() OVER (PARTITION BY slug ORDER BY label) AS n FROM slugs)
-    SELECT label, CASE WHEN n = 1 THEN slug ELSE slug || '_' || n END AS key FROM ranked""",
+    SELECT label, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS key FROM ranked""",
 )
 def a26_keys(spark, sf):
     ending = F.element_at(F.array(F.lit(""), F.lit("!"), F.lit(" ?")), (F.col("event_id") % 3 + 1).cast("int"))

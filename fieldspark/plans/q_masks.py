@@ -358,9 +358,10 @@ def g3(spark, sf):
 @query(
     "g13_region_table",
     sql(
-        """SELECT video_id, frame_index, area, area_ratio, CAST(rank AS INTEGER) AS rank FROM (
-          SELECT *, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY area DESC, component) AS rank, round_even(area / 1024, 5) AS area_ratio FROM (
-            SELECT video_id, frame_index, component, CAST(sum(x1 - x0) AS BIGINT) AS area FROM comp GROUP BY ALL HAVING sum(x1 - x0) >= 0.0015 * 1024)) WHERE rank <= 18""",
+        """SELECT video_id, frame_index, area, area_ratio, CAST(rank AS INTEGER) AS rank, class_id || '-' || lpad(CAST(rank AS VARCHAR), 2, '0') AS region_id, class_id, round_even(((video_id * 7 + frame_index * 3) % 11) / 10.5::DOUBLE, 3) AS confidence,
+          CASE class_id WHEN 'likely_traversable' THEN 'connected_ground,clearance_above_required,current_frame_support' ELSE 'limited_clearance_or_surface_uncertainty' END AS reasons FROM (
+          SELECT *, row_number() OVER (PARTITION BY video_id, frame_index, class_id ORDER BY area DESC, component) AS rank, round_even(area / 1024, 5) AS area_ratio FROM (
+            SELECT video_id, frame_index, CASE WHEN video_id % 2 = 0 THEN 'likely_traversable' ELSE 'limited' END AS class_id, component, CAST(sum(x1 - x0) AS BIGINT) AS area FROM comp GROUP BY ALL HAVING sum(x1 - x0) >= 0.0015 * 1024)) WHERE rank <= 18""",
         "mb",
         **clean_sql("mb"),
         rr=runs_sql("k2"),
@@ -368,8 +369,12 @@ def g3(spark, sf):
     ),
 )
 def g13(spark, sf):
-    opened = R.morph(B.mask_blob(spark, sf), "open", 3, 3, WIDTH, HEIGHT, RASTER)
-    return R.region_table(opened, WIDTH, HEIGHT, key=RASTER).select(*RASTER, "area", "area_ratio", "rank")
+    from fieldspark.operators import terrain as T
+
+    opened = R.morph(B.mask_blob(spark, sf), "open", 3, 3, WIDTH, HEIGHT, RASTER).withColumn("value", (F.col("video_id") % 2 + 1).cast("int"))
+    sure = B.raster_frames(spark, sf).withColumn("overall_confidence", (F.col("video_id") * 7 + F.col("frame_index") * 3) % 11 / F.lit(10.5))
+    described = T.describe_regions(R.region_table(opened, WIDTH, HEIGHT, key=RASTER), sure, RASTER)
+    return described.select(*RASTER, "area", "area_ratio", "rank", "region_id", "class_id", "confidence", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(

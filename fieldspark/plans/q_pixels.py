@@ -437,3 +437,35 @@ def t4(spark, sf):
     )
     candidates = f.select("video_id", "timestamp_ms", F.inline(rows))
     return T.evidence_frames(candidates).withColumn("evidence", F.bround("evidence", 6))
+
+
+JUDGED = """SELECT video_id, timestamp_ms, ['likely_traversable', 'limited', 'not_traversable', 'unknown'][event_id % 4 + 1] AS oc, (event_id % 23) / 22.0::DOUBLE AS conf, (event_id % 31) / 300.0::DOUBLE AS nt, (event_id % 37) / 60.0::DOUBLE AS un,
+    event_id % 9 AS stable, (event_id % 41) / 40.0::DOUBLE AS cc, (event_id % 13) / 12.0::DOUBLE AS vis FROM frames"""
+RULED = """SELECT video_id, timestamp_ms, 'overall-' || oc AS reason_key, 'representative_' || oc AS reason, conf + CASE oc WHEN 'not_traversable' THEN nt WHEN 'unknown' THEN un WHEN 'limited' THEN 0.25::DOUBLE ELSE 0 END AS evidence FROM jf
+    UNION ALL SELECT video_id, timestamp_ms, 'stable-corridor', 'temporally_stable_corridor', cc + least(0.3, stable / 20) FROM jf WHERE stable >= 3
+    UNION ALL SELECT video_id, timestamp_ms, 'visible-obstacle', 'visible_obstacle_evidence', nt + conf FROM jf WHERE nt >= 0.015
+    UNION ALL SELECT video_id, timestamp_ms, 'low-visibility', 'substantial_non_assessable_area', un + (1 - vis) FROM jf WHERE un >= 0.35"""
+
+
+@query(
+    "t4_evidence_rules",
+    sql(
+        """SELECT video_id, timestamp_ms, round_even(evidence, 6) AS evidence, reasons, CAST(rank AS INTEGER) AS rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY evidence DESC, timestamp_ms) AS rank FROM (
+            SELECT video_id, timestamp_ms, max(evidence) AS evidence, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM (
+              SELECT *, row_number() OVER (PARTITION BY video_id, reason_key ORDER BY evidence DESC, timestamp_ms) AS k FROM cand) WHERE k = 1 GROUP BY ALL)) WHERE rank <= 6""",
+        "frames",
+        jf=JUDGED,
+        cand=RULED,
+    ),
+)
+def t4_rules(spark, sf):
+    """Evidence frames by the reason rules: class, stable corridor, obstacle, low visibility."""
+    e = F.col("event_id")
+    part = lambda n, d: (e % n) / F.lit(float(d))
+    coverage = F.create_map(F.lit("limited"), F.lit(0.25), F.lit("not_traversable"), part(31, 300), F.lit("unknown"), part(37, 60))
+    frames = B.frames(spark, sf).select(
+        "video_id", "timestamp_ms", F.element_at(F.array(*[F.lit(c) for c in T.TERRAIN_VALUES]), (e % 4 + 1).cast("int")).alias("overall_class"), part(23, 22).alias("overall_confidence"), coverage.alias("coverage"),
+        (e % 9).alias("stable_frames"), part(41, 40).alias("corridor_confidence"), part(13, 12).alias("visibility"),
+    )
+    return T.evidence_frames(T.evidence_candidates(frames)).withColumn("evidence", F.bround("evidence", 6))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from fieldspark.operators import corridor as C
 from fieldspark.operators import routes as W
 from fieldspark.operators import runs as R
+from fieldspark.operators import terrain as T
 from fieldspark.plans import bindings as B
 from fieldspark.plans.bindings import HEIGHT, RASTER, WIDTH, sql
 from fieldspark.plans.catalog import query
+from fieldspark.plans.q_pixels import GRADE
 from fieldspark.plans.q_masks import runs_sql
 
 ROUTE = """SELECT video_id, frame_index AS idx, 48 + (event_id * 37 % 1000) / 10000.0::DOUBLE AS lat, 8 + (event_id * 91 % 1000) / 10000.0::DOUBLE AS lng FROM frames"""
@@ -301,10 +303,10 @@ def corridors(spark, sf):
     return C.evaluate_corridors(open_ground(spark, sf), B.raster_frames(spark, sf), WIDTH, HEIGHT, key=RASTER)
 
 
-def _clean():
+def _clean(mask: str = "mb"):
     from fieldspark.plans.q_masks import clean_sql
 
-    return clean_sql("mb")
+    return clean_sql(mask)
 
 
 @query("g7_evaluate_corridors", sql("SELECT * FROM corr", "mb", **_clean(), free=runs_sql("cleaned"), **CORRIDOR_ROWS))
@@ -312,6 +314,35 @@ def g7(spark, sf):
     return corridors(spark, sf).drop("points")
 
 
+GRADED_ROWS = {
+    "lanes": CORRIDOR_ROWS["lanes"],
+    "fr": runs_sql("(SELECT *, CASE WHEN v IN (1, 2) THEN 1 ELSE 0 END AS w FROM graded)", "w", "w = 1"),
+    "us": runs_sql("(SELECT *, CASE WHEN v IN (1, 2, 3, 4) THEN 1 ELSE 0 END AS w FROM graded)", "w", "w = 1"),
+    "cut": """SELECT kind, r.video_id, r.frame_index, r.y, l.corridor, least(r.x1, l.b) - greatest(r.x0, l.a) AS len, greatest(r.x0, l.a) AS x0
+        FROM (SELECT 0 AS kind, video_id, frame_index, y, x0, x1 FROM fr UNION ALL SELECT 1, video_id, frame_index, y, x0, x1 FROM us UNION ALL SELECT 2, video_id, frame_index, y, x, x + 1 FROM graded WHERE v <> 0) r
+        JOIN lanes l ON least(r.x1, l.b) > greatest(r.x0, l.a)""",
+    "rows_": """SELECT g.video_id, g.frame_index, l.corridor, g.y, l.clip, l.need, max(len) FILTER (kind = 0) AS f, max(len) FILTER (kind = 1) AS u, count(*) FILTER (kind = 2) AS d
+        FROM (SELECT DISTINCT video_id, frame_index, y FROM grid WHERE y >= 7) g CROSS JOIN lanes l LEFT JOIN cut c ON c.video_id = g.video_id AND c.frame_index = g.frame_index AND c.y = g.y AND c.corridor = l.corridor GROUP BY ALL""",
+    "states": "SELECT *, CASE WHEN d = 0 THEN NULL WHEN clip > 0.2 THEN 'uncertain' WHEN f >= need THEN 'free' WHEN u >= need THEN 'uncertain' ELSE 'blocked' END AS st FROM rows_",
+    "counted": """SELECT video_id, frame_index, corridor, count(st) AS evaluated, count(*) FILTER (st = 'free') AS free, count(*) FILTER (st = 'uncertain') AS uncertain, count(*) FILTER (st = 'blocked') AS blocked,
+        count(*) FILTER (st IS NULL) AS undecided, count(*) FILTER ((st = 'free' AND f IS NOT NULL) OR (st = 'uncertain' AND u IS NOT NULL)) AS drivable_rows FROM states GROUP BY ALL""",
+}
+
+
+@query(
+    "g7_graded_corridors",
+    sql(
+        f"""SELECT *, CASE WHEN evaluated < {C.MIN_ROWS} THEN 'uncertain' WHEN blocked > {C.MAX_BLOCKED} * evaluated THEN 'blocked' WHEN blocked > 0 OR uncertain > 0 THEN 'uncertain' ELSE 'free' END AS status FROM counted""",
+        "mp", **_clean("mp"), marg="SELECT video_id, frame_index, y, x, s / 1.0 * 4 AS m FROM pix", **GRADE, **GRADED_ROWS,
+    ),
+)
+def g7_graded(spark, sf):
+    """Corridors over the six grades instead of a plain mask."""
+    scores = B.pix(spark, sf).withColumn("score", F.col("s") * 4)
+    grades = T.grade(scores, R.clean_mask(B.mask_p(spark, sf), WIDTH, HEIGHT, RASTER), 0.0, WIDTH, HEIGHT, RASTER)
+    return C.evaluate_corridors(grades, B.raster_frames(spark, sf), WIDTH, HEIGHT, True, key=RASTER).drop("points")
+
+
 SMOOTH = {
     "drv": "SELECT *, -f.neg + (f.len - 1) / 2 AS c, row_number() OVER (PARTITION BY video_id, frame_index, corridor ORDER BY y) - 1 AS i, count(*) OVER (PARTITION BY video_id, frame_index, corridor) AS n FROM states WHERE st <> 'blocked' AND f IS NOT NULL",
     "smooth": """SELECT a.video_id, a.frame_index, a.corridor, a.y, CASE WHEN any_value(a.n) < 3 THEN any_value(a.c) ELSE sum(b.c) / 9 END AS c FROM (SELECT *, unnest(range(-4, 5)) AS o FROM drv) a

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldspark.functions import records as R
 from fieldspark.functions import rules as P
+from fieldspark.functions.records import write_checked
 from fieldspark.plans import bindings as B
 from fieldspark.plans.bindings import sql, table
 from fieldspark.plans.catalog import query
+from fieldspark.session import run_dir
 
 
 @query(
@@ -26,6 +29,146 @@ def p1(spark, sf):
     return bad.select("event_id", F.array_join("violations", ",").alias("violations"))
 
 
+def checked(spark, records, kind):
+    """Counts of one record type, as rows."""
+    counts = write_checked(records, kind, run_dir(spark, f"checked-{kind}"))
+    return spark.createDataFrame([(rule, int(n)) for rule, n in counts.items()], "rule string, broken long")
+
+
+def counts_sql(records: str, **rules: str) -> str:
+    """The same counts; a rule that gives null counts as broken."""
+    every = {"records": "true", "quarantined": " OR ".join(f"NOT coalesce({ok}, false)" for ok in rules.values())} | {code: f"NOT coalesce({ok}, false)" for code, ok in rules.items()}
+    return f"WITH r AS ({records})\n" + "\nUNION ALL ".join(f"SELECT '{name}' AS rule, count(*) FILTER ({broken}) AS broken FROM r" for name, broken in every.items())
+
+
+def _points(n: str, step: str) -> str:
+    return f"transform(sequence(1, greatest(1, cast({n} AS int))), k -> array(k * {step}, 1 - k * {step}))"
+
+
+@query(
+    "p1_mission",
+    counts_sql(
+        "SELECT source || '-' || lang AS name, text AS notes, n_chars / 50.0::DOUBLE - 40 AS lat, n_chars / 10.0::DOUBLE - 100 AS lng, doc_id % 5 <> 0 AS placed, n_chars % 700 AS p0, n_chars % 1100 AS p1, doc_id % 3 = 0 AS paused FROM documents",
+        name_length="length(name) BETWEEN 3 AND 120", notes_length="length(notes) BETWEEN 0 AND 5000", start_range="NOT placed OR (lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180)",
+        end_range="NOT placed OR (-lat BETWEEN -90 AND 90 AND lng / 2 BETWEEN -180 AND 180)", route_range="NOT placed OR (lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180 AND lng / 2 BETWEEN -180 AND 180)",
+        pause_order="NOT paused OR p1 >= p0",
+    ),
+)
+def p1_mission(spark, sf):
+    d, chars = table(spark, sf, "documents"), F.col("n_chars")
+    lat, lng = chars / F.lit(50.0) - 40, chars / F.lit(10.0) - 100
+    place = lambda a, b: F.struct(a.alias("lat"), b.alias("lng"))
+    placed, paused = F.col("doc_id") % 5 != 0, F.col("doc_id") % 3 == 0
+    pause = F.struct((chars % 700).alias("start_seconds"), (chars % 1100).alias("end_seconds"))
+    records = d.select(
+        F.concat_ws("-", "source", "lang").alias("name"), F.col("text").alias("notes"), F.when(placed, place(lat, lng)).alias("start"), F.when(placed, place(-lat, lng / 2)).alias("end"),
+        F.when(placed, F.array(place(lat, lng), place(-lat, lng / 2))).alias("route"), F.when(paused, F.array(pause)).alias("pauses"),
+    )
+    return checked(spark, records, "mission")
+
+
+@query(
+    "p1_annotation",
+    counts_sql(
+        "SELECT d.*, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)",
+        timestamp="n_chars - 60 >= 0", hash_pattern="doc_id % 4 = 0 OR (length(left(md5(text), 8 + doc_id % 25)) BETWEEN 12 AND 128 AND doc_id % 7 <> 0)", polygon_count="n_chars % 150 BETWEEN 0 AND 120", roi_count="doc_id % 22 BETWEEN 0 AND 20",
+        status="quality IS NOT NULL", annotator_length="length(source) BETWEEN 1 AND 80", notes_length="length(text) BETWEEN 0 AND 1000", frame_width="doc_id % 2 = 0 OR n_chars * 4 BETWEEN 1 AND 16384",
+        frame_height="doc_id % 3 = 0 OR n_chars * 2 BETWEEN 1 AND 16384", label_mode="lang IN ('en', 'de')",
+    ),
+)
+def p1_annotation(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    i, chars = F.col("doc_id"), F.col("n_chars")
+    cut = F.md5("text").substr(F.lit(1), (8 + i % 25).cast("int"))
+    hashed = F.when(i % 7 == 0, F.concat(F.lit("x"), cut.substr(F.lit(2), F.length(cut)))).otherwise(cut)
+    records = d.select(
+        (chars - 60).alias("timestamp_ms"), F.when(i % 4 != 0, hashed).alias("source_frame_hash"), (chars % 150).alias("n_polygons"), (i % 22).alias("n_roi"),
+        F.when(F.col("quality") == 1, "confirmed").when(F.col("quality") == 0, "skipped").alias("status"), F.col("source").alias("annotator"), F.col("text").alias("notes"),
+        F.when(i % 2 != 0, chars * 4).alias("frame_width"), F.when(i % 3 != 0, chars * 2).alias("frame_height"), F.when(F.col("lang").isin("en", "de"), "linear").otherwise(F.col("lang")).alias("label_mode"),
+    )
+    return checked(spark, records, "annotation")
+
+
+@query(
+    "p1_polygon",
+    counts_sql(
+        "SELECT *, replace(role, 'u', ' ') || '-' || conv_id AS id FROM conversations",
+        id_pattern="length(id) BETWEEN 1 AND 80 AND regexp_full_match(id, '[a-zA-Z0-9_-]+')", point_count="length(text) % 600 + 1 BETWEEN 3 AND 500", certainty="turn % 4 < 3", origin="role = 'user'", note_length="length(text) BETWEEN 0 AND 500",
+        reason_length="length(text) // 2 BETWEEN 0 AND 120", tracking_pattern="conv_id % 3 = 0 OR conv_id % 5 <> 0", carried_from="conv_id % 2 = 0 OR turn >= 2", edit="turn % 6 < 4",
+    ),
+)
+def p1_polygon(spark, sf):
+    c, turn, size = table(spark, sf, "conversations"), F.col("turn"), F.length("text")
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
+    records = c.select(
+        F.concat_ws("-", F.translate("role", "u", " "), F.col("conv_id").cast("string")).alias("id"), F.expr(_points("length(text) % 600 + 1", "0.001D")).alias("points"), pick((*R.CERTAINTIES, "maybe"), turn % 4).alias("certainty"),
+        F.when(F.col("role") == "user", "manual").otherwise(F.col("role")).alias("origin"), F.col("text").alias("note"), F.repeat(F.lit("r"), F.floor(size / 2).cast("int")).alias("uncertainty_reason"),
+        F.when(F.col("conv_id") % 3 != 0, F.when(F.col("conv_id") % 5 == 0, "t 1").otherwise("t-1")).alias("tracking_id"), F.when(F.col("conv_id") % 2 != 0, turn - 2).alias("carried_from_frame"), pick((*R.EDITS, "gone", ""), turn % 6).alias("edit"),
+    )
+    return checked(spark, records, "polygon")
+
+
+@query(
+    "p1_video",
+    counts_sql("SELECT * FROM pages", direction="page_id % 3 < 2", orientation="length(url) % 4 < 3", terrain_length="page_id % 6 = 0 OR length(url) * 3 BETWEEN 1 AND 120"),
+)
+def p1_video(spark, sf):
+    p, i, size = table(spark, sf, "pages"), F.col("page_id"), F.length("url")
+    records = p.select(
+        F.element_at(F.array(*[F.lit(v) for v in (*R.DIRECTIONS, "A")]), (i % 3 + 1).cast("int")).alias("direction"), F.when(size % 4 < 3, "PORTRAIT").alias("orientation"),
+        F.when(i % 6 != 0, F.repeat(F.lit("t"), (size * 3).cast("int"))).alias("terrain_category"),
+    )
+    return checked(spark, records, "video")
+
+
+@query(
+    "p1_roi_profile",
+    counts_sql(
+        "SELECT vec_id % 7 <> 0 AS has_top, vec_id % 5 <> 0 AS has_bottom, embedding[1]::DOUBLE + 0.4 AS t, embedding[2]::DOUBLE + 0.5 AS b, label FROM embeddings", top_band="NOT has_top OR (t > 0 AND t < 1)", bottom_band="NOT has_bottom OR (b > 0 AND b < 1)",
+        room_between="CASE WHEN has_top THEN t ELSE 0 END + CASE WHEN has_bottom THEN b ELSE 0 END < 1", note_length="label * 150 BETWEEN 0 AND 1000",
+    ),
+)
+def p1_roi_profile(spark, sf):
+    e = table(spark, sf, "embeddings")
+    top, bottom = F.col("embedding")[0].cast("double") + 0.4, F.col("embedding")[1].cast("double") + 0.5
+    records = e.select(F.when(F.col("vec_id") % 7 != 0, top).alias("top_ignore_fraction"), F.when(F.col("vec_id") % 5 != 0, bottom).alias("bottom_ignore_fraction"), F.repeat(F.lit("n"), (F.col("label") * 150).cast("int")).alias("note"))
+    return checked(spark, records, "roi_profile")
+
+
+@query(
+    "p1_interval",
+    counts_sql(
+        "SELECT event_id, event_id * 10 - 300 AS s, event_id * 10 - 300 + CAST(floor(value * 20) AS BIGINT) - 40 AS e, props, event_type FROM events", start="s >= 0", order="e > s", too_short="e - s >= 200",
+        note_length="length(props) * 60 BETWEEN 0 AND 500", annotator_length="event_type <> 'view'",
+    ),
+)
+def p1_interval(spark, sf):
+    start = F.col("event_id") * 10 - 300
+    note = F.repeat(F.lit("n"), (F.length("props") * 60).cast("int"))
+    records = table(spark, sf, "events").select(
+        start.alias("start_ms"), (start + F.floor(F.col("value") * 20).cast("long") - 40).alias("end_ms"), note.alias("note"), F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("annotator")
+    )
+    return checked(spark, records, "interval")
+
+
+@query(
+    "p1_trajectory",
+    counts_sql(
+        "SELECT *, event_id % 450 + 1 AS n, event_id % 5 = 0 AS still FROM events", timestamp="event_id >= 50", point_count="n BETWEEN 2 AND 400", normalised="still OR n * 0.0024::DOUBLE <= 1", distinct_points="NOT still AND n >= 2",
+        corridor="event_type IN ('click', 'view') OR event_type IS NULL", origin="user_id % 4 < 3", note_length="length(props) * 130 BETWEEN 0 AND 1000", annotator_length="length(event_type) BETWEEN 1 AND 80",
+    ),
+)
+def p1_trajectory(spark, sf):
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    moving, still = F.expr(_points("event_id % 450 + 1", "0.0024D")), F.expr("transform(sequence(1, cast(event_id % 450 + 1 AS int)), k -> array(0.5D, 0.25D))")
+    kind = F.when(F.col("event_type") == "click", "mitte").when(F.col("event_type") == "view", "links").otherwise(F.col("event_type"))
+    records = e.select(
+        (i - 50).alias("timestamp_ms"), F.when(i % 5 == 0, still).otherwise(moving).alias("points"), kind.alias("corridor"), F.element_at(F.array(*[F.lit(v) for v in (*R.TRAJECTORY_ORIGINS, "machine")]), (F.col("user_id") % 4 + 1).cast("int")).alias("origin"),
+        F.repeat(F.lit("n"), (F.length("props") * 130).cast("int")).alias("note"), F.col("event_type").alias("annotator"),
+    )
+    return checked(spark, records, "trajectory")
+
+
 @query(
     "p2_valid_rle",
     """SELECT event_id, (event_id % 6) <= 4 AND event_id % 5 > 0 AND (event_id % 5 + event_id % 9 + 1) = (event_id % 4 + 2) * 2 AS valid FROM events""",
