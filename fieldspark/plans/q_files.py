@@ -19,6 +19,7 @@ from fieldspark.plans.q_masks import METRICS, clean_sql
 from fieldspark.plans.q_pixels import GRADE
 from fieldspark.session import run_dir
 from fieldspark.sources import readers as S
+from fieldspark.sources import snapshots as V
 from fieldspark.sources import writers as W
 from fieldspark.streaming import jobs as X
 
@@ -214,7 +215,7 @@ def k3(spark, sf):
     score = lambda df: df.withColumn("score", F.bround(F.col("value") * 2, 6))
     W.resume_write(f.where(F.col("frame_index") < 20), score, path, "r1", "1.1", RASTER)
     W.resume_write(f, score, path, "r1", "1.1", RASTER)
-    return spark.read.parquet(path).select(*RASTER, "score")
+    return V.read(spark, path).select(*RASTER, "score")
 
 
 @query("k4_reuse_results", sql("SELECT video_id, frame_index, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'reuse' ELSE 'todo' END AS verdict FROM frames", "frames"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.operators.routes import geojson_lines
+from fieldspark.sources import snapshots
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
@@ -48,32 +49,29 @@ def reuse_results(requested: DataFrame, results: DataFrame, run_id: str, schema_
 def resume_write(
     frames: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, run_id: str, schema_version: str, key: Sequence[str]
 ) -> int:
-    """Score only frames without a stored result of this run and schema; append them. Returns rows left before.
+    """Score only frames without a stored result of this run and schema; add them in one commit. Returns rows left before.
 
-    Results lie in a folder per run and schema version. Interrupted appends leave nothing visible (the job commits as a
-    whole), so a restart continues after the last good append. Rows of other schema versions of the run go once the new ones are there.
+    ``path`` is a table of versions (see ``snapshots``); read it with ``snapshots.read``. The commit adds the new rows and leaves
+    out those of other schema versions of the run, so a reader has either all of the old or all of the new ones. An interrupted
+    write leaves nothing visible, and a restart continues after the last commit. A commit by another writer in
+    between raises ``snapshots.Conflict``; the write can then be repeated.
     """
     spark = frames.sparkSession
-    known = _existing(spark, path)
-    todo = frames if known is None else reuse_results(frames, known, run_id, schema_version, key)[1]
-    left = todo.count()
-    layout = f"layout=v{schema_version}"
+    version, stored = snapshots.latest(spark, path)
+    known = snapshots.read(spark, path, version, run_id=run_id, schema_version=schema_version) if version else None
+    todo = frames if known is None else frames.join(known.select(*key), list(key), "left_anti")
+    seen, folder = Observation(f"rows of {run_id}"), snapshots.new_folder()
+    rows = score(todo.observe(seen, F.count(F.lit(1)).alias("left"))).withColumn("run_id", F.lit(run_id)).withColumn("schema_version", F.lit(schema_version))
+    rows.write.parquet(f"{path}/{folder}")
+    left = seen.get["left"]
+    wanted = [e for e in stored if e["run_id"] != run_id or e["schema_version"] == schema_version]
     if left:
-        rows = score(todo).withColumn("run_id", F.lit(run_id)).withColumn("schema_version", F.lit(schema_version))
-        rows.write.mode("append").parquet(f"{path}/result_of={run_id}/{layout}")
-    _drop_others(spark, f"{path}/result_of={run_id}", layout)
+        wanted.append({"folder": folder, "run_id": run_id, "schema_version": schema_version})
+    if wanted != stored:
+        snapshots.commit(spark, path, wanted, version)
     return left
 
 
-def _drop_others(spark: SparkSession, folder: str, stays: str) -> None:
-    """Remove all sub-folders but one, in whatever file system the folder is."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    for entry in files.listStatus(place) if files.exists(place) else []:
-        if entry.isDirectory() and entry.getPath().getName() != stays:
-            files.delete(entry.getPath(), True)
-
-
 def write_geojson_lines(points: DataFrame, path: str, group: Sequence[str], order: str = "idx", lng: str = "lng", lat: str = "lat") -> None:
     """One LineString feature per text line."""
     geojson_lines(points, group, order, lng, lat).select("feature").write.mode("overwrite").text(path)

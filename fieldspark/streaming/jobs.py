@@ -48,15 +48,43 @@ def stream_tables(stream: DataFrame, make: Callable[[DataFrame], dict[str, DataF
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_interval_alerts(stream: DataFrame, intervals: DataFrame, by: Sequence[str] = ("video_id",), bucket_ms: int = 600_000) -> DataFrame:
-    """Frames inside an off-path interval: stream-static join on video and time bucket, then the exact range test.
+LEVELS, FAN_BITS, FINEST_BITS = 8, 4, 10  # blocks of about a second, then 16 times longer at each level, up to about nine years
 
-    An interval has a row for every bucket it touches, so a frame meets only the intervals around it.
+
+def interval_blocks(start: Column, end: Column) -> Column:
+    """An interval of milliseconds as few blocks: on each level those that the next one's longer blocks cannot cover.
+
+    At most 30 blocks of a level (15 at either end), so their number grows with the logarithm of the length; beyond the longest level one more for
+    every such block. The blocks cover the interval and at most a second more at its ends.
+    """
+    low, high = F.shiftright(start, FINEST_BITS), F.shiftright(end - 1, FINEST_BITS) + 1
+    none = F.array().cast("array<bigint>")
+    up = lambda k: F.shiftright(low + ((1 << FAN_BITS * k) - 1), FAN_BITS * k)  # noqa: E731 - first whole block of a level
+    down = lambda k: F.shiftright(high, FAN_BITS * k)  # noqa: E731 - and the end of the last one
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+    named = lambda level: lambda block: F.struct(F.lit(level).alias("level"), block.alias("block"))
+    parts = []
+    for k in range(LEVELS):
+        ends = F.concat(span(up(k), F.shiftleft(up(k + 1), FAN_BITS)), span(F.shiftleft(down(k + 1), FAN_BITS), down(k)))
+        longest = (up(k + 1) >= down(k + 1)) if k < LEVELS - 1 else F.lit(True)
+        parts.append(F.transform(F.when(longest, span(up(k), down(k))).otherwise(ends), named(k)))
+    return F.concat(*parts)
+
+
+def moment_blocks(ms: Column) -> Column:
+    """The block of every level that a moment lies in."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(ms, FINEST_BITS + FAN_BITS * k).alias("block")) for k in range(LEVELS)])
+
+
+def stream_interval_alerts(stream: DataFrame, intervals: DataFrame, by: Sequence[str] = ("video_id",)) -> DataFrame:
+    """Frames inside an off-path interval: stream-static join on video and block, then the exact range test.
+
+    An interval has a few rows whatever its length (:func:`interval_blocks`); a frame looks into one block of each level and meets
+    an interval in one of them only.
     """
-    bucket = lambda ms: F.floor(ms / bucket_ms).cast("long")
-    touched = F.explode(F.sequence(bucket(F.col("start_ms")), bucket(F.col("end_ms") - 1))).alias("_bucket")
-    spans = intervals.where("start_ms < end_ms").select(*by, F.col("id").alias("interval_id"), "start_ms", "end_ms", touched)
-    near = stream.withColumn("_bucket", bucket(F.col("timestamp_ms"))).join(spans, [*by, "_bucket"]).drop("_bucket")
+    spans = intervals.where("start_ms < end_ms").select(*by, F.col("id").alias("interval_id"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
+    spans = spans.select("*", F.inline(interval_blocks(F.col("start_ms"), F.col("end_ms"))))
+    near = stream.select("*", F.inline(moment_blocks(F.col("timestamp_ms").cast("long")))).join(spans, [*by, "level", "block"]).drop("level", "block")
     return near.where((F.col("timestamp_ms") >= F.col("start_ms")) & (F.col("timestamp_ms") < F.col("end_ms")))
 
 

@@ -13,7 +13,7 @@ from fieldspark.operators import routes as W
 from fieldspark.operators import terrain as T
 from fieldspark.operators import tracking as K
 from fieldspark.plans import training
-from fieldspark.sources import writers
+from fieldspark.sources import snapshots, writers
 from fieldspark.streaming import jobs
 
 STILL = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]
@@ -65,7 +65,7 @@ def test_resumed_run_of_a_new_schema_replaces_the_old_rows(spark, tmp_path):
     assert writers.resume_write(frames, score, out, "r1", "1.0", ["frame_index"]) == 6
     assert writers.resume_write(frames, score, out, "r2", "1.0", ["frame_index"]) == 6
     assert writers.resume_write(frames, score, out, "r1", "1.1", ["frame_index"]) == 6
-    rows = spark.read.parquet(out).select("run_id", "schema_version", "frame_index").collect()
+    rows = snapshots.read(spark, out).select("run_id", "schema_version", "frame_index").collect()
     assert len(rows) == 12 and {tuple(r)[:2] for r in rows} == {("r1", "1.1"), ("r2", "1.0")}
 
 
