@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm import bloom, links, text
 from fieldspark.llm.neighbours import shared
-from fieldspark.llm.store import keep
+from fieldspark.llm.store import keep, neutral
 
 BANDS, ROWS, BITS, MINIMA = 42, 6, 4, 256
 MARGIN = 0.13
@@ -181,8 +181,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the near duplicates: of each group the smallest id stays.
 
-    Rows that repeat an id are one document and stay or go together. Rows without an id stay.
+    Rows that repeat an id are one document and stay or go together. Rows without an id stay, exact copies included.
+    Null and empty texts are linked with nothing; other columns may have any names.
     """
+    names = docs.columns
+    docs, (id_col, text_col) = neutral(docs, id_col, text_col)
     gone = near_duplicates(docs, id_col, text_col, size, threshold).where("not kept").select("doc_id").distinct()
     keyed = docs.withColumn("_key", F.col(id_col).cast("long"))
-    return bloom.anti(keyed, "_key", keep(gone, "gone")).drop("_key")
+    return bloom.anti(keyed, "_key", keep(gone, "gone")).drop("_key").toDF(*names)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm import text
 from fieldspark.llm.doc_stats import class_totals, stats
-from fieldspark.llm.store import keep
+from fieldspark.llm.store import keep, neutral
 
 COMMON, SHARE, LANGUAGE, MIN_WORDS = 32, 2.0**-10, 2.0**-8, 50
 SENT = 1 << 12  # references that go to the tasks
@@ -244,11 +244,17 @@ def quality(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", tex
 
 
 def keep_good(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, in one pass after the references are learned."""
+    """The rows of ``docs`` that the rules keep, in one pass after the references are learned.
+
+    Null and empty texts fail the base rules and go; a null language counts as one without a name; equal rows are judged alike.
+    Other columns may have any names.
+    """
+    names = docs.columns
+    docs, (lang_col, text_col) = neutral(docs, lang_col, text_col)
     (ref, rest), columns = learn(docs, lang_col, text_col), docs.columns
 
     def judged(batch: pa.RecordBatch, ref: Reference) -> pa.RecordBatch:
         some = pa.RecordBatch.from_arrays([batch.column(0), batch.column(columns.index(lang_col)).cast(pa.string()), batch.column(columns.index(text_col)).cast(pa.string())], ["id", "lang", "text"])
         return batch.filter(pa.array(judge(some, ref)["kept"]))
 
-    return _with_references(docs, lang_col, ref, rest, judged, docs.schema)
+    return _with_references(docs, lang_col, ref, rest, judged, docs.schema).toDF(*names)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm import bloom, text
 from fieldspark.llm.neighbours import later, settle, shared
-from fieldspark.llm.store import keep
+from fieldspark.llm.store import keep, neutral
 
 LENGTH, PREFIX = 50, 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -126,8 +126,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the repeated passages: their words and the white space after each are cut out of the texts.
 
     Texts without repeats, null texts and the other columns stay as they are; ``chars_col`` gets the new length of a cut text.
-    A text that is one repeat becomes empty; its row stays.
+    A text that is one repeat becomes empty; its row stays. Rows that repeat id and text are one place and are cut alike. Other
+    columns may have any names.
     """
+    names = docs.columns
+    docs, (id_col, text_col, chars_col) = neutral(docs, id_col, text_col, chars_col)
     spans = keep(repeats(docs, id_col, text_col, length).select(F.col("row").alias("_row"), F.col("spans").alias("_spans")), "spans")
     keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.col(text_col).cast("string")))
     flagged = bloom.maybe(keyed, "_row", bloom.build(spans.select("_row")))
@@ -156,4 +159,4 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
     same = [f"`{c}`" for c in columns]
-    return flagged.where("not _maybe").select(same).unionByName(joined.select(*same, "_spans").mapInArrow(cut, docs.schema))
+    return flagged.where("not _maybe").select(same).unionByName(joined.select(*same, "_spans").mapInArrow(cut, docs.schema)).toDF(*names)

@@ -31,7 +31,11 @@ FORMATTED = (
     "attachments array<struct<kind:string,ref:string,position:int,offset:bigint,tokens:bigint>>, expanded_tokens long"
 )
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*)<\|im_end\|>\n", re.DOTALL)
-_MARK = re.compile(r"<\|(?:image|audio|document)\|>")
+_MARK = re.compile(r"<\|(?:image|audio|document|unknown)\|>")
+
+
+KINDS = ("text", "image", "audio", "document")
+MOST_TOKENS = 2**53  # of one part
 
 
 def escape(s: str) -> str:
@@ -50,10 +54,7 @@ class Flatten:
 
     def visit(self, part: dict) -> None:
         kind = part.get("type") or "text"
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown part type: {kind!r}")
-        method(part)
+        getattr(self, f"visit_{kind}" if kind in KINDS else "visit_unknown")(part)
 
     def visit_text(self, part: dict) -> None:
         begin = len(self.text)
@@ -65,11 +66,15 @@ class Flatten:
         self._attach("image", part, math.ceil((part.get("width") or 0) / PATCH) * math.ceil((part.get("height") or 0) / PATCH))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, math.ceil((part.get("seconds") or 0.0) * AUDIO_RATE))
+        ticks = (part.get("seconds") or 0.0) * AUDIO_RATE
+        self._attach("audio", part, math.ceil(min(ticks, MOST_TOKENS)) if math.isfinite(ticks) else 0)
 
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, (part.get("pages") or 0) * PAGE_TOKENS)
 
+    def visit_unknown(self, part: dict) -> None:
+        self._attach("unknown", part, 0)
+
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         self.attachments.append({"kind": kind, "ref": part.get("ref"), "position": len(self.attachments), "offset": len(self.text), "tokens": max(1, tokens)})
         self.text += f"<|{kind}|>"
@@ -79,7 +84,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """``conv_id, turn, formatted, loss, attachments, expanded_tokens`` of ``conv_id, turn, role, parts`` rows.
 
     ``loss``: the stretches of ``formatted``, in code points, of an assistant's text; placeholders are not in it.
-    A null role or text is empty, null or no parts give an empty turn, a null part is skipped, an unknown part type is an error.
+    A null role or text is empty, null or no parts give an empty turn, a null part is skipped; a part of an
+    unknown type is a placeholder ``<|unknown|>`` of one token, as is a part without a usable size (a length that is not finite).
     Ids and turns may be null or repeat; other columns are ignored; no rows give no rows.
     """
 

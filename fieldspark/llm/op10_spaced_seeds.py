@@ -93,7 +93,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Broadca
 
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, "item_id long, words array<long>, n long")
-    rows = keep(rows.withColumn("deal", F.xxhash64("item_id", "words")), "benchmark")
+    rows = keep(rows.dropDuplicates(["item_id", "words"]).withColumn("deal", F.xxhash64("item_id", "words")), "benchmark")
     total = rows.agg(F.sum("n")).first()[0] or 0
     count = -(-2 * total // BLOCK) if total > BLOCK else 1
     while count > 1 and rows.groupBy(F.pmod("deal", F.lit(count))).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > BLOCK:
@@ -176,7 +176,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that overlap no item, in one pass for each block of the benchmark."""
+    """The rows of ``docs`` that overlap no item, in one pass for each block of the benchmark.
+
+    Null and empty texts overlap nothing and stay, as do all rows where the benchmark is empty; equal rows are judged alike; other
+    columns may have any names.
+    """
     at = docs.columns.index(text_col)
     for shared in blocks(benchmark, item_col, item_text):
 

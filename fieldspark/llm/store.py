@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def neutral(docs: DataFrame, *names: str | None) -> tuple[DataFrame, list[str | None]]:
+    """``docs`` with its columns named by their number, so that none clashes with a name used inside, and the new names of ``names``."""
+    new = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), [new.get(n) for n in names]
+
+
 def as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, in their order."""
     return rows.select(*[f"`{c}`" for c in docs.columns])

@@ -152,6 +152,15 @@ def test_typed_parts(spark):
     assert op6.read_back(rows[1]["formatted"]) == ("assistant", "see <|image|> end")
 
 
+def test_unknown_parts_and_sizes_that_are_no_numbers(spark):
+    part = lambda kind, **own: {"type": kind, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | own
+    content = [part("audio", seconds=float("nan")), part("audio", seconds=float("inf")), part("audio", seconds=1e305), part("audio", seconds=-3.0), part("video", ref="v"), part("attach"), part("text", text="ok")]
+    turns = spark.createDataFrame([(1, 0, "assistant", content)], f"conv_id long, turn long, role string, parts array<{op6.PART}>")
+    row = op6.format_turns(turns).first()
+    assert [(a["kind"], a["tokens"]) for a in row["attachments"]] == [("audio", 1), ("audio", 1), ("audio", 2**53), ("audio", 1), ("unknown", 1), ("unknown", 1)]
+    assert row["attachments"][4]["ref"] == "v" and op6.read_back(row["formatted"]) == ("assistant", "ok")
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOC)
     assert op8.token_counts(none, PATH).collect() == [] and op9.pack(none, PATH).collect() == []
