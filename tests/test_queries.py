@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tools.check import rows
 
 SF = os.environ.get("FIELDSPARK_SF", "/root/testdata/sf0.001")
-FEW = ["a1_confusion_counts", "a18_gram", "a26_reason_keys", "d1_suppress_duplicates", "k3_resume_write", "m4_score", "x4_stream_interval_alerts", "g2_dilate", "w2_frame_split", "j4_asof_join", "j6_overlapping_intervals", "j16_upsert_runs", "a22_threshold_candidates", "a13_track_summary", "k4_reuse_results"]
+FEW = ["a1_confusion_counts", "a18_gram", "a26_reason_keys", "d1_suppress_duplicates", "k3_resume_write", "m4_score", "x4_stream_interval_alerts", "g2_dilate", "w2_frame_split", "j4_asof_join", "j6_overlapping_intervals", "j16_upsert_runs", "a22_threshold_candidates", "a13_track_summary", "k4_reuse_results", "x1_stream_score", "g4_grade", "p1_polygon", "g7_graded_corridors", "t4_evidence_rules", "g13_region_table"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("FIELDSPARK_ALL") else FEW
 
 
