@@ -77,36 +77,31 @@ def test_components_join_diagonals(spark, mask_runs):
     assert eight.select("component").distinct().count() == 3 and four.select("component").distinct().count() == 5
 
 
-def road(half, width=160, height=120, value=1):
-    grid = np.zeros((height, width), int)
-    grid[:, max(0, 80 - half) : min(width, 80 + half + 1)] = value
-    return grid
+RUNS = "frame_index long, y int, x0 int, x1 int, value int"
 
 
-def corridor_of(spark, mask_runs, grid, graded=False, **kw):
-    rows = C.evaluate_corridors(mask_runs({0: grid.tolist()}), frames(spark, 160, 120), 160, 120, graded, key=KEY, **kw)
+def corridor_of(spark, strips, graded=False, **kw):
+    """Corridors of one 160 x 120 frame; ``strips`` are ``(first line, end line, x0, x1, value)``."""
+    runs = spark.createDataFrame([(0, y, x0, x1, value) for first, end, x0, x1, value in strips for y in range(first, end)], RUNS)
+    rows = C.evaluate_corridors(runs, frames(spark, 160, 120), 160, 120, graded, key=KEY, **kw)
     return {r["corridor"]: r for r in rows.collect()}
 
 
-def test_corridors(spark, mask_runs):
-    narrow = corridor_of(spark, mask_runs, road(60))
+def test_corridors(spark):
+    narrow = corridor_of(spark, [(0, 120, 20, 141, 1)])
     assert [narrow[c]["status"] for c in ("mitte", "rechts", "links")] == ["free", "blocked", "blocked"]
-    wide = corridor_of(spark, mask_runs, road(80))
+    wide = corridor_of(spark, [(0, 120, 0, 160, 1)])
     assert {r["status"] for r in wide.values()} == {"free"}
-    gap = road(80)
-    gap[:, 54:107] = 0
-    assert corridor_of(spark, mask_runs, gap)["mitte"]["status"] == "blocked"
+    assert corridor_of(spark, [(0, 120, 0, 54, 1), (0, 120, 107, 160, 1)])["mitte"]["status"] == "blocked"
 
 
-def test_graded_corridors(spark, mask_runs):
-    soft = corridor_of(spark, mask_runs, road(80, value=3), True)["mitte"]
+def test_graded_corridors(spark):
+    soft = corridor_of(spark, [(0, 120, 0, 160, 3)], True)["mitte"]
     assert soft["status"] == "uncertain" and soft["blocked"] == 0
-    partly = road(80, value=2)
-    partly[50:75] = 0
-    seen = corridor_of(spark, mask_runs, partly, True)["mitte"]
+    seen = corridor_of(spark, [(0, 50, 0, 160, 2), (75, 120, 0, 160, 2)], True)["mitte"]
     assert seen["status"] == "free" and seen["undecided"] >= 20
     with pytest.raises(ValueError):
-        corridor_of(spark, mask_runs, road(80), ground=0)
+        corridor_of(spark, [(0, 120, 0, 160, 1)], ground=0)
 
 
 def test_grades_partition(spark, mask_runs, dense):
