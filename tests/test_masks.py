@@ -128,7 +128,8 @@ def test_coverage_is_a_partition(spark, mask_runs):
 
 
 def test_centreline_follows_the_road(spark, mask_runs):
-    grid = road(70, 160, 120)
+    grid = np.zeros((120, 160), int)
+    grid[:, 10:151] = 1
     conf = spark.createDataFrame([(0, 0.95, 0.9)], "frame_index long, visibility double, ground_confidence double")
     row = T.centreline(mask_runs({0: grid.tolist()}), conf, 160, 120, key=KEY).first()
     assert row["status"] == "available" and all(abs(p["x"] - 0.5) < 0.05 for p in row["centreline"])
