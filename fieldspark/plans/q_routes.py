@@ -163,11 +163,12 @@ def m17(spark, sf):
 
 
 RESAMPLED = ANCHOR | {
-    "along": """SELECT *, sum(d) OVER (PARTITION BY video_id ORDER BY idx) AS pos FROM (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM anchored WINDOW w AS (PARTITION BY video_id ORDER BY idx))""",
-    "targets": "SELECT video_id, mission_id, unnest(range(64)) AS i, total * unnest(range(64)) / 63 AS pos FROM (SELECT video_id, mission_id, max(pos) AS total FROM along GROUP BY ALL)",
+    # Sums of a window are no running sums there: their roundings may go back by a bit, positions must not.
+    "along": """SELECT *, max(s) OVER (PARTITION BY video_id ORDER BY idx) AS pos FROM (SELECT *, sum(d) OVER (PARTITION BY video_id ORDER BY idx) AS s FROM (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS d FROM anchored WINDOW w AS (PARTITION BY video_id ORDER BY idx)))""",
+    "targets": "SELECT video_id, mission_id, unnest(range(64)) AS i, total, total * unnest(range(64)) / 63 AS pos FROM (SELECT video_id, mission_id, max(pos) AS total FROM along GROUP BY ALL)",
     "knots": "SELECT *, lead(pos) OVER w AS at2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM along WINDOW w AS (PARTITION BY video_id ORDER BY idx)",
-    "lines": """SELECT t.video_id, t.mission_id, t.i AS idx, k.x + coalesce((k.x2 - k.x) * CASE WHEN k.at2 > k.pos THEN (t.pos - k.pos) / (k.at2 - k.pos) ELSE 0 END, 0) AS x,
-        k.y + coalesce((k.y2 - k.y) * CASE WHEN k.at2 > k.pos THEN (t.pos - k.pos) / (k.at2 - k.pos) ELSE 0 END, 0) AS y FROM targets t ASOF JOIN (SELECT * FROM knots WHERE at2 > pos OR at2 IS NULL) k ON t.video_id = k.video_id AND t.pos >= k.pos""",
+    "lines": """SELECT t.video_id, t.mission_id, t.i AS idx, CASE WHEN t.total < 1e-6 THEN t.i / 63 ELSE k.x + coalesce((k.x2 - k.x) * CASE WHEN k.at2 > k.pos THEN least(1, (t.pos - k.pos) / (k.at2 - k.pos)) ELSE 0 END, 0) END AS x,
+        CASE WHEN t.total < 1e-6 THEN 0.0 ELSE k.y + coalesce((k.y2 - k.y) * CASE WHEN k.at2 > k.pos THEN least(1, (t.pos - k.pos) / (k.at2 - k.pos)) ELSE 0 END, 0) END AS y FROM targets t ASOF JOIN (SELECT * FROM knots WHERE at2 > pos OR at2 IS NULL) k ON t.video_id = k.video_id AND t.pos >= k.pos""",
 }
 
 
