@@ -37,10 +37,13 @@ def w1(spark, sf):
 @query(
     "w1_locate_on_route",
     sql(
-        """SELECT a.video_id, a.event_id, round_even(l.lat0 + (l.lat1 - l.lat0) * (a.at - (l."end" - l.length)) / l.length, 6) AS lat, round_even(l.lng0 + (l.lng1 - l.lng0) * (a.at - (l."end" - l.length)) / l.length, 6) AS lng,
-          CAST(least(greatest(0, n - 2), floor(fraction * greatest(1, n - 1))) AS BIGINT) AS segment_index
-        FROM (SELECT f.video_id, f.event_id, f.value / 500 AS fraction, t.total * (f.value / 500) AS at, t.n + 1 AS n FROM frames f JOIN (SELECT video_id, sum(length) AS total, count(*) AS n FROM legs GROUP BY ALL) t USING (video_id)) a
-        ASOF JOIN legs l ON a.video_id = l.video_id AND a.at <= l."end" """,
+        # A leg without length holds no position; beyond the last leg stands the last point.
+        """SELECT a.video_id, a.event_id, round_even(coalesce(l.lat0 + (l.lat1 - l.lat0) * (a.at - (l."end" - l.length)) / l.length, a.lat), 6) AS lat,
+          round_even(coalesce(l.lng0 + (l.lng1 - l.lng0) * (a.at - (l."end" - l.length)) / l.length, a.lng), 6) AS lng,
+          CAST(least(greatest(0, coalesce(n, 1) - 2), floor(fraction * greatest(1, coalesce(n, 1) - 1))) AS BIGINT) AS segment_index
+        FROM (SELECT f.video_id, f.event_id, f.value / 500 AS fraction, t.total * (f.value / 500) AS at, t.n + 1 AS n, t.lat, t.lng
+          FROM frames f LEFT JOIN (SELECT video_id, sum(length) AS total, count(*) AS n, arg_max(lat1, idx) AS lat, arg_max(lng1, idx) AS lng FROM legs GROUP BY ALL) t USING (video_id)) a
+        ASOF LEFT JOIN (SELECT * FROM legs WHERE length > 0) l ON a.video_id = l.video_id AND a.at <= l."end" """,
         "frames",
         route=ROUTE,
         legs=LEGS,
