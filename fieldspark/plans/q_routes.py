@@ -9,7 +9,7 @@ from fieldspark.operators import routes as W
 from fieldspark.operators import runs as R
 from fieldspark.operators import terrain as T
 from fieldspark.plans import bindings as B
-from fieldspark.plans.bindings import HEIGHT, RASTER, WIDTH, sql
+from fieldspark.plans.bindings import HEIGHT, RASTER, WIDTH, even, sql
 from fieldspark.plans.catalog import query
 from fieldspark.plans.q_pixels import GRADE
 from fieldspark.plans.q_masks import runs_sql
@@ -273,9 +273,9 @@ def m16(spark, sf):
 @query(
     "j13_nearest_evidence",
     sql(
-        """SELECT mission_id, segment, keyframe_id, CAST(rank AS INTEGER) AS rank FROM (
+        f"""SELECT mission_id, segment, keyframe_id, CAST(rank AS INTEGER) AS rank FROM (
           SELECT k.mission_id, s.segment, k.event_id AS keyframe_id, row_number() OVER (PARTITION BY k.mission_id, s.segment ORDER BY abs(k.rf - s.fraction), k.event_id) AS rank
-          FROM (SELECT video_id // 4 AS mission_id, event_id, round_even(value / 500, 2) AS rf FROM frames) k, (SELECT i AS segment, (i + 0.5::DOUBLE) / 63 AS fraction FROM range(63) t(i)) s) WHERE rank <= 2""",
+          FROM (SELECT video_id // 4 AS mission_id, event_id, {even('value / 500', 2)} AS rf FROM frames) k, (SELECT i AS segment, (i + 0.5::DOUBLE) / 63 AS fraction FROM range(63) t(i)) s) WHERE rank <= 2""",
         "frames",
     ),
 )
