@@ -28,29 +28,52 @@ DEFAULT_REASONS = (
 )
 
 
-def intervals_to_frames(intervals: DataFrame, videos: DataFrame, stride: int = 10, by: Sequence[str] = ("mission_id", "video_id")) -> DataFrame:
-    """Every ``stride``-th frame of each interval, clipped to the video, as fully negative frames."""
+def interval_ranges(intervals: DataFrame, videos: DataFrame, stride: int = 10, by: Sequence[str] = ("mission_id", "video_id")) -> DataFrame:
+    """Each interval, clipped to the video, as its first and last frame number and the step between its frames."""
     joined = intervals.join(videos.select(*by, "fps", "total_frames"), list(by))
     frame = lambda ms: F.rint(F.col(ms) / 1000 * F.col("fps")).cast("long")
     bounded = joined.withColumn("_a", F.greatest(F.lit(0), frame("start_ms"))).withColumn(
         "_b", F.least(F.col("total_frames") - 1, frame("end_ms"))
     )
-    return (
-        bounded.where(F.col("_a") <= F.col("_b"))
-        .select(*by, F.col("id").alias("interval_id"), "fps", F.explode(F.sequence("_a", "_b", F.lit(max(1, stride)).cast("long"))).alias("frame_index"))
-        .select(*by, "interval_id", "frame_index", rules.frame_timestamp(F.col("frame_index"), F.col("fps")).alias("timestamp_ms"))
+    return bounded.where(F.col("_a") <= F.col("_b")).select(
+        *by, F.col("id").alias("interval_id"), "fps", "_a", "_b", F.lit(max(1, stride)).cast("long").alias("_step")
     )
 
 
+def _frames_of(ranges: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per frame of each range."""
+    exploded = ranges.select(*columns, "fps", F.explode(F.sequence("_a", "_b", "_step")).alias("frame_index"))
+    return exploded.withColumn("timestamp_ms", rules.frame_timestamp(F.col("frame_index"), F.col("fps")))
+
+
+def intervals_to_frames(intervals: DataFrame, videos: DataFrame, stride: int = 10, by: Sequence[str] = ("mission_id", "video_id")) -> DataFrame:
+    """Every ``stride``-th frame of each interval, clipped to the video, as fully negative frames."""
+    names = [*by, "interval_id"]
+    return _frames_of(interval_ranges(intervals, videos, stride, by), names).select(*names, "frame_index", "timestamp_ms")
+
+
+def negative_ranges(intervals: DataFrame, videos: DataFrame, stride_interval: int = 10, stride_video: int = 15, by: Sequence[str] = ("mission_id", "video_id")) -> DataFrame:
+    """The frames of :func:`hard_negatives` as ranges, one row per interval or video."""
+    spans = interval_ranges(intervals, videos, stride_interval, by).withColumn("interval_id", F.col("interval_id").cast("string")).withColumn("origin", F.lit("interval"))
+    whole = videos.where(F.col("fully_not_traversable") & (F.col("total_frames") > 0)).select(
+        *by, F.lit(None).cast("string").alias("interval_id"), "fps", F.lit(0).cast("long").alias("_a"), (F.col("total_frames") - 1).cast("long").alias("_b"),
+        F.lit(max(1, stride_video)).cast("long").alias("_step"), F.lit("video").alias("origin"),
+    )
+    return spans.unionByName(whole)
+
+
 def hard_negatives(intervals: DataFrame, videos: DataFrame, stride_interval: int = 10, stride_video: int = 15, by: Sequence[str] = ("mission_id", "video_id")) -> DataFrame:
     """Interval frames plus strided frames of videos without any path."""
-    spans = intervals_to_frames(intervals, videos, stride_interval, by).withColumn("origin", F.lit("interval"))
-    whole = (
-        videos.where(F.col("fully_not_traversable") & (F.col("total_frames") > 0))
-        .select(*by, "fps", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1, F.lit(max(1, stride_video)).cast("long"))).alias("frame_index"))
-        .select(*by, F.lit(None).cast("string").alias("interval_id"), "frame_index", rules.frame_timestamp(F.col("frame_index"), F.col("fps")).alias("timestamp_ms"), F.lit("video").alias("origin"))
-    )
-    return spans.withColumn("interval_id", F.col("interval_id").cast("string")).unionByName(whole)
+    ranges = negative_ranges(intervals, videos, stride_interval, stride_video, by)
+    return _frames_of(ranges, [*by, "interval_id", "origin"]).select(*by, "interval_id", "frame_index", "timestamp_ms", "origin")
+
+
+def hard_negative_totals(intervals: DataFrame, videos: DataFrame, stride_interval: int = 10, stride_video: int = 15, by: Sequence[str] = ("mission_id", "video_id")) -> DataFrame:
+    """Number of :func:`hard_negatives` and sum of their frame numbers per video and origin, from the ranges: a video's frames are never listed."""
+    ranges = negative_ranges(intervals, videos, stride_interval, stride_video, by)
+    counted = ranges.withColumn("_n", F.expr("(_b - _a) div _step + 1"))
+    total = F.expr("_n * _a + _step * (_n * (_n - 1) div 2)")
+    return counted.groupBy(*by, "origin").agg(F.sum("_n").alias("frames"), F.sum(total).alias("frame_sum"))
 
 
 def flag_conflicts(flags: DataFrame, annotations: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -140,3 +140,14 @@ def test_sampling_quota(spark):
     count = lambda d: {(r["frame_index"], r["label"]): r["n"] for r in d.groupBy("frame_index", "label").agg(F.count("*").alias("n")).collect()}
     assert count(N.balanced_sample(df, "label", 5, key=("frame_index",))) == {(0, 0): 5, (0, 1): 5, (1, 0): 5}
     assert count(N.balanced_sample(df, "label", 5, keep_all_negative=False, key=("frame_index",))) == {(0, 0): 5, (0, 1): 5}
+
+
+def test_totals_of_hard_negatives_are_those_of_their_frames(spark):
+    """Counted without listing the frames: one video here has more of them than could be listed."""
+    videos = spark.createDataFrame([(0, 10.0, 100, False), (1, 25.0, 31, True), (2, 10.0, 0, True), (3, 10.0, 1, True)], "video_id long, fps double, total_frames long, fully_not_traversable boolean")
+    spans = spark.createDataFrame([(0, 1, 460, 1540), (0, 2, 0, 99_999), (1, 3, 1200, 1300), (0, 4, 20_000, 30_000)], "video_id long, id long, start_ms long, end_ms long")
+    listed = L.hard_negatives(spans, videos, 3, 4, ["video_id"]).groupBy("video_id", "origin").agg(F.count(F.lit(1)).alias("frames"), F.sum("frame_index").alias("frame_sum"))
+    totals = L.hard_negative_totals(spans, videos, 3, 4, ["video_id"])
+    assert totals.columns == listed.columns and sorted(map(tuple, totals.collect())) == sorted(map(tuple, listed.collect())) and totals.count() == 4
+    long_video = videos.where("video_id = 1").withColumn("total_frames", F.lit(15_000_000_001).cast("long"))
+    assert tuple(L.hard_negative_totals(spans, long_video, 3, 15, ["video_id"]).where("origin = 'video'").first()) == (1, "video", 1_000_000_001, 15 * (10**9 * (10**9 + 1) // 2))
