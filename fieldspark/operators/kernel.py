@@ -106,8 +106,8 @@ def balanced_samples(
 ) -> DataFrame:
     """The rows of :func:`balanced_sample` for several ``sizes`` at once, with ``sizes``, those that a row belongs to.
 
-    A task keeps the first rows in hash order of every frame and class and how many it saw; only these are shuffled, once, and
-    put together by frame. A smaller sample is a part of a larger one, so one set of rows serves all.
+    A task keeps the first rows in hash order of every frame and class and how many it saw, and hands them on when they are many;
+    only these are shuffled, once, and put together by frame. A smaller sample is a part of a larger one, so one set of rows serves all.
     """
     most, names = max(sizes), list(key)
     draw = F.xxhash64(F.lit(seed), *key, "y", "x")
@@ -137,8 +137,11 @@ def balanced_samples(
             held.append(pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ones(batch.num_rows, np.int64)), pa.array(np.full(batch.num_rows, task, np.int32))], partial.names))
             rows += batch.num_rows
             if rows > SAMPLER_ROWS:
-                held = pruned().combine_chunks().to_batches()
-                rows = 0
+                table = pruned().combine_chunks()
+                held, rows = table.to_batches(), table.num_rows
+                if rows > SAMPLER_ROWS // 2:  # many frames: what is left goes on, so a task's memory does not grow with its frames
+                    yield from held
+                    held, rows = [], 0
         if held:
             yield from pruned().to_batches()
 
@@ -165,7 +168,7 @@ def balanced_samples(
     return drawn.mapInArrow(first, partial).groupBy(*key).applyInArrow(merge, out)
 
 
-SAMPLER_ROWS = 1 << 20  # rows that a task of the sampler takes in before it drops those that cannot be drawn
+SAMPLER_ROWS = 1 << 17  # rows that a task of the sampler takes in before it drops those that cannot be drawn
 
 
 def _frame_order(table: pa.Table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -136,3 +136,23 @@ def test_training_with_hard_negatives_is_stored(spark, labelled):
     assert stored["validation", "tp"] == run.validation_metrics["tp"] and stored["sizes", "train_frames"] == 20
     with pytest.raises(ValueError, match="exists"):
         training.train_and_store(data, parts, WIDTH, HEIGHT, path, "r1", KEY, d=D, random_features=8, samples=20)
+
+
+def test_a_task_of_the_sampler_holds_few_rows_however_many_frames(spark, monkeypatch):
+    """Nearly all rows of these frames can be drawn, so dropping the others does not bound what a task holds."""
+    data = spark.range(6000).selectExpr("id div 60 AS frame_index", "int(id % 60 div 10) AS y", "int(id % 10) AS x", "int(id % 2) AS label").coalesce(1)
+    want = sorted(map(str, N.balanced_samples(data, "label", [5, 28], 3, True, ("frame_index",)).collect()))
+    original = N._frame_order
+
+    def watched(held, names):
+        assert held.num_rows <= 1000
+        return original(held, names)
+
+    monkeypatch.setattr(N, "SAMPLER_ROWS", 500)
+    monkeypatch.setattr(N, "_frame_order", watched)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = sorted(map(str, N.balanced_samples(data, "label", [5, 28], 3, True, ("frame_index",)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(got) == 100 * 56
