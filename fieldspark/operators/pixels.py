@@ -6,7 +6,7 @@ windows along x and along y only re-sort inside that partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -147,13 +147,21 @@ def area_weights(n: int, target: int) -> np.ndarray:
     return shared / shared.sum(axis=1, keepdims=True)
 
 
-def resize_area(pixels: DataFrame, columns: Sequence[str], size: tuple[int, int], target: tuple[int, int], key: Sequence[str] = R.KEY) -> DataFrame:
-    """Complete 8-bit frames rescaled by area means, rounded half to even; a frame is a bounded group, shuffled once."""
+def resize_area(
+    pixels: DataFrame, columns: Sequence[str], size: tuple[int, int], target: tuple[int, int], key: Sequence[str] = R.KEY, nearest: Sequence[str] = ()
+) -> DataFrame:
+    """Complete 8-bit frames rescaled by area means, rounded half to even; a frame is a bounded group, shuffled once.
+
+    ``nearest`` names integer columns that take the value of the nearest source cell, as :func:`runs.resize_nearest` does. Frames come out one after the other, their pixels in order.
+    """
     (w, h), (tw, th) = size, target
     across, down, names = area_weights(w, tw), area_weights(h, th), list(key)
-    slim = pixels.select(*key, "y", "x", *[F.col(c).cast("double").alias(c) for c in columns])
-    schema = T.StructType([*[f for f in slim.schema.fields if f.name in names], *[T.StructField(c, T.IntegerType()) for c in ("y", "x")], *[T.StructField(c, T.DoubleType()) for c in columns]])
+    slim = pixels.select(*key, "y", "x", *[F.col(c).cast("double").alias(c) for c in columns], *[F.col(c).cast("int").alias(c) for c in nearest])
+    schema = T.StructType(
+        [*[f for f in slim.schema.fields if f.name in names], *[T.StructField(c, T.IntegerType()) for c in ("y", "x")], *[T.StructField(c, T.DoubleType()) for c in columns], *[T.StructField(c, T.IntegerType()) for c in nearest]]
+    )
     y, x = (v.ravel().astype(np.int32) for v in np.indices((th, tw)))
+    source = np.ix_(np.arange(th) * h // th, np.arange(tw) * w // tw)
 
     def run(frame: pa.Table) -> pa.Table:
         rows, cols = frame.column("y").to_numpy(), frame.column("x").to_numpy()
@@ -162,8 +170,12 @@ def resize_area(pixels: DataFrame, columns: Sequence[str], size: tuple[int, int]
             grid = np.zeros((h, w))
             grid[rows, cols] = frame.column(c).to_numpy()
             made.append(pa.array(np.rint(down @ grid @ across.T).ravel()))
+        for c in nearest:
+            grid = np.zeros((h, w), np.int32)
+            grid[rows, cols] = frame.column(c).to_numpy()
+            made.append(pa.array(grid[source].ravel()))
         head = [pa.array(frame.column(n)[:1].to_pylist() * len(y), frame.schema.field(n).type) for n in names]
-        return pa.Table.from_arrays([*head, pa.array(y), pa.array(x), *made], names=[*names, "y", "x", *columns])
+        return pa.Table.from_arrays([*head, pa.array(y), pa.array(x), *made], names=[*names, "y", "x", *columns, *nearest])
 
     return slim.groupBy(*key).applyInArrow(run, schema)
 
@@ -188,15 +200,41 @@ def frame_filters(pixels: DataFrame, column: str, filters: dict, width: int, hei
     return pixels.groupBy(*key).applyInArrow(run, schema)
 
 
+def whole_frame_filters(pixels: DataFrame, column: str, filters: dict, width: int, height: int) -> DataFrame:
+    """:func:`frame_filters` without any shuffle, for rows as :func:`resize_area` leaves them: complete frames one after the other, in order."""
+    schema, size = T.StructType([*pixels.schema.fields, *[T.StructField(n, T.DoubleType()) for n in filters]]), width * height
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            rest.append(batch)
+            if sum(b.num_rows for b in rest) < size:
+                continue
+            table = pa.Table.from_batches(rest).combine_chunks()
+            full = table.num_rows // size
+            for k in range(full):
+                frame = table.slice(k * size, size)
+                grid = frame.column(column).to_numpy().reshape(height, width)
+                for name, fn in filters.items():
+                    frame = frame.append_column(name, pa.array(fn(grid).ravel()))
+                yield from frame.combine_chunks().to_batches()
+            rest = table.slice(full * size).to_batches()
+        if sum(b.num_rows for b in rest):
+            raise ValueError("an incomplete frame")
+
+    return pixels.mapInArrow(run, schema)
+
+
 def _texture(k: int) -> dict:
     spread = lambda g: np.sqrt(np.maximum(0.0, dense_box(g * g, k) - dense_box(g, k) ** 2))
     return {"gradient": dense_gradient, "local_mean": lambda g: dense_box(g, k), "local_std": spread}
 
 
-def feature_columns(pixels: DataFrame, width: int, height: int, key: Sequence[str] = R.KEY) -> DataFrame:
-    """The 22 pixel features as named columns; the last eight depend on position."""
-    raw = pixels.select(*key, "y", "x", "b", "g", "r").withColumn("_gray", F.expr(colour.GRAY) / 255)
-    textured = add_colour(frame_filters(raw, "_gray", _texture(9), width, height, key))
+def feature_columns(pixels: DataFrame, width: int, height: int, key: Sequence[str] = R.KEY, keep: Sequence[str] = (), whole: bool = False) -> DataFrame:
+    """The 22 pixel features as named columns; the last eight depend on position. ``whole`` rows are as :func:`resize_area` leaves them."""
+    raw = pixels.select(*key, "y", "x", "b", "g", "r", *keep).withColumn("_gray", F.expr(colour.GRAY) / 255)
+    filtered = whole_frame_filters(raw, "_gray", _texture(9), width, height) if whole else frame_filters(raw, "_gray", _texture(9), width, height, key)
+    textured = add_colour(filtered)
     angle = F.expr(colour.HUE_ANGLE)
     px, py = F.col("x") / F.lit(float(max(1, width - 1))), F.col("y") / F.lit(float(max(1, height - 1)))
     named = {
@@ -223,7 +261,7 @@ def feature_columns(pixels: DataFrame, width: int, height: int, key: Sequence[st
         "saturation_y": F.col("sat") / 255 * py,
         "value_y": F.col("val") / 255 * py,
     }
-    return textured.select(*key, "y", "x", *[named[n].alias(n) for n in FEATURES])
+    return textured.select(*key, "y", "x", *keep, *[named[n].alias(n) for n in FEATURES])
 
 
 def pixel_features(pixels: DataFrame, width: int, height: int, positional: bool = True, key: Sequence[str] = R.KEY) -> DataFrame:

@@ -279,12 +279,13 @@ def m7(spark, sf):
 @query("m8_sweep")
 def m8(spark, sf):
     """All points of the grid, the frames resampled to each input width."""
-    parts, truth, inputs = None, B.mask_t(spark, sf), {}
+    truth, inputs = B.mask_t(spark, sf), {}
     frames = B.raster_frames(spark, sf).withColumn("mission_id", F.col("video_id") % 2)
     parts = cut_lineage(L.frame_split(frames.select(*RASTER, "mission_id"), ["video_id"], huge=False, scope=["mission_id"]))
+    source = T.source_frames(B.rgb(spark, sf), truth, parts, RASTER)
     for width in T.SWEEP["width"]:
-        labelled, *size = T.resampled_input(B.rgb(spark, sf), truth, (WIDTH, HEIGHT), width, RASTER)
-        inputs[width] = (cut_lineage(labelled), parts, *size)
+        labelled, *size = T.resampled_frames(source, (WIDTH, HEIGHT), width, RASTER)
+        inputs[width] = (labelled, None, *size)
     rows, best = T.sweep(inputs, key=RASTER)
     return spark.createDataFrame([(r["candidate"], r["width"], r["random_features"], r["samples"], r["ridge_lambda"], r["symmetric_score"], r["iou"], r["candidate"] == best["candidate"]) for r in rows],
                                  "candidate int, width int, random_features int, samples int, ridge_lambda double, symmetric_score double, iou double, best boolean")

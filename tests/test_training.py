@@ -156,3 +156,19 @@ def test_a_task_of_the_sampler_holds_few_rows_however_many_frames(spark, monkeyp
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and len(got) == 100 * 56
+
+
+def test_resampled_frames_are_the_resampled_input_with_one_shuffle_of_source_pixels(spark):
+    rng = np.random.default_rng(5)
+    pixels = [(f, y, x, *map(float, rng.integers(0, 256, 3))) for f in range(4) for y in range(3) for x in range(7)]
+    pixels = spark.createDataFrame(pixels, "frame_index long, y int, x int, b double, g double, r double")
+    truth = spark.createDataFrame([(0, 0, 1, 4, 1), (0, 2, 0, 7, 1), (1, 1, 5, 6, 1), (3, 0, 0, 2, 1), (3, 0, 3, 7, 1)], "frame_index long, y int, x0 int, x1 int, value int")
+    parts = spark.createDataFrame([(0, "train"), (1, "validation"), (3, "train")], "frame_index long, part string")
+    source = training.source_frames(pixels, truth, parts, ("frame_index",))
+    made, width, height = training.resampled_frames(source, (7, 3), 30, ("frame_index",))
+    old, *size = training.resampled_input(pixels, truth, (7, 3), 30, ("frame_index",))
+    want = old.join(parts, "frame_index").select(*made.columns)
+    assert [width, height] == size == [30, 48]
+    got = sorted(map(tuple, made.collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) == 3 * 30 * 48 and {r[4] for r in got} == {0, 1}
+    assert made._jdf.queryExecution().sparkPlan().toString().count("FlatMapGroupsInArrow") == 1
