@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from fieldspark.functions.rules import in_range, length_between, one_of, optional
+from fieldspark.functions.rules import in_range, length_between, one_of, optional, two_distinct
 
 # Allowed words, patterns and limits of the record types.
 DIRECTIONS = ("A_TO_B", "B_TO_A")
@@ -22,6 +22,7 @@ TRAJECTORY_ORIGINS = ("model_proposal", "manual_edit", "manual")
 NAME_PATTERN = "^[a-zA-Z0-9_-]+$"
 HASH_PATTERN = "^[a-fA-F0-9]+$"
 SHORTEST_INTERVAL_MS = 200
+WRITERS_CONF = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def matches(value: Column, pattern: str) -> Column:
@@ -109,12 +110,11 @@ def interval_rules() -> dict[str, Column]:
 def trajectory_rules() -> dict[str, Column]:
     """``points array<array<double>>``, normalised to the frame."""
     c = F.col
-    rounded = F.transform("points", lambda p: F.transform(p, lambda v: F.bround(v, 8)))
     return {
         "timestamp": c("timestamp_ms") >= 0,
         "point_count": F.size("points").between(2, 400),
         "normalised": F.forall("points", lambda p: F.forall(p, lambda v: v.between(0, 1))),
-        "distinct_points": F.size(F.array_distinct(rounded)) >= 2,
+        "distinct_points": two_distinct(c("points"), lambda p: F.transform(p, lambda v: F.bround(v, 8))),
         "corridor": optional(c("corridor"), one_of(c("corridor"), CORRIDORS)),
         "origin": one_of(c("origin"), TRAJECTORY_ORIGINS),
         "note_length": length_between(c("note"), 0, 1000),
@@ -146,5 +146,11 @@ def write_checked(records: DataFrame, kind: str, path: str) -> dict[str, int]:
     count = lambda b: F.coalesce(F.sum(b.cast("long")), F.lit(0).cast("long"))
     has = lambda code: F.array_contains("violations", code)
     observed = checked.observe(seen, F.count(F.lit(1)).alias("records"), count(F.size("violations") > 0).alias("quarantined"), *[count(has(code)).alias(code) for code in rules])
-    observed.withColumn("valid", F.size("violations") == 0).write.partitionBy("valid").parquet(path)
+    spark = records.sparkSession
+    writers = spark.conf.get(WRITERS_CONF)
+    spark.conf.set(WRITERS_CONF, "2")  # both folders are open at once, so the records are not sorted
+    try:
+        observed.withColumn("valid", F.size("violations") == 0).write.partitionBy("valid").parquet(path)
+    finally:
+        spark.conf.set(WRITERS_CONF, writers)
     return seen.get

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,9 +101,18 @@ def valid_rle(rle: Column, width: Column, height: Column, values: Sequence[int]
     )
 
 
+def _rounded(point: Column) -> Column:
+    return F.struct(F.bround(point["x"], 8).alias("x"), F.bround(point["y"], 8).alias("y"))
+
+
 def _distinct_points(points: Column) -> Column:
-    rounded = F.transform(points, lambda p: F.struct(F.bround(p["x"], 8).alias("x"), F.bround(p["y"], 8).alias("y")))
-    return F.size(F.array_distinct(rounded))
+    return F.size(F.array_distinct(F.transform(points, _rounded)))
+
+
+def two_distinct(points: Column, rounded: Callable[[Column], Column]) -> Column:
+    """Two points differ once ``rounded``: one that differs from the first tells, so no point is compared with all others."""
+    first = F.get(points, F.lit(0))
+    return F.exists(points, lambda p: ~p.eqNullSafe(first) & ~rounded(p).eqNullSafe(rounded(first)))
 
 
 def _normalised(points: Column) -> Column:
@@ -118,7 +127,7 @@ def valid_polygon(polygon: Column, classes: Sequence[str] = ALL_CLASSES) -> Colu
 
 def valid_trajectory(points: Column) -> Column:
     """2-400 normalised points, at least two distinct."""
-    return F.size(points).between(2, 400) & _normalised(points) & (_distinct_points(points) >= 2)
+    return F.size(points).between(2, 400) & _normalised(points) & two_distinct(points, _rounded)
 
 
 def layer_consistency(polygons: Column, roi: Column) -> Column:

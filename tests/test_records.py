@@ -53,3 +53,20 @@ def test_regions_are_described(spark):
     got = {r["region_id"]: r for r in T.describe_regions(regions, sure, ["frame_index"]).collect()}
     assert got.keys() == {"likely_traversable-01", "not_traversable-02", "unknown-01"}
     assert got["not_traversable-02"]["confidence"] == 0.714 and got["unknown-01"]["confidence"] is None and len(got["likely_traversable-01"]["reasons"]) == 3
+
+
+def test_two_distinct_points_are_told_without_comparing_all(spark):
+    rule = C.trajectory_rules()["distinct_points"]
+    assert "array_distinct" not in str(rule)  # compares arrays one with all others
+    a, near, far, null = [0.5, 0.25], [0.500000001, 0.25], [0.5, 0.75], [None, 0.25]
+    lists = [([], False), ([a], False), ([a] * 400, False), ([a, near] * 9, False), ([a] * 399 + [far], True), ([a, null], True), ([null] * 3, False), ([None, a], True), ([None] * 2, False), (None, None)]
+    rows = spark.createDataFrame([(k, points) for k, (points, _) in enumerate(lists)], "k int, points array<array<double>>").select("k", rule.alias("ok"))
+    assert {r["k"]: r["ok"] for r in rows.collect()} == {k: ok for k, (_, ok) in enumerate(lists)}
+    xy = spark.createDataFrame([([(0.5, 0.25)] * 2,), ([(0.5, 0.25), (0.500000001, 0.25)],), ([(0.5, 0.25), (0.5, 0.26)],)], "points array<struct<x:double,y:double>>")
+    assert [r["ok"] for r in xy.select(P.valid_trajectory(xy["points"]).alias("ok")).collect()] == [False, False, True]
+
+
+def test_writing_records_puts_the_setting_of_writers_back(spark):
+    before = spark.conf.get(C.WRITERS_CONF)
+    C.write_checked(spark.createDataFrame([tuple(GOOD.values())], POLYGON), "polygon", path := run_dir(spark, "checked"))
+    assert spark.conf.get(C.WRITERS_CONF) == before and spark.read.parquet(path).count() == 1
