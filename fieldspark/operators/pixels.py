@@ -22,6 +22,7 @@ FEATURES = (
     "gradient", "local_mean", "local_std", "px", "py", "px2", "py2", "centre_distance", "green_y", "saturation_y", "value_y",
 )
 POSITIONAL = 8
+PIXELS_PER_TASK = 1 << 17
 DESCRIPTOR = (
     "blue", "green", "red", "sin_hue", "cos_hue", "saturation", "value", "lab_l", "lab_a", "lab_b", "excess_green", "gradient", "local_std",
 )
@@ -73,11 +74,21 @@ def _beside(column: str, window) -> tuple[Column, Column]:
     return F.coalesce(before, after), F.coalesce(after, before)
 
 
-def sobel(pixels: DataFrame, column: str, key: Sequence[str] = R.KEY) -> DataFrame:
-    """Add 3×3 Sobel derivatives ``grad_x`` and ``grad_y`` with mirrored borders."""
+def tasks_for(frames: DataFrame) -> int:
+    """To how many tasks the pixels of ``frames(width, height)`` should be dealt, so that one holds about ``PIXELS_PER_TASK``.
+
+    Shuffled pixels are small and in memory they are not, so tasks merged by shuffled bytes may hold too many. With fewer tasks
+    than a shuffle has, Spark would take the shuffle's number.
+    """
+    total = frames.agg(F.sum(F.col("width").cast("long") * F.col("height"))).first()[0] or 0
+    return max(-(-total // PIXELS_PER_TASK), int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def sobel(pixels: DataFrame, column: str, key: Sequence[str] = R.KEY, dealt: bool = False) -> DataFrame:
+    """Add 3×3 Sobel derivatives ``grad_x`` and ``grad_y`` with mirrored borders. With ``dealt`` all pixels of a frame are in one task already."""
     across, down = Window.partitionBy(*key, "y").orderBy("x"), Window.partitionBy(*key, "x").orderBy("y")
     up, low = _beside(column, down)
-    smooth = pixels.repartition(*key).withColumn("_sv", up + 2 * F.col(column) + low).withColumn("_dv", low - up)
+    smooth = (pixels if dealt else pixels.repartition(*key)).withColumn("_sv", up + 2 * F.col(column) + low).withColumn("_dv", low - up)
     sl, sr = _beside("_sv", across)
     dl, dr = _beside("_dv", across)
     return smooth.withColumn("grad_x", sr - sl).withColumn("grad_y", dl + 2 * F.col("_dv") + dr).drop("_sv", "_dv")
@@ -319,9 +330,9 @@ def gradient_percentiles(pixels: DataFrame, column: str = "vertical_gradient", k
     )
 
 
-def vertical_gradient(pixels: DataFrame, key: Sequence[str] = R.KEY) -> DataFrame:
+def vertical_gradient(pixels: DataFrame, key: Sequence[str] = R.KEY, dealt: bool = False) -> DataFrame:
     """8-bit absolute horizontal derivative of gray."""
-    return sobel(pixels, "gray", key).withColumn("vertical_gradient", F.least(F.lit(255.0), F.abs("grad_x"))).drop("grad_x", "grad_y")
+    return sobel(pixels, "gray", key, dealt).withColumn("vertical_gradient", F.least(F.lit(255.0), F.abs("grad_x"))).drop("grad_x", "grad_y")
 
 
 def prototype_colours(pixels: DataFrame, height: int, min_n: int = 40, key: Sequence[str] = R.KEY) -> DataFrame:
@@ -357,7 +368,10 @@ def visibility_score(pixels: DataFrame, key: Sequence[str] = R.KEY) -> DataFrame
     )
 
 
-def flag_pixels(pixels: DataFrame, runs: DataFrame, name: str, key: Sequence[str] = R.KEY) -> DataFrame:
-    """Boolean column: does a run cover the pixel? Runs are expanded on the same frame hash."""
-    cells = runs.select(*key, "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"), F.lit(True).alias(name)).repartition(*key)
-    return pixels.repartition(*key).join(cells, [*key, "y", "x"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+def flag_pixels(pixels: DataFrame, runs: DataFrame, name: str, key: Sequence[str] = R.KEY, tasks: int | None = None) -> DataFrame:
+    """Boolean column: does a run cover the pixel? Pixels and the cells of runs are dealt by their place, to ``tasks`` if given."""
+    cells = runs.select(*key, "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"), F.lit(True).alias(name))
+    pixels = pixels if tasks else pixels.repartition(*key)
+    cells = cells.repartition(tasks, *key, "y", "x") if tasks else cells.repartition(*key)
+    # runs look small enough for a broadcast, their cells are not
+    return pixels.join(cells.hint("merge"), [*key, "y", "x"], "left").withColumn(name, F.coalesce(name, F.lit(False)))

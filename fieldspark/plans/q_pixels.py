@@ -152,8 +152,9 @@ FLAGS = COLOUR | sobel_sql("col", "gray") | {
 def flagged(spark, sf):
     """Pixels with colour, vertical gradient and the area flags."""
     frames = B.raster_frames(spark, sf)
-    px = X.vertical_gradient(X.add_colour(B.rgb(spark, sf)), RASTER)
-    px = X.flag_pixels(X.flag_pixels(px, R.roi_runs(frames, RASTER), "roi", RASTER), R.centre_prior_runs(frames, RASTER), "centre", RASTER)
+    tasks = X.tasks_for(frames)
+    px = X.vertical_gradient(X.add_colour(B.rgb(spark, sf).repartition(tasks, *RASTER)), RASTER, True)
+    px = X.flag_pixels(X.flag_pixels(px, R.roi_runs(frames, RASTER), "roi", RASTER, tasks), R.centre_prior_runs(frames, RASTER), "centre", RASTER, tasks)
     y, h = F.col("y"), HEIGHT
     return px.withColumn("extreme", X.extreme(F.col("gray"), F.col("sat"))).withColumn("vegetation", F.col("sat").between(60, 200)).withColumn(
         "seed", F.col("centre") & (y >= round(h * 0.69)) & (y < round(h * 0.96)) & ~F.col("extreme")

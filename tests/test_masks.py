@@ -142,3 +142,22 @@ def test_evidence_has_no_row_twice(spark):
     assert sorted(r["iou"] for r in picked if r["kind"] == "worst") == [0.1, 0.2, 0.5]
     assert sorted(r["iou"] for r in picked if r["kind"] == "best") == [0.8, 0.9]
     assert M.pick_evidence(df.limit(2), "iou", KEY).count() == 2
+
+
+def test_cells_of_runs_are_not_broadcast(spark):
+    """Runs are few and small, their cells are not: they go through a shuffle, both sides to as many tasks as the pixels need."""
+    from fieldspark.operators import pixels as X
+
+    pixels = spark.createDataFrame([(f, y, x) for f in range(3) for y in range(4) for x in range(6)], "frame_index long, y int, x int")
+    spans = {(0, 1, 2, 5), (0, 3, 0, 6), (2, 0, 0, 1), (2, 0, 4, 6)}
+    marks = spark.createDataFrame([(*s, 1) for s in spans], "frame_index long, y int, x0 int, x1 int, value int")
+    frames = spark.createDataFrame([(f, 1 << 16, 16) for f in range(30)], "frame_index long, width int, height int")
+    tasks = X.tasks_for(frames)
+    assert tasks == 30 * (1 << 20) // X.PIXELS_PER_TASK and X.tasks_for(frames.limit(0)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = X.vertical_gradient(pixels.withColumn("gray", pixels["x"] * 10.0).repartition(tasks, "frame_index"), ["frame_index"], True)
+    for some, n in ((pixels, None), (dealt, tasks)):
+        got = X.flag_pixels(some, marks, "hit", ["frame_index"], n)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and (n is None or plan.count(f", {n}), ") == plan.count("Exchange hashpartitioning") == 3)
+        rows = got.collect()
+        assert len(rows) == 72 and all(r["hit"] == any(r["frame_index"] == f and r["y"] == y and a <= r["x"] < b for f, y, a, b in spans) for r in rows)
