@@ -235,6 +235,11 @@ def k5_write(spark, sf):
     return parsed.where("type = 'Feature' AND geometry.type = 'LineString'").agg(F.count(F.lit(1)).alias("features"))
 
 
+def one_file(rows: DataFrame) -> DataFrame:
+    """``rows`` for one task to write; a shuffle, so that many tasks read and filter what they come from."""
+    return rows.repartition(1)
+
+
 def as_stream(df: DataFrame, name: str, order: str | None = None, batches: int = 1) -> DataFrame:
     """The table as a file stream; with ``order``, of as many micro-batches as ``batches``, each with the next equal part of the range of that column."""
     spark, path = df.sparkSession, run_dir(df.sparkSession, name)
@@ -247,7 +252,7 @@ def as_stream(df: DataFrame, name: str, order: str | None = None, batches: int =
     low, high = table_.agg(F.min(order), F.max(order)).first()
     for k in range(batches):
         part = F.least(F.floor((F.col(order) - (low or 0)) * batches / ((high or 0) - (low or 0) + 1)), F.lit(batches - 1))
-        table_.where(part == k).coalesce(1).write.mode("append").parquet(path)
+        one_file(table_.where(part == k)).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

@@ -83,3 +83,16 @@ def test_stream_equals_the_batch_tracker(spark):
     s.feed(fed[:40], fed[40:75])
     s.feed(fed[75:])
     assert s.rows(s.out) == {d: (firsts[t], status) for d, (t, status) in want.items()} and s.rows(s.side) == {}
+
+
+def test_a_batch_is_one_file_and_its_table_is_read_by_many_tasks(spark):
+    from fieldspark.plans import q_files
+
+    rows = spark.range(0, 1000, 1, 4).withColumnRenamed("id", "frame_index")
+    some = q_files.one_file(rows.where("frame_index % 2 = 0"))
+    assert "Exchange SinglePartition" in some._jdf.queryExecution().executedPlan().toString()
+    stream = q_files.as_stream(rows, "numbers", "frame_index", 3)
+    seen = []
+    query = stream.writeStream.foreachBatch(lambda batch, k: seen.append(sorted(r["frame_index"] for r in batch.collect()))).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [len(s) for s in seen] == [334, 333, 333] and sum(seen, []) == list(range(1000))
