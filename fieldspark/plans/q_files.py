@@ -351,8 +351,10 @@ def x4(spark, sf):
     spans.write.parquet(static)
     stream = as_stream(B.frames(spark, sf).select(*RASTER, "timestamp_ms"), "alert-frames")
     out = run_dir(spark, "alerts")
-    finish(X.write_stream(X.stream_interval_alerts(stream, spark.read.parquet(static)), out, run_dir(spark, "checkpoint"), True))
-    return spark.read.parquet(out).select(*RASTER, "interval_id")
+    spans = spark.read.parquet(static)
+    alerts = X.stream_interval_alerts(stream, spans, levels=X.interval_levels(spans)).select(*RASTER, "interval_id")
+    finish(X.write_stream(alerts, out, run_dir(spark, "checkpoint"), True))
+    return spark.read.parquet(out)
 
 
 @query(

@@ -71,20 +71,40 @@ def interval_blocks(start: Column, end: Column) -> Column:
     return F.concat(*parts)
 
 
-def moment_blocks(ms: Column) -> Column:
+def rounded(start: Column, end: Column) -> tuple[Column, Column]:
+    """The ends of an interval, moved out to the blocks of the longest level whose blocks are no longer than it.
+
+    So :func:`interval_blocks` gives at most 17 of them, and they cover at most three times its length (a second more for those below one).
+    """
+    level = F.floor((F.length(F.bin(end - start)) - 1 - FINEST_BITS) / FAN_BITS)
+    bits = (FINEST_BITS + FAN_BITS * F.least(F.greatest(level, F.lit(0)), F.lit(LEVELS - 1))).cast("int")
+    return tuple(F.call_function("shiftleft", block, bits) for block in (F.call_function("shiftright", start, bits), F.call_function("shiftright", end - 1, bits) + 1))
+
+
+def moment_blocks(ms: Column, levels: Sequence[int] = range(LEVELS)) -> Column:
     """The block of every level that a moment lies in."""
-    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(ms, FINEST_BITS + FAN_BITS * k).alias("block")) for k in range(LEVELS)])
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(ms, FINEST_BITS + FAN_BITS * k).alias("block")) for k in levels])
+
+
+def _spans(intervals: DataFrame) -> DataFrame:
+    spans = intervals.where("start_ms < end_ms").withColumns({c: F.col(c).cast("long") for c in ("start_ms", "end_ms")})
+    return spans.select("*", F.inline(interval_blocks(*rounded(F.col("start_ms"), F.col("end_ms")))))
+
+
+def interval_levels(intervals: DataFrame) -> list[int]:
+    """The levels, at most ``LEVELS``, that blocks of the intervals lie on."""
+    return sorted(r["level"] for r in _spans(intervals).select("level").distinct().collect())
 
 
-def stream_interval_alerts(stream: DataFrame, intervals: DataFrame, by: Sequence[str] = ("video_id",)) -> DataFrame:
+def stream_interval_alerts(stream: DataFrame, intervals: DataFrame, by: Sequence[str] = ("video_id",), levels: Sequence[int] | None = None) -> DataFrame:
     """Frames inside an off-path interval: stream-static join on video and block, then the exact range test.
 
-    An interval has a few rows whatever its length (:func:`interval_blocks`); a frame looks into one block of each level and meets
-    an interval in one of them only.
+    An interval has a few rows whatever its length (:func:`rounded`); a frame looks into one block of each level and meets
+    an interval in one of them only. ``levels``: those of a table of intervals that stays as it is (:func:`interval_levels`); all where it may change.
     """
-    spans = intervals.where("start_ms < end_ms").select(*by, F.col("id").alias("interval_id"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"))
-    spans = spans.select("*", F.inline(interval_blocks(F.col("start_ms"), F.col("end_ms"))))
-    near = stream.select("*", F.inline(moment_blocks(F.col("timestamp_ms").cast("long")))).join(spans, [*by, "level", "block"]).drop("level", "block")
+    spans = _spans(intervals).select(*by, F.col("id").alias("interval_id"), "start_ms", "end_ms", "level", "block")
+    blocks = moment_blocks(F.col("timestamp_ms").cast("long"), range(LEVELS) if levels is None else levels or [0])
+    near = stream.select("*", F.inline(blocks)).join(spans, [*by, "level", "block"]).drop("level", "block")
     return near.where((F.col("timestamp_ms") >= F.col("start_ms")) & (F.col("timestamp_ms") < F.col("end_ms")))
 
 

@@ -96,3 +96,23 @@ def test_a_batch_is_one_file_and_its_table_is_read_by_many_tasks(spark):
     query = stream.writeStream.foreachBatch(lambda batch, k: seen.append(sorted(r["frame_index"] for r in batch.collect()))).trigger(availableNow=True).start()
     query.awaitTermination()
     assert [len(s) for s in seen] == [334, 333, 333] and sum(seen, []) == list(range(1000))
+
+
+def test_an_interval_of_hours_has_few_rows_and_frames_look_into_its_levels_only(spark):
+    rng = random.Random(11)
+    spans = [(k, s, s + n) for k, (s, n) in enumerate((rng.randrange(-(10**9), 10**9), rng.choice([1, 900, 1024, 40_000, rng.randrange(1, 20_000_000)])) for _ in range(200))]
+    spans += [(900, 7, 7), (901, 9, 2), (902, 0, 1 << 45), (903, 0, 16 << 10), (904, 1, (16 << 10) + 1)]
+    table = spark.createDataFrame([("v", *s) for s in spans], "video_id string, id long, start_ms long, end_ms long")
+    some = table.where("id not in (902)")
+    levels = jobs.interval_levels(some)
+    assert set(levels) <= {0, 1, 2, 3, 4} and jobs.interval_levels(table.limit(0)) == []
+    rows = some.where("start_ms < end_ms").select(F.size(jobs.interval_blocks(*jobs.rounded(F.col("start_ms"), F.col("end_ms")))).alias("n"))
+    assert rows.agg(F.max("n")).first()[0] <= 17
+    moments = sorted({rng.randrange(-(10**9), 10**9) for _ in range(500)} | {m + d for _, s, e in spans for m in (s, e) for d in (-1, 0, 1)})
+    frames = spark.createDataFrame([("v", m) for m in moments], "video_id string, timestamp_ms long")
+    for part, given in ((some, levels), (table, None)):
+        ids = {r["id"] for r in part.collect()}
+        want = sorted((m, k) for m in moments for k, s, e in spans if s <= m < e and k in ids)
+        got = jobs.stream_interval_alerts(frames, part, levels=given).select("timestamp_ms", "interval_id").collect()
+        assert sorted(map(tuple, got)) == want
+    assert jobs.stream_interval_alerts(frames, table.limit(0), levels=[]).count() == 0
