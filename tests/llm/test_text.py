@@ -1,9 +1,13 @@
+import random
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fieldspark.llm import text
+from fieldspark.llm import store, text
+from fieldspark.llm.op04_sparse_suffixes import minimisers
 
 from .helpers import words
 
@@ -34,3 +38,23 @@ def test_long_documents_are_cut_at_separators(monkeypatch):
     long = "ab cd " * 50 + "x" * 100 + " y"
     w = text.words(next(text.slices(pa.array([long]))))
     assert len(w.hash) == 102 and len(np.unique(w.hash)) == 4
+
+
+def test_a_task_holds_few_rows_and_small_slices(spark):
+    rng = random.Random(2)
+    column = pa.array([" ".join(f"w{rng.randrange(999)}" for _ in range(400)) for _ in range(600)])
+    text.powers(1 << 16)
+    tracemalloc.start()
+    for part in text.slices(column):
+        minimisers(text.words(part), 50, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": [batch.num_rows]})
+
+    store.prepare(spark)
+    sizes = [r["n"] for r in spark.range(0, 1200, 1, 1).mapInArrow(rows, "n long").collect()]
+    assert sum(sizes) == 1200 and max(sizes) <= 500
