@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shared(rows: DataFrame, key: str, *place: str) -> DataFrame:
+def shared(rows: DataFrame, key: str, *place: str, distinct: bool = False) -> DataFrame:
     """The rows whose key another row has too, and at most two others of each partition, whose neighbour lies in the next one.
 
-    ``rows`` should be a written table, since the range partitioning samples it first. The key is a long.
+    ``rows`` should be a written table or cheap to make, since the range partitioning samples it first. The key is a long. ``distinct``: of rows equal in key and place one counts.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -24,6 +24,15 @@ def shared(rows: DataFrame, key: str, *place: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if distinct:
+                new = np.zeros(batch.num_rows, bool)
+                for c in (key, *place):
+                    column = batch.column(batch.schema.get_field_index(c))
+                    new[1:] |= column.to_numpy()[1:] != column.to_numpy()[:-1]
+                    new[0] |= held is None or held.column(held.schema.get_field_index(c))[0].as_py() != column[0].as_py()
+                batch = batch.filter(pa.array(new))
+                if not batch.num_rows:
+                    continue
             k = batch.column(batch.schema.get_field_index(key)).to_numpy()
             same = np.zeros(len(k) + 1, bool)
             same[1:-1] = k[1:] == k[:-1]

@@ -5,8 +5,9 @@ sides, so a passage is cut alike wherever it stands; such pieces of fewer than `
 ``SIZE`` words or more are paragraphs too, beside their pieces, and are compared with other lines only.
 
 Equal shingle sets (five words) are one class, formed before anything is compared, so a paragraph in a third of all documents
-is one item. Classes get 24 minima in twelve bands of two: at similarity 0.8 a pair is missed with probability 0.000005. Classes that collide are verified by exact Jaccard similarity (0.8 or more), and
-components of verified pairs say which paragraphs repeat another: all but the first place of a component are removed.
+is one item. Each class is banded once a task, by two minima a band: those of more than ``SHORT`` shingles have 24 minima in twelve bands, and a pair of similarity
+0.8 is missed with probability 0.000005; shorter ones take as bands the pairs of their lowest shingles, as many as none needs to be missed (see ``band_keys``). Classes that collide
+are verified by exact Jaccard similarity (0.8 or more), and components of verified pairs say which paragraphs repeat another: all but the first place of a component are removed.
 
 A passage inside a longer line need not hold a whole paragraph. So every stretch of 50 words that stands at two places is found as
 well (``op04``'s stretches at minimisers, which miss none), and its touching stretches are joined: such passages come out whole.
@@ -14,7 +15,7 @@ well (``op04``'s stretches at minimisers, which miss none), and its touching str
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,9 @@ from fieldspark.llm.store import keep
 
 REACH, SHORTEST, SIZE, THRESHOLD = 6, 7, 5, 80
 BANDS, ROWS = 12, 2
+SHORT = 24  # shingles of a set whose bands are pairs of its lowest ones; at most 15
+ALONE = 3  # a set of so few has similarity 0.8 with no other
+SENT = 20  # bits of a task's table of the classes it has banded
 SIGNED = 16  # minima of which four bits are kept
 LIKELY = 3 / 8  # of those; a pair of similarity 0.8 has fewer with probability 0.00002
 _LINE = np.uint64(0xD1B54A32D192ED03)
@@ -110,39 +114,80 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``id, place, last, bands, sig``: a row per distinct shingle set; its first and last place are by doc_id (null first), row and word."""
+    """``id, place, last``: a row per distinct shingle set; its first place, and its last one if there are several, by doc_id (null first), row and word."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column(1).to_numpy()
             for part in text.slices(batch.column(2)):
                 p = paragraphs(part)
-                w, doc, first = p.words, p.doc, p.first
-                flat, upto, ids = _sets(p)
-                low = _minima(flat, upto)
-                factors = text.mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-                bands = text.mix((low.reshape(-1, BANDS, ROWS) * factors).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) >> np.uint64(16)
-                nibbles = (low[:, :SIGNED] & np.uint64(15)) << (np.uint64(4) * np.arange(SIGNED, dtype=np.uint64))
+                _, _, ids = _sets(p)
                 yield pa.record_batch(
                     {
                         "id": text.signed(ids),
-                        "doc_id": batch.column(0)[part.rows].take(pa.array(doc)),
-                        "row": row[part.rows][doc],
-                        "first_word": (first - w.first[doc]).astype(np.int32),
-                        **{f"b{k}": text.signed(np.ascontiguousarray(bands[:, k])) for k in range(BANDS)},
-                        "sig": text.signed(nibbles.sum(axis=1, dtype=np.uint64)),
+                        "doc_id": batch.column(0)[part.rows].take(pa.array(p.doc)),
+                        "row": row[part.rows][p.doc],
+                        "first_word": (p.first - p.words.first[p.doc]).astype(np.int32),
                     }
                 )
 
-    kinds = f"id long, doc_id long, row long, first_word int, {', '.join(f'b{k} long' for k in range(BANDS))}, sig long"
-    rows = docs.select("doc_id", "row", "text").mapInArrow(sign, kinds)
-    # bands and signature follow from the set, so any aggregate gives them
+    rows = docs.select("doc_id", "row", "text").mapInArrow(sign, "id long, doc_id long, row long, first_word int")
     place = F.struct("doc_id", "row", "first_word")
-    return rows.groupBy("id").agg(F.min(place).alias("place"), F.max(place).alias("last"), *[F.min(f"b{k}").alias(f"b{k}") for k in range(BANDS)], F.min("sig").alias("sig"))
+    found = rows.groupBy("id").agg(F.min(place).alias("place"), F.max(place).alias("last"))
+    return found.withColumn("last", F.when(~F.col("last").eqNullSafe(F.col("place")), F.col("last")))
 
 
-def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, shingles`` of the ``wanted`` classes (``id, row``), from the documents that hold their first place."""
+def band_keys(flat: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bands of sets (``_sets``): for each the number of its set, and its key.
+
+    Sets that share THRESHOLD percent of their union share as much of each alone. So of ``n`` shingles all but ``n - need`` are common, and the two lowest common ones
+    are among the set's lowest ``n - need + 2``: the pairs of these meet in every such partner. Sets of more than SHORT shingles have bands of minima, and so
+    have sets that are large enough to be like one of them.
+    """
+    n = np.diff(upto)
+    low = n - -(-THRESHOLD * n // 100) + 2
+    own, keys = [], []
+    for j in range(1, int(low[n <= SHORT].max(initial=0))):
+        some = np.flatnonzero((n > ALONE) & (n <= SHORT) & (low > j))
+        for i in range(j):
+            own.append(some)
+            keys.append(text.mix(flat[upto[some] + i] * np.uint64(0x9FB21C651E98DF25) + flat[upto[some] + j]))
+    some = np.flatnonzero(100 * n >= THRESHOLD * (SHORT + 1))
+    if len(some):
+        size = n[some]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        minima = _minima(flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - upto[some], size)], ends)
+        factors = text.mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+        bands = text.mix((minima.reshape(-1, BANDS, ROWS) * factors).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        own.append(np.repeat(some, BANDS))
+        keys.append(bands.ravel())
+    if not own:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(own), np.concatenate(keys) >> np.uint64(16)
+
+
+def banded(docs: DataFrame) -> DataFrame:
+    """``key, id``: the bands of every class. A task sends a class once, or again if others have taken its place in a table of fixed size."""
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(1 << SENT, np.uint64)
+        for batch in batches:
+            for part in text.slices(batch.column(0)):
+                flat, upto, ids = _sets(paragraphs(part))
+                own, keys = band_keys(flat, upto)
+                slot = ids >> np.uint64(64 - SENT)
+                first = np.zeros(len(ids), bool)
+                first[np.unique(ids, return_index=True)[1]] = True
+                first &= sent[slot] != ids
+                sent[slot] = ids
+                fresh = first[own]
+                yield pa.record_batch({"key": text.signed(keys[fresh]), "id": text.signed(ids[own[fresh]])})
+
+    return docs.select("text").mapInArrow(band, "key long, id long")
+
+
+def _of_classes(docs: DataFrame, wanted: DataFrame, name: str, make: Callable[[np.ndarray, np.ndarray], list[bytes]]) -> DataFrame:
+    """``id`` and what ``make`` gives of the sets of the ``wanted`` classes (``id, row``), from the documents that hold their first place."""
     wanted = keep(wanted.groupBy("row").agg(F.collect_set("id").alias("ids")), "wanted")
     some = bloom.maybe(docs.select("row", "text"), "row", bloom.build(wanted.select("row"))).where("_maybe")
     rows = some.join(wanted, "row").select("text", "ids")
@@ -152,10 +197,25 @@ def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part in text.slices(batch.column(0)):
                 flat, upto, ids = _sets(paragraphs(part))
                 ids = text.signed(ids)
-                take = np.flatnonzero(np.isin(ids, batch.column(1)[part.rows].flatten().to_numpy()))
-                yield pa.record_batch({"id": ids[take], "shingles": pa.array([flat[upto[k] : upto[k + 1]].tobytes() for k in take], pa.binary())})
+                take = np.isin(ids, batch.column(1)[part.rows].flatten().to_numpy())
+                yield pa.record_batch({"id": ids, name: pa.array(make(flat, upto), pa.binary())}).filter(pa.array(take))
+
+    return rows.mapInArrow(read, f"id long, {name} binary").groupBy("id").agg(F.first(name).alias(name))
+
+
+def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, shingles`` of the ``wanted`` classes (``id, row``)."""
+    return _of_classes(docs, wanted, "shingles", lambda flat, upto: [flat[a:b].tobytes() for a, b in zip(upto, upto[1:], strict=False)])
+
+
+def signatures_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, sig`` of the ``wanted`` classes (``id, row``): four bits of each of SIGNED minima."""
+
+    def packed(flat: np.ndarray, upto: np.ndarray) -> list[bytes]:
+        nibbles = _minima(flat, upto)[:, :SIGNED] & np.uint64(15)
+        return [x.tobytes() for x in (nibbles[:, ::2] | nibbles[:, 1::2] << np.uint64(4)).astype(np.uint8)]
 
-    return rows.mapInArrow(read, "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    return _of_classes(docs, wanted, "sig", packed)
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,8 +229,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = _documents(docs, id_col, text_col)
     known = keep(classes(rows), "classes")
-    banded = known.select("id", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("key"))
-    members = keep(links.bucket_members(shared(banded, "key", "id")), "members")
+    members = keep(links.bucket_members(shared(banded(rows), "key", "id", distinct=True)), "members")
 
     def likely(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
         apart = sig ^ others
@@ -196,10 +255,12 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return pairs.join(two, "b").join(one, "a").select("a", "b", "s_a", "s_b").mapInArrow(check, links.PAIRS)
 
-    packed = known.select("id", F.array(*[f"b{k}" for k in range(BANDS)]).alias("bands"), F.unhex(F.lpad(F.hex("sig"), SIGNED, "0")).alias("sig"))
+    unsettled = members.where("n > 2").select("id").distinct()
+    # sets have no common order of bands, so no band counts as an earlier one
+    packed = keep(signatures_of(rows, known.select("id", "place.row").join(unsettled, "id")).select("id", F.array("id").alias("bands"), "sig"), "signatures")
     linked = links.all_links(members, packed, likely, verify, full, THRESHOLD)
     joined = known.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    groups = joined.groupBy("component").agg(F.min("place").alias("first"), F.max("last").alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
+    groups = joined.groupBy("component").agg(F.min("place").alias("first"), F.max(F.coalesce("last", "place")).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
     found = keep(joined.join(groups, "component").select("id", "component", "first"), "repeated")
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,10 +3,12 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from fieldspark.llm import op01_paragraphs, op04_sparse_suffixes
 from fieldspark.llm import op10_spaced_seeds as op10
+from fieldspark.llm.neighbours import shared
 
 from .helpers import DOC, corpus, sentence, table, words
 
@@ -124,6 +126,41 @@ def test_bands_miss_few_pairs():
     assert (1 - at**op01_paragraphs.ROWS) ** op01_paragraphs.BANDS < 1e-5
 
 
+def test_short_sets_that_are_near_share_a_band():
+    rng = random.Random(21)
+    flat, upto, pairs = [], [0], []
+    while len(pairs) < 400:
+        n = rng.randrange(4, 29)
+        common = rng.sample(range(1 << 62), n)
+        more = [[x for x in rng.sample(range(1 << 62), rng.randrange(1 + n // 8))] for _ in range(2)]
+        if 100 * n < 80 * (n + len(more[0]) + len(more[1])) or min(n + len(m) for m in more) > op01_paragraphs.SHORT:
+            continue
+        pairs.append(len(upto) - 1)
+        for m in more:
+            flat += sorted(common + m)
+            upto.append(len(flat))
+    own, keys = op01_paragraphs.band_keys(np.array(flat, np.uint64), np.array(upto))
+    sets = {}
+    for o, k in zip(own.tolist(), keys.tolist()):
+        sets.setdefault(o, set()).add(k)
+    size = np.diff(upto)
+    exact = [k for k in pairs if max(size[k], size[k + 1]) <= op01_paragraphs.SHORT]
+    assert len(exact) > 200 and all(sets[k] & sets[k + 1] for k in exact)
+    assert sum(not sets[k] & sets[k + 1] for k in pairs) <= 1  # the others have minima in common
+    assert max(len(sets[k]) for k in range(len(size)) if size[k] < 10) <= 3
+
+
+def test_classes_carry_places_only(spark):
+    rng = random.Random(22)
+    line = sentence(rng, 12, 10**6)
+    rows = op01_paragraphs._documents(table(spark, [(1, line), (2, line), (3, sentence(rng, 12, 10**6))]), "doc_id", "text")
+    known = op01_paragraphs.classes(rows)
+    assert known.columns == ["id", "place", "last"]
+    assert {r["place"]["doc_id"]: r["last"] and r["last"]["doc_id"] for r in known.collect() if r["place"]["first_word"] == 0} == {1: 2, 3: None}
+    keys = shared(op01_paragraphs.banded(rows.unionByName(rows)), "key", "id", distinct=True)
+    assert keys.groupBy("key", "id").count().where("count > 1").count() == 0
+
+
 def test_repeated_paragraphs_that_stand_alone_stay(spark):
     rng = random.Random(13)
     short = sentence(rng, 9, 10**6)
