@@ -6,17 +6,22 @@ The range partitioning is on the key and the place, so a key with very many rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.llm.store import keep
 
-def shared(rows: DataFrame, key: str, *place: str, distinct: bool = False) -> DataFrame:
+
+def shared(rows: DataFrame, key: str, *place: str, distinct: bool = False, hashed: bool = False) -> DataFrame:
     """The rows whose key another row has too, and at most two others of each partition, whose neighbour lies in the next one.
 
     ``rows`` should be a written table or cheap to make, since the range partitioning samples it first. The key is a long. ``distinct``: of rows equal in key and place one counts.
+    ``hashed``: for rows that cost much to make, of which no key has very many; they are dealt by the key's hash and made once.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +53,8 @@ def shared(rows: DataFrame, key: str, *place: str, distinct: bool = False) -> Da
         if held is not None:
             yield held
 
-    return rows.repartitionByRange(key, *place).sortWithinPartitions(key, *place).mapInArrow(compare, rows.schema)
+    dealt = rows.repartition(key) if hashed else rows.repartitionByRange(key, *place)
+    return dealt.sortWithinPartitions(key, *place).mapInArrow(compare, rows.schema)
 
 
 def later(rows: DataFrame, key: str, *place: str) -> DataFrame:
@@ -83,6 +89,68 @@ def later(rows: DataFrame, key: str, *place: str) -> DataFrame:
     return dealt.mapInArrow(compare, f"{kinds}, mark int, part int")
 
 
+def first_places(rows: DataFrame, key: str, *place: str) -> DataFrame:
+    """The rows whose key another row has too, with the place of the first of them as ``first_<column>``.
+
+    ``rows`` is a written table without nulls in the key and the last two columns of ``place``; no two rows are equal in key and place. Rows of a partition's first and last key
+    are marked, and settled from two rows a partition: a key may go on over many partitions.
+    """
+    names, firsts = list(place[-2:]), [f"first_{c}" for c in place[-2:]]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first, opening = None, None, True  # the last row so far, the place of its key's first row, whether that key is the partition's first
+
+        def made(some: pa.RecordBatch, begun: list[np.ndarray], mark: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*some.columns[:-1], *map(pa.array, begun), pa.array(mark.astype(np.int32)), some.columns[-1]], [*some.schema.names[:-1], *firsts, "mark", "part"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            k = batch.column(batch.schema.get_field_index(key)).to_numpy()
+            own = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names]
+            new = np.ones(len(k), bool)
+            new[1:] = k[1:] != k[:-1]
+            start = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+            begun = [x[start] for x in own]
+            leading = start == 0
+            if first is not None:  # the held row may not be the first of its key
+                for x, v in zip(begun, first, strict=True):
+                    x[leading] = v
+            again = np.zeros(len(k), bool)  # alike with the row before or after it
+            again[1:] |= ~new[1:]
+            again[:-1] |= ~new[1:]
+            again[0] |= first is not None and any(x[0] != v for x, v in zip(own, first, strict=True))
+            mark = (leading & opening).astype(np.int32)
+            send = np.flatnonzero((again | (mark > 0))[:-1])
+            if len(send):
+                yield made(batch.take(pa.array(send)), [x[send] for x in begun], mark[send])
+            held, first, opening = batch.slice(len(k) - 1), [x[-1] for x in begun], opening and bool(leading[-1])
+        if held is not None:
+            yield made(held, [np.array([v]) for v in first], np.array([1 if opening else 2]))
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), *(f"{f} {kinds[c]}" for f, c in zip(firsts, names, strict=True)), "mark int", "part int"])
+    dealt = rows.repartitionByRange(key, *place).sortWithinPartitions(key, *place).withColumn("part", F.spark_partition_id())
+    marked = keep(dealt.mapInArrow(compare, schema), "places")
+    # the last row of a partition stands for its last key, unless that is its first one too
+    later_row = F.max(reduce(or_, [F.col(c) != F.col(f) for c, f in zip(names, firsts, strict=True)]).cast("int"))
+    edges = marked.where("mark > 0").groupBy("part", "mark").agg(F.min(F.struct(key, *firsts)).alias("e"), (F.count("*") + later_row).alias("n")).collect()
+    chains: list[list] = []  # a key over successive partitions: the key, rows (2 stands for more), and each partition's rows of it with the place they hold for the first
+    for r in sorted(edges, key=lambda r: (r["part"], r["mark"])):
+        if not chains or chains[-1][0] != r["e"][0] or r["mark"] == 2:
+            chains.append([r["e"][0], 0, []])
+        chains[-1][1] += r["n"]
+        chains[-1][2].append((r["part"], r["mark"], *r["e"][1:]))
+    wrong = [(*group[:2], n == 1, *groups[0][2:]) for _, n, groups in chains for group in groups if n == 1 or group[2:] != groups[0][2:]]
+    types = [pa.int32(), pa.int32(), pa.bool_(), *({"int": pa.int32(), "bigint": pa.int64()}[kinds[c]] for c in names)]
+    columns = [pa.array([w[k] for w in wrong], t) for k, t in enumerate(types)]
+    right = rows.sparkSession.createDataFrame(pa.table(columns, ["part", "mark", "single", *(f"right_{c}" for c in names)]))
+    settled = marked.join(F.broadcast(right), ["part", "mark"], "left").where("not coalesce(single, false)")
+    return settled.select(*rows.columns, *(F.coalesce(f"right_{c}", f).alias(f) for c, f in zip(names, firsts, strict=True)))
+
+
 def settle(marked: DataFrame, key: str) -> DataFrame:
     """Of a written table from ``later`` the rows that are not the first with their key.
 

@@ -20,14 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm import bloom, links, text
 from fieldspark.llm.graph import components
-from fieldspark.llm.neighbours import shared
+from fieldspark.llm.neighbours import first_places, shared
 from fieldspark.llm.op04_sparse_suffixes import LENGTH, candidate_stretches
-from fieldspark.llm.store import keep
+from fieldspark.llm.store import keep, narrow
 
 REACH, SHORTEST, SIZE, THRESHOLD = 6, 7, 5, 80
 BANDS, ROWS = 12, 2
@@ -90,7 +90,11 @@ def _sets(p: Paragraphs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = p.last - p.first - SIZE + 1
     owner = np.repeat(np.arange(len(n)), n)
     flat = p.g[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + p.first[owner]] ^ np.where(p.line, _LINE, np.uint64(0))[owner]
-    order = np.lexsort((flat, owner))
+    order = np.argsort(flat)
+    if len(n) < 1 << 16:  # a stable sort of short numbers takes linear time
+        order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
+    else:
+        order = order[np.argsort(owner[order], kind="stable")]
     flat, owner = flat[order], owner[order]
     new = np.ones(len(flat), bool)
     new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
@@ -227,9 +231,10 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``removed`` is false for the passages made of the first places of stretches. Null and empty texts have no paragraphs. Rows that repeat id and text count once; rows that repeat only
     the id are different documents; a null id comes first. Other columns are ignored; no rows give no rows.
     """
+    narrow(docs.sparkSession)
     rows = _documents(docs, id_col, text_col)
     known = keep(classes(rows), "classes")
-    members = keep(links.bucket_members(shared(banded(rows), "key", "id", distinct=True)), "members")
+    members = keep(links.bucket_members(shared(banded(rows), "key", "id", distinct=True, hashed=True)), "members")
 
     def likely(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
         apart = sig ^ others
@@ -294,19 +299,45 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def passages(rows: DataFrame) -> DataFrame:
     """The repeated passages of ``doc_id, text, row``, in the columns of ``repeated_paragraphs``."""
-    place = F.struct("doc_id", "row", "start")
-    stretches = candidate_stretches(rows)
-    groups = stretches.groupBy("stretch").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    places = stretches.join(groups, "stretch").withColumn("removed", ~place.eqNullSafe(F.col("first")))
-    in_order = Window.partitionBy("row", "removed").orderBy("start")
-    apart = F.col("start") > F.lag("start").over(in_order) + LENGTH
-    places = places.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(in_order))
-    whole = Window.partitionBy("row", "removed", "run")
-    places = places.withColumns({"first_word": F.min("start").over(whole), "last_word": F.max("start").over(whole) + LENGTH - 1})
-    places = keep(places.withColumn("node", F.xxhash64("row", "removed", "first_word")).select("stretch", "doc_id", "row", "removed", "first_word", "last_word", "node"), "passages")
-    firsts = places.where("not removed").select("stretch", F.col("node").alias("b"))
-    linked = components(places.where("removed").select("stretch", F.col("node").alias("a")).join(firsts, "stretch").select("a", "b").distinct())
-    found = keep(places.drop("stretch").distinct().join(linked, "node"), "components")
+    kinds = "row long, doc_id long, removed boolean, first_word int, last_word int, first_row long, first_start int"
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Touching stretches of a document; one row for all of them in a passage whose first places follow each other alike."""
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            row = text.column(batch, "row").to_numpy()
+            cut = np.flatnonzero(row[1:] != row[:-1])
+            end = int(cut[-1]) + 1 if len(cut) else 0
+            if rest and len(row) and text.column(rest[-1], "row")[-1].as_py() != row[0] and not end:
+                yield united(rest)
+                rest = []
+            if end:
+                yield united([*rest, batch.slice(0, end)])
+                rest = []
+            rest.append(batch.slice(end))
+        if sum(b.num_rows for b in rest):
+            yield united(rest)
+
+    def united(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        some = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        row, start, removed, first_row, first_start = (text.column(some, c).to_numpy(zero_copy_only=False) for c in ("row", "start", "removed", "first_row", "first_start"))
+        apart, other = np.ones(len(row), bool), np.ones(len(row), bool)
+        apart[1:] = (row[1:] != row[:-1]) | (removed[1:] != removed[:-1]) | (np.diff(start) > LENGTH)
+        other[1:] = apart[1:] | (first_row[1:] != first_row[:-1]) | (np.diff(start) != np.diff(first_start))
+        at, run = np.flatnonzero(apart), np.cumsum(apart) - 1
+        end = np.r_[at[1:], len(row)] - 1
+        own = np.flatnonzero(other)
+        columns = [pa.array(row[own]), text.column(some, "doc_id").take(pa.array(own)), pa.array(removed[own]), pa.array(start[at][run[own]]), pa.array(start[end][run[own]] + np.int32(LENGTH - 1))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(first_row[own]), pa.array(first_start[own])], ["row", "doc_id", "removed", "first_word", "last_word", "first_row", "first_start"])
+
+    places = first_places(candidate_stretches(rows), "stretch", "doc_id", "row", "start").drop("stretch")
+    places = places.withColumn("removed", (F.col("row") != F.col("first_row")) | (F.col("start") != F.col("first_start")))
+    places = places.repartition("row").sortWithinPartitions("row", "removed", "start").mapInArrow(unite, kinds)
+    places = keep(places.withColumn("node", F.xxhash64("row", "removed", "first_word")), "passages")
+    firsts = places.where("not removed").select(F.col("row").alias("first_row"), "first_word", "last_word", F.col("node").alias("b"))
+    within = F.col("first_start").between(F.col("first_word"), F.col("last_word") - LENGTH + 1)
+    linked = components(places.where("removed").select("first_row", "first_start", F.col("node").alias("a")).join(firsts, "first_row").where(within).select("a", "b").distinct())
+    found = keep(places.drop("first_row", "first_start").distinct().join(linked, "node"), "components")
     groups = found.where("not removed").groupBy("component").agg(F.min(F.struct("doc_id", "row", "first_word")).alias("first"))
     spans = found.join(groups, "component").select("row", F.struct("first_word", "last_word", "component", F.col("first.doc_id").alias("first_doc_id"), "removed").alias("span"))
     spans = keep(spans.groupBy("row").agg(F.collect_list("span").alias("spans")), "spans")

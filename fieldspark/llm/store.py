@@ -7,19 +7,33 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldspark.session import run_dir, ship_package
 
 BATCH = 500  # rows of one Arrow batch; texts are large, and a task holds a few batches at a time
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
     """Ship the package and keep Arrow batches small."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    spark.conf.set(_ROWS, BATCH)
+    spark.conf.unset(_BYTES)
+
+
+def narrow(spark: SparkSession, rows: int = 1 << 14, size: int = 1 << 20) -> None:
+    """Arrow batches bounded by their bytes, so that rows of a few numbers come in many at a time; holds until ``prepare``."""
+    spark.conf.set(_ROWS, rows)
+    spark.conf.set(_BYTES, size)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet under the shared folder and return the table read back."""
+    """Write ``df`` once as Parquet under the shared folder and return the table read back. What the write shuffled is removed with it."""
     spark = df.sparkSession
     path = run_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,10 +5,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldspark.llm import op01_paragraphs, op04_sparse_suffixes
 from fieldspark.llm import op10_spaced_seeds as op10
-from fieldspark.llm.neighbours import shared
+from fieldspark.llm.neighbours import first_places, shared
+from fieldspark.llm.store import keep
 
 from .helpers import DOC, corpus, sentence, table, words
 
@@ -221,3 +223,49 @@ def test_empty_tables(spark):
     assert op01_paragraphs.repeated_paragraphs(none).collect() == [] and op04_sparse_suffixes.repeats(none).collect() == []
     assert op04_sparse_suffixes.cut_repeats(none).collect() == [] and op10.contaminated(none, bench).collect() == []
     assert op10.contaminated(some, bench).collect() == [] and op10.drop_contaminated(some, bench).count() == 1
+
+
+def test_first_places_over_many_partitions(spark):
+    rng = np.random.default_rng(5)
+    rows = {(int(k), None if d == 9 else int(d), int(d) * 7, int(s)) for k, d, s in zip(rng.choice([1, 2, 3, *range(10, 400)], 3000, p=[0.3, 0.2, 0.1, *[0.4 / 390] * 390]), rng.integers(0, 10, 3000), rng.integers(0, 500, 3000), strict=True)}
+    place = lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(r[0], []).append(r)
+    want = sorted(str((*r, *min(g, key=place)[2:])) for g in by_key.values() if len(g) > 1 for r in g)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for partitions in (1, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = first_places(spark.createDataFrame(sorted(rows, key=str), "stretch long, doc_id long, row long, start int"), "stretch", "doc_id", "row", "start")
+            assert sorted(str(tuple(r)) for r in got.collect()) == want
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert first_places(spark.createDataFrame([], "stretch long, doc_id long, row long, start int"), "stretch", "doc_id", "row", "start").collect() == []
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    files = lambda: sum(f.getName().endswith(".data") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before = files()
+    kept = keep(spark.range(100_000).withColumn("k", F.col("id") % 1000).repartition(4, "k").groupBy("k").count(), "counts")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and kept.count() == 1000
+
+
+def test_passages_are_written_as_runs(spark):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(["a", *words])), (2, " ".join(["b", *words, "c"])), (3, " ".join(["d", *words[:200], "e", *words[300:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(op01_paragraphs, "keep", lambda df, name: (written.append((name, keep(df, name))), written[-1][1])[1])
+        got = op01_paragraphs.passages(op01_paragraphs._documents(docs, "doc_id", "text")).collect()
+    assert sorted((r["doc_id"], r["first_word"], r["last_word"], r["removed"], r["first_doc_id"]) for r in got) == [(1, 1, 400, False, 1), (2, 1, 400, True, 1), (3, 1, 200, True, 1), (3, 202, 301, True, 1)]
+    assert dict(written)["passages"].count() == 4
