@@ -240,3 +240,19 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], DOC)
     assert op3.quality(none).collect() == [] and op3.keep_good(none).collect() == [] and op7.scores(none).collect() == []
     assert op5.classify(none, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect() == []
+
+
+def test_counts_of_sequences_are_deleted_once_they_are_used(spark, monkeypatch):
+    import os
+
+    from fieldspark.session import shared_dir
+
+    monkeypatch.setattr(op7, "GATHERED", 50)  # a task sends its sequences in many parts
+    folder = shared_dir(spark).removeprefix("file://")
+    left = lambda: {x for x in os.listdir(folder) if x.startswith(("transitions-", "level-"))}
+    rows, before = [(i, t) for i, t in corpus() if i is not None], left()
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in op7.scores(table(spark, rows)).collect()}
+    assert left() == before
+    monkeypatch.undo()
+    want = {(r["doc_id"], r["n_tokens"]): r["score"] for r in op7.scores(table(spark, rows)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 * abs(want[k]) for k in want)
