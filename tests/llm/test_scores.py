@@ -256,3 +256,41 @@ def test_counts_of_sequences_are_deleted_once_they_are_used(spark, monkeypatch):
     monkeypatch.undo()
     want = {(r["doc_id"], r["n_tokens"]): r["score"] for r in op7.scores(table(spark, rows)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 * abs(want[k]) for k in want)
+
+
+def test_only_a_part_of_the_tree_is_on_disk_at_once(spark, monkeypatch):
+    rows, sizes, alive, most = [(i, t) for i, t in corpus() if i is not None], [], {}, []
+
+    def keep(df, name, whole=op7.keep):
+        written = whole(df, name)
+        if name in ("transitions", "level"):
+            sizes.append(written.count())
+            alive[tuple(written.inputFiles())] = sizes[-1]
+            most.append(sum(alive.values()))
+        return written
+
+    def forget(written, whole=op7.forget):
+        alive.pop(tuple(written.inputFiles()), None)
+        whole(written)
+
+    monkeypatch.setattr(op7, "keep", keep)
+    monkeypatch.setattr(op7, "forget", forget)
+    assert op7.scores(table(spark, rows)).count() == len(rows) and not alive
+    assert 0 < max(most) < 0.6 * sum(sizes)
+
+
+def test_a_context_is_in_the_part_of_its_suffix():
+    import pyarrow as pa
+
+    from fieldspark.llm import text
+
+    (some,) = text.slices(pa.array(["a b c a b d", "", "x", "b c b c a"]))
+    w = text.words(some)
+    whole = op7._sequences(w, 3)
+    parts = [list(op7._of_part(whole, k)) for k in range(op7.ROUNDS)]
+    for size in (0, 1):
+        rows = [tuple(map(int, r)) for p in parts for r in zip(*p[size], strict=True)]
+        assert sorted(rows) == sorted(tuple(map(int, r)) for r in zip(*whole[size], strict=True)) and len(rows) > 5
+    for pairs, triples in parts:  # a triple's suffix is a pair whose context is the last token of the triple's context
+        joined = set(op7._joined_key(pairs[1], pairs[2]).tolist())
+        assert set(triples[2].tolist()) <= joined
