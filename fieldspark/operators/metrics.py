@@ -158,7 +158,7 @@ def cleaned_counts(
 
     ``labelled(key…, y, x, score, label)``. The scores of a frame are shuffled once; all
     thresholds are tried on its raster inside the task, instead of multiplying pixels by
-    candidates before the shuffle.
+    candidates before the shuffle. The raster is cleaned once for all of them (``dense_clean``).
     """
     return cleaned_counts_of(labelled.withColumn("scores", F.array("score")), [thresholds], width, height, clean, key).drop("model")
 
@@ -168,6 +168,7 @@ def cleaned_counts_of(
 ) -> DataFrame:
     """:func:`cleaned_counts` for several models: ``scores`` has one score for each, ``thresholds`` the candidates of each, ``model`` its number."""
     names, cuts = list(key), [(k, float(t)) for k, own in enumerate(thresholds) for t in own]
+    limits = [np.array([float(t) for t in own]) for own in thresholds]
     slim = labelled.select(*key, "y", "x", "scores", F.col("label").cast("int").alias("label"))
     counts = ("tp", "tn", "fp", "fn")
     schema = T.StructType(
@@ -179,16 +180,13 @@ def cleaned_counts_of(
         truth = np.zeros((height, width), bool)
         truth[y, x] = frame.column("label").to_numpy() == 1
         given = frame.column("scores").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
-        rows, grid, of = [], None, None
-        for k, t in cuts:
-            if k != of:
-                grid, of = np.full((height, width), -np.inf), k
-                grid[y, x] = given[:, k]
-            mask = grid >= t
-            mask = R.dense_clean(mask) if clean else mask
-            tp, fp = int((truth & mask).sum()), int((~truth & mask).sum())
-            fn = int(truth.sum()) - tp
-            rows.append((tp, truth.size - tp - fp - fn, fp, fn))
+        grids = np.full((len(limits), height, width), -np.inf)
+        grids[:, y, x] = np.where(np.isnan(given), -np.inf, given).T
+        grids = R.dense_clean(grids) if clean else grids
+        rows, path = [], int(truth.sum())
+        for grid, own in zip(grids, limits, strict=True):
+            for tp, fp in zip(_reaching(grid[truth], own), _reaching(grid[~truth], own), strict=True):
+                rows.append((tp, truth.size - path - fp, fp, path - tp))
         head = [pa.array(frame.column(n)[:1].to_pylist() * len(cuts), frame.schema.field(n).type) for n in names]
         body = [pa.array([k for k, _ in cuts], pa.int32()), pa.array([t for _, t in cuts]), *[pa.array(list(c), pa.int64()) for c in zip(*rows)]]
         return pa.Table.from_arrays([*head, *body], names=[*names, "model", "t", *counts])
@@ -196,6 +194,11 @@ def cleaned_counts_of(
     return slim.groupBy(*key).applyInArrow(run, schema)
 
 
+def _reaching(scores: np.ndarray, limits: np.ndarray) -> list[int]:
+    """How many scores are at or above each limit."""
+    return (len(scores) - np.searchsorted(np.sort(scores), limits)).tolist()
+
+
 def threshold_table(
     scores: DataFrame, truth: DataFrame | None, candidates: DataFrame, width: int, height: int, clean: bool = True, key: Sequence[str] = R.KEY
 ) -> DataFrame:

@@ -13,6 +13,7 @@ jobs that run several ordered steps over the same groups.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -309,6 +310,83 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities:
     return named.select(*by, "probability", (F.col("_low") + (F.col("_high") - F.col("_low")) * (at - F.floor(at))).alias(value))
 
 
+PARTS = 4096  # of an entry's values in one pass of array_quantiles
+
+
+def array_quantiles(df: DataFrame, column: str, size: int, probabilities: Sequence[float]) -> list[list[float]]:
+    """The quantiles of :func:`exact_quantiles` for every entry of an array of ``size`` numbers, in few passes over the arrays as they are.
+
+    A pass counts the values of the intervals that hold a wanted rank in equal parts, with each part's lowest and highest value; these are the
+    next pass's intervals, until a wanted rank lies in an interval of one value. A pass gives at most ``PARTS`` rows for an entry, whatever
+    the table, and no values are sorted but those of a batch. Runs jobs at once. Null arrays, NaN and infinite values do not count.
+    """
+    found: list[dict[int, float]] = [{} for _ in range(size)]
+    total, ranks = [0] * size, [[0] for _ in range(size)]
+    # of every entry the intervals: lowest and highest value, values below it
+    spans = [[(-np.finfo(float).max, np.finfo(float).max, 0)] for _ in range(size)]
+    parts = 1
+    while any(spans):
+        ends = [tuple(np.array(x) for x in zip(*own, strict=True)) if own else None for own in spans]
+        counts = _count_parts(df, column, ends, parts)
+        entry, span, n, low, high = (counts.column(c).to_numpy() for c in ("entry", "span", "n", "low", "high"))
+        spans = [[] for _ in range(size)]
+        for k in np.unique(entry).tolist():
+            own = np.flatnonzero(entry == k)
+            if parts == 1:
+                total[k] = int(n[own].sum())
+                ranks[k] = sorted({end for p in probabilities for end in (math.floor(p * (total[k] - 1)), math.ceil(p * (total[k] - 1)))})
+            inside = np.cumsum(n[own]) - n[own]
+            first = np.searchsorted(span[own], span[own])  # the first part of the same interval
+            below = ends[k][2][span[own]] + inside - inside[first]
+            for at in np.unique(np.searchsorted(below, ranks[k], "right") - 1).tolist():
+                held = [r for r in ranks[k] if below[at] <= r < below[at] + n[own][at]]
+                if low[own][at] == high[own][at]:
+                    found[k].update(dict.fromkeys(held, float(low[own][at])))
+                elif held:
+                    spans[k].append((low[own][at], high[own][at], int(below[at])))
+        parts = max(2, PARTS // max(1, *map(len, spans)))
+    out = []
+    for own, n in zip(found, total, strict=True):
+        places = [p * (n - 1) for p in probabilities] if n else []
+        out.append([own[math.floor(at)] + (own[math.ceil(at)] - own[math.floor(at)]) * (at - math.floor(at)) for at in places])
+    return out
+
+
+def _count_parts(df: DataFrame, column: str, ends: list[tuple[np.ndarray, ...] | None], parts: int) -> pa.Table:
+    """``entry, span, part, n, low, high``, sorted: the values of each part of each interval that has some."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = [None if e is None else len(e[0]) * parts for e in ends]
+        tables = [None if s is None else (np.zeros(s, np.int64), np.full(s, np.inf), np.full(s, -np.inf)) for s in slots]
+        for batch in batches:
+            lists = batch.column(0).drop_null()
+            values = np.sort(lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), len(ends)).T, axis=1)
+            for own, end, table in zip(values, ends, tables, strict=False):
+                if end is None:
+                    continue
+                low, high, _ = end
+                first, last = np.searchsorted(own, low), np.searchsorted(own, high, "right")
+                held = last - first
+                span = np.repeat(np.arange(len(low)), held)
+                x = own[np.arange(len(span)) + np.repeat(first - (np.cumsum(held) - held), held)]
+                # halves, since the distance of two numbers may be too large for one
+                share = (x / 2 - low[span] / 2) / (high[span] / 2 - low[span] / 2)
+                slot = span * parts + np.minimum(share * parts, parts - 1).astype(np.int64)
+                begin = np.flatnonzero(np.diff(slot, prepend=-1))
+                n, lowest, highest = table
+                n[slot[begin]] += np.diff(begin, append=len(slot))
+                lowest[slot[begin]] = np.minimum(lowest[slot[begin]], x[begin])
+                highest[slot[begin]] = np.maximum(highest[slot[begin]], x[np.append(begin[1:], len(slot)) - 1] if len(begin) else x[:0])
+        for k, table in enumerate(tables):
+            some = np.flatnonzero(table[0]) if table is not None else []
+            if len(some):
+                yield pa.record_batch({"entry": np.full(len(some), k), "span": some // parts, "part": some % parts, "n": table[0][some], "low": table[1][some], "high": table[2][some]})
+
+    counted = df.select(column).mapInArrow(count, "entry long, span long, part long, n long, low double, high double")
+    summed = counted.groupBy("entry", "span", "part").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return summed.toArrow().sort_by([(c, "ascending") for c in ("entry", "span", "part")])
+
+
 def medians(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``median_<column>`` per group, all columns in the same passes; groups without any value have no row."""
     named = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_middle")) for c in columns])

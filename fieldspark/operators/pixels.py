@@ -243,9 +243,18 @@ def _texture(k: int) -> dict:
 
 def feature_columns(pixels: DataFrame, width: int, height: int, key: Sequence[str] = R.KEY, keep: Sequence[str] = (), whole: bool = False) -> DataFrame:
     """The 22 pixel features as named columns; the last eight depend on position. ``whole`` rows are as :func:`resize_area` leaves them."""
+    return named_features(textured_pixels(pixels, width, height, key, keep, whole), width, height, key, keep)
+
+
+def textured_pixels(pixels: DataFrame, width: int, height: int, key: Sequence[str] = R.KEY, keep: Sequence[str] = (), whole: bool = False) -> DataFrame:
+    """Pixels with the features that depend on neighbours, which are made of all pixels of a frame."""
     raw = pixels.select(*key, "y", "x", "b", "g", "r", *keep).withColumn("_gray", F.expr(colour.GRAY) / 255)
-    filtered = whole_frame_filters(raw, "_gray", _texture(9), width, height) if whole else frame_filters(raw, "_gray", _texture(9), width, height, key)
-    textured = add_colour(filtered)
+    return whole_frame_filters(raw, "_gray", _texture(9), width, height) if whole else frame_filters(raw, "_gray", _texture(9), width, height, key)
+
+
+def named_features(pixels: DataFrame, width: int, height: int, key: Sequence[str] = R.KEY, keep: Sequence[str] = ()) -> DataFrame:
+    """All features of the given ones of :func:`textured_pixels`."""
+    textured = add_colour(pixels)
     angle = F.expr(colour.HUE_ANGLE)
     px, py = F.col("x") / F.lit(float(max(1, width - 1))), F.col("y") / F.lit(float(max(1, height - 1)))
     named = {

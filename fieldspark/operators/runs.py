@@ -218,16 +218,20 @@ def morph(runs: DataFrame, op: str, kx: int, ky: int, width: int, height: int, k
 
 
 def dense_filter(mask: np.ndarray, op: str, kx: int, ky: int) -> np.ndarray:
-    """Rectangular min/max filter of one frame; pixels outside the image have no effect."""
+    """Rectangular min/max filter of one frame, or of each of a stack of frames; pixels outside the image have no effect. Frames are masks or scores."""
     steps = {"dilate": "d", "erode": "e", "open": "ed", "close": "de"}[op]
+    low, high = (False, True) if mask.dtype == bool else (-np.inf, np.inf)
     for step in steps:
-        join, neutral = (np.logical_or, False) if step == "d" else (np.logical_and, True)
-        for axis, radius in ((1, kx // 2), (0, ky // 2)):
-            pad = [(0, 0), (0, 0)]
-            pad[axis] = (radius, radius)
-            wide = np.pad(mask, pad, constant_values=neutral)
+        join, neutral = (np.maximum, low) if step == "d" else (np.minimum, high)
+        for axis, radius in ((-1, kx // 2), (-2, ky // 2)):
             n = mask.shape[axis]
-            mask = join.reduce([np.take(wide, range(i, i + n), axis=axis) for i in range(2 * radius + 1)])
+            pad = [(0, 0)] * mask.ndim
+            pad[axis] = (radius, radius)
+            wide = np.moveaxis(np.pad(mask, pad, constant_values=neutral), axis, -1)
+            joined = wide[..., :n].copy()
+            for i in range(1, 2 * radius + 1):
+                join(joined, wide[..., i : i + n], out=joined)
+            mask = np.moveaxis(joined, -1, axis)
     return mask
 
 
@@ -235,6 +239,7 @@ CLEAN = (("open", 3, 3), ("close", 7, 7))
 
 
 def dense_clean(mask: np.ndarray) -> np.ndarray:
+    """The clean-up of :func:`clean_mask`. It only takes minima and maxima, so cleaned scores cut at any threshold are the cleaned mask of scores cut there."""
     for op, kx, ky in CLEAN:
         mask = dense_filter(mask, op, kx, ky)
     return mask

@@ -16,7 +16,7 @@ from fieldspark.plans import training as T
 from fieldspark.plans.bindings import HEIGHT, RASTER, WIDTH, sql, table
 from fieldspark.plans.catalog import query
 from fieldspark.plans.q_masks import METRICS, clean_sql, runs_sql, window_sql
-from fieldspark.session import cut_lineage, run_dir
+from fieldspark.session import batches_by_rows, cut_lineage, run_dir
 
 CLASSES = [f"class-{i}" for i in range(10)]
 
@@ -282,11 +282,13 @@ def m8(spark, sf):
     truth, inputs = B.mask_t(spark, sf), {}
     frames = B.raster_frames(spark, sf).withColumn("mission_id", F.col("video_id") % 2)
     parts = cut_lineage(L.frame_split(frames.select(*RASTER, "mission_id"), ["video_id"], huge=False, scope=["mission_id"]))
+    largest = dict(zip(("width", "height"), map(F.lit, T.input_size(max(T.SWEEP["width"]), (WIDTH, HEIGHT))), strict=True))
+    tasks = X.tasks_for(frames.withColumns(largest))
     source = T.source_frames(B.rgb(spark, sf), truth, parts, RASTER)
     for width in T.SWEEP["width"]:
-        labelled, *size = T.resampled_frames(source, (WIDTH, HEIGHT), width, RASTER)
-        inputs[width] = (labelled, None, *size)
-    rows, best = T.sweep(inputs, key=RASTER)
+        inputs[width] = T.resampled_pixels(source, (WIDTH, HEIGHT), width, RASTER, tasks)
+    with batches_by_rows(spark):  # rows of few numbers
+        rows, best = T.sweep(inputs, key=RASTER)
     return spark.createDataFrame([(r["candidate"], r["width"], r["random_features"], r["samples"], r["ridge_lambda"], r["symmetric_score"], r["iou"], r["candidate"] == best["candidate"]) for r in rows],
                                  "candidate int, width int, random_features int, samples int, ridge_lambda double, symmetric_score double, iou double, best boolean")
 

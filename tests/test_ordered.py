@@ -88,3 +88,24 @@ def test_asof_and_nearest_against_brute_force(spark):
 def test_touching_intervals_do_not_overlap(spark):
     df = spark.createDataFrame([("a", 1, 1000, 3000), ("a", 2, 3000, 4000), ("b", 3, 1000, 3000), ("b", 4, 2000, 4000)], "video_id string, id int, start_ms long, end_ms long")
     assert [r["id"] for r in J.overlapping_intervals(df, ["video_id"], "start_ms", "end_ms", "id").collect()] == [4]
+
+
+def test_quantiles_of_every_entry_of_an_array(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    columns = [
+        rng.normal(0, 1, 3001), rng.integers(-3, 4, 3001) * 0.5, np.full(3001, 7.25), 1.0 + (np.arange(3001) % 9) * 2.0**-52,
+        np.concatenate([rng.normal(0, 1e300, 1500), rng.normal(0, 1e-300, 1499), [-1e308, 1e308]]),
+    ]
+    rows = [([float(v) for v in r],) for r in zip(*columns, strict=True)] + [(None,)]
+    df = spark.createDataFrame(rows, "s array<double>").repartition(5)
+    want = []
+    for ordered in map(np.sort, columns):
+        at = [p * (len(ordered) - 1) for p in LEVELS]
+        want.append([float(ordered[math.floor(a)] + (ordered[math.ceil(a)] - ordered[math.floor(a)]) * (a - math.floor(a))) for a in at])
+    assert O.array_quantiles(df, "s", 5, LEVELS) == want
+    passes = []
+    monkeypatch.setattr(O, "_count_parts", lambda *a, count=O._count_parts: passes.append(count(*a)) or passes[-1])
+    monkeypatch.setattr(O, "PARTS", 32)
+    assert O.array_quantiles(df, "s", 5, LEVELS) == want
+    assert all(t.num_rows <= 5 * 32 for t in passes)
+    assert O.array_quantiles(df.where("s IS NULL"), "s", 2, LEVELS) == [[], []]

@@ -172,3 +172,42 @@ def test_resampled_frames_are_the_resampled_input_with_one_shuffle_of_source_pix
     got = sorted(map(tuple, made.collect()))
     assert got == sorted(map(tuple, want.collect())) and len(got) == 3 * 30 * 48 and {r[4] for r in got} == {0, 1}
     assert made._jdf.queryExecution().sparkPlan().toString().count("FlatMapGroupsInArrow") == 1
+
+
+def test_scores_are_cleaned_once_for_all_thresholds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    grid = np.round(np.kron(rng.normal(0, 1, (2, 3, 5)), np.ones((3, 3)))[:, :, :14] + rng.normal(0, 0.2, (2, 9, 14)), 1)
+    grid[0, :3, :4] = -np.inf
+    cleaned = R.dense_clean(grid)
+    for t in (-1.0, -0.3, 0.0, 0.1):
+        assert (cleaned >= t).any() and all(((c >= t) == R.dense_clean(g >= t)).all() for c, g in zip(cleaned, grid, strict=True))
+    rows = [(f, y, x, [float(v) for v in grid[:, y, x]], int(rng.integers(0, 2))) for f in (0,) for y in range(9) for x in range(14) if y > 2 or x > 3]
+    df = spark.createDataFrame(rows, "frame_index long, y int, x int, scores array<double>, label int")
+    truth = np.zeros((9, 14), bool)
+    for _, y, x, _, label in rows:
+        truth[y, x] = label == 1
+    limits = [[-0.3, 0.1], [0.0, 0.2, 0.8]]
+    grid[1, :3, :4] = -np.inf
+    got = {(r["model"], r["t"]): (r["tp"], r["tn"], r["fp"], r["fn"]) for r in training.M.cleaned_counts_of(df, limits, 14, 9, True, ("frame_index",)).collect()}
+    masks = {(k, t): R.dense_clean(grid[k] >= t) for k, own in enumerate(limits) for t in own}
+    assert got == {c: ((truth & m).sum(), (~truth & ~m).sum(), (~truth & m).sum(), (truth & ~m).sum()) for c, m in masks.items()}
+
+
+def test_frames_are_dealt_by_the_pixels_they_grow_to(spark):
+    pixels = spark.range(40 * 15).selectExpr("id div 15 as frame_index", "cast(id % 15 div 5 as int) as y", "cast(id % 5 as int) as x", *(f"cast((id * 7) % 200 as double) as {c}" for c in "bgr"))
+    frames = pixels.withColumn("label", F.lit(1)).withColumn("part", F.lit("train"))
+    made, _, width, height, finish = training.resampled_pixels(frames, (5, 3), 12, ("frame_index",), 7)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert made.rdd.getNumPartitions() == 7 and plan.count("Exchange hashpartitioning(frame_index") == 1
+    whole = training.resampled_frames(frames, (5, 3), 12, ("frame_index",))[0]
+    some = finish(made.where("x = 3 and y % 2 = 0")).collect()
+    assert len(some) == 40 * height // 2 and set(map(str, some)) <= set(map(str, whole.collect()))
+
+
+def test_no_batch_size_is_added_up_for_every_row(spark):
+    from fieldspark.session import BATCH_BYTES, batches_by_rows
+
+    before = spark.conf.get(BATCH_BYTES)
+    with batches_by_rows(spark):
+        assert int(spark.conf.get(BATCH_BYTES)) == 2**31 - 1
+    assert spark.conf.get(BATCH_BYTES) == before
