@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.store import keep
+from fieldspark.llm.store import keep_numbers
 
 
 def shared(rows: DataFrame, key: str, *place: str, distinct: bool = False, hashed: bool = False) -> DataFrame:
@@ -133,7 +133,7 @@ def first_places(rows: DataFrame, key: str, *place: str) -> DataFrame:
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), *(f"{f} {kinds[c]}" for f, c in zip(firsts, names, strict=True)), "mark int", "part int"])
     dealt = rows.repartitionByRange(key, *place).sortWithinPartitions(key, *place).withColumn("part", F.spark_partition_id())
-    marked = keep(dealt.mapInArrow(compare, schema), "places")
+    marked = keep_numbers(dealt.mapInArrow(compare, schema), "places")
     # the last row of a partition stands for its last key, unless that is its first one too
     later_row = F.max(reduce(or_, [F.col(c) != F.col(f) for c, f in zip(names, firsts, strict=True)]).cast("int"))
     edges = marked.where("mark > 0").groupBy("part", "mark").agg(F.min(F.struct(key, *firsts)).alias("e"), (F.count("*") + later_row).alias("n")).collect()

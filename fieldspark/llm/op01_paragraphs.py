@@ -27,7 +27,8 @@ from fieldspark.llm import bloom, links, text
 from fieldspark.llm.graph import components
 from fieldspark.llm.neighbours import first_places, shared
 from fieldspark.llm.op04_sparse_suffixes import LENGTH, candidate_stretches
-from fieldspark.llm.store import keep, narrow
+from fieldspark.llm.store import BATCH, NUMBERS, keep, keep_numbers, narrow
+from fieldspark.session import batches_by_rows
 
 REACH, SHORTEST, SIZE, THRESHOLD = 6, 7, 5, 80
 BANDS, ROWS = 12, 2
@@ -234,7 +235,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     narrow(docs.sparkSession)
     rows = _documents(docs, id_col, text_col)
     known = keep(classes(rows), "classes")
-    members = keep(links.bucket_members(shared(banded(rows), "key", "id", distinct=True, hashed=True)), "members")
+    # texts go in too, so a batch has no more rows than theirs may have
+    members = keep_numbers(links.bucket_members(shared(banded(rows), "key", "id", distinct=True, hashed=True)), "members", BATCH)
 
     def likely(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
         apart = sig ^ others
@@ -264,17 +266,21 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # sets have no common order of bands, so no band counts as an earlier one
     packed = keep(signatures_of(rows, known.select("id", "place.row").join(unsettled, "id")).select("id", F.array("id").alias("bands"), "sig"), "signatures")
     linked = links.all_links(members, packed, likely, verify, full, THRESHOLD)
-    joined = known.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # a class of one place that no other is like repeats nothing
+    joined = known.join(linked.withColumnRenamed("node", "id"), "id", "left").where("component IS NOT NULL OR last IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
     groups = joined.groupBy("component").agg(F.min("place").alias("first"), F.max(F.coalesce("last", "place")).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
     found = keep(joined.join(groups, "component").select("id", "component", "first"), "repeated")
 
+    wanted = bloom.build(found.select("id"))
+
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column(1).to_numpy()
             for part in text.slices(batch.column(2)):
                 p = paragraphs(part)
-                w, doc, first, last = p.words, p.doc, p.first, p.last
                 _, _, ids = _sets(p)
+                some = bloom.hits(wanted.value, text.signed(ids))
+                w, doc, first, last, ids = p.words, p.doc[some], p.first[some], p.last[some], ids[some]
                 chars = text.char_counts(part)
                 base = chars[part.offsets[doc]]
                 yield pa.record_batch(
@@ -290,7 +296,6 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 )
 
     places = rows.select("doc_id", "row", "text").mapInArrow(locate, "id long, doc_id long, row long, first_word int, last_word int, start long, end long")
-    places = bloom.maybe(places, "id", bloom.build(found.select("id"))).where("_maybe").drop("_maybe")
     out = places.join(found, "id").distinct()
     removed = ~F.struct("doc_id", "row", "first_word").eqNullSafe(F.col("first"))
     out = out.select("doc_id", "row", "first_word", "last_word", "start", "end", "component", F.col("first.doc_id").alias("first_doc_id"), removed.alias("removed"))
@@ -333,7 +338,8 @@ def passages(rows: DataFrame) -> DataFrame:
     places = first_places(candidate_stretches(rows), "stretch", "doc_id", "row", "start").drop("stretch")
     places = places.withColumn("removed", (F.col("row") != F.col("first_row")) | (F.col("start") != F.col("first_start")))
     places = places.repartition("row").sortWithinPartitions("row", "removed", "start").mapInArrow(unite, kinds)
-    places = keep(places.withColumn("node", F.xxhash64("row", "removed", "first_word")), "passages")
+    with batches_by_rows(rows.sparkSession, NUMBERS):
+        places = keep(places.withColumn("node", F.xxhash64("row", "removed", "first_word")), "passages")
     firsts = places.where("not removed").select(F.col("row").alias("first_row"), "first_word", "last_word", F.col("node").alias("b"))
     within = F.col("first_start").between(F.col("first_word"), F.col("last_word") - LENGTH + 1)
     linked = components(places.where("removed").select("first_row", "first_start", F.col("node").alias("a")).join(firsts, "first_row").where(within).select("a", "b").distinct())

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm import bloom, text
 from fieldspark.llm.neighbours import later, settle, shared
-from fieldspark.llm.store import keep, neutral
+from fieldspark.llm.store import keep, keep_numbers, neutral
 
 LENGTH, PREFIX = 50, 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -70,7 +70,7 @@ def candidate_stretches(rows: DataFrame, length: int = LENGTH, prefix: int = PRE
                 yield pa.record_batch({"prefix": text.signed(g[at]), "row": row[part.rows][w.doc[at]], "position": (at - w.first[w.doc[at]]).astype(np.int32)})
 
     suffixes = keep(rows.select("row", "text").mapInArrow(retain, "prefix long, row long, position int"), "suffixes")
-    candidates = keep(shared(suffixes, "prefix", "row", "position").groupBy("row").agg(F.collect_list("position").alias("positions")), "candidates")
+    candidates = keep_numbers(shared(suffixes, "prefix", "row", "position").groupBy("row").agg(F.collect_list("position").alias("positions")), "candidates")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,24 +6,24 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldspark.session import run_dir, ship_package
+from fieldspark.session import BATCH_BYTES, BATCH_ROWS, batches_by_rows, run_dir, ship_package
 
 BATCH = 500  # rows of one Arrow batch; texts are large, and a task holds a few batches at a time
-_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+NUMBERS = 1 << 14  # rows of one batch that has no texts
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
     """Ship the package and keep Arrow batches small."""
     ship_package(spark)
-    spark.conf.set(_ROWS, BATCH)
-    spark.conf.unset(_BYTES)
+    spark.conf.set(BATCH_ROWS, BATCH)
+    spark.conf.unset(BATCH_BYTES)
 
 
-def narrow(spark: SparkSession, rows: int = 1 << 14, size: int = 1 << 20) -> None:
+def narrow(spark: SparkSession, rows: int = NUMBERS, size: int = 1 << 20) -> None:
     """Arrow batches bounded by their bytes, so that rows of a few numbers come in many at a time; holds until ``prepare``."""
-    spark.conf.set(_ROWS, rows)
-    spark.conf.set(_BYTES, size)
+    spark.conf.set(BATCH_ROWS, rows)
+    spark.conf.set(BATCH_BYTES, size)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_numbers(df: DataFrame, name: str, rows: int = NUMBERS) -> DataFrame:
+    """:func:`keep` for many rows of a few numbers, whose batches need no bound but ``rows``."""
+    with batches_by_rows(df.sparkSession, rows):
+        return keep(df, name)
+
+
 def forget(written: DataFrame) -> None:
     """Delete a table from ``keep`` that nothing reads any more."""
     jvm, conf = written.sparkSession._jvm, written.sparkSession._jsparkSession.sessionState().newHadoopConf()

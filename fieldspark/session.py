@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _SHIPPED: set[str] = set()
 
 
@@ -57,14 +57,17 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def batches_by_rows(spark: SparkSession) -> Iterator[None]:
+def batches_by_rows(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
     """For jobs run inside, Arrow batches are bounded by their rows alone. A bound on bytes has Spark add up the size of all columns' buffers for every row."""
-    before = spark.conf.get(BATCH_BYTES, None)
+    before = {name: spark.conf.get(name, None) for name in (BATCH_ROWS, BATCH_BYTES)}
     spark.conf.set(BATCH_BYTES, str((1 << 31) - 1))
+    if rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
     try:
         yield
     finally:
-        spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -269,3 +269,24 @@ def test_passages_are_written_as_runs(spark):
         got = op01_paragraphs.passages(op01_paragraphs._documents(docs, "doc_id", "text")).collect()
     assert sorted((r["doc_id"], r["first_word"], r["last_word"], r["removed"], r["first_doc_id"]) for r in got) == [(1, 1, 400, False, 1), (2, 1, 400, True, 1), (3, 1, 200, True, 1), (3, 202, 301, True, 1)]
     assert dict(written)["passages"].count() == 4
+
+
+def test_rows_of_numbers_go_to_python_without_a_bound_on_bytes_and_lone_classes_are_not_grouped(spark, monkeypatch):
+    from fieldspark.llm import store
+    from fieldspark.session import BATCH_BYTES
+
+    sizes, plans = {}, {}
+
+    def kept(df, name, whole=store.keep):
+        sizes[name], plans[name] = int(spark.conf.get(BATCH_BYTES).rstrip("b")), df._jdf.queryExecution().optimizedPlan().toString()
+        return whole(df, name)
+
+    monkeypatch.setattr(store, "keep", kept)
+    monkeypatch.setattr(op01_paragraphs, "keep", kept)
+    passage = " ".join(f"word{k}" for k in range(70))
+    rows = spark.createDataFrame([(k, f"{passage} {k}") for k in range(4)] + [(9, " ".join(f"lone{k}" for k in range(40)))], "doc_id long, text string")
+    found = op01_paragraphs.repeated_paragraphs(rows).collect()
+    assert {r["doc_id"] for r in found} == {0, 1, 2, 3} and any(r["last_word"] - r["first_word"] == 69 for r in found)
+    assert {sizes[n] for n in ("members", "places", "passages", "candidates")} == {2**31 - 1} and sizes["classes"] < 2**31 - 1
+    grouped = plans["repeated"]
+    assert "isnotnull(component" in grouped and "isnotnull(last" in grouped
